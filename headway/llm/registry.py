@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import chat, exact_dedup, packing
+from . import chat, exact_dedup, packing, pii, quality, toxicity
 
-MODULES = (exact_dedup, packing, chat)
+MODULES = (pii, quality, exact_dedup, toxicity, packing, chat)
 
 
 def queries() -> dict:
