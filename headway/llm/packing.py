@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import os
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -17,8 +20,10 @@ from .words import slices, split_words
 LENGTH = 4096
 #: The id that closes every document.
 CLOSE = 2
+#: UTF-8 bytes of text encoded at once, unless one text is longer.
+SLICE_BYTES = 8_000_000
 #: Distinct words whose ids a task remembers.
-CACHE_WORDS = 200_000
+CACHE_WORDS = 800_000
 #: Partition totals beyond this many are joined instead of broadcast.
 BROADCAST_PARTITIONS = 1_000_000
 
@@ -29,17 +34,60 @@ def default_tokenizer() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+#: Words that are letters with ASCII marks after them; their letters are composed and have one-to-one lower cases.
+_SIMPLE = "^[A-Za-zÀ-ÖØ-öø-ÿ]+[.,!?;:*#%&$|]*$"
+_MARKS = "[.,!?;:*#%&$|]+$"
+#: Byte-level spelling: bytes that are no printable Latin-1 character have one above U+00FF.
+_BYTE_LEVEL = {b: 256 + k for k, b in enumerate(b for b in range(256) if not (33 <= b <= 126 or 161 <= b <= 172 or 174 <= b <= 255))}
+
+
 class _WordEncoder:
     """Ids of whole texts through the ids of their words.
 
     The tokenizer drops white space and never joins across it, so a text's ids
-    are its words' ids in order; each distinct word is encoded once.
+    are its words' ids in order, and each distinct word is encoded once.  In a
+    simple word the letters are one piece and the marks another, so the
+    letters' ids come from the vocabulary's model alone.
     """
 
     def __init__(self, path: str):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core; the library's idle threads would spin
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.known = Tokenizer.from_file(path), {}
+        self.tokenizer = Tokenizer.from_file(path)
+        self._forget()
+
+    def _forget(self) -> None:
+        """known: each word's place in sizes and firsts, which tell where its ids are in flat."""
+        self.known: dict[str, int] = {}
+        self.pieces: dict[str, list[int]] = {"": []}
+        self.flat = np.zeros(0, np.uint32)
+        self.sizes = self.firsts = np.zeros(0, np.int64)
+
+    def _letters(self, lower: str) -> list[int]:
+        if lower not in self.pieces:
+            spelled = lower if lower.isascii() else lower.encode().decode("latin-1").translate(_BYTE_LEVEL)
+            self.pieces[lower] = [t.id for t in self.tokenizer.model.tokenize(spelled)]
+        return self.pieces[lower]
+
+    def _marks(self, marks: str) -> list[int]:
+        if marks not in self.pieces:
+            self.pieces[marks] = self.tokenizer.encode(marks, add_special_tokens=False).ids
+        return self.pieces[marks]
+
+    def _learn(self, words: pa.Array) -> None:
+        simple = pc.match_substring_regex(words, _SIMPLE)
+        plain, others = words.filter(simple), words.filter(pc.invert(simple)).to_pylist()
+        letters = pc.replace_substring_regex(plain, _MARKS, "")
+        lower = pc.utf8_lower(letters).to_pylist()
+        plain_words = plain.to_pylist()
+        ids = [self._letters(x) + self._marks(w[len(x) :]) for x, w in zip(lower, plain_words, strict=True)]
+        ids += [e.ids for k in range(0, len(others), 4096) for e in self.tokenizer.encode_batch_fast(others[k : k + 4096], add_special_tokens=False)]
+        sizes = np.fromiter(map(len, ids), np.int64, len(ids))
+        self.known.update(zip(chain(plain_words, others), range(len(self.known), len(self.known) + len(ids)), strict=True))
+        self.firsts = np.concatenate([self.firsts, len(self.flat) + np.cumsum(sizes) - sizes])
+        self.sizes = np.concatenate([self.sizes, sizes])
+        self.flat = np.concatenate([self.flat, np.fromiter(chain.from_iterable(ids), np.uint32, int(sizes.sum()))])
 
     def __call__(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids (uint32) and how many each text has, without closing ids."""
@@ -48,20 +96,15 @@ class _WordEncoder:
             return np.zeros(0, np.uint32), np.zeros(len(texts), np.int64)
         coded = words.dictionary_encode()
         distinct = coded.dictionary.to_pylist()
-        new = [w for w in distinct if w not in self.known]
-        if len(self.known) + len(new) > CACHE_WORDS:
-            self.known, new = {}, distinct
-        for k in range(0, len(new), 4096):
-            part = new[k : k + 4096]
-            for w, e in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False), strict=True):
-                self.known[w] = np.array(e.ids, np.uint32)
-        pieces = [self.known[w] for w in distinct]
-        sizes = np.array([len(p) for p in pieces], np.int64)
-        flat, firsts = np.concatenate(pieces), np.cumsum(sizes) - sizes
-        which = coded.indices.to_numpy()
-        lengths = sizes[which]
+        new = np.fromiter((w not in self.known for w in distinct), bool, len(distinct))
+        if self.known and len(self.known) + int(new.sum()) > CACHE_WORDS:
+            self._forget()
+            new[:] = True
+        self._learn(coded.dictionary.filter(pa.array(new)))
+        which = np.fromiter(map(self.known.__getitem__, distinct), np.int64, len(distinct))[coded.indices.to_numpy()]
+        lengths = self.sizes[which]
         ends = np.cumsum(lengths)
-        ids = flat[np.arange(ends[-1]) + np.repeat(firsts[which] - (ends - lengths), lengths)]
+        ids = self.flat[np.arange(ends[-1]) + np.repeat(self.firsts[which] - (ends - lengths), lengths)]
         bounds = np.concatenate([[0], ends])[np.concatenate([[0], np.cumsum(counts)])]
         return ids, np.diff(bounds)
 
@@ -72,7 +115,7 @@ def encode(docs: DataFrame, id_col: str, text_col: str, tokenizer: str, close: i
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, part, before = _WordEncoder(tokenizer), TaskContext.get().partitionId(), 0
         for batch in batches:
-            for rows in slices(batch, "text"):
+            for rows in slices(batch, "text", SLICE_BYTES):
                 ids, sizes = encoder(rows.column("text"))
                 ids = np.insert(ids, np.cumsum(sizes), np.uint32(close)).astype("<u4")
                 sizes = sizes + 1

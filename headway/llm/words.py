@@ -31,13 +31,13 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def slices(batch: pa.RecordBatch, text: str) -> Iterator[pa.RecordBatch]:
-    """Cut a batch into row slices of about SLICE_BYTES of text, so that what a task holds does not depend on Arrow's batch size."""
+def slices(batch: pa.RecordBatch, text: str, limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
+    """Cut a batch into row slices of about ``limit`` bytes of text, so that what a task holds does not depend on Arrow's batch size."""
     sizes = pc.fill_null(pc.binary_length(batch.column(text)), 0).to_numpy(zero_copy_only=False).astype(np.int64)
     ends, start = np.cumsum(sizes), 0
     while start < batch.num_rows:
         base = ends[start - 1] if start else 0
-        stop = max(start + 1, int(np.searchsorted(ends, base + SLICE_BYTES, "right")))
+        stop = max(start + 1, int(np.searchsorted(ends, base + limit, "right")))
         yield batch.slice(start, stop - start)
         start = stop
 
