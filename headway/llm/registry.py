@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import chat, exact_dedup, mixing, packing, pii, quality, toxicity
+from . import chat, exact_dedup, mixing, packing, pii, quality, toxicity, vectors
 
-MODULES = (pii, mixing, quality, exact_dedup, toxicity, packing, chat)
+MODULES = (pii, mixing, vectors, quality, exact_dedup, toxicity, packing, chat)
 
 
 def queries() -> dict:
