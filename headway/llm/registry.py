@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import chat, exact_dedup, mixing, packing, pii, quality, toxicity, vectors
+from . import chat, exact_dedup, mixing, packing, pii, quality, substring_dedup, toxicity, vectors
 
-MODULES = (pii, mixing, vectors, quality, exact_dedup, toxicity, packing, chat)
+MODULES = (substring_dedup, pii, mixing, vectors, quality, exact_dedup, toxicity, packing, chat)
 
 
 def queries() -> dict:
