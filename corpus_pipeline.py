@@ -1,8 +1,63 @@
-"""The corpus pipeline: from raw documents to packed training sequences."""
+"""The corpus pipeline: from raw documents to packed training sequences.
 
-STAGES = []
+Each stage is (name, function of (spark, docs, sf_dir)); its result is written
+as Parquet and read again as the docs of the next.  All but the last return
+the columns of documents.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from headway.llm.common import Scratch, table
+from headway.llm.exact_dedup import drop_exact_duplicates
+from headway.llm.mixing import mixed_documents
+from headway.llm.ngram_join import keep_one_of_each
+from headway.llm.packing import pack
+from headway.llm.quality import keep_good
+
+#: Share of the tokens that reach the mixing stage which it hands on; a leaf short of documents is read up to twice.
+MIX_FRACTION, MIX_EPOCHS = 0.8, 2
+
+
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the compression classifier does not reject."""
+    return keep_good(docs, table(spark, sf_dir, "labels"))
+
+
+def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of equal texts the one with the smallest doc_id."""
+    return drop_exact_duplicates(docs)
+
+
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of near duplicates the one with the smallest doc_id."""
+    return keep_one_of_each(docs)
+
+
+def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents in the target proportions of domains, languages and sources; one taken in two epochs is there twice."""
+    return mixed_documents(docs, fraction=MIX_FRACTION, max_epochs=MIX_EPOCHS)
+
+
+def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of token sequences; ids are little-endian unsigned 32-bit numbers."""
+    return pack(docs).withColumnRenamed("id", "doc_id").withColumn("ids_crc32", F.crc32("ids"))
+
+
+STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
+    ("quality", quality), ("exact_dedup", exact_dedup), ("near_dedup", near_dedup), ("mix", mix), ("packing", packing),
+]
+
+#: Compression and tokenizing are beyond SQL; tests hold the stages against brute force.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, scratch = table(spark, sf_dir, "documents"), Scratch(spark, "pipeline")
+    for _, stage in STAGES:
+        docs = scratch.write(stage(spark, docs, sf_dir))
+    return docs

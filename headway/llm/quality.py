@@ -10,6 +10,7 @@ import pyarrow as pa
 from pyspark.ml.regression import IsotonicRegression, IsotonicRegressionModel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import Scratch, held_out, small_batches, table
 from .labelled import fold, labelled_sample
@@ -43,21 +44,23 @@ class QualityModel:
     calibration: IsotonicRegressionModel | None
     prior: float
 
-    def score(self, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-        """(id, n_bytes, size_good, size_bad, difference, score), one row for each row of docs.
+    def score(self, docs: DataFrame, text_col: str = "text") -> DataFrame:
+        """docs with n_bytes, size_good, size_bad, difference and score, all with the prefix "_q_".
 
         Null texts count as empty; an empty text has the difference ``typical``.
         """
-        out = _measured(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), self.good, self.bad)
-        shrunk = (F.col("size_bad") - F.col("size_good") + SHRINK_BYTES * self.typical) / (F.col("n_bytes") + SHRINK_BYTES)
-        out = out.withColumn("difference", shrunk)
+        out = _measured(docs, text_col, self.good, self.bad)
+        out = out.withColumn("_q_difference", (F.col("_q_size_bad") - F.col("_q_size_good") + SHRINK_BYTES * self.typical) / (F.col("_q_n_bytes") + SHRINK_BYTES))
         if self.calibration is None:
-            return out.withColumn("score", F.lit(self.prior))
-        return self.calibration.transform(out).withColumn("score", F.least(F.greatest("score", F.lit(0.0)), F.lit(1.0)))
+            return out.withColumn("_q_score", F.lit(self.prior))
+        return self.calibration.transform(out).withColumn("_q_score", F.least(F.greatest("_q_score", F.lit(0.0)), F.lit(1.0)))
 
 
-def _measured(rows: DataFrame, good: bytes, bad: bytes) -> DataFrame:
-    """(id, n_bytes, size_good, size_bad): each whole text's size compressed with either dictionary."""
+MEASURES = ("_q_n_bytes", "_q_size_good", "_q_size_bad")
+
+
+def _measured(rows: DataFrame, text_col: str, good: bytes, bad: bytes) -> DataFrame:
+    """rows with MEASURES: each whole text's bytes, and its size compressed with either dictionary."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import zstandard
@@ -65,13 +68,14 @@ def _measured(rows: DataFrame, good: bytes, bad: bytes) -> DataFrame:
         made = [zstandard.ZstdCompressor(level=LEVEL, dict_data=zstandard.ZstdCompressionDict(d), write_content_size=False, write_dict_id=False) for d in (good, bad)]
         for batch in batches:
             sizes = np.zeros((3, batch.num_rows), np.int64)
-            for k, text in enumerate(batch.column("text").cast(pa.large_string()).cast(pa.large_binary())):
+            for k, text in enumerate(batch.column(text_col).cast(pa.large_string()).cast(pa.large_binary())):
                 b = text.as_buffer() if text.is_valid else b""
                 sizes[:, k] = (len(b), *(len(c.compress(b)) if len(b) else 0 for c in made))
-            yield pa.RecordBatch.from_arrays([batch.column("id"), *map(pa.array, sizes)], ["id", "n_bytes", "size_good", "size_bad"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, *map(pa.array, sizes)], [*batch.schema.names, *MEASURES])
 
     small_batches(rows.sparkSession)
-    return rows.mapInArrow(run, f"id {rows.schema['id'].dataType.simpleString()}, n_bytes long, size_good long, size_bad long")
+    schema = T.StructType([*rows.schema.fields, *(T.StructField(m, T.LongType()) for m in MEASURES)])
+    return rows.mapInArrow(run, schema)
 
 
 def fit_quality(docs: DataFrame, labels: DataFrame, label: str = "quality", id_col: str = "doc_id", text_col: str = "text", per_class: int = SAMPLE_PER_CLASS) -> QualityModel:
@@ -95,12 +99,12 @@ def fit_quality(docs: DataFrame, labels: DataFrame, label: str = "quality", id_c
         return QualityModel(b"", b"", 0.0, None, prior)
     good, bad = _dictionary(texts[1]), _dictionary(texts[0])
     rest = sample.filter(fold("id", 2) == 1)
-    measured = _measured(rest.select("id", "text"), good, bad).join(rest.select("id", "label"), "id").withColumn("weight", F.when(F.col("label") == 1, shares[1] / counts[1]).otherwise(shares[0] / counts[0]))
-    measured = scratch.write(measured)
-    typical = measured.filter("label = 1").agg(F.percentile_approx((F.col("size_bad") - F.col("size_good")) / (F.col("n_bytes") + 1), 0.5)).first()[0]
-    shrunk = (F.col("size_bad") - F.col("size_good") + SHRINK_BYTES * typical) / (F.col("n_bytes") + SHRINK_BYTES)
-    train = measured.select(shrunk.alias("difference"), F.col("label").cast("double").alias("label"), "weight")
-    calibration = IsotonicRegression(featuresCol="difference", labelCol="label", weightCol="weight", predictionCol="score").fit(train)
+    weight = F.when(F.col("label") == 1, shares[1] / counts[1]).otherwise(shares[0] / counts[0])
+    measured = scratch.write(_measured(rest.select("id", "text", "label"), "text", good, bad).select(F.col("label").cast("double").alias("label"), weight.alias("weight"), *MEASURES))
+    saved = F.col("_q_size_bad") - F.col("_q_size_good")
+    typical = measured.filter("label = 1").agg(F.percentile_approx(saved / (F.col("_q_n_bytes") + 1), 0.5)).first()[0]
+    train = measured.select(((saved + SHRINK_BYTES * typical) / (F.col("_q_n_bytes") + SHRINK_BYTES)).alias("_q_difference"), "label", "weight")
+    calibration = IsotonicRegression(featuresCol="_q_difference", labelCol="label", weightCol="weight", predictionCol="_q_score").fit(train)
     return QualityModel(good, bad, typical, calibration, prior)
 
 
@@ -111,17 +115,15 @@ THRESHOLD = 0.3
 def keep_good(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """The rows of docs that the classifier does not reject, with docs' columns."""
     model = fit_quality(docs, labels, id_col=id_col, text_col=text_col)
-    columns = [F.col(f"`{c}`") for c in docs.columns]
-    whole = docs.select(F.struct(*columns).alias("id"), F.col(text_col).alias("text"))
-    return model.score(whole, "id", "text").filter(F.col("score") >= threshold).select("id.*")
+    return model.score(docs, text_col).filter(F.col("_q_score") >= threshold).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    scored = fit_quality(docs, table(spark, sf_dir, "labels")).score(docs)
+    scored = fit_quality(docs, table(spark, sf_dir, "labels")).score(docs.select("doc_id", "text"))
     return scored.select(
-        F.col("id").alias("doc_id"), F.coalesce(held_out("id"), F.lit(False)).alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"),
-        "difference", "n_bytes", "size_good", "size_bad",
+        "doc_id", F.coalesce(held_out("doc_id"), F.lit(False)).alias("held_out"), F.col("_q_score").alias("score"), (F.col("_q_score") >= THRESHOLD).cast("int").alias("predicted"),
+        F.col("_q_difference").alias("difference"), *[F.col(m).alias(m[3:]) for m in MEASURES],
     )
 
 

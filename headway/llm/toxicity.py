@@ -36,6 +36,14 @@ SECOND_PERSON = frozenset(
     "you your yours yourself u ur you're du dich dir dein deine deinen deiner euch ihr sie ihnen tu te toi ton ta tes vous votre vos tú ti tuyo tuya usted ustedes vosotros os"
     .split()
 )
+#: Insults that are in every lexicon, whatever the labels show, with SEED_ODDS.
+SEED_TERMS = frozenset(
+    "idiot idiots moron morons imbecile stupid dumb dumbass loser losers scum trash garbage filth worthless pathetic disgusting clown freak pig vermin bastard bitch asshole retard"
+    " idioten dumm dummkopf trottel arschloch abschaum wertlos widerlich versager schwein hurensohn"
+    " imbécile connard connasse salaud débile ordure minable pathétique crétin abruti"
+    " imbécil estúpido estúpida escoria basura patético patética gilipollas cabrón asqueroso inútil".split()
+)
+SEED_ODDS = 3.0
 FEATURES = (
     "n_words", "hits", "hit_density", "odds_density", "most_odds", "distinct_density", "disguised_density",
     "second_person", "near_second_person", "capitals", "exclamations", "punctuation", "obfuscation",
@@ -116,7 +124,8 @@ def fit_lexicon(sample: DataFrame) -> dict[str, float]:
     counted = sample.select("text", F.col("label").cast("int").alias("label")).mapInArrow(run, "term string, label int").groupBy("term").agg(F.sum("label").alias("t"), F.sum(1 - F.col("label")).alias("c"))
     odds = F.log((F.col("t") + 0.5) / (n.get(1, 0) + 1.0)) - F.log((F.col("c") + 0.5) / (n.get(0, 0) + 1.0))
     best = counted.filter(F.col("t") >= LEXICON_DOCS).select("term", "t", odds.alias("odds")).filter(F.col("odds") >= LEXICON_ODDS)
-    return {r["term"]: r["odds"] for r in best.orderBy(F.desc(F.col("odds") * F.sqrt("t")), "term").limit(LEXICON_TERMS).collect()}
+    learned = {r["term"]: r["odds"] for r in best.orderBy(F.desc(F.col("odds") * F.sqrt("t")), "term").limit(LEXICON_TERMS).collect()}
+    return dict.fromkeys(SEED_TERMS, SEED_ODDS) | learned
 
 
 @dataclass(frozen=True)
