@@ -64,7 +64,7 @@ def merge_walks(legs: DataFrame) -> DataFrame:
 def named_legs(legs: DataFrame, feed: Feed) -> DataFrame:
     """legs with from_name, to_name, route, headsign, color, text_color, mode, and the clock times and minutes that a page shows."""
     stops = feed.stops.select("stop_id", "name")
-    trips = feed.trips.join(feed.routes, "route_id", "left").select("trip_id", "headsign", route_label(F.col("short_name"), F.col("long_name"), F.col("route_id")).alias("route"), "color", "text_color", route_mode(F.col("route_type")).alias("mode"))
+    trips = feed.trips.join(feed.routes, "route_id", "left").select("trip_id", "headsign", route_label(F.col("short_name"), F.col("long_name"), F.col("route_id").cast("string")).alias("route"), "color", "text_color", route_mode(F.col("route_type")).alias("mode"))
     out = legs.join(stops.select(F.col("stop_id").alias("from_stop"), F.col("name").alias("from_name")), "from_stop", "left").join(stops.select(F.col("stop_id").alias("to_stop"), F.col("name").alias("to_name")), "to_stop", "left").join(trips, "trip_id", "left")
     blank = {"route": "", "headsign": "", "color": "", "text_color": ""}
     out = out.withColumns({"from_name": F.coalesce("from_name", "from_stop"), "to_name": F.coalesce("to_name", "to_stop"), "mode": F.when(F.col("kind") == "walk", "walk").otherwise(F.coalesce("mode", F.lit("bus")))} | {c: F.coalesce(c, F.lit(v)) for c, v in blank.items()})

@@ -44,7 +44,8 @@ def plan(timetable: Timetable, queries: DataFrame, endpoints: DataFrame, max_rou
     that rides reach, one at a time.
     """
     scratch = Scratch(queries.sparkSession, "router")
-    ends = endpoints.filter("stop_id is not null and stop_id <> ''").groupBy("query_id", "side", "stop_id").agg(F.greatest(F.min("walk"), F.lit(0)).alias("walk"))
+    named = F.col("stop_id").isNotNull() & (F.col("stop_id").cast("string") != "")
+    ends = endpoints.filter(named).groupBy("query_id", "side", "stop_id").agg(F.greatest(F.min("walk"), F.lit(0)).alias("walk"))
     shared = ends.groupBy("query_id", "stop_id").agg(F.countDistinct("side").alias("sides")).filter("sides = 2").select("query_id").distinct()
     ends = scratch.write(ends.join(shared, "query_id", "left_anti"))
     targets = ends.filter("side = 'target'").select("query_id", "stop_id", F.col("walk").alias("egress"))
