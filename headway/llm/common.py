@@ -1,60 +1,16 @@
-"""Written tables in the cluster's shared folder, and small helpers that several operators use."""
+"""Small helpers that several operators use."""
 
 from __future__ import annotations
 
-import atexit
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: White space that separates words everywhere in this subpackage.
-SPACE = r"[\x20\x09-\x0D]+"
-
-
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that spark.checkpoint.dir names; where it is unset (local tests), a temporary one, which is then set."""
-    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not folder:
-        folder = f"file://{tempfile.mkdtemp(prefix='headway-')}"
-        spark.sparkContext.setCheckpointDir(folder)
-    return folder.rstrip("/")
-
-
-def _path(spark: SparkSession, folder: str):
-    return spark._jvm.org.apache.hadoop.fs.Path(folder)
+from ..storage import Scratch, shared_folder
 
+__all__ = ["SPACE", "Scratch", "held_out", "shared_folder", "small_batches", "table", "text_or_empty"]
 
-class Scratch:
-    """Tables that one operator call writes and reads again, which cuts their lineage.
-
-    They are Parquet in the shared folder, so that any executor can be lost;
-    they go when the program ends, or at ``drop``.
-    """
-
-    def __init__(self, spark: SparkSession, name: str):
-        self.spark, self.root, self.n = spark, f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}", 0
-        atexit.register(self._delete, self.root)
-
-    def write(self, df: DataFrame, *partition_by: str) -> DataFrame:
-        """Write df and return it as read again.  Column types, nullability apart, are the same."""
-        self.n += 1
-        folder = f"{self.root}/{self.n}"
-        df.write.option("compression", "zstd").partitionBy(*partition_by).parquet(folder)
-        out = self.spark.read.schema(df.schema).parquet(folder)
-        out.scratch_folder = folder
-        return out
-
-    def drop(self, df: DataFrame) -> None:
-        self._delete(df.scratch_folder)
-
-    def _delete(self, folder: str) -> None:
-        try:
-            path = _path(self.spark, folder)
-            path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
-        except Exception:  # noqa: BLE001  at exit the JVM may be gone, and with it the need
-            pass
+#: White space that separates words everywhere in this subpackage.
+SPACE = r"[\x20\x09-\x0D]+"
 
 
 def text_or_empty(text: str) -> Column:
