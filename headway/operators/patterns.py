@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass, fields, replace
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..storage import Scratch
@@ -18,7 +18,8 @@ class Timetable:
     """patterns(pattern_id, route_id, stops, n_trips)
     pattern_trips(pattern_id, trip_rank, trip_id)
     pattern_events(pattern_id, trip_rank, pos, stop_id, arr, dep)
-    pattern_stops(stop_id, pattern_id, pos)
+    trip_calls(pattern_id, trip_rank, trip_id, stops, arrs, deps): a trip in one row
+    pattern_stops(stop_id, pattern_id, pos, first_bucket)
     departures(pattern_id, pos, bucket, calls, later): as earliest_trips needs them
     footpaths(from_stop, to_stop, seconds)
 
@@ -28,6 +29,7 @@ class Timetable:
     patterns: DataFrame
     pattern_trips: DataFrame
     pattern_events: DataFrame
+    trip_calls: DataFrame
     pattern_stops: DataFrame
     departures: DataFrame
     footpaths: DataFrame
@@ -55,10 +57,14 @@ def build_timetable(trips: DataFrame, stop_times: DataFrame, footpaths: DataFram
     each = trip_patterns(trips, stop_times)
     patterns = each.groupBy("pattern_id", "route_id", "stops").agg(F.count(F.lit(1)).alias("n_trips"))
     order = Window.partitionBy("pattern_id").orderBy("first_dep", "trip_ord")
-    ranked = each.select("pattern_id", (F.row_number().over(order) - 1).alias("trip_rank"), "trip_id")
-    events = ranked.join(stop_times, "trip_id").select("pattern_id", "trip_rank", "pos", "stop_id", "arr", "dep")
-    index = patterns.select("pattern_id", F.posexplode("stops").alias("pos", "stop_id")).select("stop_id", "pattern_id", "pos")
-    return Timetable(patterns, ranked, events, index, departure_index(events, bucket), footpaths)
+    numbered = each.select("pattern_id", (F.row_number().over(order) - 1).alias("trip_rank"), "trip_id", "stops")
+    calls = stop_times.groupBy("trip_id").agg(F.array_sort(F.collect_list(F.struct("pos", "arr", "dep"))).alias("calls"))
+    trip_calls = numbered.join(calls, "trip_id").select("pattern_id", "trip_rank", "trip_id", "stops", F.col("calls.arr").alias("arrs"), F.col("calls.dep").alias("deps"))
+    events = trip_calls.select("pattern_id", "trip_rank", F.posexplode(F.arrays_zip("stops", "arrs", "deps")).alias("pos", "c")).select("pattern_id", "trip_rank", "pos", F.col("c.stops").alias("stop_id"), F.col("c.arrs").alias("arr"), F.col("c.deps").alias("dep"))
+    departures = departure_index(events, bucket)
+    first = departures.groupBy("pattern_id", "pos").agg(F.min("bucket").alias("first_bucket"))
+    index = patterns.select("pattern_id", F.posexplode("stops").alias("pos", "stop_id")).join(first, ["pattern_id", "pos"]).select("stop_id", "pattern_id", "pos", "first_bucket")
+    return Timetable(patterns, numbered.drop("stops"), events, trip_calls, index, departures, footpaths)
 
 
 def departure_index(events: DataFrame, bucket: int = BUCKET) -> DataFrame:
@@ -74,13 +80,17 @@ def departure_index(events: DataFrame, bucket: int = BUCKET) -> DataFrame:
     return full.select("pattern_id", "pos", "bucket", "calls", F.min(F.array_min(F.transform("calls", lambda c: c["trip_rank"]))).over(after).alias("later"))
 
 
+def trip_in_span(ready: Column) -> Column:
+    """The lowest rank among ``calls`` that departs at ``ready`` or later, or of any later span; null if none does."""
+    return F.least(F.array_min(F.transform(F.filter("calls", lambda c: c["dep"] >= ready), lambda c: c["trip_rank"])), F.col("later"))
+
+
 def earliest_trips(wanted: DataFrame, departures: DataFrame, bucket: int = BUCKET) -> DataFrame:
     """wanted (pattern_id, pos, ready, ...) with ``trip_rank``, the lowest rank that departs from there at ``ready`` or later; rows without one go."""
     ends = departures.groupBy("pattern_id", "pos").agg(F.min("bucket").alias("_first"))
     keyed = wanted.join(ends, ["pattern_id", "pos"]).withColumn("bucket", F.greatest(F.floor(F.col("ready") / bucket).cast("int"), "_first"))
-    met = keyed.join(departures, ["pattern_id", "pos", "bucket"])
-    inside = F.array_min(F.transform(F.filter("calls", lambda c: c["dep"] >= F.col("ready")), lambda c: c["trip_rank"]))
-    return met.withColumn("trip_rank", F.least(inside, F.col("later"))).filter("trip_rank is not null").drop("_first", "bucket", "calls", "later")
+    met = keyed.join(departures, ["pattern_id", "pos", "bucket"]).withColumn("trip_rank", trip_in_span(F.col("ready")))
+    return met.filter("trip_rank is not null").drop("_first", "bucket", "calls", "later")
 
 
 def overtaking(events: DataFrame) -> DataFrame:

@@ -4,6 +4,9 @@ Round k finds the earliest arrival at each stop with k vehicles: the stops
 that round k - 1 improved meet the patterns that serve them, each pattern
 carries the earliest trip caught so far along its positions, and footpaths
 spread what the trips reach.  All queries go through a round in one job.
+
+Everything is partitioned by query, so a round groups without a shuffle and
+joins only the timetable, whose tables do not grow with the queries.
 """
 
 from __future__ import annotations
@@ -11,29 +14,38 @@ from __future__ import annotations
 from dataclasses import dataclass
 from functools import reduce
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..storage import Scratch
-from .patterns import BUCKET, Timetable, earliest_trips
+from ..storage import shared_folder
+from .patterns import BUCKET, Timetable, trip_in_span
 
 MAX_ROUNDS = 5
-#: Columns of a label: how a query reaches a stop with ``round`` vehicles.
-LABEL = ("query_id", "round", "stop_id", "kind", "arrival", "from_stop", "depart", "pattern_id", "trip_rank", "board_pos", "alight_pos")
-#: Of equal arrivals the one that sorts first is kept.
-_CHOICE = ("arrival", "pattern_id", "trip_rank", "board_pos", "alight_pos", "from_stop", "depart")
+_NEVER = 2**31 - 1
 
 
 @dataclass(frozen=True)
 class Plan:
-    """labels: LABEL columns, rides, walks and seeds of all rounds.
-    options: (query_id, round, stop_id, arrival, egress), the best target of each round that improved one.
+    """labels: (query_id, round, stop_id, arrival), what each round improved.
+    options: (query_id, round, stop_id, arrival, egress, path), the best target of each round that improved one.
+    path holds the legs.
     """
 
     labels: DataFrame
     options: DataFrame
 
 
+def _path_type(stop: str) -> str:
+    return f"array<struct<kind:string,from_stop:{stop},to_stop:{stop},depart:int,arrive:int,pattern_id:bigint,trip_rank:int,board_pos:int,alight_pos:int>>"
+
+
+def _walk_leg(from_stop: Column, to_stop: Column, depart: Column, arrive: Column) -> Column:
+    return F.struct(
+        F.lit("walk").alias("kind"), from_stop.alias("from_stop"), to_stop.alias("to_stop"), depart.alias("depart"), arrive.alias("arrive"),
+        F.lit(None).cast("bigint").alias("pattern_id"), F.lit(None).cast("int").alias("trip_rank"), F.lit(None).cast("int").alias("board_pos"), F.lit(None).cast("int").alias("alight_pos"),
+    )
+
+
 def plan(timetable: Timetable, queries: DataFrame, endpoints: DataFrame, max_rounds: int = MAX_ROUNDS, initial_walk: bool = True, bucket: int = BUCKET) -> Plan:
     """Search for queries (query_id, depart) between endpoints (query_id, side, stop_id, walk).
 
@@ -43,99 +55,108 @@ def plan(timetable: Timetable, queries: DataFrame, endpoints: DataFrame, max_rou
     still bounds what rides can improve.  Footpaths are taken from the stops
     that rides reach, one at a time.
     """
-    scratch = Scratch(queries.sparkSession, "router")
-    named = F.col("stop_id").isNotNull() & (F.col("stop_id").cast("string") != "")
-    ends = endpoints.filter(named).groupBy("query_id", "side", "stop_id").agg(F.greatest(F.min("walk"), F.lit(0)).alias("walk"))
-    shared = ends.groupBy("query_id", "stop_id").agg(F.countDistinct("side").alias("sides")).filter("sides = 2").select("query_id").distinct()
-    ends = scratch.write(ends.join(shared, "query_id", "left_anti"))
-    targets = ends.filter("side = 'target'").select("query_id", "stop_id", F.col("walk").alias("egress"))
-    origins = ends.filter("side = 'origin'").join(targets.select("query_id").distinct(), "query_id", "left_semi").join(queries.select("query_id", F.col("depart").alias("asked")), "query_id")
-    none = lambda kind: F.lit(None).cast(kind)
-
-    def label(df: DataFrame, **given) -> DataFrame:
-        blank = {"kind": none("string"), "from_stop": none("string").cast(dict(df.dtypes)["stop_id"]), "depart": none("int"), "pattern_id": none("long"), "trip_rank": none("int"), "board_pos": none("int"), "alight_pos": none("int")}
-        return df.select(*[(given[c] if c in given else F.col(c) if c in df.columns else blank[c]).alias(c) for c in LABEL])
-
-    seeds = label(origins.withColumn("arrival", (F.col("asked") + F.col("walk")).cast("int")), kind=F.lit("seed"), round=F.lit(0))
-    first = seeds
+    path = _path_type(dict(endpoints.dtypes)["stop_id"])
+    ends = _usable_ends(queries, endpoints)
+    seeds = ends.filter("origin is not null").select("query_id", "stop_id", F.expr(f"named_struct('arrival', asked + origin, 'path', cast(array() as {path}))").alias("label"))
     if initial_walk:
-        walked = _walks(seeds, timetable.footpaths)
-        first = seeds.unionByName(label(_improving(walked, seeds.select("query_id", "stop_id", F.col("arrival").alias("best"))), kind=F.lit("walk")))
-    rounds, options = [scratch.write(first)], []
-    best = scratch.write(_reached(rounds[0]))
-
-    for k in range(1, max_rounds + 1):
-        frontier = _reached(rounds[-1]).withColumnRenamed("best", "ready")
-        bound = best.join(targets, ["query_id", "stop_id"]).groupBy("query_id").agg(F.min(F.col("best") + F.col("egress")).alias("bound"))
-        rides = _rides(frontier, timetable, bucket)
-        rides = rides.join(bound, "query_id", "left").join(best, ["query_id", "stop_id"], "left").filter(F.col("arrival") < F.least(F.coalesce("best", F.lit(2**31 - 1)), F.coalesce("bound", F.lit(2**31 - 1))))
-        rides = label(_first(rides), kind=F.lit("ride"), round=F.lit(k))
-        walks = label(_improving(_walks(rides, timetable.footpaths), _lower(best, _reached(rides))), kind=F.lit("walk"), round=F.lit(k))
-        now = scratch.write(rides.unionByName(walks))
-        if now.isEmpty():
+        on = seeds.join(timetable.footpaths, seeds.stop_id == F.col("from_stop"))
+        at = F.col("label.arrival")
+        leg = F.array(_walk_leg(F.col("from_stop"), F.col("to_stop"), at, at + F.col("seconds"))).cast(path)
+        seeds = seeds.unionByName(on.select("query_id", F.col("to_stop").alias("stop_id"), F.struct((at + F.col("seconds")).alias("arrival"), leg.alias("path")).alias("label")))
+    # One row for each stop of a query that is reached or a target: its best arrival so far, and what this round improved.
+    goals = ends.filter("egress is not null").select("query_id", "stop_id", F.lit(None).cast(f"struct<arrival:int,path:{path}>").alias("label"), "egress")
+    state = seeds.withColumn("egress", F.lit(None).cast("int")).unionByName(goals).groupBy("query_id", "stop_id").agg(F.min("label").alias("label"), F.max("egress").alias("egress"))
+    state = _kept(state.select("query_id", "stop_id", F.col("label.arrival").alias("best"), "label", "egress"))
+    states = [state]
+    for _ in range(max_rounds):
+        state = _kept(_round(state, timetable, path, bucket))
+        if not state.agg(F.count("label")).first()[0]:
             break
-        rounds.append(now)
-        reached = _reached(now)
-        arrived = reached.join(targets, ["query_id", "stop_id"])
-        options.append(arrived.groupBy("query_id").agg(F.min(F.struct((F.col("best") + F.col("egress")).alias("door"), "stop_id", F.col("best").alias("arrival"), "egress")).alias("b")).select("query_id", F.lit(k).alias("round"), "b.stop_id", "b.arrival", "b.egress"))
-        best = scratch.write(_lower(best, reached))
-    labels = reduce(DataFrame.unionByName, rounds)
-    if not options:
-        options = [targets.filter("false").select("query_id", F.lit(0).alias("round"), "stop_id", none("int").alias("arrival"), "egress")]
-    return Plan(labels, scratch.write(reduce(DataFrame.unionByName, options)))
-
-
-def _reached(labels: DataFrame) -> DataFrame:
-    return labels.groupBy("query_id", "stop_id").agg(F.min("arrival").alias("best"))
-
-
-def _lower(a: DataFrame, b: DataFrame) -> DataFrame:
-    return a.unionByName(b).groupBy("query_id", "stop_id").agg(F.min("best").alias("best"))
-
+        states.append(state)
+    labels = reduce(DataFrame.unionByName, [s.filter("label is not null").select("query_id", F.lit(k).alias("round"), "stop_id", "label.arrival") for k, s in enumerate(states)])
+    options = [
+        s.filter("label is not null and egress is not null").groupBy("query_id").agg(F.min(F.struct((F.col("label.arrival") + F.col("egress")).alias("door"), "stop_id", "egress", "label")).alias("b"))
+        .select("query_id", F.lit(k).alias("round"), "b.stop_id", "b.label.arrival", "b.egress", "b.label.path")
+        for k, s in enumerate(states)
+    ]
+    return Plan(labels, reduce(DataFrame.unionByName, options).filter("round > 0"))
 
-def _first(labels: DataFrame) -> DataFrame:
-    """Of each query's labels of a stop the one that sorts first."""
-    keys = [c for c in _CHOICE if c in labels.columns]
-    return labels.groupBy("query_id", "stop_id").agg(F.min(F.struct(*keys)).alias("l")).select("query_id", "stop_id", "l.*")
 
+def _kept(state: DataFrame) -> DataFrame:
+    """A round's state, written to the checkpoint folder, which cuts its lineage; it stays partitioned by query."""
+    shared_folder(state.sparkSession)
+    return state.checkpoint()
 
-def _improving(labels: DataFrame, best: DataFrame) -> DataFrame:
-    better = labels.join(best, ["query_id", "stop_id"], "left").filter(F.col("best").isNull() | (F.col("arrival") < F.col("best"))).drop("best")
-    chosen = better.groupBy("query_id", "stop_id").agg(F.min(F.struct("arrival", "from_stop", "depart", "round")).alias("l"))
-    return chosen.select("query_id", "stop_id", "l.*")
 
-
-def _walks(labels: DataFrame, footpaths: DataFrame) -> DataFrame:
-    """(query_id, round, stop_id, arrival, from_stop, depart): one footpath on from each label."""
-    met = labels.select("query_id", "round", F.col("stop_id").alias("from_stop"), F.col("arrival").alias("depart")).join(footpaths, "from_stop")
-    return met.select("query_id", "round", F.col("to_stop").alias("stop_id"), (F.col("depart") + F.col("seconds")).alias("arrival"), "from_stop", "depart")
-
-
-def boardings(frontier: DataFrame, timetable: Timetable, bucket: int = BUCKET) -> DataFrame:
-    """(query_id, pattern_id, pos, ready, trip_rank): the earliest trip that each stop reached at ``ready`` lets a query board."""
-    met = frontier.join(timetable.pattern_stops, "stop_id").select("query_id", "pattern_id", "pos", "ready")
-    return earliest_trips(met, timetable.departures, bucket)
+def _usable_ends(queries: DataFrame, endpoints: DataFrame) -> DataFrame:
+    """(query_id, stop_id, asked, origin, egress) by query: seconds to walk to an origin, or from a target; none of queries that can't be answered."""
+    named = F.col("stop_id").isNotNull() & (F.col("stop_id").cast("string") != "")
+    walk = F.greatest("walk", F.lit(0)).cast("int")
+    sides = endpoints.filter(named).select("query_id", "stop_id", F.when(F.col("side") == "origin", walk).alias("origin"), F.when(F.col("side") == "target", walk).alias("egress"))
+    asked = queries.select("query_id", F.col("depart").cast("int").alias("asked"))
+    each = sides.join(asked, "query_id").repartition("query_id").groupBy("query_id", "stop_id").agg(F.first("asked").alias("asked"), F.min("origin").alias("origin"), F.min("egress").alias("egress"))
+    whole = Window.partitionBy("query_id")
+    checked = each.withColumns({"_a": F.count("origin").over(whole), "_b": F.count("egress").over(whole), "_both": F.count_if(F.col("origin").isNotNull() & F.col("egress").isNotNull()).over(whole)})
+    return checked.filter("_a > 0 and _b > 0 and _both = 0").drop("_a", "_b", "_both")
+
+
+def _round(state: DataFrame, timetable: Timetable, path: str, bucket: int) -> DataFrame:
+    """The next state: best includes what the round before improved; label is what this one does."""
+    bound = state.groupBy("query_id").agg(F.min(F.coalesce("best", F.lit(_NEVER)) + F.col("egress").cast("bigint")).alias("bound"))
+    frontier = state.filter("label is not null").select("query_id", "stop_id", F.col("label.arrival").alias("ready"), F.col("label.path").alias("path"))
+    rides = _rides(boardings(frontier, timetable, bucket, "path"), timetable, path)
+    blank = lambda df, **given: df.select("query_id", "stop_id", *[given.get(c, F.lit(None).cast(t)).alias(c) for c, t in {"best": "int", "egress": "int", "ride": ride_type, "walk": walk_type}.items()])
+    ride_type = dict(rides.dtypes)["ride"]
+    walk_type = f"struct<arrival:int,from_stop:{dict(state.dtypes)['stop_id']},depart:int,path:{path}>"
+    known = blank(state, best=F.col("best"), egress=F.col("egress"))
+    both = known.unionByName(blank(rides, ride=F.col("ride"))).groupBy("query_id", "stop_id").agg(F.min("best").alias("best"), F.max("egress").alias("egress"), F.min("ride").alias("ride"))
+    limit = F.least(F.coalesce("best", F.lit(_NEVER)), F.coalesce("bound", F.lit(_NEVER)))
+    both = both.join(bound, "query_id", "left").withColumn("ride", F.when(F.col("ride.arrival") < limit, F.col("ride"))).drop("bound")
+    both = _kept(both)
+    on = both.filter("ride is not null").join(timetable.footpaths, F.col("stop_id") == F.col("from_stop"))
+    at = F.col("ride.arrival")
+    leg = F.array(_walk_leg(F.col("from_stop"), F.col("to_stop"), at, at + F.col("seconds"))).cast(path)
+    walks = on.select("query_id", F.col("to_stop").alias("stop_id"), F.struct((at + F.col("seconds")).alias("arrival"), "from_stop", at.alias("depart"), F.concat("ride.path", leg).alias("path")).cast(walk_type).alias("walk"))
+    done = blank(both, best=F.col("best"), egress=F.col("egress"), ride=F.col("ride")).unionByName(blank(walks, walk=F.col("walk")))
+    done = done.groupBy("query_id", "stop_id").agg(F.min("best").alias("best"), F.max("egress").alias("egress"), F.min("ride").alias("ride"), F.min("walk").alias("walk"))
+    before = F.least(F.coalesce("best", F.lit(_NEVER)), F.coalesce("ride.arrival", F.lit(_NEVER)))
+    short = lambda c: F.struct(F.col(f"{c}.arrival").alias("arrival"), F.col(f"{c}.path").alias("path"))
+    label = F.when(F.col("walk.arrival") < before, short("walk")).when(F.col("ride").isNotNull(), short("ride"))
+    return done.withColumn("label", label).select("query_id", "stop_id", F.least("best", "label.arrival").alias("best"), "label", "egress")
+
+
+def boardings(frontier: DataFrame, timetable: Timetable, bucket: int = BUCKET, *carry: str) -> DataFrame:
+    """(query_id, pattern_id, pos, ready, trip_rank, carry...): the earliest trip that each stop reached at ``ready`` lets a query board."""
+    met = frontier.join(timetable.pattern_stops, "stop_id")
+    met = met.withColumn("bucket", F.greatest(F.floor(F.col("ready") / bucket).cast("int"), "first_bucket")).join(timetable.departures, ["pattern_id", "pos", "bucket"])
+    return met.withColumn("trip_rank", trip_in_span(F.col("ready"))).filter("trip_rank is not null").select("query_id", "pattern_id", "pos", "ready", "trip_rank", *carry)
+
+
+def _along(boarded: DataFrame, timetable: Timetable, *carry: str) -> DataFrame:
+    """(query_id, pattern_id, pos, caught): struct(trip_rank, board_pos, carry...) that a query holds when its pattern comes to pos.
+
+    The trip is the earliest caught at any position before, boarded where that
+    was first possible.
+    """
+    boards = boarded.groupBy("query_id", "pattern_id").agg(F.collect_list(F.struct("trip_rank", F.col("pos").alias("board_pos"), *carry)).alias("boards"))
+    first = F.array_min(F.transform("boards", lambda b: b["board_pos"]))
+    along = boards.join(timetable.patterns.select("pattern_id", F.size("stops").alias("n_stops")), "pattern_id").filter(first + 1 < F.col("n_stops"))
+    along = along.select("query_id", "pattern_id", "boards", F.explode(F.sequence(first + 1, F.col("n_stops") - 1)).alias("pos"))
+    return along.select("query_id", "pattern_id", "pos", F.array_min(F.filter("boards", lambda b: b["board_pos"] < F.col("pos"))).alias("caught"))
 
 
 def route_scan(boarded: DataFrame, timetable: Timetable) -> DataFrame:
-    """(query_id, pattern_id, pos, trip_rank, board_pos): the trip that a query sits in when its pattern comes to pos.
-
-    It is the earliest trip caught at any position before, boarded where that
-    was first possible.
-    """
-    starts = boarded.groupBy("query_id", "pattern_id").agg(F.min("pos").alias("first_pos"))
-    stops = timetable.pattern_stops.select("pattern_id", "pos")
-    along = starts.join(stops, "pattern_id").filter("pos >= first_pos")
-    marked = along.join(boarded.select("query_id", "pattern_id", "pos", "trip_rank"), ["query_id", "pattern_id", "pos"], "left")
-    before = Window.partitionBy("query_id", "pattern_id").orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)
-    caught = F.min(F.when(F.col("trip_rank").isNotNull(), F.struct("trip_rank", "pos"))).over(before)
-    return marked.select("query_id", "pattern_id", "pos", caught.alias("c")).filter("c is not null").select("query_id", "pattern_id", "pos", "c.trip_rank", F.col("c.pos").alias("board_pos"))
+    """(query_id, pattern_id, pos, trip_rank, board_pos) of boardings, for each position that a boarded trip comes to."""
+    return _along(boarded, timetable).select("query_id", "pattern_id", "pos", "caught.trip_rank", "caught.board_pos")
 
 
-def _rides(frontier: DataFrame, timetable: Timetable, bucket: int) -> DataFrame:
-    scanned = route_scan(boardings(frontier, timetable, bucket), timetable)
-    reached = scanned.join(timetable.pattern_events.select("pattern_id", "trip_rank", "pos", "stop_id", F.col("arr").alias("arrival")), ["pattern_id", "trip_rank", "pos"])
-    return reached.withColumnRenamed("pos", "alight_pos")
+def _rides(boarded: DataFrame, timetable: Timetable, path: str) -> DataFrame:
+    """(query_id, stop_id, ride): each ride's arrival and path, in the order in which equal arrivals are chosen."""
+    held = _along(boarded, timetable, "path").select("query_id", "pattern_id", F.col("pos").alias("alight_pos"), "caught.trip_rank", "caught.board_pos", "caught.path")
+    met = held.join(timetable.trip_calls.drop("trip_id"), ["pattern_id", "trip_rank"])
+    stop, arrival = F.get("stops", "alight_pos"), F.get("arrs", "alight_pos")
+    leg = F.struct(F.lit("ride").alias("kind"), F.get("stops", "board_pos").alias("from_stop"), stop.alias("to_stop"), F.get("deps", "board_pos").alias("depart"), arrival.alias("arrive"), "pattern_id", "trip_rank", "board_pos", "alight_pos")
+    return met.select("query_id", stop.alias("stop_id"), F.struct(arrival.alias("arrival"), "pattern_id", "trip_rank", "board_pos", "alight_pos", F.concat("path", F.array(leg).cast(path)).alias("path")).alias("ride"))
 
 
 def pareto(options: DataFrame) -> DataFrame:
@@ -149,37 +170,10 @@ def pareto(options: DataFrame) -> DataFrame:
 def journey_legs(found: Plan, timetable: Timetable) -> DataFrame:
     """(query_id, journey, leg_no, kind, from_stop, to_stop, depart, arrive, pattern_id, trip_id, board_pos, alight_pos, stops, n_hops).
 
-    One row for each leg of each Pareto-optimal journey; ``journey`` is its
-    rank.  Labels are followed back from the targets, at most two legs a
-    round; a ride leads to the round before, a walk to the ride it began at.
+    One row for each leg of each Pareto-optimal journey; ``journey`` is its rank.
     """
-    scratch = Scratch(timetable.patterns.sparkSession, "legs")
-    options = pareto(found.options)
-    kept = found.labels.withColumn("is_ride", F.col("kind") == "ride")
-    at = scratch.write(options.select("query_id", F.col("rank").alias("journey"), "round", "stop_id", F.lit(False).alias("ride_only"), F.lit(0).alias("back")))
-    deepest = options.agg(F.max("round")).first()[0] or 0
-    parts = []
-    for back in range(2 * deepest + 1):
-        # A stop that a round both rides and walks to is left by the earlier of the two; a walk began at the ride's label.
-        met = at.join(kept, ["query_id", "round", "stop_id"]).filter(~F.col("ride_only") | F.col("is_ride"))
-        chosen = met.groupBy("query_id", "journey").agg(F.min(F.struct("arrival", "kind", "round", "stop_id", "from_stop", "depart", "pattern_id", "trip_rank", "board_pos", "alight_pos")).alias("l")).select("query_id", "journey", "l.*")
-        chosen = scratch.write(chosen.filter("kind <> 'seed'").withColumn("back", F.lit(back)))
-        if chosen.isEmpty():
-            break
-        parts.append(chosen)
-        boards = chosen.filter("kind = 'ride'").join(timetable.patterns.select("pattern_id", "stops"), "pattern_id").select("query_id", "journey", (F.col("round") - 1).alias("round"), F.get("stops", "board_pos").alias("stop_id"), F.lit(False).alias("ride_only"))
-        walks = chosen.filter("kind = 'walk' and round > 0").select("query_id", "journey", "round", F.col("from_stop").alias("stop_id"), F.lit(True).alias("ride_only"))
-        at = boards.unionByName(walks)
-    if not parts:
-        parts = [at.join(kept, ["query_id", "round", "stop_id"]).filter("false").select("query_id", "journey", "arrival", "kind", "round", "stop_id", "from_stop", "depart", "pattern_id", "trip_rank", "board_pos", "alight_pos", F.lit(0).alias("back"))]
-    chain = reduce(DataFrame.unionByName, parts)
-    trips = timetable.pattern_trips.join(timetable.patterns.select("pattern_id", "stops"), "pattern_id")
-    events = timetable.pattern_events.select("pattern_id", "trip_rank", F.col("pos").alias("board_pos"), F.col("dep").alias("ride_dep"))
-    legs = chain.join(trips, ["pattern_id", "trip_rank"], "left").join(events, ["pattern_id", "trip_rank", "board_pos"], "left")
-    number = F.row_number().over(Window.partitionBy("query_id", "journey").orderBy(F.desc("back"))) - 1
-    ride = F.col("kind") == "ride"
-    return legs.select(
-        "query_id", "journey", number.alias("leg_no"), "kind", F.when(ride, F.get("stops", "board_pos")).otherwise(F.col("from_stop")).alias("from_stop"), F.col("stop_id").alias("to_stop"),
-        F.when(ride, F.col("ride_dep")).otherwise(F.col("depart")).alias("depart"), F.col("arrival").alias("arrive"), "pattern_id", "trip_id", "board_pos", "alight_pos",
-        F.when(ride, F.slice("stops", F.col("board_pos") + 1, F.col("alight_pos") - F.col("board_pos") + 1)).alias("stops"), F.when(ride, F.col("alight_pos") - F.col("board_pos")).otherwise(0).alias("n_hops"),
-    )
+    legs = pareto(found.options).select("query_id", F.col("rank").alias("journey"), F.posexplode("path").alias("leg_no", "l")).select("query_id", "journey", "leg_no", "l.*")
+    trips = timetable.trip_calls.select("pattern_id", "trip_rank", "trip_id", "stops")
+    hops = F.col("alight_pos") - F.col("board_pos")
+    out = legs.join(trips, ["pattern_id", "trip_rank"], "left")
+    return out.select("query_id", "journey", "leg_no", "kind", "from_stop", "to_stop", "depart", "arrive", "pattern_id", "trip_id", "board_pos", "alight_pos", F.slice("stops", F.col("board_pos") + 1, hops + 1).alias("stops"), F.coalesce(hops, F.lit(0)).alias("n_hops"))

@@ -74,7 +74,7 @@ def trip_patterns_network(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"{VIEWS} SELECT pattern_id, pos, stop_id FROM ps")
 def pattern_index(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return timetable(network(spark, sf_dir)).pattern_stops
+    return timetable(network(spark, sf_dir)).pattern_stops.select("pattern_id", "pos", "stop_id")
 
 
 @query(f"{VIEWS} SELECT * FROM ranked")
@@ -265,7 +265,7 @@ def first_route_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _arrivals(batch: Batch) -> DataFrame:
-    return batch.plan.labels.groupBy("query_id", "round", "stop_id").agg(F.min("arrival").alias("arrival"))
+    return batch.plan.labels
 
 
 @query(f"{VIEWS}{queries_sql()}{rounds_sql(1)} SELECT query_id, round, stop_id, min(arrival) AS arrival FROM labels GROUP BY ALL")
