@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass, fields, replace
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -22,6 +22,7 @@ class Timetable:
     pattern_stops(stop_id, pattern_id, pos, first_bucket)
     departures(pattern_id, pos, bucket, calls, later): as earliest_trips needs them
     footpaths(from_stop, to_stop, seconds)
+    neighbours(from_stop, near): the same, a stop in one row
 
     A pattern's id is the smallest trip_ord of its trips.
     """
@@ -33,11 +34,7 @@ class Timetable:
     pattern_stops: DataFrame
     departures: DataFrame
     footpaths: DataFrame
-
-    def snapshot(self) -> Timetable:
-        """The same tables, written once for all queries of the day."""
-        scratch = Scratch(self.patterns.sparkSession, "timetable")
-        return replace(self, **{f.name: scratch.write(getattr(self, f.name)) for f in fields(self)})
+    neighbours: DataFrame
 
 
 def trip_patterns(trips: DataFrame, stop_times: DataFrame) -> DataFrame:
@@ -52,19 +49,24 @@ def trip_patterns(trips: DataFrame, stop_times: DataFrame) -> DataFrame:
 def build_timetable(trips: DataFrame, stop_times: DataFrame, footpaths: DataFrame, bucket: int = BUCKET) -> Timetable:
     """The routing structures of the trips that run.
 
-    Trips are ranked within a pattern by first departure, then trip_ord.
+    Trips are ranked within a pattern by first departure, then trip_ord.  The
+    table of trips, from which the others follow, and the indexes that every
+    round of a search reads are written once.
     """
-    each = trip_patterns(trips, stop_times)
-    patterns = each.groupBy("pattern_id", "route_id", "stops").agg(F.count(F.lit(1)).alias("n_trips"))
-    order = Window.partitionBy("pattern_id").orderBy("first_dep", "trip_ord")
-    numbered = each.select("pattern_id", (F.row_number().over(order) - 1).alias("trip_rank"), "trip_id", "stops")
-    calls = stop_times.groupBy("trip_id").agg(F.array_sort(F.collect_list(F.struct("pos", "arr", "dep"))).alias("calls"))
-    trip_calls = numbered.join(calls, "trip_id").select("pattern_id", "trip_rank", "trip_id", "stops", F.col("calls.arr").alias("arrs"), F.col("calls.dep").alias("deps"))
-    events = trip_calls.select("pattern_id", "trip_rank", F.posexplode(F.arrays_zip("stops", "arrs", "deps")).alias("pos", "c")).select("pattern_id", "trip_rank", "pos", F.col("c.stops").alias("stop_id"), F.col("c.arrs").alias("arr"), F.col("c.deps").alias("dep"))
-    departures = departure_index(events, bucket)
+    scratch = Scratch(trips.sparkSession, "timetable")
+    calls = stop_times.groupBy("trip_id").agg(F.array_sort(F.collect_list(F.struct("pos", "stop_id", "arr", "dep"))).alias("calls"))
+    each = trips.select("trip_id", "trip_ord", "route_id").join(calls, "trip_id").select("*", F.col("calls.stop_id").alias("stops"))
+    each = each.withColumn("pattern_id", F.min("trip_ord").over(Window.partitionBy("route_id", "stops")))
+    order = Window.partitionBy("pattern_id").orderBy(F.get("calls", F.lit(0))["dep"], "trip_ord")
+    whole = scratch.write(each.select("pattern_id", "route_id", (F.row_number().over(order) - 1).alias("trip_rank"), "trip_id", "stops", F.col("calls.arr").alias("arrs"), F.col("calls.dep").alias("deps")))
+    patterns = scratch.write(whole.groupBy("pattern_id").agg(F.first("route_id").alias("route_id"), F.first("stops").alias("stops"), F.count(F.lit(1)).alias("n_trips")))
+    events = whole.select("pattern_id", "trip_rank", F.posexplode(F.arrays_zip("stops", "arrs", "deps")).alias("pos", "c")).select("pattern_id", "trip_rank", "pos", F.col("c.stops").alias("stop_id"), F.col("c.arrs").alias("arr"), F.col("c.deps").alias("dep"))
+    departures = scratch.write(departure_index(events, bucket))
     first = departures.groupBy("pattern_id", "pos").agg(F.min("bucket").alias("first_bucket"))
-    index = patterns.select("pattern_id", F.posexplode("stops").alias("pos", "stop_id")).join(first, ["pattern_id", "pos"]).select("stop_id", "pattern_id", "pos", "first_bucket")
-    return Timetable(patterns, numbered.drop("stops"), events, trip_calls, index, departures, footpaths)
+    index = scratch.write(patterns.select("pattern_id", F.posexplode("stops").alias("pos", "stop_id")).join(first, ["pattern_id", "pos"]).select("stop_id", "pattern_id", "pos", "first_bucket"))
+    footpaths = scratch.write(footpaths)
+    neighbours = scratch.write(footpaths.groupBy("from_stop").agg(F.collect_list(F.struct("to_stop", "seconds")).alias("near")))
+    return Timetable(patterns, whole.select("pattern_id", "trip_rank", "trip_id"), events, whole.drop("route_id"), index, departures, footpaths, neighbours)
 
 
 def departure_index(events: DataFrame, bucket: int = BUCKET) -> DataFrame:

@@ -112,12 +112,19 @@ def _round(state: DataFrame, timetable: Timetable, path: str, bucket: int) -> Da
     both = known.unionByName(blank(rides, ride=F.col("ride"))).groupBy("query_id", "stop_id").agg(F.min("best").alias("best"), F.max("egress").alias("egress"), F.min("ride").alias("ride"))
     limit = F.least(F.coalesce("best", F.lit(_NEVER)), F.coalesce("bound", F.lit(_NEVER)))
     both = both.join(bound, "query_id", "left").withColumn("ride", F.when(F.col("ride.arrival") < limit, F.col("ride"))).drop("bound")
-    both = _kept(both)
-    on = both.filter("ride is not null").join(timetable.footpaths, F.col("stop_id") == F.col("from_stop"))
+    # A row goes on as itself and as one footpath to each neighbour of a stop that a ride reached.
+    near = timetable.neighbours.withColumnRenamed("from_stop", "stop_id")
     at = F.col("ride.arrival")
-    leg = F.array(_walk_leg(F.col("from_stop"), F.col("to_stop"), at, at + F.col("seconds"))).cast(path)
-    walks = on.select("query_id", F.col("to_stop").alias("stop_id"), F.struct((at + F.col("seconds")).alias("arrival"), "from_stop", at.alias("depart"), F.concat("ride.path", leg).alias("path")).cast(walk_type).alias("walk"))
-    done = blank(both, best=F.col("best"), egress=F.col("egress"), ride=F.col("ride")).unionByName(blank(walks, walk=F.col("walk")))
+
+    def walked(w: Column) -> Column:
+        arrive = at + w["seconds"]
+        leg = F.array(_walk_leg(F.col("stop_id"), w["to_stop"], at, arrive)).cast(path)
+        walk = F.struct(arrive.alias("arrival"), F.col("stop_id").alias("from_stop"), at.alias("depart"), F.concat("ride.path", leg).alias("path")).cast(walk_type)
+        return F.struct(w["to_stop"].alias("stop_id"), F.lit(None).cast("int").alias("best"), F.lit(None).cast("int").alias("egress"), F.lit(None).cast(ride_type).alias("ride"), walk.alias("walk"))
+
+    own = F.struct("stop_id", "best", "egress", "ride", F.lit(None).cast(walk_type).alias("walk"))
+    all_ways = F.when(F.col("ride").isNotNull() & F.col("near").isNotNull(), F.concat(F.array(own), F.transform("near", walked))).otherwise(F.array(own))
+    done = both.join(near, "stop_id", "left").select("query_id", F.inline(all_ways))
     done = done.groupBy("query_id", "stop_id").agg(F.min("best").alias("best"), F.max("egress").alias("egress"), F.min("ride").alias("ride"), F.min("walk").alias("walk"))
     before = F.least(F.coalesce("best", F.lit(_NEVER)), F.coalesce("ride.arrival", F.lit(_NEVER)))
     short = lambda c: F.struct(F.col(f"{c}.arrival").alias("arrival"), F.col(f"{c}.path").alias("path"))

@@ -85,7 +85,7 @@ def query_batch(spark: SparkSession, feed: Feed, n_queries: int = N_QUERIES, acc
 
 def solved(spark: SparkSession, sf_dir: str, n_queries: int = N_QUERIES, rounds: int = ROUNDS, access: bool = False) -> Batch:
     feed = network(spark, sf_dir)
-    table_ = timetable(feed).snapshot()
+    table_ = timetable(feed)
     queries, ends = query_batch(spark, feed, n_queries, access)
     return Batch(table_, queries, ends, plan(table_, queries, ends, max_rounds=rounds))
 

@@ -18,6 +18,8 @@ from ..sources.gtfs import feed_counts
 from .network import DAYS, LEGS, VIEWS, Batch, network, queries_sql, query_batch, rounds_sql, solved, table, timetable
 
 QUERIES, ORACLE_SQL = {}, {}
+#: As many as the published single-thread benchmark solves.
+BENCHMARK_QUERIES = 200
 
 
 def query(sql: str | None = None):
@@ -255,7 +257,7 @@ def earliest_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"{VIEWS}{queries_sql()}{rounds_sql(1)} SELECT query_id, pattern_id, pos, trip_rank, board_pos FROM sc1")
 def first_route_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     feed = network(spark, sf_dir)
-    t = timetable(feed).snapshot()
+    t = timetable(feed)
     queries, ends = query_batch(spark, feed)
     both = ends.groupBy("query_id").agg(F.countDistinct("stop_id").alias("n")).filter("n = 2")
     seeds = ends.filter("side = 'origin'").join(both.select("query_id"), "query_id").join(queries, "query_id").select("query_id", "stop_id", F.col("depart").alias("ready"))
@@ -300,9 +302,9 @@ def journey_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tags(journeys(batch.legs(), batch.queries))
 
 
-@query(f"{VIEWS}{queries_sql()}{rounds_sql()}{LEGS}{_METRICS} SELECT (SELECT count(*) FROM q) AS n, count(*) AS solved, avg(door_to_door_s) AS mean, median(door_to_door_s) AS median, list_sort(list(door_to_door_s))[(count(*) * 0.95)::INTEGER - CASE WHEN (count(*) * 0.95)::INTEGER > count(*) * 0.95 THEN 1 ELSE 0 END + 1] AS p95, max(door_to_door_s) AS slowest FROM done WHERE journey = 0")
+@query(f"{VIEWS}{queries_sql(BENCHMARK_QUERIES)}{rounds_sql()}{LEGS}{_METRICS} SELECT (SELECT count(*) FROM q) AS n, count(*) AS solved, avg(door_to_door_s) AS mean, median(door_to_door_s) AS median, list_sort(list(door_to_door_s))[(count(*) * 0.95)::INTEGER - CASE WHEN (count(*) * 0.95)::INTEGER > count(*) * 0.95 THEN 1 ELSE 0 END + 1] AS p95, max(door_to_door_s) AS slowest FROM done WHERE journey = 0")
 def search_benchmark(spark: SparkSession, sf_dir: str) -> DataFrame:
-    batch = solved(spark, sf_dir)
+    batch = solved(spark, sf_dir, BENCHMARK_QUERIES)
     return benchmark_stats(journeys(batch.legs(), batch.queries), batch.queries)
 
 

@@ -16,7 +16,7 @@ MONDAY = dt.date(2026, 7, 6)
 
 @pytest.fixture(scope="module")
 def timetable(golden):
-    return build_timetable(running_trips(golden, on_date=MONDAY), golden.stop_times, footpaths(golden.stops, golden.transfers)).snapshot()
+    return build_timetable(running_trips(golden, on_date=MONDAY), golden.stop_times, footpaths(golden.stops, golden.transfers))
 
 
 def solve(spark, timetable, queries, **options):
