@@ -6,12 +6,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import Scratch, small_batches, table
 from .components import components
-from .sketch import Counter, LogSketch, TwiceSketch, cells_for, count_hashes, text_bytes
+from .sketch import PART_SCHEMA, Counter, LogSketch, TwiceSketch, cells_for, count_hashes, text_bytes
 from .words import mix, slices, split_words, valid_starts, window_hashes, word_hashes
 
 #: Words in a shingle, and the least similarity in percent.
@@ -41,12 +41,15 @@ class _Sets:
             if len(short):
                 tokens.append(mix(window_hashes(h, n)[firsts[short]] + np.uint64(n)))
                 owners.append(short)
-        token, owner = np.concatenate(tokens), np.concatenate(owners)
-        order = np.lexsort((token, owner))
-        token, owner = token[order], owner[order]
-        new = np.concatenate([[True], (np.diff(token) != 0) | (np.diff(owner) != 0)]) if len(token) else np.zeros(0, bool)
-        self.flat, self.row = token[new], owner[new]
-        self.n = np.bincount(self.row, minlength=len(counts)).astype(np.int64)
+        # Long texts are already together; a short one has a single shingle.
+        some, sizes = np.unique(owners[0], return_counts=True)
+        rows = dict(zip(some.tolist(), map(np.unique, np.split(tokens[0], np.cumsum(sizes)[:-1])), strict=True)) if len(some) else {}
+        rows |= {int(r): t for one, owner in zip(tokens[1:], owners[1:], strict=True) for r, t in zip(owner, one.reshape(-1, 1), strict=True)}
+        each = [rows[r] for r in sorted(rows)]
+        self.n = np.zeros(len(counts), np.int64)
+        self.n[sorted(rows)] = [len(t) for t in each]
+        self.flat = np.concatenate(each) if each else np.zeros(0, np.uint64)
+        self.row = np.repeat(np.arange(len(counts)), self.n)
 
     def keys(self) -> np.ndarray:
         """A 64-bit name of each row's set: equal sets have equal names."""
@@ -66,7 +69,10 @@ class _Sets:
         which at most one in m postings can match m times.
         """
         level = logs.level(self.flat)
-        order = np.lexsort((self.flat, level, self.row))
+        # flat is sorted, so a stable sort by level and leading bits is one by level and hash, the same for every row.
+        key = level.astype(np.uint64) << np.uint64(56) | self.flat >> np.uint64(8)
+        firsts = (np.cumsum(self.n) - self.n).tolist()
+        order = np.concatenate([a + np.argsort(key[a : a + n], kind="stable") for a, n in zip(firsts, self.n.tolist(), strict=True)]) if len(key) else np.zeros(0, np.int64)
         others = np.maximum(np.exp2((level[order].astype(np.float64) - 1) / 8) - 1 - load, 0)
         others[others < 2 * np.sqrt(load)] = 0
         sums = np.concatenate([[0], np.cumsum(others)])
@@ -114,7 +120,7 @@ def _sets_and_counts(rows: DataFrame, cells: int, shingle: int) -> DataFrame:
             counter.add(s.flat)
             if counter.held > 8_000_000:
                 yield counts()
-        if id_type:
+        if id_type and counter.held:
             yield counts()
 
     return rows.mapInArrow(run, f"id {kind.simpleString()}, n long, key long, segment int, cells binary, counts binary")
@@ -135,30 +141,46 @@ def _postings(rows: DataFrame, logs: LogSketch, load: float, twice: TwiceSketch,
 
 
 def _members(rows: DataFrame, wanted: TwiceSketch, shingle: int) -> DataFrame:
-    """(key, tokens) of the rows whose key may be wanted."""
+    """(key, tokens) of the rows (h, text) whose h may be wanted."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, s in _each(batches, shingle):
-            keys = s.keys()
-            take = np.flatnonzero(wanted.at_least(keys, 1) & (s.n > 0))
-            _, once = np.unique(keys[take], return_index=True)
-            take = take[once]
-            sizes = s.n[take]
-            ends = np.cumsum(sizes)
-            flat = s.flat[np.arange(int(sizes.sum())) + np.repeat((np.cumsum(s.n) - s.n)[take] - (ends - sizes), sizes)]
-            lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]), pa.int32()), _signed(flat))
-            yield pa.RecordBatch.from_arrays([_signed(keys[take]), lists], ["key", "tokens"])
+        few = (batch.filter(pa.array(wanted.at_least(batch.column("h").to_numpy().view(np.uint64), 1))) for batch in batches)
+        for _, s in _each(few, shingle):
+            some = np.flatnonzero(s.n)
+            lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(s.n[some])]), pa.int32()), _signed(s.flat))
+            yield pa.RecordBatch.from_arrays([_signed(s.keys()[some]), lists], ["key", "tokens"])
 
     return rows.mapInArrow(run, "key long, tokens array<long>")
 
 
-def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) whose sets are similar enough."""
-    left = sets.select(F.col("key").alias("a"), F.col("tokens").alias("x"))
-    right = sets.select(F.col("key").alias("b"), F.col("tokens").alias("y"))
-    both = pairs.join(left, "a").join(right, "b")
+def _verified(pairs: DataFrame, rows: DataFrame, each: DataFrame, shingle: int, percent: int, scratch: Scratch) -> DataFrame:
+    """The pairs (a, b) whose sets are similar enough.
+
+    Sets are made again from the texts, of one document for each key that
+    pairs hold: those that a sketch of the documents lets through.
+    """
+    keys = pairs.select(F.col("a").alias("key")).unionByName(pairs.select(F.col("b").alias("key"))).distinct()
+    chosen = scratch.write(each.join(keys, "key").groupBy("key").agg(F.min(F.xxhash64("id")).alias("h")).select("h"))
+    cells = cells_for(chosen.count())
+    wanted = TwiceSketch(chosen.mapInArrow(lambda batches: _present(batches, cells), PART_SCHEMA), cells)
+    sets = scratch.write(_members(rows.select(F.xxhash64("id").alias("h"), "text"), wanted, shingle))
+    both = pairs.join(sets.select(F.col("key").alias("a"), F.col("tokens").alias("x")), "a").join(sets.select(F.col("key").alias("b"), F.col("tokens").alias("y")), "b")
     shared = F.size(F.array_intersect("x", "y"))
-    return both.filter(100 * shared >= percent * (F.size("x") + F.size("y") - shared)).select("a", "b")
+    out = scratch.write(both.filter(100 * shared >= percent * (F.size("x") + F.size("y") - shared)).select("a", "b").distinct())
+    scratch.drop(sets)
+    return out
+
+
+def _enough(shared: str, a: str, b: str, am: str, bm: str, percent: int) -> Column:
+    """Whether sets of sizes a and b can be similar if their prefixes have ``shared`` tokens in common.
+
+    They must share ``least`` in all.  Whichever prefix ends first in the
+    order of tokens, what is shared up to its end is in both prefixes, and
+    past it that set has only need - m tokens left.
+    """
+    least = F.ceil(F.lit(percent) * (F.col(a) + F.col(b)) / (100 + percent))
+    left = lambda n, m: F.ceil(F.lit(percent) * F.col(n) / 100) - F.col(m)
+    return F.col(shared) >= F.greatest(F.least(am, bm), least - F.greatest(left(a, am), left(b, bm)))
 
 
 def _same_size(a: str, b: str, percent: int):
@@ -188,36 +210,30 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     small_batches(spark)
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     texts, words = rows.select("text"), text_bytes(docs, text_col) / BYTES_PER_WORD
-    log_cells = cells_for(words, 1, 1 << 24)
+    log_cells = cells_for(words, 1, 1 << 21)
     load = words / log_cells
     first = scratch.write(_sets_and_counts(rows, log_cells, shingle))
     logs = LogSketch(first.filter("segment is not null").select("segment", "cells", "counts"), log_cells)
-    each = first.filter("segment is null and key is not null").select("id", "n", "key")
+    each = scratch.write(first.filter("key is not null").select("id", "n", "key"))
+    scratch.drop(first)
 
     cells = cells_for(words / 4)
     twice = TwiceSketch(count_hashes(texts, lambda batch: (s.flat[s.prefixes(logs, load, percent)[0]] for _, s in _each(iter([batch]), shingle)), cells, 2), cells)
     # Copies leave one posting; a token of one class only pairs with nothing.
-    posts = _postings(texts, logs, load, twice, shingle, percent).distinct()
-    posts = scratch.write(posts)
-    tokens = posts.groupBy("token").agg(F.count(F.lit(1)).alias("n_keys"), F.max(F.struct("matches", (-F.col("n")).alias("less"), "key")).alias("hub")).filter("n_keys > 1")
-    live = scratch.write(posts.join(tokens.select("token"), "token", "left_semi"))
+    posts = scratch.write(_postings(texts, logs, load, twice, shingle, percent).distinct())
+    shared = posts.groupBy("token").agg(F.count(F.lit(1)).alias("n_keys")).filter("n_keys > 1").select("token")
+    live = scratch.write(posts.join(shared, "token", "left_semi"))
     scratch.drop(posts)
-    wanted_keys = scratch.write(live.select("key").distinct())
-    n_wanted = wanted_keys.count()
-    present = cells_for(n_wanted)
-    wanted = TwiceSketch(wanted_keys.mapInArrow(lambda batches: _present(batches, present), "segment int, cells binary, counts binary"), present)
-    sets = scratch.write(_members(texts, wanted, shingle).join(wanted_keys, "key", "left_semi").dropDuplicates(["key"]))
 
     # Keys whose component is still in doubt keep their own name; the smallest key names a component.
-    links = None
-    named = None
-    for _ in range(STAR_ROUNDS):
-        pairs = _star_pairs(_labelled(live, named), percent)
-        found = scratch.write(_verified(pairs, sets, percent))
-        links = found if links is None else scratch.write(links.unionByName(found))
+    links = named = tested = None
+    for step in (*[_star_pairs] * STAR_ROUNDS, _open_pairs):
+        pairs = step(_labelled(live, named), percent)
+        pairs = scratch.write(pairs if tested is None else pairs.join(tested, ["a", "b"], "left_anti"))
+        found = _verified(pairs, rows, each, shingle, percent, scratch)
+        tested = pairs if tested is None else tested.unionByName(pairs)
+        links = found if links is None else links.unionByName(found)
         named = scratch.write(components(links, scratch))
-    found = scratch.write(_verified(_open_pairs(_labelled(live, named), percent), sets, percent))
-    named = scratch.write(components(links.unionByName(found), scratch))
 
     classes = each.filter("n > 0").groupBy("key").agg(F.min("id").alias("smallest"))
     classes = classes.join(named.withColumnRenamed("node", "key"), "key", "left").withColumn("component", F.coalesce("component", "key"))
@@ -230,7 +246,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 def _present(batches: Iterator[pa.RecordBatch], cells: int) -> Iterator[pa.RecordBatch]:
     counter = Counter(cells, 2)
     for batch in batches:
-        counter.add(batch.column("key").to_numpy().view(np.uint64))
+        counter.add(batch.column("h").to_numpy().view(np.uint64))
     yield counter.flush()
 
 
@@ -242,21 +258,22 @@ def _labelled(live: DataFrame, named: DataFrame | None) -> DataFrame:
 
 
 def _star_pairs(live: DataFrame, percent: int) -> DataFrame:
-    """(a, b): for each key the partner of another component that is the hub of most of its tokens.
+    """(a, b): for each key the partner of another component that is the hub of most of its tokens, if these alone are enough.
 
-    The hub of a token is the key with fewest prefix tokens of its own, a
+    The hub of a token is the key of which most prefix tokens are shared, a
     document that many others derive from as a rule.
     """
     alone = live.groupBy("key").agg(F.count(F.lit(1)).alias("n_live"))
     weighed = live.join(alone, "key")
-    hubs = weighed.groupBy("token").agg(F.max(F.struct(F.col("n_live") / F.col("n"), "key", "component", "n")).alias("hub"))
+    hubs = weighed.groupBy("token").agg(F.max(F.struct((F.col("n_live") / F.col("n")).alias("share"), "key", "component", "n", "matches")).alias("hub"))
     met = weighed.join(hubs, "token").filter((F.col("component") != F.col("hub.component")) & _same_size("n", "hub.n", percent))
-    votes = met.groupBy("key", F.col("hub.key").alias("b")).agg(F.count(F.lit(1)).alias("votes"))
-    return votes.groupBy("key").agg(F.max(F.struct("votes", "b")).alias("best")).select(F.col("key").alias("a"), F.col("best.b").alias("b"))
+    votes = met.groupBy("key", F.col("hub.key").alias("other")).agg(F.count(F.lit(1)).alias("votes"), *[F.first(F.col(c)).alias(name) for name, c in (("n", "n"), ("m", "matches"), ("hn", "hub.n"), ("hm", "hub.matches"))])
+    best = votes.filter(_enough("votes", "n", "hn", "m", "hm", percent)).groupBy("key").agg(F.max(F.struct("votes", "other")).alias("best"))
+    return best.select(F.least("key", "best.other").alias("a"), F.greatest("key", "best.other").alias("b")).distinct()
 
 
 def _open_pairs(live: DataFrame, percent: int) -> DataFrame:
-    """(a, b): all pairs of different components that share as many prefix tokens as either may ask.
+    """(a, b): all pairs of different components that share enough prefix tokens.
 
     Of two components in a token's postings one at least is not its largest,
     so it is enough to pair the postings outside the largest with all others.
@@ -267,8 +284,11 @@ def _open_pairs(live: DataFrame, percent: int) -> DataFrame:
     left = open_.filter("minor").select("token", F.col("key").alias("a"), F.col("n").alias("an"), F.col("matches").alias("am"), F.col("component").alias("ac"))
     right = open_.select("token", F.col("key").alias("b"), F.col("n").alias("bn"), F.col("matches").alias("bm"), F.col("component").alias("bc"), "minor")
     met = left.join(right, "token").filter((F.col("ac") != F.col("bc")) & (~F.col("minor") | (F.col("a") < F.col("b"))) & _same_size("an", "bn", percent))
-    shared = met.groupBy(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).agg(F.count(F.lit(1)).alias("shared"), F.first(F.least("am", "bm")).alias("asked"))
-    return shared.filter("shared >= asked").select("a", "b")
+    swap = F.col("a") > F.col("b")
+    shared = met.groupBy(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).agg(
+        F.count(F.lit(1)).alias("shared"), *[F.first(F.when(swap, F.col(y)).otherwise(F.col(x))).alias(x) for x, y in (("an", "bn"), ("am", "bm"))], *[F.first(F.when(swap, F.col(x)).otherwise(F.col(y))).alias(y) for x, y in (("an", "bn"), ("am", "bm"))]
+    )
+    return shared.filter(_enough("shared", "an", "bn", "am", "bm", percent)).select("a", "b")
 
 
 def keep_one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -46,19 +46,30 @@ class Counter:
     def flush(self) -> pa.RecordBatch:
         at, n = np.unique(np.concatenate(self.parts), return_counts=True) if self.parts else (np.zeros(0, np.int64), np.zeros(0, np.int64))
         self.parts, self.held = [], 0
-        segments = at // SEGMENT
+        segments, n = at // SEGMENT, np.minimum(n, 255).astype(np.uint8)
         cuts = np.flatnonzero(np.diff(segments)) + 1
-        groups = list(zip(np.split(at % SEGMENT, cuts), np.split(n, cuts), strict=True)) if len(at) else []
-        return pa.RecordBatch.from_arrays(
-            [pa.array(segments[np.concatenate([[0], cuts])] if len(at) else [], pa.int32()), pa.array([a.astype("<u4").tobytes() for a, _ in groups], pa.binary()), pa.array([np.minimum(c, 255).astype(np.uint8).tobytes() for _, c in groups], pa.binary())],
-            ["segment", "cells", "counts"],
-        )
+        coded = [_pack(a % SEGMENT, c) for a, c in zip(np.split(at, cuts), np.split(n, cuts), strict=True)] if len(at) else []
+        first = segments[np.concatenate([[0], cuts])] if len(at) else []
+        return pa.RecordBatch.from_arrays([pa.array(first, pa.int32()), pa.array([a for a, _ in coded], pa.binary()), pa.array([c for _, c in coded], pa.binary())], ["segment", "cells", "counts"])
+
+
+def _pack(at: np.ndarray, counts: np.ndarray) -> tuple[bytes, bytes]:
+    """A segment's cells and counts: all counts if many cells have one, else the cells too, byte by byte, which compresses well as they are sorted."""
+    if len(at) > SEGMENT // 4:
+        dense = np.zeros(SEGMENT, np.uint8)
+        dense[at] = counts
+        return b"", dense.tobytes()
+    return np.ascontiguousarray(at.astype("<u4").view(np.uint8).reshape(-1, 4).T[:3]).tobytes(), counts.tobytes()
 
 
 def _merge(rows: pd.DataFrame) -> np.ndarray:
     total = np.zeros(SEGMENT, np.uint32)
     for cells, counts in zip(rows["cells"], rows["counts"], strict=True):
-        total[np.frombuffer(cells, "<u4")] += np.frombuffer(counts, np.uint8)
+        if cells:
+            low, middle, high = np.frombuffer(cells, np.uint8).reshape(3, -1).astype(np.uint32)
+            total[low | middle << 8 | high << 16] += np.frombuffer(counts, np.uint8)
+        else:
+            total += np.frombuffer(counts, np.uint8)
     return total
 
 
