@@ -75,7 +75,7 @@ def route_mode(route_type: Column) -> Column:
 
 def short_address(name: Column) -> Column:
     """The first two parts that commas separate; the whole if there are none."""
-    parts = F.filter(F.transform(F.split(name, ","), F.trim), lambda p: p != "")
+    parts = F.filter(F.transform(F.split(name, ","), lambda p: F.trim(p)), lambda p: p != "")
     return F.when(F.size(parts) > 0, F.array_join(F.slice(parts, 1, 2), ", ")).otherwise(name)
 
 
