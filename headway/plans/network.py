@@ -172,4 +172,4 @@ chain AS (
     FROM chain c JOIN (SELECT *, row_number() OVER (PARTITION BY query_id, round, stop_id ORDER BY arrival, kind) AS i FROM labels) l
       ON l.query_id = c.query_id AND l.round = c.round AND l.stop_id = c.stop_id AND (l.i = 1 AND NOT c.ride_only OR l.kind = 'ride' AND c.ride_only)
     LEFT JOIN ev s ON s.pattern_id = l.pattern_id AND s.trip_rank = l.trip_rank AND s.pos = l.board_pos WHERE l.kind <> 'seed' AND (c.kind IS DISTINCT FROM 'walk' OR c.round > 0))),
-legs AS MATERIALIZED (SELECT query_id, journey, (row_number() OVER (PARTITION BY query_id, journey ORDER BY back DESC) - 1)::INTEGER AS leg_no, kind, from_stop, to_stop, depart, arrive, coalesce(alight_pos - board_pos, 0) AS n_hops FROM chain WHERE back > 0)"""
+legs AS MATERIALIZED (SELECT query_id, journey, (row_number() OVER (PARTITION BY query_id, journey ORDER BY back DESC) - 1)::INTEGER AS leg_no, kind, from_stop, to_stop, depart, arrive, coalesce(alight_pos - board_pos, 0) AS n_hops, pattern_id FROM chain WHERE back > 0)"""

@@ -285,7 +285,7 @@ def journeys_pareto(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pareto(solved(spark, sf_dir).plan.options).select("query_id", F.col("rank").alias("journey"), F.col("round").alias("vehicles"), "arrival")
 
 
-@query(f"{VIEWS}{queries_sql()}{rounds_sql()}{LEGS} SELECT * FROM legs")
+@query(f"{VIEWS}{queries_sql()}{rounds_sql()}{LEGS} SELECT query_id, journey, leg_no, kind, from_stop, to_stop, depart, arrive, n_hops FROM legs")
 def journey_leg_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return solved(spark, sf_dir).legs().select("query_id", "journey", "leg_no", "kind", "from_stop", "to_stop", "depart", "arrive", "n_hops")
 
@@ -308,8 +308,12 @@ def search_benchmark(spark: SparkSession, sf_dir: str) -> DataFrame:
     return benchmark_stats(journeys(batch.legs(), batch.queries), batch.queries)
 
 
+def _clock_sql(c: str) -> str:
+    return f"lpad(({c} // 3600)::VARCHAR, 2, '0') || ':' || lpad(({c} // 60 % 60)::VARCHAR, 2, '0') || ':' || lpad(({c} % 60)::VARCHAR, 2, '0')"
+
+
 def _text_sql() -> str:
-    t = lambda c: f"lpad(({c} // 3600)::VARCHAR, 2, '0') || ':' || lpad(({c} // 60 % 60)::VARCHAR, 2, '0') || ':' || lpad(({c} % 60)::VARCHAR, 2, '0')"
+    t = _clock_sql
     return f"""SELECT query_id, journey, {t("depart")} || ' → ' || {t("arrive")} || '  (' || door_to_door_s // 60 || ' min total' || CASE WHEN wait_s >= 60 THEN ', ' || wait_s // 60 || ' min wait' ELSE '' END
     || ', ' || transfers || ' transfer' || CASE WHEN transfers = 1 THEN '' ELSE 's' END || ', ' || walking_s // 60 || ' min walking)' AS line FROM done"""
 
@@ -320,7 +324,10 @@ def journey_summaries(spark: SparkSession, sf_dir: str) -> DataFrame:
     return summary(journeys(batch.legs(), batch.queries))
 
 
-@query()
+@query(f"""{VIEWS}{queries_sql()}{rounds_sql()}{LEGS} SELECT query_id, journey, leg_no, CASE WHEN kind = 'walk' THEN {_clock_sql("depart")} || '  walk ' || (arrive - depart) // 60 || ' min to ' || b.name
+  ELSE {_clock_sql("depart")} || '  route ' || CASE WHEN route_id % 3 <> 0 THEN 'R' || route_id WHEN route_id % 2 <> 0 THEN 'Route ' || route_id ELSE route_id::VARCHAR END || ' from ' || a.name || CASE WHEN n_hops > 0 THEN ' (' || n_hops || ' stops)' ELSE '' END
+    || chr(10) || {_clock_sql("arrive")} || '  arrive ' || b.name END AS line
+FROM legs JOIN stops a ON a.stop_id = from_stop JOIN stops b ON b.stop_id = to_stop LEFT JOIN trips ON trip_id = pattern_id""")
 def journey_descriptions(spark: SparkSession, sf_dir: str) -> DataFrame:
     feed = network(spark, sf_dir)
     return describe(named_legs(solved(spark, sf_dir).legs(), feed))
