@@ -2,16 +2,17 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import Scratch, small_batches, table
 from .components import components
-from .sketch import PART_SCHEMA, Counter, LogSketch, TwiceSketch, cells_for, count_hashes, text_bytes
+from .sketch import FLUSH, PART_SCHEMA, Counter, LogSketch, TwiceSketch, cells_for, count_hashes, text_bytes
 from .words import mix, slices, split_words, valid_starts, window_hashes, word_hashes
 
 #: Words in a shingle, and the least similarity in percent.
@@ -20,8 +21,8 @@ SHINGLE, PERCENT = 5, 75
 MOST_MATCHES = 4
 #: Cost of verifying one candidate, in postings.
 VERIFY_COST = 4.0
-#: Rounds in which documents are compared with one central partner before all that is left is compared.
-STAR_ROUNDS = 2
+#: Sizes of sets within this ratio form a band.
+BAND = 1.04
 #: UTF-8 bytes for each word, about.
 BYTES_PER_WORD = 6
 
@@ -59,8 +60,8 @@ class _Sets:
             out[some] = np.add.reduceat(mix(self.flat ^ np.uint64(0x5851F42D4C957F2D)), (np.cumsum(self.n) - self.n)[some])
         return mix(out + self.n.astype(np.uint64))
 
-    def prefixes(self, logs: LogSketch, load: float, percent: int) -> tuple[np.ndarray, np.ndarray]:
-        """Which tokens of flat are in their row's prefix, and how many prefix tokens each row asks a partner to share.
+    def prefixes(self, logs: LogSketch, load: float, percent: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Which tokens of flat are in their row's prefix, each token's place in its row's order from 1, and how many prefix tokens each row asks a partner to share.
 
         Tokens are ordered by corpus frequency, then hash.  A partner shares at
         least a = ceil(percent * n / 100) tokens, so the first n - a + m tokens
@@ -86,9 +87,9 @@ class _Sets:
             cost = np.where(fits, size + met * (1 + VERIFY_COST / m), np.inf)
             better = cost < best
             best[better], matches[better], length[better] = cost[better], m, size[better]
-        inside = np.zeros(len(self.flat), bool)
-        inside[order] = np.arange(len(self.flat)) - first[self.row[order]] < length[self.row[order]]
-        return inside, matches
+        place = np.zeros(len(self.flat), np.int64)
+        place[order] = np.arange(len(self.flat)) - first[self.row[order]] + 1
+        return place <= length[self.row], place, matches
 
 
 def _each(batches: Iterator[pa.RecordBatch], shingle: int) -> Iterator[tuple[pa.RecordBatch, _Sets]]:
@@ -118,7 +119,7 @@ def _sets_and_counts(rows: DataFrame, cells: int, shingle: int) -> DataFrame:
             id_type[:] = [part.column("id").type]
             yield pa.RecordBatch.from_arrays([part.column("id"), pa.array(s.n), _signed(s.keys()), *(pa.nulls(len(part), t) for t in types.values())], names)
             counter.add(s.flat)
-            if counter.held > 8_000_000:
+            if counter.held > FLUSH:
                 yield counts()
         if id_type and counter.held:
             yield counts()
@@ -127,17 +128,17 @@ def _sets_and_counts(rows: DataFrame, cells: int, shingle: int) -> DataFrame:
 
 
 def _postings(rows: DataFrame, logs: LogSketch, load: float, twice: TwiceSketch, shingle: int, percent: int) -> DataFrame:
-    """(token, key, n, matches): the prefix tokens that may occur in another prefix."""
+    """(token, key, n, matches, at): the prefix tokens that may occur in another prefix, and their places in the order of the set."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, s in _each(batches, shingle):
-            inside, matches = s.prefixes(logs, load, percent)
+            inside, place, matches = s.prefixes(logs, load, percent)
             at = np.flatnonzero(inside)
             at = at[twice.often(s.flat[at])]
             row = s.row[at]
-            yield pa.RecordBatch.from_arrays([_signed(s.flat[at]), _signed(s.keys()[row]), pa.array(s.n[row].astype(np.int32)), pa.array(matches[row].astype(np.int32))], ["token", "key", "n", "matches"])
+            yield pa.RecordBatch.from_arrays([_signed(s.flat[at]), _signed(s.keys()[row]), pa.array(s.n[row].astype(np.int32)), pa.array(matches[row].astype(np.int32)), pa.array(place[at].astype(np.int32))], ["token", "key", "n", "matches", "at"])
 
-    return rows.mapInArrow(run, "token long, key long, n int, matches int")
+    return rows.mapInArrow(run, "token long, key long, n int, matches int, at int")
 
 
 def _members(rows: DataFrame, wanted: TwiceSketch, shingle: int) -> DataFrame:
@@ -200,11 +201,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     Equal sets are one class from the start (key).  Postings hold prefix
     tokens only, less those that the merged sketch shows to be in one prefix.
-    Classes are first compared with one central partner each; then every pair
-    of classes of different components so far is compared if it shares as many
-    prefix tokens as the less demanding of the two asks.  A pair inside a
-    component is never looked at again, so a group of near copies costs its
-    size, not its square.  Shingles and sets are told apart by 64-bit hashes.
+    Classes are first compared with a central partner each; then every pair of
+    classes of different components so far is compared that shares enough
+    prefix tokens for its sizes.  A pair inside a component is never looked at
+    again, so a group of near copies costs its size, not its square.  Shingles and sets are told apart by 64-bit hashes.
     """
     spark, scratch = docs.sparkSession, Scratch(docs.sparkSession, "ngram-join")
     small_batches(spark)
@@ -227,7 +227,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     # Keys whose component is still in doubt keep their own name; the smallest key names a component.
     links = named = tested = None
-    for step in (*[_star_pairs] * STAR_ROUNDS, _open_pairs):
+    for step in (_central_pairs, _open_pairs):
         pairs = step(_labelled(live, named), percent)
         pairs = scratch.write(pairs if tested is None else pairs.join(tested, ["a", "b"], "left_anti"))
         found = _verified(pairs, rows, each, shingle, percent, scratch)
@@ -257,47 +257,70 @@ def _labelled(live: DataFrame, named: DataFrame | None) -> DataFrame:
     return live.join(named.withColumnRenamed("node", "key"), "key", "left").withColumn("component", F.coalesce("component", "key"))
 
 
-def _star_pairs(live: DataFrame, percent: int) -> DataFrame:
-    """(a, b): for each key the partner of another component that is the hub of most of its tokens, if these alone are enough.
+def _central_pairs(live: DataFrame, percent: int) -> DataFrame:
+    """(a, b): for each key the hub of most of its tokens, if these alone are enough.
 
     The hub of a token is the key of which most prefix tokens are shared, a
     document that many others derive from as a rule.
     """
     alone = live.groupBy("key").agg(F.count(F.lit(1)).alias("n_live"))
+    share = (F.col("n_live") / F.col("n")).alias("order")
     weighed = live.join(alone, "key")
-    hubs = weighed.groupBy("token").agg(F.max(F.struct((F.col("n_live") / F.col("n")).alias("share"), "key", "component", "n", "matches")).alias("hub"))
-    met = weighed.join(hubs, "token").filter((F.col("component") != F.col("hub.component")) & _same_size("n", "hub.n", percent))
+    hubs = weighed.groupBy("token").agg(F.max(F.struct(share, "key", "component", "n", "matches")).alias("hub"))
+    met = live.join(hubs, "token").filter((F.col("component") != F.col("hub.component")) & _same_size("n", "hub.n", percent))
     votes = met.groupBy("key", F.col("hub.key").alias("other")).agg(F.count(F.lit(1)).alias("votes"), *[F.first(F.col(c)).alias(name) for name, c in (("n", "n"), ("m", "matches"), ("hn", "hub.n"), ("hm", "hub.matches"))])
     best = votes.filter(_enough("votes", "n", "hn", "m", "hm", percent)).groupBy("key").agg(F.max(F.struct("votes", "other")).alias("best"))
     return best.select(F.least("key", "best.other").alias("a"), F.greatest("key", "best.other").alias("b")).distinct()
 
 
+def _largest(live: DataFrame) -> DataFrame:
+    """(token, top): the component with most postings, of the tokens that several components share."""
+    counts = live.groupBy("token", "component").agg(F.count(F.lit(1)).alias("size"))
+    top = counts.groupBy("token").agg(F.max(F.struct("size", "component")).alias("top"), F.count(F.lit(1)).alias("n_components"))
+    return top.filter("n_components > 1").select("token", F.col("top.component").alias("top"))
+
+
 def _open_pairs(live: DataFrame, percent: int) -> DataFrame:
     """(a, b): all pairs of different components that share enough prefix tokens.
 
     Of two components in a token's postings one at least is not its largest,
-    so it is enough to pair the postings outside the largest with all others.
+    so it is enough to look for partners of the keys outside it.  Such a key
+    must share ``asked`` of the tokens that lead it to partners of a band of
+    sizes, so the first that it shares is not among the last asked - 1 of them,
+    which are not probed; and after it either set must have room for what the
+    two must share in all.
     """
-    counts = live.groupBy("token", "component").agg(F.count(F.lit(1)).alias("size"))
-    largest = counts.groupBy("token").agg(F.max(F.struct("size", "component")).alias("top"), F.count(F.lit(1)).alias("n_components")).filter("n_components > 1").select("token", F.col("top.component").alias("top"))
-    open_ = live.join(largest, "token").withColumn("minor", F.col("component") != F.col("top"))
-    left = open_.filter("minor").select("token", F.col("key").alias("a"), F.col("n").alias("an"), F.col("matches").alias("am"), F.col("component").alias("ac"))
-    right = open_.select("token", F.col("key").alias("b"), F.col("n").alias("bn"), F.col("matches").alias("bm"), F.col("component").alias("bc"), "minor")
-    met = left.join(right, "token").filter((F.col("ac") != F.col("bc")) & (~F.col("minor") | (F.col("a") < F.col("b"))) & _same_size("an", "bn", percent))
-    swap = F.col("a") > F.col("b")
-    shared = met.groupBy(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).agg(
-        F.count(F.lit(1)).alias("shared"), *[F.first(F.when(swap, F.col(y)).otherwise(F.col(x))).alias(x) for x, y in (("an", "bn"), ("am", "bm"))], *[F.first(F.when(swap, F.col(x)).otherwise(F.col(y))).alias(y) for x, y in (("an", "bn"), ("am", "bm"))]
-    )
-    return shared.filter(_enough("shared", "an", "bn", "am", "bm", percent)).select("a", "b")
+    band = F.floor(F.ln("n") / F.ln(F.lit(BAND))).cast("int")
+    open_ = live.join(_largest(live), "token").withColumn("minor", F.col("component") != F.col("top")).withColumn("band", band)
+    bands = open_.groupBy("token", "band").agg(F.count(F.lit(1)).alias("size")).groupBy("token").agg(F.collect_list(F.struct("band", "size")).alias("bands"))
+    reach = math.ceil(math.log(100 / percent) / math.log(BAND)) + 1
+    near = F.filter("bands", lambda b: (F.abs(b["band"] - F.col("band")) <= reach) & (b["size"] > F.when(b["band"] == F.col("band"), 1).otherwise(0)))
+    ways = open_.filter("minor").join(bands, "token").select("token", "key", "n", "matches", "at", "component", F.explode(F.transform(near, lambda b: b["band"])).alias("band"))
+    low, high = F.floor(F.pow(F.lit(BAND), "band")), F.ceil(F.pow(F.lit(BAND), F.col("band") + 1))
+    share = lambda n: F.ceil(F.lit(percent) * n / 100)
+    asked = F.greatest(F.lit(1), F.ceil(F.lit(percent) * (F.col("n") + low) / (100 + percent)) - F.greatest(share(F.col("n")) - F.col("matches"), share(high) - 1))
+    mine = Window.partitionBy("key", "band")
+    ranked = ways.withColumns({"ways": F.count(F.lit(1)).over(mine), "place": F.row_number().over(mine.orderBy("at"))})
+    probes = ranked.filter(F.col("place") <= F.col("ways") - asked + 1).select("token", "band", F.col("key").alias("a"), F.col("n").alias("an"), F.col("matches").alias("am"), F.col("at").alias("i"), F.col("component").alias("ac"))
+    right = open_.select("token", "band", F.col("key").alias("b"), F.col("n").alias("bn"), F.col("matches").alias("bm"), F.col("at").alias("j"), F.col("component").alias("bc"), "minor")
+    room = 1 + F.least(F.col("an") - F.col("i"), F.col("bn") - F.col("j")) >= F.ceil(F.lit(percent) * (F.col("an") + F.col("bn")) / (100 + percent))
+    met = probes.join(right, ["token", "band"]).filter((F.col("ac") != F.col("bc")) & (~F.col("minor") | (F.col("a") < F.col("b"))) & room & _same_size("an", "bn", percent))
+    pairs = met.select("a", "b", "an", "bn", "am", "bm").distinct()
+    prefixes = live.groupBy("key").agg(F.collect_list("token").alias("prefix"))
+    both = pairs.join(prefixes.select(F.col("key").alias("a"), F.col("prefix").alias("x")), "a").join(prefixes.select(F.col("key").alias("b"), F.col("prefix").alias("y")), "b")
+    counted = both.withColumn("shared", F.size(F.array_intersect("x", "y")))
+    return counted.filter(_enough("shared", "an", "bn", "am", "bm", percent)).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
 def keep_one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of docs whose id names their component, with docs' columns; of rows repeated in full one."""
-    decided = Scratch(docs.sparkSession, "ngram-kept").write(near_duplicates(docs, id_col, text_col))
-    again = not decided.groupBy("id").count().filter("count > 1").isEmpty()
-    drop = decided.filter(~F.col("id").eqNullSafe(F.col("component_id"))).select(F.col("id").alias("_drop_id"))
-    kept = docs.join(drop, docs[id_col].eqNullSafe(F.col("_drop_id")), "left_anti")
-    return kept.dropDuplicates([id_col, text_col]) if again else kept
+    """Of each component the row with the smallest id (nulls last), with docs' columns; of rows repeated in full one."""
+    row = F.struct(F.col(id_col).isNull().alias("none"), F.col(id_col).alias("id"), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("text"))
+    named = docs.withColumn("_row", row)
+    decided = Scratch(docs.sparkSession, "ngram-kept").write(near_duplicates(named, "_row", text_col))
+    kept = named.join(decided.filter(F.col("id") != F.col("component_id")).select(F.col("id").alias("_drop")), F.col("_row") == F.col("_drop"), "left_anti")
+    if not decided.groupBy("id").count().filter("count > 1").isEmpty():
+        kept = kept.dropDuplicates(["_row"])
+    return kept.select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def op3_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -17,6 +17,8 @@ from .words import mix
 SEGMENT = 1 << 20
 #: Columns by which tasks hand on their counts.
 PART_SCHEMA = "segment int, cells binary, counts binary"
+#: Counts that a task holds before it hands them on.
+FLUSH = 2_000_000
 #: Most cells of a sketch.  At two bits a cell these are 64 MB; a fuller sketch lets more through, but loses nothing.
 MAX_CELLS = 1 << 28
 
@@ -127,7 +129,7 @@ def count_hashes(rows: DataFrame, hashes, cells: int, depth: int) -> DataFrame:
         for batch in batches:
             for h in hashes(batch):
                 counter.add(h)
-                if counter.held > 8_000_000:
+                if counter.held > FLUSH:
                     yield counter.flush()
         yield counter.flush()
 
