@@ -7,12 +7,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import Scratch, small_batches, table
 from .components import components
-from .sketch import FLUSH, PART_SCHEMA, Counter, LogSketch, TwiceSketch, cells_for, count_hashes, text_bytes
+from .sketch import PART_SCHEMA, Counter, DenseCounter, LogSketch, TwiceSketch, cells_for, count_hashes, text_bytes
 from .words import mix, slices, split_words, valid_starts, window_hashes, word_hashes
 
 #: Words in a shingle, and the least similarity in percent.
@@ -23,6 +23,8 @@ MOST_MATCHES = 4
 VERIFY_COST = 4.0
 #: Sizes of sets within this ratio form a band.
 BAND = 1.04
+#: Cells of the sketch of token frequencies, which only tells frequent tokens from others.
+LOG_CELLS = 1 << 20
 #: UTF-8 bytes for each word, about.
 BYTES_PER_WORD = 6
 
@@ -107,7 +109,7 @@ def _sets_and_counts(rows: DataFrame, cells: int, shingle: int) -> DataFrame:
     kind = rows.schema["id"].dataType
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counter, names = Counter(cells, 1), ["id", "n", "key", "segment", "cells", "counts"]
+        counter, names = DenseCounter(cells), ["id", "n", "key", "segment", "cells", "counts"]
         types = {"segment": pa.int32(), "cells": pa.binary(), "counts": pa.binary()}
 
         def counts() -> pa.RecordBatch:
@@ -119,9 +121,7 @@ def _sets_and_counts(rows: DataFrame, cells: int, shingle: int) -> DataFrame:
             id_type[:] = [part.column("id").type]
             yield pa.RecordBatch.from_arrays([part.column("id"), pa.array(s.n), _signed(s.keys()), *(pa.nulls(len(part), t) for t in types.values())], names)
             counter.add(s.flat)
-            if counter.held > FLUSH:
-                yield counts()
-        if id_type and counter.held:
+        if id_type:
             yield counts()
 
     return rows.mapInArrow(run, f"id {kind.simpleString()}, n long, key long, segment int, cells binary, counts binary")
@@ -210,7 +210,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     small_batches(spark)
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     texts, words = rows.select("text"), text_bytes(docs, text_col) / BYTES_PER_WORD
-    log_cells = cells_for(words, 1, 1 << 21)
+    log_cells = LOG_CELLS
     load = words / log_cells
     first = scratch.write(_sets_and_counts(rows, log_cells, shingle))
     logs = LogSketch(first.filter("segment is not null").select("segment", "cells", "counts"), log_cells)
@@ -295,13 +295,18 @@ def _open_pairs(live: DataFrame, percent: int) -> DataFrame:
     bands = open_.groupBy("token", "band").agg(F.count(F.lit(1)).alias("size")).groupBy("token").agg(F.collect_list(F.struct("band", "size")).alias("bands"))
     reach = math.ceil(math.log(100 / percent) / math.log(BAND)) + 1
     near = F.filter("bands", lambda b: (F.abs(b["band"] - F.col("band")) <= reach) & (b["size"] > F.when(b["band"] == F.col("band"), 1).otherwise(0)))
-    ways = open_.filter("minor").join(bands, "token").select("token", "key", "n", "matches", "at", "component", F.explode(F.transform(near, lambda b: b["band"])).alias("band"))
+    way = F.struct("at", "token", F.transform(near, lambda b: b["band"]).alias("bands")).alias("way")
+    ways = open_.filter("minor").join(bands, "token").select("key", "n", "matches", "component", way).filter(F.size("way.bands") > 0)
+    # A key has as many ways as prefix tokens at most.
+    ways = ways.groupBy("key", "n", "matches", "component").agg(F.array_sort(F.collect_list("way")).alias("ways"))
+    ways = ways.select("*", F.explode(F.array_distinct(F.flatten(F.transform("ways", lambda w: w["bands"])))).alias("band"))
     low, high = F.floor(F.pow(F.lit(BAND), "band")), F.ceil(F.pow(F.lit(BAND), F.col("band") + 1))
     share = lambda n: F.ceil(F.lit(percent) * n / 100)
-    asked = F.greatest(F.lit(1), F.ceil(F.lit(percent) * (F.col("n") + low) / (100 + percent)) - F.greatest(share(F.col("n")) - F.col("matches"), share(high) - 1))
-    mine = Window.partitionBy("key", "band")
-    ranked = ways.withColumns({"ways": F.count(F.lit(1)).over(mine), "place": F.row_number().over(mine.orderBy("at"))})
-    probes = ranked.filter(F.col("place") <= F.col("ways") - asked + 1).select("token", "band", F.col("key").alias("a"), F.col("n").alias("an"), F.col("matches").alias("am"), F.col("at").alias("i"), F.col("component").alias("ac"))
+    asked = F.greatest(F.lit(1), F.ceil(F.lit(percent) * (F.col("n") + low) / (100 + percent)) - F.greatest(share(F.col("n")) - F.col("matches"), share(high) - 1)).cast("int")
+    own = F.filter("ways", lambda w: F.array_contains(w["bands"], F.col("band")))
+    ways = ways.select("key", "n", "matches", "component", "band", own.alias("own"), asked.alias("asked")).filter(F.size("own") >= F.col("asked"))
+    probe = F.explode(F.transform(F.slice("own", F.lit(1), F.size("own") - F.col("asked") + 1), lambda w: F.struct(w["at"].alias("i"), w["token"].alias("token")))).alias("p")
+    probes = ways.select("band", F.col("key").alias("a"), F.col("n").alias("an"), F.col("matches").alias("am"), F.col("component").alias("ac"), probe).select("p.token", "band", "a", "an", "am", "p.i", "ac")
     right = open_.select("token", "band", F.col("key").alias("b"), F.col("n").alias("bn"), F.col("matches").alias("bm"), F.col("at").alias("j"), F.col("component").alias("bc"), "minor")
     room = 1 + F.least(F.col("an") - F.col("i"), F.col("bn") - F.col("j")) >= F.ceil(F.lit(percent) * (F.col("an") + F.col("bn")) / (100 + percent))
     met = probes.join(right, ["token", "band"]).filter((F.col("ac") != F.col("bc")) & (~F.col("minor") | (F.col("a") < F.col("b"))) & room & _same_size("an", "bn", percent))

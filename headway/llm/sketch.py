@@ -55,23 +55,34 @@ class Counter:
         return pa.RecordBatch.from_arrays([pa.array(first, pa.int32()), pa.array([a for a, _ in coded], pa.binary()), pa.array([c for _, c in coded], pa.binary())], ["segment", "cells", "counts"])
 
 
+#: Cells in a segment of dense counts.
+DENSE_SEGMENT = 1 << 14
+
+
+class DenseCounter:
+    """All counts of one task, handed on once; counts above 255 stay 255."""
+
+    def __init__(self, cells: int):
+        self.counts = np.zeros(cells, np.int64)
+
+    def add(self, h: np.ndarray) -> None:
+        self.counts += np.bincount(places(h, len(self.counts), 1)[0], minlength=len(self.counts))
+
+    def flush(self) -> pa.RecordBatch:
+        parts = np.minimum(self.counts, 255).astype(np.uint8).reshape(-1, DENSE_SEGMENT)
+        return pa.RecordBatch.from_arrays([pa.array(np.arange(len(parts)), pa.int32()), pa.nulls(len(parts), pa.binary()), pa.array([p.tobytes() for p in parts], pa.binary())], ["segment", "cells", "counts"])
+
+
 def _pack(at: np.ndarray, counts: np.ndarray) -> tuple[bytes, bytes]:
-    """A segment's cells and counts: all counts if many cells have one, else the cells too, byte by byte, which compresses well as they are sorted."""
-    if len(at) > SEGMENT // 4:
-        dense = np.zeros(SEGMENT, np.uint8)
-        dense[at] = counts
-        return b"", dense.tobytes()
+    """A segment's cells, byte by byte, which compresses well as they are sorted, and their counts."""
     return np.ascontiguousarray(at.astype("<u4").view(np.uint8).reshape(-1, 4).T[:3]).tobytes(), counts.tobytes()
 
 
 def _merge(rows: pd.DataFrame) -> np.ndarray:
     total = np.zeros(SEGMENT, np.uint32)
     for cells, counts in zip(rows["cells"], rows["counts"], strict=True):
-        if cells:
-            low, middle, high = np.frombuffer(cells, np.uint8).reshape(3, -1).astype(np.uint32)
-            total[low | middle << 8 | high << 16] += np.frombuffer(counts, np.uint8)
-        else:
-            total += np.frombuffer(counts, np.uint8)
+        low, middle, high = np.frombuffer(cells, np.uint8).reshape(3, -1).astype(np.uint32)
+        total[low | middle << 8 | high << 16] += np.frombuffer(counts, np.uint8)
     return total
 
 
@@ -81,7 +92,9 @@ def _twice(rows: pd.DataFrame) -> pd.DataFrame:
 
 
 def _logs(rows: pd.DataFrame) -> pd.DataFrame:
-    c = _merge(rows).astype(np.float64)
+    c = np.zeros(DENSE_SEGMENT)
+    for counts in rows["counts"]:
+        c += np.frombuffer(counts, np.uint8)
     return pd.DataFrame({"segment": [int(rows["segment"].iloc[0])], "bits": [np.where(c > 0, np.minimum(1 + 8 * np.log2(np.maximum(c, 1)), 255), 0).astype(np.uint8).tobytes()]})
 
 
@@ -115,7 +128,7 @@ class LogSketch:
 
     def __init__(self, parts: DataFrame, cells: int):
         self.cells = cells
-        self.logs: Broadcast = parts.sparkSession.sparkContext.broadcast(_gathered(parts, _logs, cells, SEGMENT))
+        self.logs: Broadcast = parts.sparkSession.sparkContext.broadcast(_gathered(parts, _logs, cells, DENSE_SEGMENT))
 
     def level(self, h: np.ndarray) -> np.ndarray:
         return self.logs.value[places(h, self.cells, 1)[0]]
