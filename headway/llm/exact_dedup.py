@@ -87,7 +87,8 @@ def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     gives no rows.  Other columns of docs are not read.
     """
     each = identities(docs, id_col, text_col, block)
-    groups = each.groupBy("level", "name").agg(F.min("id").alias("keep_id"), F.sum("n_rows").alias("group_size"))
+    # Written, so that Spark can split a large group in the join.
+    groups = Scratch(docs.sparkSession, "exact-dedup-groups").write(each.groupBy("level", "name").agg(F.min("id").alias("keep_id"), F.sum("n_rows").alias("group_size")))
     return each.join(groups, ["level", "name"]).select("id", "key", "n_rows", "keep_id", "group_size", F.col("id").eqNullSafe(F.col("keep_id")).alias("kept"))
 
 
