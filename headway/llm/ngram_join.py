@@ -161,7 +161,7 @@ def _verified(pairs: DataFrame, rows: DataFrame, each: DataFrame, shingle: int,
     pairs hold: those that a sketch of the documents lets through.
     """
     keys = pairs.select(F.col("a").alias("key")).unionByName(pairs.select(F.col("b").alias("key"))).distinct()
-    chosen = scratch.write(each.join(keys, "key").groupBy("key").agg(F.min(F.xxhash64("id")).alias("h")).select("h"))
+    chosen = scratch.write(each.groupBy("key").agg(F.min(F.xxhash64("id")).alias("h")).join(keys, "key").select("h"))
     cells = cells_for(chosen.count())
     wanted = TwiceSketch(chosen.mapInArrow(lambda batches: _present(batches, cells), PART_SCHEMA), cells)
     sets = scratch.write(_members(rows.select(F.xxhash64("id").alias("h"), "text"), wanted, shingle))
@@ -237,8 +237,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     classes = each.filter("n > 0").groupBy("key").agg(F.min("id").alias("smallest"))
     classes = classes.join(named.withColumnRenamed("node", "key"), "key", "left").withColumn("component", F.coalesce("component", "key"))
-    smallest = classes.groupBy("component").agg(F.min("smallest").alias("component_id"))
-    names = classes.join(smallest, "component").select("key", "component_id")
+    # Both are written, so that Spark can split a large component or class in the join.
+    smallest = scratch.write(classes.groupBy("component").agg(F.min("smallest").alias("component_id")))
+    names = scratch.write(classes.join(smallest, "component").select("key", "component_id"))
     linked = each.filter("n > 0").join(names, "key").select("id", "key", F.col("n").alias("n_shingles"), "component_id")
     return linked.unionByName(each.filter("n = 0").select("id", "key", F.col("n").alias("n_shingles"), F.col("id").alias("component_id")))
 
