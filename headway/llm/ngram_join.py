@@ -252,10 +252,11 @@ def _present(batches: Iterator[pa.RecordBatch], cells: int) -> Iterator[pa.Recor
 
 
 def _labelled(live: DataFrame, named: DataFrame | None) -> DataFrame:
-    """Postings with the component of their key."""
+    """Postings with the component of their key, and how many keys it has."""
     if named is None:
-        return live.withColumn("component", F.col("key"))
-    return live.join(named.withColumnRenamed("node", "key"), "key", "left").withColumn("component", F.coalesce("component", "key"))
+        return live.withColumn("component", F.col("key")).withColumn("members", F.lit(1))
+    sized = named.join(named.groupBy("component").agg(F.count(F.lit(1)).cast("int").alias("members")), "component").withColumnRenamed("node", "key")
+    return live.join(sized, "key", "left").withColumn("component", F.coalesce("component", "key")).withColumn("members", F.coalesce("members", F.lit(1)))
 
 
 def _central_pairs(live: DataFrame, percent: int) -> DataFrame:
@@ -275,42 +276,42 @@ def _central_pairs(live: DataFrame, percent: int) -> DataFrame:
 
 
 def _largest(live: DataFrame) -> DataFrame:
-    """(token, top): the component with most postings, of the tokens that several components share."""
-    counts = live.groupBy("token", "component").agg(F.count(F.lit(1)).alias("size"))
-    top = counts.groupBy("token").agg(F.max(F.struct("size", "component")).alias("top"), F.count(F.lit(1)).alias("n_components"))
-    return top.filter("n_components > 1").select("token", F.col("top.component").alias("top"))
+    """(token, top): the last component in the order of all components, of the tokens that several components share."""
+    ends = live.groupBy("token").agg(*[f(F.struct("members", "component")).alias(name) for name, f in (("first", F.min), ("last", F.max))])
+    return ends.filter("first <> last").select("token", F.col("last.component").alias("top"))
 
 
 def _open_pairs(live: DataFrame, percent: int) -> DataFrame:
     """(a, b): all pairs of different components that share enough prefix tokens.
 
-    Of two components in a token's postings one at least is not its largest,
-    so it is enough to look for partners of the keys outside it.  Such a key
-    must share ``asked`` of the tokens that lead it to partners of a band of
-    sizes, so the first that it shares is not among the last asked - 1 of them,
-    which are not probed; and after it either set must have room for what the
-    two must share in all.
+    Components are in one order for all tokens, by how many keys they have and
+    then by name, and a key looks for partners in later ones only.  So one side
+    of a pair probes all tokens that the two share, and none is its token's
+    last component.  That key must share ``asked`` of the tokens that lead it
+    to partners of a band of sizes, so the first that it shares is not among
+    the last asked - 1 of them, which are not probed; and after it either set
+    must have room for what the two must share in all.
     """
     band = F.floor(F.ln("n") / F.ln(F.lit(BAND))).cast("int")
-    open_ = live.join(_largest(live), "token").withColumn("minor", F.col("component") != F.col("top")).withColumn("band", band)
+    open_ = live.join(_largest(live), "token").withColumn("band", band)
     bands = open_.groupBy("token", "band").agg(F.count(F.lit(1)).alias("size")).groupBy("token").agg(F.collect_list(F.struct("band", "size")).alias("bands"))
     reach = math.ceil(math.log(100 / percent) / math.log(BAND)) + 1
     near = F.filter("bands", lambda b: (F.abs(b["band"] - F.col("band")) <= reach) & (b["size"] > F.when(b["band"] == F.col("band"), 1).otherwise(0)))
     way = F.struct("at", "token", F.transform(near, lambda b: b["band"]).alias("bands")).alias("way")
-    ways = open_.filter("minor").join(bands, "token").select("key", "n", "matches", "component", way).filter(F.size("way.bands") > 0)
+    ways = open_.filter("component <> top").join(bands, "token").select("key", "n", "matches", "members", "component", way).filter(F.size("way.bands") > 0)
     # A key has as many ways as prefix tokens at most.
-    ways = ways.groupBy("key", "n", "matches", "component").agg(F.array_sort(F.collect_list("way")).alias("ways"))
+    ways = ways.groupBy("key", "n", "matches", "members", "component").agg(F.array_sort(F.collect_list("way")).alias("ways"))
     ways = ways.select("*", F.explode(F.array_distinct(F.flatten(F.transform("ways", lambda w: w["bands"])))).alias("band"))
     low, high = F.floor(F.pow(F.lit(BAND), "band")), F.ceil(F.pow(F.lit(BAND), F.col("band") + 1))
     share = lambda n: F.ceil(F.lit(percent) * n / 100)
     asked = F.greatest(F.lit(1), F.ceil(F.lit(percent) * (F.col("n") + low) / (100 + percent)) - F.greatest(share(F.col("n")) - F.col("matches"), share(high) - 1)).cast("int")
     own = F.filter("ways", lambda w: F.array_contains(w["bands"], F.col("band")))
-    ways = ways.select("key", "n", "matches", "component", "band", own.alias("own"), asked.alias("asked")).filter(F.size("own") >= F.col("asked"))
+    ways = ways.select("key", "n", "matches", "members", "component", "band", own.alias("own"), asked.alias("asked")).filter(F.size("own") >= F.col("asked"))
     probe = F.explode(F.transform(F.slice("own", F.lit(1), F.size("own") - F.col("asked") + 1), lambda w: F.struct(w["at"].alias("i"), w["token"].alias("token")))).alias("p")
-    probes = ways.select("band", F.col("key").alias("a"), F.col("n").alias("an"), F.col("matches").alias("am"), F.col("component").alias("ac"), probe).select("p.token", "band", "a", "an", "am", "p.i", "ac")
-    right = open_.select("token", "band", F.col("key").alias("b"), F.col("n").alias("bn"), F.col("matches").alias("bm"), F.col("at").alias("j"), F.col("component").alias("bc"), "minor")
+    probes = ways.select("band", F.col("key").alias("a"), F.col("n").alias("an"), F.col("matches").alias("am"), F.struct("members", "component").alias("ac"), probe).select("p.token", "band", "a", "an", "am", "p.i", "ac")
+    right = open_.select("token", "band", F.col("key").alias("b"), F.col("n").alias("bn"), F.col("matches").alias("bm"), F.col("at").alias("j"), F.struct("members", "component").alias("bc"))
     room = 1 + F.least(F.col("an") - F.col("i"), F.col("bn") - F.col("j")) >= F.ceil(F.lit(percent) * (F.col("an") + F.col("bn")) / (100 + percent))
-    met = probes.join(right, ["token", "band"]).filter((F.col("ac") != F.col("bc")) & (~F.col("minor") | (F.col("a") < F.col("b"))) & room & _same_size("an", "bn", percent))
+    met = probes.join(right, ["token", "band"]).filter((F.col("ac") < F.col("bc")) & room & _same_size("an", "bn", percent))
     pairs = met.select("a", "b", "an", "bn", "am", "bm").distinct()
     prefixes = live.groupBy("key").agg(F.collect_list("token").alias("prefix"))
     both = pairs.join(prefixes.select(F.col("key").alias("a"), F.col("prefix").alias("x")), "a").join(prefixes.select(F.col("key").alias("b"), F.col("prefix").alias("y")), "b")

@@ -117,6 +117,34 @@ def test_near_duplicates(spark):
     assert near_duplicates(frame(spark, rows).limit(0)).count() == 0
 
 
+def border_rows():
+    """Pairs of groups of near copies, with a link between their first members that barely holds."""
+    rng, rows = random.Random(8), []
+    for k in range(60):
+        n = rng.randint(60, 140)
+        first = [f"g{k}w{i}" for i in range(n)]
+        least = lambda x, y: 100 * len(x & y) >= 75 * len(x | y)
+        second = list(first)
+        for i in rng.sample(range(n), n):
+            tried = [*second[:i], f"g{k}x{i}", *second[i + 1 :]]
+            if least(shingles(" ".join(first)), shingles(" ".join(tried))):
+                second = tried
+        for side, base in (("a", first), ("b", second)):
+            rows.append(base)
+            for c in range(rng.randint(2, 7)):
+                w = list(base)
+                at = rng.randrange(n - 3)
+                w[at : at + 3] = [f"g{k}{side}{c}y{j}" for j in range(3)]
+                rows.append(w)
+    return [(i, " ".join(w)) for i, w in enumerate(rows)]
+
+
+def test_groups_with_one_link_between_them(spark):
+    rows = border_rows()
+    got = [(r.id, r.n_shingles, r.component_id) for r in near_duplicates(frame(spark, rows)).collect()]
+    assert sorted(got) == sorted(linked(rows))
+
+
 def test_one_of_each_group_stays(spark):
     rows = near_rows()
     docs = frame(spark, rows)
