@@ -17,8 +17,12 @@ from .components import components
 #: Least cosine of a link.
 COSINE = 0.95
 TREES, SEED = 8, 11
-#: Vectors per leaf that the trees' depth aims at, and how many standard deviations of a node's projections spill to both sides.
-LEAF, SPILL = 256, 0.12
+#: Vectors per leaf that the trees' depth aims at, and how many standard deviations of the projected distance of a barely linked pair spill to both sides.
+LEAF, SPILL = 256, 0.5
+#: A node is not split further if this share of its sample's pairs is linked, judged on SEEN_MOST rows at most.
+DENSE, SEEN_MOST = 0.25, 64
+#: Sample rows that the deepest nodes have on average, at least; beyond SAMPLE / SEEN * LEAF vectors leaves grow instead.
+SEEN = 8
 #: Vectors that the splits are fitted on, at most; every vector is indexed.
 SAMPLE = 20_000
 #: Vectors of a leaf compared in one task; a larger leaf is compared block against block.
@@ -26,16 +30,24 @@ BLOCK = 2048
 
 
 class Forest:
-    """One random direction for each tree and level; in each node a threshold near the middle of its sample, and a spill margin."""
+    """One random direction for each tree and level; in each node a threshold near the middle of its sample, and a spill margin.
 
-    def __init__(self, sample: np.ndarray, count: int, seed: int = SEED):
+    A node full of linked pairs is a leaf whatever its size: a split would part
+    them, and its leaf is compared block by block at a cost in proportion to
+    its links.
+    """
+
+    def __init__(self, sample: np.ndarray, count: int, seed: int = SEED, cosine: float = COSINE):
         self.depth = max(0, math.ceil(math.log2(max(count, 1) / LEAF)))
+        if len(sample) < count:
+            self.depth = min(self.depth, max(0, math.floor(math.log2(max(len(sample), 1) / SEEN))))
         rng = np.random.default_rng(seed)
         dim = sample.shape[1]
         self.directions = rng.standard_normal((TREES, self.depth, dim)) / math.sqrt(dim)
         self.thresholds, self.margins = [], []
+        margin = SPILL * math.sqrt(2 * max(1 - cosine, 0)) / math.sqrt(dim)
         for t in range(TREES):
-            nodes = np.zeros(len(sample), np.int64)
+            nodes, whole = np.zeros(len(sample), np.int64), np.zeros(1, bool)
             for level in range(self.depth):
                 p = sample @ self.directions[t, level]
                 # The recursion's random part: each split falls at a random quantile between 0.4 and 0.6.
@@ -45,13 +57,15 @@ class Forest:
                 at = np.minimum(firsts + (sizes * rng.uniform(0.4, 0.6, 1 << level)).astype(np.int64), len(p) - 1)
                 filled = sizes > 0
                 cut = np.where(filled, p[order][at], 0.0)
-                n = np.maximum(sizes, 1)
-                mean = np.bincount(nodes, p, 1 << level) / n
-                spread = np.sqrt(np.maximum(np.bincount(nodes, p * p, 1 << level) / n - mean * mean, 0))
-                spread = np.where(sizes > 8, spread, p.std())
-                self.thresholds.append(cut)
-                self.margins.append(SPILL * spread)
-                nodes = 2 * nodes + (p > cut[nodes])
+                for node in np.flatnonzero((sizes > 1) & ~whole):
+                    seen = order[firsts[node] : firsts[node] + sizes[node]]
+                    x = sample[seen[np.linspace(0, len(seen) - 1, min(len(seen), SEEN_MOST)).astype(np.int64)]]
+                    whole[node] = (x @ x.T >= cosine).sum() - len(x) >= DENSE * len(x) * (len(x) - 1)
+                # All of a whole node goes to the left, down to the last level.
+                self.thresholds.append(np.where(whole, np.inf, cut))
+                self.margins.append(np.where(whole, 0.0, margin))
+                nodes = 2 * nodes + (p > self.thresholds[-1][nodes])
+                whole = np.stack([whole, np.zeros_like(whole)], axis=1).ravel()
 
     def leaves(self, x: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         """For each tree, rows and the leaves they are in; a row near a split is on both sides."""
@@ -126,15 +140,17 @@ def _compare(rows: pd.DataFrame, cosine: float) -> pd.DataFrame:
     x, ids, copies = _unit(np.stack(rows["vector"].to_numpy()).astype(np.float64)), rows["id"].to_numpy(), rows["copies"].to_numpy()
     mixed = bool(side.any()) and not bool(side.all())
     left, right = (np.flatnonzero(~side), np.flatnonzero(side)) if mixed else (np.arange(len(x)),) * 2
+    out = {"id": np.zeros(0, np.int64), "links": np.zeros(0, np.int64), "root": np.zeros(0, np.int64)}
+    earlier = [np.asarray(h)[np.asarray(h) < home] for h in rows["homes"]]
+    if (np.unique(np.concatenate(earlier), return_counts=True)[1] == len(x)).any():
+        return pd.DataFrame(out)  # all share an earlier leaf
     pairs = []
     for k in range(0, len(left), 512):
         i, j = np.nonzero(x[left[k : k + 512]] @ x[right].T >= cosine)
         i, j = left[k + i], right[j]
         pairs.append((i, j) if mixed else (i[i < j], j[i < j]))
     a, b = (np.concatenate(c) for c in zip(*pairs, strict=True))
-    out = {"id": np.zeros(0, np.int64), "links": np.zeros(0, np.int64), "root": np.zeros(0, np.int64)}
     if len(a):
-        earlier = [np.asarray(h)[np.asarray(h) < home] for h in rows["homes"]]
         known, flat = np.unique(np.concatenate(earlier), return_inverse=True) if any(map(len, earlier)) else (np.zeros(0), np.zeros(0, int))
         member = np.zeros((len(x), max(len(known), 1)), bool)
         member[np.repeat(np.arange(len(x)), [len(e) for e in earlier]), flat] = True
@@ -167,7 +183,7 @@ def near_duplicate_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_co
     forests = {}
     for r in classes.groupBy("dim").agg(F.count(F.lit(1)).alias("n")).collect():
         sample = classes.filter(F.col("dim") == r["dim"]).orderBy(F.xxhash64(F.lit(SEED), F.col("id")), "id").limit(SAMPLE).select("vector").toPandas()["vector"]
-        forests[r["dim"]] = Forest(_unit(np.stack(sample.to_numpy()).astype(np.float64)), r["n"])
+        forests[r["dim"]] = Forest(_unit(np.stack(sample.to_numpy()).astype(np.float64)), r["n"], cosine=cosine)
     placed = _indexed(classes, forests)
     # A leaf over BLOCK vectors is cut into blocks by a hash of the id, and each pair of blocks is compared on its own.
     sizes = placed.groupBy("dim", "home").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks")).filter("blocks > 1")

@@ -13,7 +13,7 @@ import pytest
 from headway.llm.exact_dedup import drop_exact_duplicates, exact_duplicates
 from headway.llm.ngram_join import keep_one_of_each, near_duplicates
 from headway.llm.substring_dedup import remove_repeats
-from headway.llm.vectors import near_duplicate_vectors
+from headway.llm.vectors import Forest, near_duplicate_vectors
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 SCHEMA = "doc_id long, text string, id string, key string, name string, level int, n int, tokens string, n_rows int, kept string"
@@ -179,6 +179,25 @@ def test_near_duplicate_vectors(spark):
     assert near_duplicate_vectors(table.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("count", [12_000, 100_000, 300_000])
+def test_a_large_group_of_noisy_copies_shares_leaves(count):
+    rng = np.random.default_rng(4)
+    unit = lambda x: x / np.linalg.norm(x, axis=1, keepdims=True)
+    n = min(count, 20_000)
+    x = unit(rng.standard_normal((n, 64)))
+    x[::3] = unit(unit(rng.standard_normal((1, 64))) + 0.0175 * rng.standard_normal((len(x[::3]), 64)))
+    a, b = x[::3][:2000], x[::3][2000:4000]
+    linked = (a * b).sum(axis=1) >= 0.95
+    shared = np.zeros(len(a), bool)
+    for rows, leaves in Forest(x, count).leaves(np.concatenate([a, b])):
+        homes = defaultdict(set)
+        for row, leaf in zip(rows.tolist(), leaves.tolist(), strict=True):
+            homes[row].add(leaf)
+        shared |= [bool(homes[k] & homes[k + len(a)]) for k in range(len(a))]
+    print(count, linked.sum(), "recall", shared[linked].mean())
+    assert linked.sum() > 1000 and shared[linked].mean() >= 0.99
+
+
 def test_digest_columns(spark, tmp_path):
     from headway.llm.registry import queries
 
