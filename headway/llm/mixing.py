@@ -84,6 +84,8 @@ def mix(
     on the next epoch's shortest prefix that reaches it, so a leaf exceeds its
     budget by less than one document.  Documents without words are never
     needed to reach a budget: they come first in their epoch and cost nothing.
+    A leaf whose documents all have no words has no budget, and none of its
+    documents is taken in any epoch, as in the SQL.
     Null languages and sources are values like others; rows repeated in full
     are one document with n_rows > 1, whose tokens count n_rows times.  An
     empty table gives no rows.
