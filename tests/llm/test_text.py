@@ -12,9 +12,10 @@ import pyarrow.parquet
 import pytest
 from pyspark.sql import functions as F
 
+from headway.llm import packing
 from headway.llm.chat import format_chats, loss_text, read_back
 from headway.llm.mixing import WEIGHTS, domain_of, mix, mixed_documents
-from headway.llm.packing import _WordEncoder, default_tokenizer, pack
+from headway.llm.packing import _encoder, _TextEncoder, _WordEncoder, default_tokenizer, pack
 from headway.llm.pii import find_pii, redact
 from headway.llm.quality import fit_quality, keep_good
 from headway.llm.toxicity import fit_toxicity
@@ -159,15 +160,22 @@ def test_mixing_odd_documents(spark):
     assert mixed_documents(docs.limit(0)).count() == 0 and mix(docs, total=0.0).count() == 0
 
 
-def test_word_encoder_gives_the_tokenizers_ids():
+@pytest.mark.parametrize("cache", [0, 24 << 20])
+@pytest.mark.parametrize("file, kind", [("word_bpe_49k.json", _WordEncoder), ("byte_bpe_50k.json", _TextEncoder)])
+def test_ids_are_the_tokenizers(monkeypatch, file, kind, cache):
+    import public_tokenizers
     from tokenizers import Tokenizer
 
-    texts = [*ODD, "A\x85B\x1cC O'Re'll ÿ÷× æß! ÄÖÜ?! ΑΣ ΣΑΣ ǅ", "́ a ́", *[r.as_py() for r in pa.parquet.read_table(f"{SF}/documents.parquet")["text"][:300]]]
-    whole, encoder = Tokenizer.from_file(default_tokenizer()), _WordEncoder(default_tokenizer())
-    ids, sizes = encoder(pa.array(texts))
-    ends = np.cumsum(sizes)
-    for t, a, b in zip(texts, ends - sizes, ends, strict=True):
-        assert ids[a:b].tolist() == whole.encode(t or "", add_special_tokens=False).ids
+    monkeypatch.setattr(packing, "CACHE_BYTES", cache)
+    texts = [*ODD, "A\x85B\x1cC O'Re'll ÿ÷× æß! ÄÖÜ?! ΑΣ ΣΑΣ ǅ !? . a.!", "\u0301 a \u0301 A\u0301.", *[r.as_py() for r in pa.parquet.read_table(f"{SF}/documents.parquet")["text"][:300]]]
+    path = public_tokenizers.path(file)
+    whole, encoder = Tokenizer.from_file(path), _encoder(path)
+    assert type(encoder) is kind
+    for part in (texts, texts[::-1], []):
+        ids, sizes = encoder(pa.array(part, pa.string()))
+        ends = np.cumsum(sizes)
+        for t, a, b in zip(part, ends - sizes, ends, strict=True):
+            assert ids[a:b].tolist() == whole.encode(t or "", add_special_tokens=False).ids
 
 
 def test_packing(spark):
