@@ -21,6 +21,8 @@ from ..storage import shared_folder
 from .patterns import BUCKET, Timetable, trip_in_span
 
 MAX_ROUNDS = 5
+#: A search takes at least one round and at most these.
+MOST_ROUNDS = 8
 _NEVER = 2**31 - 1
 
 
@@ -53,7 +55,8 @@ def plan(timetable: Timetable, queries: DataFrame, endpoints: DataFrame, max_rou
     negative ones counting as none.  A query whose ends share a stop, or lack
     one, has no result.  Journeys hold at least one ride; a walk into a target
     still bounds what rides can improve.  Footpaths are taken from the stops
-    that rides reach, one at a time.
+    that rides reach, one at a time.  max_rounds counts vehicles, from 1 to
+    MOST_ROUNDS.
     """
     path = _path_type(dict(endpoints.dtypes)["stop_id"])
     ends = _usable_ends(queries, endpoints)
@@ -68,7 +71,7 @@ def plan(timetable: Timetable, queries: DataFrame, endpoints: DataFrame, max_rou
     state = seeds.withColumn("egress", F.lit(None).cast("int")).unionByName(goals).groupBy("query_id", "stop_id").agg(F.min("label").alias("label"), F.max("egress").alias("egress"))
     state = _kept(state.select("query_id", "stop_id", F.col("label.arrival").alias("best"), "label", "egress"))
     states = [state]
-    for _ in range(max_rounds):
+    for _ in range(max(1, min(max_rounds, MOST_ROUNDS))):
         state = _kept(_round(state, timetable, path, bucket))
         if not state.agg(F.count("label")).first()[0]:
             break

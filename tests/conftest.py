@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import pytest
+from feeds import write_feed
 from pyspark.sql import SparkSession
 
 
@@ -8,55 +9,15 @@ from pyspark.sql import SparkSession
 def spark(tmp_path_factory):
     session = (
         SparkSession.builder.master("local[4]").appName("tests").config("spark.sql.shuffle.partitions", "4").config("spark.ui.enabled", "false").config("spark.driver.memory", "4g")
-        .config("spark.sql.session.timeZone", "UTC").config("spark.sql.warehouse.dir", str(tmp_path_factory.mktemp("warehouse"))).getOrCreate()
+        .config("spark.sql.session.timeZone", "UTC").config("spark.sql.warehouse.dir", str(tmp_path_factory.mktemp("warehouse"))).config("spark.checkpoint.dir", tmp_path_factory.mktemp("checkpoints").as_uri()).getOrCreate()
     )
     session.sparkContext.setLogLevel("ERROR")
     yield session
     session.stop()
 
 
-STOPS = {
-    "A": (45.4200, -75.7000), "B": (45.4250, -75.6900), "C": (45.4300, -75.6800), "C2": (45.4302, -75.6805),
-    "D": (45.4350, -75.6700), "E": (45.4400, -75.6600), "Z": (45.5000, -75.5000),
-}
-
-
-def hms(seconds: int) -> str:
-    return f"{seconds // 3600:02d}:{seconds // 60 % 60:02d}:{seconds % 60:02d}"
-
-
-def write_feed(folder, extra: dict[str, list[str]] | None = None, stops: list[str] | None = None):
-    """A network small enough to solve by hand: lines 1 (A-B-C), 2 (C-D-E) and 3 (A-E, slow and direct)."""
-    trips, times = [], []
-
-    def trip(trip_id, route, service, head, calls):
-        trips.append(f"{trip_id},{route},{service},{head}")
-        times.extend(f"{trip_id},{hms(t)},{hms(t)},{stop},{k + 1}" for k, (stop, t) in enumerate(calls))
-
-    for k in range(6):
-        t = 8 * 3600 + 600 * k
-        trip(f"R1-{k}", "R1", "WEEKDAY", "Charlie", [("A", t), ("B", t + 300), ("C", t + 720)])
-        t += 180
-        trip(f"R2-{k}", "R2", "WEEKDAY", "Echo", [("C", t), ("D", t + 360), ("E", t + 840)])
-    trip("R3-0", "R3", "WEEKDAY", "Echo direct", [("A", 8 * 3600), ("E", 8 * 3600 + 3300)])
-    trip("R1-SAT", "R1", "WEEKEND", "Charlie", [("A", 9 * 3600), ("B", 9 * 3600 + 300), ("C", 9 * 3600 + 720)])
-    files = {
-        "stops": stops or ["stop_id,stop_name,stop_lat,stop_lon", *(f"{s},Stop {s},{a},{b}" for s, (a, b) in STOPS.items())],
-        "routes": ["route_id,route_short_name,route_long_name,route_type", "R1,1,Line One,3", "R2,2,Line Two,1", "R3,3,Line Three,3"],
-        "trips": ["trip_id,route_id,service_id,trip_headsign", *trips],
-        "stop_times": ["trip_id,arrival_time,departure_time,stop_id,stop_sequence", *times],
-        "calendar": ["service_id,monday,tuesday,wednesday,thursday,friday,saturday,sunday,start_date,end_date", "WEEKDAY,1,1,1,1,1,0,0,20260101,20271231", "WEEKEND,0,0,0,0,0,1,1,20260101,20271231"],
-    }
-    for name, lines in (extra or {}).items():
-        files[name] = files.get(name, []) + lines
-    folder.mkdir(parents=True, exist_ok=True)
-    for name, lines in files.items():
-        (folder / f"{name}.txt").write_text("\n".join(lines) + "\n", encoding="utf-8-sig" if name == "stops" else "utf-8")
-    return str(folder)
-
-
 @pytest.fixture(scope="session")
-def golden(spark, tmp_path_factory):
+def harbour(spark, tmp_path_factory):
     from headway.sources.gtfs import load_feed
 
-    return load_feed(spark, write_feed(tmp_path_factory.mktemp("golden") / "feed")).snapshot()
+    return load_feed(spark, write_feed(tmp_path_factory.mktemp("harbour") / "feed")).snapshot()

@@ -5,10 +5,10 @@ from __future__ import annotations
 import zipfile
 
 import pytest
-from conftest import hms, write_feed
+from feeds import hms, write_feed
 from pyspark.sql import functions as F
 
-from headway.functions.text import fold_text, hex_colour, name_stem, short_address
+from headway.functions.text import feed_name, fold_text, hex_colour, lookup_key, name_stem, short_address
 from headway.functions.time import clock, format_time, parse_time, query_date, query_time, wall_clock, window_label
 from headway.operators.itinerary import as_json, describe, journeys, merge_walks, named_legs, summary, with_doors
 from headway.operators.patterns import build_timetable
@@ -25,7 +25,7 @@ def column(spark, values, kind, f):
 
 
 def test_times(spark):
-    assert column(spark, ["00:00:00", "08:30:00", "23:59:59", "24:00:00", "25:10:00", "8:05", "", " ", None, "104:28:00"], "string", parse_time) == [0, 30600, 86399, 86400, 90600, 29100, -1, -1, -1, 376080]
+    assert column(spark, ["00:00:01", "6:07:08", "23:00:00", "24:30:00", "31:00:09", "9:40", "", "  ", None, "120:00:00"], "string", parse_time) == [1, 22028, 82800, 88200, 111609, 34800, -1, -1, -1, 432000]
     assert column(spark, [-1, 0, 90600, 376080], "int", format_time) == ["--:--", "00:00:00", "25:10:00", "104:28:00"]
     assert column(spark, [90600, 29100], "int", clock) == ["25:10", "08:05"]
     assert column(spark, [90629, 90630, 43200], "int", wall_clock) == ["01:10", "01:11", "12:00"]
@@ -38,11 +38,13 @@ def test_times(spark):
 
 
 def test_names(spark):
-    names = ["HURDMAN A", "TUNNEY'S PASTURE 2", "BLAIR PLATFORM 3", "Stop 12", "Bay 7", "MAIN", "RIDEAU / FRIEL"]
-    assert column(spark, names, "string", name_stem) == ["hurdman", "tunney's pasture", "blair", "stop 12", "bay 7", "main", "rideau / friel"]
-    assert [fold_text(x) for x in ("PLACE D'ORLÉANS", "ST-LAURENT", "  Rideau / Charlotte ")] == ["place dorleans", "st laurent", "rideau charlotte"]
-    assert column(spark, ["#FF0000", "abc", "00ff0g", None, "##aaBBcc"], "string", hex_colour) == ["#ff0000", "", "", "", "#aabbcc"]
-    assert column(spark, ["1 A St, , Town, Land", ",,", "x"], "string", short_address) == ["1 A St, Town", ",,", "x"]
+    names = ["KRONENPLATZ C", "Alte Weberei 14", "Nordtor Quai 7", "North Gate bay12", "Halt 7", "Ost B", "Am See", "Linden / Allee"]
+    assert column(spark, names, "string", name_stem) == ["kronenplatz", "alte weberei", "nordtor", "north gate", "halt 7", "ost b", "am see", "linden / allee"]
+    assert [fold_text(x) for x in ("Rue de l’Évêché", "Groß-Gerau", "  São  Bento / Sé ", "ÎLE D'OR")] == ["rue de leveche", "gro gerau", "sao bento se", "ile dor"]
+    assert column(spark, ["#12AB9F", "fff", "12ab9g", None, "##0a0B0c"], "string", hex_colour) == ["#12ab9f", "", "", "", "#0a0b0c"]
+    assert column(spark, ["3 Pier Road, , Port, Country", ",,", "pier"], "string", short_address) == ["3 Pier Road, Port", ",,", "pier"]
+    assert column(spark, ["  Pier \t Road ", ""], "string", lookup_key) == ["pier road", ""]
+    assert column(spark, ["/data/feeds/harbour.zip", "C:\\feeds\\town", "x"], "string", feed_name) == ["harbour.zip", "town", "x"]
 
 
 def test_zipped_feed_in_a_folder(spark, tmp_path):
@@ -52,7 +54,7 @@ def test_zipped_feed_in_a_folder(spark, tmp_path):
             z.write(p, f"wrapped/{p.name}")
     for path in (folder, str(tmp_path / "feed.zip")):
         counts = {r.metric: r.value for r in feed_counts(load_feed(spark, path)).collect()}
-        assert counts == {"stops": 7, "routes": 3, "trips": 14, "stop_times": 41, "services": 2, "exceptions": 0, "transfers": 0}
+        assert counts == {"stops": 7, "routes": 3, "trips": 12, "stop_times": 35, "services": 2, "exceptions": 0, "transfers": 0}
 
 
 def test_feeds_that_cannot_be_read(spark, tmp_path):
@@ -65,21 +67,31 @@ def test_feeds_that_cannot_be_read(spark, tmp_path):
 
 def test_unusable_rows_go(spark, tmp_path):
     extra = {
-        "stop_times": ["R1-0,,,B,99", "R1-0,09:00:00,09:00:00,NOPE,98", "GHOST,09:00:00,09:00:00,A,1", "R1-1,,12:00:00,E,50"], "trips": ["LONELY,R1,WEEKDAY,x"], "stops": ["X,Bad,north,-75", "Y,,,", "A,Stop A again,45.42,-75.7"],
-        "calendar_dates": ["service_id,date,exception_type", "WEEKDAY,20260707,2", "WEEKEND,nonsense,1", "EXTRA,20260708,1"], "transfers": ["from_stop_id,to_stop_id,transfer_type,min_transfer_time", "A,D,2,30", "D,A,3,30", "A,NOPE,2,9"],
-    }
+        "stop_times": ["h2,,,park,70", "h3,08:00:00,08:00:00,nowhere,60", "unknown,07:00:00,07:00:00,quay,0", "l1,,08:15:00,isle,80", "solo,07:00:00,07:00:00,quay,0"],
+        "trips": ["solo,HARBOUR,WORKDAYS,Alone"],
+        "stops": ["bad,Bad Stop,abc,4.4", "blank,,,", "quay,New Quay,51.9,4.4"],
+        "calendar_dates": ["service_id,date,exception_type", "WORKDAYS,20260303,2", "SUNDAYS,2026-03-04,1", "FAIR,20260307,1"],
+        "transfers": ["from_stop_id,to_stop_id,transfer_type,min_transfer_time", "quay,park,2,45", "park,quay,3,45", "quay,nowhere,2,45", "fort,dome,2,150"],
+    }
     feed = load_feed(spark, write_feed(tmp_path / "feed", extra))
-    assert {r.metric: r.value for r in feed_counts(feed).collect()} == {"stops": 8, "routes": 3, "trips": 14, "stop_times": 42, "services": 3, "exceptions": 2, "transfers": 1}
+    assert {r.metric: r.value for r in feed_counts(feed).collect()} == {"stops": 8, "routes": 3, "trips": 12, "stop_times": 36, "services": 3, "exceptions": 2, "transfers": 2}
     named = {r.stop_id: r for r in feed.stops.collect()}
-    assert named["Y"].name == "Y" and named["Y"].lat != named["Y"].lat and named["A"].name == "Stop A again" and named["A"].stop_ord == 0
-    late = [(r.arr, r.dep) for r in feed.stop_times.filter("trip_id = 'R1-1'").orderBy("pos").collect()][-1]
-    assert late == (43200, 43200)
-    assert {(r.from_stop, r.to_stop): r.seconds for r in footpaths(feed.stops, feed.transfers).collect()} == {("C", "C2"): 60, ("C2", "C"): 60, ("A", "D"): 60}
+    assert named["blank"].name == "blank" and named["blank"].lat != named["blank"].lat and named["quay"].name == "New Quay" and named["quay"].stop_ord == 0
+    late = [(r.arr, r.dep) for r in feed.stop_times.filter("trip_id = 'l1'").orderBy("pos").collect()][-1]
+    assert late == (29_700, 29_700)
+    # Stops without coordinates walk nowhere; a declared transfer takes at least a minute.
+    assert {(r.from_stop, r.to_stop): r.seconds for r in footpaths(feed.stops, feed.transfers).collect()} == {("fort", "dome"): 150, ("dome", "fort"): 63, ("quay", "park"): 60}
+
+
+def test_quoted_newlines(spark, tmp_path):
+    feed = load_feed(spark, write_feed(tmp_path / "feed", {"trips": ['q,HARBOUR,WORKDAYS,"Fort\nby night"'], "stop_times": ["q,20:00:00,20:00:00,quay,1", "q,20:09:00,20:09:00,fort,2"]}))
+    assert feed.trips.filter("trip_id = 'q'").first().headsign == "Fort\nby night"
+    assert feed.trips.count() == 13
 
 
 def test_stop_order_is_by_sequence(spark, tmp_path):
-    feed = load_feed(spark, write_feed(tmp_path / "feed", {"trips": ["S,R1,WEEKDAY,x"], "stop_times": ["S,10:20:00,10:20:00,C,30", "S,10:00:00,10:00:00,A,10", "S,10:10:00,10:10:00,B,20"]}))
-    assert [r.stop_id for r in feed.stop_times.filter("trip_id = 'S'").orderBy("pos").collect()] == ["A", "B", "C"]
+    feed = load_feed(spark, write_feed(tmp_path / "feed", {"trips": ["late,HARBOUR,WORKDAYS,x"], "stop_times": ["late,21:20:00,21:20:00,fort,9", "late,21:00:00,21:00:00,quay,2", "late,21:08:00,21:08:00,mill,4"]}))
+    assert [r.stop_id for r in feed.stop_times.filter("trip_id = 'late'").orderBy("pos").collect()] == ["quay", "mill", "fort"]
 
 
 HEAD = "stop_id,stop_name,stop_lat,stop_lon,location_type,parent_station"
@@ -93,35 +105,36 @@ def places_of(spark, tmp_path, lines):
 
 def test_places(spark, tmp_path):
     stops = places_of(spark, tmp_path, [
-        "HUR,Hurdman Station,45.41,-75.66,1,", "H1,Hurdman 1,45.41,-75.66,0,HUR", "H2,Hurdman 2,45.41,-75.66,0,HUR", "L1,BLAIR A,45.43,-75.60,0,", "L2,BLAIR B,45.4301,-75.60,0,MISSING", "L3,BLAIR C,45.47,-75.60,0,",
-        "N1,Bank,45.40,-75.69,0,", "N2,Bank,45.4001,-75.69,0,", "K1,Bank / Gladstone,45.4100,-75.69,0,", "T1,TUNNEY'S PASTURE 1,45.39,-75.72,0,", "T2,Tunney's Pasture 2,45.39,-75.72,0,",
+        "STA,Central Station,51.50,4.20,1,", "p1,Central Track 1,51.50,4.20,0,STA", "p2,Central Track 2,51.50,4.20,0,STA", "c1,CHURCH SQUARE A,51.53,4.26,0,", "c2,CHURCH SQUARE B,51.5301,4.26,0,GONE", "c3,CHURCH SQUARE C,51.57,4.26,0,",
+        "m1,Moat,51.49,4.17,0,", "m2,Moat,51.4901,4.17,0,", "x1,Moat / Alder,51.51,4.17,0,", "e1,RUE D'ÉTÉ NORD 1,51.48,4.14,0,", "e2,Rue d'Été nord 2,51.48,4.14,0,", "nan,Moat,,,0,",
     ])
     found = {r.place_id: (r.name, r.stop_ids) for r in build_places(stops).collect()}
     assert found == {
-        "HUR": ("Hurdman Station", ["H1", "H2"]), "L1": ("BLAIR", ["L1", "L2"]), "blair#1": ("BLAIR C", ["L3"]), "N1": ("Bank", ["N1", "N2"]), "K1": ("Bank / Gladstone", ["K1"]), "T1": ("TUNNEY'S PASTURE", ["T1", "T2"]),
+        "STA": ("Central Station", ["p1", "p2"]), "c1": ("CHURCH SQUARE", ["c1", "c2"]), "church square#1": ("CHURCH SQUARE C", ["c3"]), "m1": ("Moat", ["m1", "m2"]), "x1": ("Moat / Alder", ["x1"]),
+        "e1": ("RUE D'ÉTÉ NORD", ["e1", "e2"]), "moat#1": ("Moat", ["nan"]),
     }
     places = build_places(stops)
-    asked = spark.createDataFrame([(q,) for q in ("bank", "gladstone bank", "tunneys", "H2", "blair", "HUR", "", "zz")], "query string")
+    asked = spark.createDataFrame([(q,) for q in ("moat / alder", "alder moat", "rue dete", "p2", "church", "STA", "", "zz")], "query string")
     listed = {}
     for r in search_places(places, asked).orderBy("query", "rank").collect():
         listed.setdefault(r["query"], []).append((r.place_id, r.tier))
-    assert listed == {"HUR": [("HUR", 1)], "bank": [("N1", 0), ("K1", 1)], "gladstone bank": [("K1", 3)], "tunneys": [("T1", 1)], "blair": [("L1", 0), ("blair#1", 1)]}
+    assert listed == {"moat / alder": [("x1", 0)], "alder moat": [("x1", 3)], "rue dete": [("e1", 1)], "church": [("c1", 1), ("church square#1", 1)], "STA": [("STA", 2)]}
     meant = {r["query"]: r.place_id for r in resolve_places(places, stops, asked).collect()}
-    assert meant == {"bank": "N1", "gladstone bank": "K1", "tunneys": "T1", "H2": "HUR", "blair": "L1", "HUR": "HUR"}
+    assert meant == {"moat / alder": "x1", "alder moat": "x1", "rue dete": "e1", "p2": "STA", "STA": "STA"}
 
 
-def test_door_to_door(spark, golden):
-    near = walkable_from(spark.createDataFrame([(1, 45.4203, -75.7003), (2, 46.9, -74.0)], "point_id int, lat double, lon double"), golden.stops)
-    assert [(r.point_id, r.stop_id, r["rank"], r.seconds) for r in near.collect()] == [(1, "A", 1, 60)]
-    timetable = build_timetable(golden.trips, golden.stop_times, footpaths(golden.stops, golden.transfers))
-    asked = spark.createDataFrame([(1, 8 * 3600 - 60)], "query_id int, depart int")
-    ends = spark.createDataFrame([(1, "origin", "A", 60), (1, "target", "C2", 120)], "query_id int, side string, stop_id string, walk int")
+def test_door_to_door(spark, harbour):
+    near = walkable_from(spark.createDataFrame([(1, 51.9003, 4.3997), (2, 40.0, 4.0)], "point_id int, lat double, lon double"), harbour.stops)
+    assert [(r.point_id, r.stop_id, r["rank"], r.seconds) for r in near.collect()] == [(1, "quay", 1, 60)]
+    timetable = build_timetable(harbour.trips, harbour.stop_times, footpaths(harbour.stops, harbour.transfers))
+    asked = spark.createDataFrame([(1, 23_340)], "query_id int, depart int")
+    ends = spark.createDataFrame([(1, "origin", "quay", 60), (1, "target", "dome", 120)], "query_id int, side string, stop_id string, walk int")
     legs = journey_legs(plan(timetable, asked, ends), timetable)
     whole = merge_walks(with_doors(legs, ends)).orderBy("leg_no").collect()
-    assert [(r.kind, hms(r.depart), hms(r.arrive)) for r in whole] == [("walk", "07:59:00", "08:00:00"), ("ride", "08:00:00", "08:12:00"), ("walk", "08:12:00", "08:15:00")]
-    found, named = journeys(legs, asked), named_legs(legs, golden)
-    assert [r.line for r in summary(found).collect()] == ["08:00:00 → 08:13:00  (14 min total, 1 min wait, 0 transfers, 1 min walking)"]
-    assert [r.line for r in describe(named).orderBy("leg_no").collect()] == ["08:00:00  route 1 to Charlie from Stop A (2 stops)\n08:12:00  arrive Stop C", "08:12:00  walk 1 min to Stop C2"]
+    assert [(r.kind, hms(r.depart), hms(r.arrive)) for r in whole] == [("walk", "06:29:00", "06:30:00"), ("ride", "06:30:00", "06:41:00"), ("walk", "06:41:00", "06:44:03")]
+    found, named = journeys(legs, asked), named_legs(legs, harbour)
+    assert [r.line for r in summary(found).collect()] == ["06:30:00 → 06:42:03  (13 min total, 1 min wait, 0 transfers, 1 min walking)"]
+    assert [r.line for r in describe(named).orderBy("leg_no").collect()] == ["06:30:00  route H to Fort from Quay Stop (2 stops)\n06:41:00  arrive Fort Stop", "06:41:00  walk 1 min to Dome Stop"]
     assert '"tag":"fastest"' in as_json(found, named).first().payload
 
 
@@ -137,11 +150,11 @@ def test_command_line(spark, tmp_path, capsys):
 
     feed = write_feed(tmp_path / "feed")
     assert main(["info", feed]) == 0 and "routing patterns" in capsys.readouterr().out
-    assert main(["stops", feed, "--search", "stop c"]) == 0 and "Stop C2" in capsys.readouterr().out
-    assert main(["stops", feed, "--search", "nowhere"]) == 1
-    assert main(["plan", feed, "--from", "Stop A", "--to", "E", "--date", "2026-07-06"]) == 0
+    assert main(["stops", feed, "--search", "stop"]) == 0 and "Dome Stop" in capsys.readouterr().out
+    assert main(["stops", feed, "--search", "nothing such"]) == 1
+    assert main(["plan", feed, "--from", "Quay Stop", "--to", "lake", "--at", "06:30", "--date", "2026-03-02"]) == 0
     out = capsys.readouterr().out
-    assert "[fastest] 08:00:00 → 08:27:00" in out and "[fewer changes] 08:00:00 → 08:55:00" in out
-    assert main(["plan", feed, "--from", "A", "--to", "E", "--date", "2030-01-07"]) == 1 and "no service" in capsys.readouterr().out
-    assert main(["plan", feed, "--from", "A", "--to", "A"]) == 1 and main(["info", str(tmp_path / "none")]) == 2
+    assert "[fastest] 06:30:00 → 07:01:00" in out and "[fewer changes] 06:40:00 → 07:35:00" in out
+    assert main(["plan", feed, "--from", "quay", "--to", "lake", "--date", "2027-03-01"]) == 1 and "no service" in capsys.readouterr().out
+    assert main(["plan", feed, "--from", "quay", "--to", "quay"]) == 1 and main(["info", str(tmp_path / "none")]) == 2
     assert main(["benchmark", feed, "--queries", "3", "--weekday", "0"]) == 0

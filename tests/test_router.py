@@ -3,7 +3,7 @@ from __future__ import annotations
 import datetime as dt
 
 import pytest
-from conftest import hms
+from feeds import hms
 
 from headway.operators.calendar import running_trips
 from headway.operators.itinerary import journeys
@@ -11,12 +11,12 @@ from headway.operators.patterns import build_timetable, overtaking
 from headway.operators.router import journey_legs, plan
 from headway.operators.transfers import footpaths
 
-MONDAY = dt.date(2026, 7, 6)
+MONDAY = dt.date(2026, 3, 2)
 
 
 @pytest.fixture(scope="module")
-def timetable(golden):
-    return build_timetable(running_trips(golden, on_date=MONDAY), golden.stop_times, footpaths(golden.stops, golden.transfers))
+def timetable(harbour):
+    return build_timetable(running_trips(harbour, on_date=MONDAY), harbour.stop_times, footpaths(harbour.stops, harbour.transfers))
 
 
 def solve(spark, timetable, queries, **options):
@@ -39,30 +39,35 @@ def solve(spark, timetable, queries, **options):
 
 
 def test_hand_solved_journeys(spark, timetable):
-    eight = 8 * 3600
-    found = solve(spark, timetable, [(1, "A", "C", eight), (2, "A", "E", eight), (3, "A", "C", eight + 300), (4, "A", "C2", eight), (5, "A", "Z", eight), (6, "A", "C", 23 * 3600), (7, "A", "A", eight), (8, "", "C", eight)])
-    assert [j[:4] for j in found[1]] == [("08:00:00", "08:12:00", 0, ["ride"])]
-    assert found[1][0][5][0].stops == ["A", "B", "C"]
-    assert [(j[1], j[2]) for j in found[2]] == [("08:27:00", 1), ("08:55:00", 0)]
-    assert found[3][0][1] == "08:22:00" and found[3][0][4] == 300
-    assert found[4][0][3] == ["ride", "walk"] and found[4][0][1] == "08:13:00"
+    early = 23_400
+    found = solve(spark, timetable, [(1, "quay", "fort", early), (2, "quay", "lake", early), (3, "quay", "fort", early + 300), (4, "quay", "dome", early), (5, "quay", "isle", early), (6, "quay", "fort", 22 * 3600), (7, "quay", "quay", early), (8, "", "fort", early), (9, "mill", "park", early)])
+    assert [j[:4] for j in found[1]] == [("06:30:00", "06:41:00", 0, ["ride"])]
+    assert found[1][0][5][0].stops == ["quay", "mill", "fort"]
+    assert [(j[1], j[2], j[3]) for j in found[2]] == [("07:01:00", 1, ["ride", "walk", "ride"]), ("07:35:00", 0, ["ride"])]
+    assert found[3][0][1] == "06:53:00" and found[3][0][4] == 420
+    # 65 metres make 63 seconds.
+    assert found[4][0][3] == ["ride", "walk"] and found[4][0][1] == "06:42:03"
     assert found[5] == found[6] == found[7] == found[8] == []
+    assert [(j[0], j[1]) for j in found[9]] == [("06:34:30", "06:53:00")]
 
 
 def test_rounds_bound_the_vehicles(spark, timetable):
-    found = solve(spark, timetable, [(1, "A", "E", 8 * 3600)], max_rounds=1)
-    assert [(j[1], j[2]) for j in found[1]] == [("08:55:00", 0)]
+    found = solve(spark, timetable, [(1, "quay", "lake", 23_400)], max_rounds=1)
+    assert [(j[1], j[2]) for j in found[1]] == [("07:35:00", 0)]
+    # Fewer than one round, or more than MOST_ROUNDS, count as one and as MOST_ROUNDS.
+    assert solve(spark, timetable, [(1, "quay", "lake", 23_400)], max_rounds=0)[1] == found[1]
+    assert [j[1] for j in solve(spark, timetable, [(1, "quay", "lake", 23_400)], max_rounds=50)[1]] == ["07:01:00", "07:35:00"]
 
 
 def test_patterns(timetable):
     stops = sorted((tuple(r.stops), r.n_trips) for r in timetable.patterns.collect())
-    assert stops == [(("A", "B", "C"), 6), (("A", "E"), 1), (("C", "D", "E"), 6)]
+    assert stops == [(("dome", "park", "lake"), 5), (("quay", "lake"), 1), (("quay", "mill", "fort"), 5)]
     first = {r.trip_id: r.trip_rank for r in timetable.pattern_trips.collect()}
-    assert [first[f"R1-{k}"] for k in range(6)] == list(range(6))
+    assert [first[f"h{k}"] for k in range(5)] == list(range(5))
     assert overtaking(timetable.pattern_events).isEmpty()
-    assert {(r.from_stop, r.to_stop): r.seconds for r in timetable.footpaths.collect()} == {("C", "C2"): 60, ("C2", "C"): 60}
+    assert {(r.from_stop, r.to_stop): r.seconds for r in timetable.footpaths.collect()} == {("fort", "dome"): 63, ("dome", "fort"): 63}
 
 
-@pytest.mark.parametrize("options, n", [({"weekday": 0}, 13), ({"weekday": 5}, 1), ({"on_date": MONDAY}, 13), ({"on_date": dt.date(2030, 1, 7)}, 0), ({}, 14)])
-def test_running_trips(golden, options, n):
-    assert running_trips(golden, **options).count() == n
+@pytest.mark.parametrize("options, n", [({"weekday": 1}, 11), ({"weekday": 6}, 1), ({"weekday": 5}, 0), ({"on_date": MONDAY}, 11), ({"on_date": dt.date(2027, 3, 1)}, 0), ({}, 12)])
+def test_running_trips(harbour, options, n):
+    assert running_trips(harbour, **options).count() == n
