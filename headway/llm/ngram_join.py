@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from dataclasses import dataclass
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
@@ -29,6 +31,17 @@ LOG_CELLS = 1 << 20
 BYTES_PER_WORD = 6
 
 
+_SALTS = (np.uint64(0x5851F42D4C957F2D), np.uint64(0x14057B7EF767814F))
+
+
+@dataclass(frozen=True)
+class _Naming:
+    """Sets are named by a sum of their tokens' hashes; those of a name that different sets share, by two such sums."""
+
+    shared: np.ndarray
+    bits: int
+
+
 class _Sets:
     """Shingle sets of the rows of one slice: distinct hashes in flat, sorted within each row."""
 
@@ -54,13 +67,21 @@ class _Sets:
         self.flat = np.concatenate(each) if each else np.zeros(0, np.uint64)
         self.row = np.repeat(np.arange(len(counts)), self.n)
 
-    def keys(self) -> np.ndarray:
-        """A 64-bit name of each row's set: equal sets have equal names."""
-        out = np.zeros(len(self.n), np.uint64)
+    def names(self, bits: int) -> np.ndarray:
+        """Two independent names of each row's set, of ``bits`` and of 64 bits: equal sets have equal ones."""
+        out = np.zeros((2, len(self.n)), np.uint64)
         if len(self.flat):
             some = np.flatnonzero(self.n)
-            out[some] = np.add.reduceat(mix(self.flat ^ np.uint64(0x5851F42D4C957F2D)), (np.cumsum(self.n) - self.n)[some])
-        return mix(out + self.n.astype(np.uint64))
+            for k, salt in enumerate(_SALTS):
+                out[k, some] = np.add.reduceat(mix(self.flat ^ salt), (np.cumsum(self.n) - self.n)[some])
+        out = mix(out + self.n.astype(np.uint64))
+        out[0] >>= np.uint64(64 - bits)
+        return out
+
+    def keys(self, naming: _Naming) -> np.ndarray:
+        """A 64-bit name of each row's set, different for different sets."""
+        first, second = self.names(naming.bits)
+        return np.where(np.isin(first.view(np.int64), naming.shared), mix(first ^ second), first)
 
     def prefixes(self, logs: LogSketch, load: float, percent: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Which tokens of flat are in their row's prefix, each token's place in its row's order from 1, and how many prefix tokens each row asks a partner to share.
@@ -104,30 +125,31 @@ def _signed(x: np.ndarray) -> pa.Array:
     return pa.array(x.view(np.int64))
 
 
-def _sets_and_counts(rows: DataFrame, cells: int, shingle: int) -> DataFrame:
-    """(id, n, key) of each row; and, where segment is not null, parts of the sketch of token counts."""
+def _sets_and_counts(rows: DataFrame, cells: int, shingle: int, bits: int) -> DataFrame:
+    """(id, n, key, second, apart) of each row, with both names of its set and their mix; and, where segment is not null, parts of the sketch of token counts."""
     kind = rows.schema["id"].dataType
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counter, names = DenseCounter(cells), ["id", "n", "key", "segment", "cells", "counts"]
+        counter, names = DenseCounter(cells), ["id", "n", "key", "second", "apart", "segment", "cells", "counts"]
         types = {"segment": pa.int32(), "cells": pa.binary(), "counts": pa.binary()}
 
         def counts() -> pa.RecordBatch:
             part = counter.flush()
-            return pa.RecordBatch.from_arrays([pa.nulls(len(part), id_type[0]), *(pa.nulls(len(part), pa.int64()),) * 2, *part.columns], names)
+            return pa.RecordBatch.from_arrays([pa.nulls(len(part), id_type[0]), *(pa.nulls(len(part), pa.int64()),) * 4, *part.columns], names)
 
         id_type: list[pa.DataType] = []
         for part, s in _each(batches, shingle):
             id_type[:] = [part.column("id").type]
-            yield pa.RecordBatch.from_arrays([part.column("id"), pa.array(s.n), _signed(s.keys()), *(pa.nulls(len(part), t) for t in types.values())], names)
+            key, second = s.names(bits)
+            yield pa.RecordBatch.from_arrays([part.column("id"), pa.array(s.n), *map(_signed, (key, second, mix(key ^ second))), *(pa.nulls(len(part), t) for t in types.values())], names)
             counter.add(s.flat)
         if id_type:
             yield counts()
 
-    return rows.mapInArrow(run, f"id {kind.simpleString()}, n long, key long, segment int, cells binary, counts binary")
+    return rows.mapInArrow(run, f"id {kind.simpleString()}, n long, key long, second long, apart long, segment int, cells binary, counts binary")
 
 
-def _postings(rows: DataFrame, logs: LogSketch, load: float, twice: TwiceSketch, shingle: int, percent: int) -> DataFrame:
+def _postings(rows: DataFrame, logs: LogSketch, load: float, twice: TwiceSketch, naming: _Naming, shingle: int, percent: int) -> DataFrame:
     """(token, key, n, matches, at): the prefix tokens that may occur in another prefix, and their places in the order of the set."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -136,12 +158,12 @@ def _postings(rows: DataFrame, logs: LogSketch, load: float, twice: TwiceSketch,
             at = np.flatnonzero(inside)
             at = at[twice.often(s.flat[at])]
             row = s.row[at]
-            yield pa.RecordBatch.from_arrays([_signed(s.flat[at]), _signed(s.keys()[row]), pa.array(s.n[row].astype(np.int32)), pa.array(matches[row].astype(np.int32)), pa.array(place[at].astype(np.int32))], ["token", "key", "n", "matches", "at"])
+            yield pa.RecordBatch.from_arrays([_signed(s.flat[at]), _signed(s.keys(naming)[row]), pa.array(s.n[row].astype(np.int32)), pa.array(matches[row].astype(np.int32)), pa.array(place[at].astype(np.int32))], ["token", "key", "n", "matches", "at"])
 
     return rows.mapInArrow(run, "token long, key long, n int, matches int, at int")
 
 
-def _members(rows: DataFrame, wanted: TwiceSketch, shingle: int) -> DataFrame:
+def _members(rows: DataFrame, wanted: TwiceSketch, naming: _Naming, shingle: int) -> DataFrame:
     """(key, tokens) of the rows (h, text) whose h may be wanted."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -149,12 +171,12 @@ def _members(rows: DataFrame, wanted: TwiceSketch, shingle: int) -> DataFrame:
         for _, s in _each(few, shingle):
             some = np.flatnonzero(s.n)
             lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(s.n[some])]), pa.int32()), _signed(s.flat))
-            yield pa.RecordBatch.from_arrays([_signed(s.keys()[some]), lists], ["key", "tokens"])
+            yield pa.RecordBatch.from_arrays([_signed(s.keys(naming)[some]), lists], ["key", "tokens"])
 
     return rows.mapInArrow(run, "key long, tokens array<long>")
 
 
-def _verified(pairs: DataFrame, rows: DataFrame, each: DataFrame, shingle: int, percent: int, scratch: Scratch) -> DataFrame:
+def _verified(pairs: DataFrame, rows: DataFrame, each: DataFrame, naming: _Naming, shingle: int, percent: int, scratch: Scratch) -> DataFrame:
     """The pairs (a, b) whose sets are similar enough.
 
     Sets are made again from the texts, of one document for each key that
@@ -164,10 +186,11 @@ def _verified(pairs: DataFrame, rows: DataFrame, each: DataFrame, shingle: int,
     chosen = scratch.write(each.groupBy("key").agg(F.min(F.xxhash64("id")).alias("h")).join(keys, "key").select("h"))
     cells = cells_for(chosen.count())
     wanted = TwiceSketch(chosen.mapInArrow(lambda batches: _present(batches, cells), PART_SCHEMA), cells)
-    sets = scratch.write(_members(rows.select(F.xxhash64("id").alias("h"), "text"), wanted, shingle))
+    sets = scratch.write(_members(rows.select(F.xxhash64("id").alias("h"), "text"), wanted, naming, shingle))
     both = pairs.join(sets.select(F.col("key").alias("a"), F.col("tokens").alias("x")), "a").join(sets.select(F.col("key").alias("b"), F.col("tokens").alias("y")), "b")
     shared = F.size(F.array_intersect("x", "y"))
-    out = scratch.write(both.filter(100 * shared >= percent * (F.size("x") + F.size("y") - shared)).select("a", "b").distinct())
+    # A pair may come twice; a distinct here would keep Spark from splitting the pairs of one key.
+    out = scratch.write(both.filter(100 * shared >= percent * (F.size("x") + F.size("y") - shared)).select("a", "b"))
     scratch.drop(sets)
     return out
 
@@ -189,7 +212,7 @@ def _same_size(a: str, b: str, percent: int):
     return (100 * F.least(a, b) >= percent * F.greatest(a, b)) if percent else F.lit(True)
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, percent: int = PERCENT, name_bits: int = 64) -> DataFrame:
     """(id, key, n_shingles, component_id), one row for each row of docs.
 
     A-Z count as a-z; a document's set holds its distinct shingles of
@@ -204,7 +227,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     Classes are first compared with a central partner each; then every pair of
     classes of different components so far is compared that shares enough
     prefix tokens for its sizes.  A pair inside a component is never looked at
-    again, so a group of near copies costs its size, not its square.  Shingles and sets are told apart by 64-bit hashes.
+    again, so a group of near copies costs its size, not its square.  Shingles
+    are told apart by 64-bit hashes, sets by one of ``name_bits``, or by two
+    where different sets share one.
     """
     spark, scratch = docs.sparkSession, Scratch(docs.sparkSession, "ngram-join")
     small_batches(spark)
@@ -212,25 +237,30 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     texts, words = rows.select("text"), text_bytes(docs, text_col) / BYTES_PER_WORD
     log_cells = LOG_CELLS
     load = words / log_cells
-    first = scratch.write(_sets_and_counts(rows, log_cells, shingle))
+    first = scratch.write(_sets_and_counts(rows, log_cells, shingle, name_bits))
     logs = LogSketch(first.filter("segment is not null").select("segment", "cells", "counts"), log_cells)
-    each = scratch.write(first.filter("key is not null").select("id", "n", "key"))
+    each = first.filter("key is not null").select("id", "n", "key", "second", "apart")
+    # Of n sets about n * n / 2^65 share a name: some hundreds of a hundred thousand million.
+    shared_names = each.groupBy("key").agg(F.min("second").alias("a"), F.max("second").alias("b")).filter("a <> b").select("key")
+    naming = _Naming(np.array(sorted(r["key"] for r in shared_names.collect()), np.int64), name_bits)
+    clash = F.broadcast(spark.createDataFrame([(int(k), True) for k in naming.shared], "key long, clash boolean"))
+    each = scratch.write(each.join(clash, "key", "left").select("id", "n", F.when(F.col("clash"), F.col("apart")).otherwise(F.col("key")).alias("key")))
     scratch.drop(first)
 
     cells = cells_for(words / 4)
     twice = TwiceSketch(count_hashes(texts, lambda batch: (s.flat[s.prefixes(logs, load, percent)[0]] for _, s in _each(iter([batch]), shingle)), cells, 2), cells)
     # Copies leave one posting; a token of one class only pairs with nothing.
-    posts = scratch.write(_postings(texts, logs, load, twice, shingle, percent).distinct())
+    posts = scratch.write(_postings(texts, logs, load, twice, naming, shingle, percent).distinct())
     shared = posts.groupBy("token").agg(F.count(F.lit(1)).alias("n_keys")).filter("n_keys > 1").select("token")
     live = scratch.write(posts.join(shared, "token", "left_semi"))
     scratch.drop(posts)
 
     # Keys whose component is still in doubt keep their own name; the smallest key names a component.
     links = named = tested = None
-    for step in (_central_pairs, _open_pairs):
+    for step in (_central_pairs, partial(_open_pairs, scratch=scratch)):
         pairs = step(_labelled(live, named), percent)
         pairs = scratch.write(pairs if tested is None else pairs.join(tested, ["a", "b"], "left_anti"))
-        found = _verified(pairs, rows, each, shingle, percent, scratch)
+        found = _verified(pairs, rows, each, naming, shingle, percent, scratch)
         tested = pairs if tested is None else tested.unionByName(pairs)
         links = found if links is None else links.unionByName(found)
         named = scratch.write(components(links, scratch))
@@ -281,7 +311,7 @@ def _largest(live: DataFrame) -> DataFrame:
     return ends.filter("first <> last").select("token", F.col("last.component").alias("top"))
 
 
-def _open_pairs(live: DataFrame, percent: int) -> DataFrame:
+def _open_pairs(live: DataFrame, percent: int, scratch: Scratch) -> DataFrame:
     """(a, b): all pairs of different components that share enough prefix tokens.
 
     Components are in one order for all tokens, by how many keys they have and
@@ -313,7 +343,8 @@ def _open_pairs(live: DataFrame, percent: int) -> DataFrame:
     room = 1 + F.least(F.col("an") - F.col("i"), F.col("bn") - F.col("j")) >= F.ceil(F.lit(percent) * (F.col("an") + F.col("bn")) / (100 + percent))
     met = probes.join(right, ["token", "band"]).filter((F.col("ac") < F.col("bc")) & room & _same_size("an", "bn", percent))
     pairs = met.select("a", "b", "an", "bn", "am", "bm").distinct()
-    prefixes = live.groupBy("key").agg(F.collect_list("token").alias("prefix"))
+    # Written, so that Spark can split the pairs of one key in the joins.
+    prefixes = scratch.write(live.groupBy("key").agg(F.collect_list("token").alias("prefix")))
     both = pairs.join(prefixes.select(F.col("key").alias("a"), F.col("prefix").alias("x")), "a").join(prefixes.select(F.col("key").alias("b"), F.col("prefix").alias("y")), "b")
     counted = both.withColumn("shared", F.size(F.array_intersect("x", "y")))
     return counted.filter(_enough("shared", "an", "bn", "am", "bm", percent)).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()

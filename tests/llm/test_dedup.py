@@ -73,13 +73,13 @@ def test_repeated_windows_are_removed(spark):
     assert remove_repeats(frame(spark, rows).limit(0)).count() == 0
 
 
-def shingles(text):
+def shingles(text, size=5):
     w = WORD.findall("".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text or ""))
-    return {tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} if w else set()
+    return {tuple(w[k : k + size]) for k in range(max(1, len(w) - size + 1))} if w else set()
 
 
-def linked(rows):
-    sets = [shingles(t) for _, t in rows]
+def linked(rows, size=5):
+    sets = [shingles(t, size) for _, t in rows]
     root = list(range(len(rows)))
 
     def find(x):
@@ -117,6 +117,54 @@ def test_near_duplicates(spark):
     assert near_duplicates(frame(spark, rows).limit(0)).count() == 0
 
 
+def test_sets_that_share_a_name_stay_apart(spark):
+    rows = near_rows()
+    got = [(r.id, r.n_shingles, r.component_id) for r in near_duplicates(frame(spark, rows), name_bits=5).collect()]
+    assert sorted(got, key=str) == sorted(linked(rows), key=str)
+    by_key = defaultdict(set)
+    for r in near_duplicates(frame(spark, rows[:40]), name_bits=3).collect():
+        by_key[r.key].add(frozenset(shingles(dict(rows)[r.id])))
+    assert all(len(v) == 1 for v in by_key.values())
+
+
+def six_documents():
+    """Documents 1 and 2 barely link; what they share lies in part with 3 and 4, in part with 5 and 6."""
+    words = lambda name, n: [f"{name}{k}" for k in range(n)]
+    p, q, r, s, z = words("p", 60), words("q", 60), words("r", 131), words("s", 131), words("z", 746)
+    own = lambda name, n: words(f"own{name}", n)
+    docs = [r + p + q + z + own("a", 3), s + p + q + z + own("b", 3)]
+    docs += [words("wa", 62) + r + p + z + own(f"c{k}", 1) for k in (3, 4)] + [words("wb", 62) + s + q + z + own(f"d{k}", 1) for k in (5, 6)]
+    return [(k + 1, " ".join(d)) for k, d in enumerate(docs)]
+
+
+def bridged_rows(shingle, seed):
+    """Clusters of near copies, some of whose members a chain of small changes leads to another cluster."""
+    rng, rows = random.Random(seed), []
+    for k in range(25):
+        n = int(20 * 75 ** rng.random())
+        now = [f"c{k}w{i}" for i in range(n)]
+        # Changing x words of n in a row makes x + shingle - 1 shingles differ.
+        most = max(1, (n - shingle + 1) // 7 - shingle + 1)
+        for hop in range(rng.randint(2, 4)):
+            for copy in range(rng.randint(1, 4)):
+                w, at = list(now), rng.randrange(n)
+                w[at : at + 1] = [f"c{k}h{hop}v{copy}"]
+                rows.append(w)
+            at = rng.randrange(max(1, n - most))
+            now = [*now[:at], *(f"c{k}h{hop}n{j}" for j in range(min(most, n))), *now[at + min(most, n) :]]
+    rng.shuffle(rows)
+    return [(i, " ".join(w)) for i, w in enumerate(rows)]
+
+
+def test_links_between_groups_are_found(spark):
+    got = near_duplicates(frame(spark, six_documents()), shingle=1)
+    assert {r.component_id for r in got.collect()} == {1}
+    for shingle, seed in ((1, 3), (5, 4)):
+        rows = bridged_rows(shingle, seed)
+        got = [(r.id, r.n_shingles, r.component_id) for r in near_duplicates(frame(spark, rows), shingle=shingle).collect()]
+        assert sorted(got) == sorted(linked(rows, shingle))
+
+
 def border_rows():
     """Pairs of groups of near copies, with a link between their first members that barely holds."""
     rng, rows = random.Random(8), []
