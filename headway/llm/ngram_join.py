@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from .common import Scratch, small_batches, table
 from .components import components
-from .sketch import PART_SCHEMA, Counter, DenseCounter, LogSketch, TwiceSketch, cells_for, count_hashes, text_bytes
+from .sketch import MAX_CELLS, PART_SCHEMA, Counter, DenseCounter, LogSketch, TwiceSketch, cells_for, count_hashes, text_bytes
 from .words import mix, slices, split_words, valid_starts, window_hashes, word_hashes
 
 #: Words in a shingle, and the least similarity in percent.
@@ -149,25 +149,25 @@ def _sets_and_counts(rows: DataFrame, cells: int, shingle: int, bits: int) -> Da
     return rows.mapInArrow(run, f"id {kind.simpleString()}, n long, key long, second long, apart long, segment int, cells binary, counts binary")
 
 
-def _postings(rows: DataFrame, logs: LogSketch, load: float, twice: TwiceSketch, naming: _Naming, shingle: int, percent: int) -> DataFrame:
+def _postings(rows: DataFrame, logs: LogSketch, load: float, twice: TwiceSketch | None, naming: _Naming, shingle: int, percent: int) -> DataFrame:
     """(token, key, n, matches, at): the prefix tokens that may occur in another prefix, and their places in the order of the set."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, s in _each(batches, shingle):
             inside, place, matches = s.prefixes(logs, load, percent)
             at = np.flatnonzero(inside)
-            at = at[twice.often(s.flat[at])]
+            at = at[twice.often(s.flat[at])] if twice else at
             row = s.row[at]
             yield pa.RecordBatch.from_arrays([_signed(s.flat[at]), _signed(s.keys(naming)[row]), pa.array(s.n[row].astype(np.int32)), pa.array(matches[row].astype(np.int32)), pa.array(place[at].astype(np.int32))], ["token", "key", "n", "matches", "at"])
 
     return rows.mapInArrow(run, "token long, key long, n int, matches int, at int")
 
 
-def _members(rows: DataFrame, wanted: TwiceSketch, naming: _Naming, shingle: int) -> DataFrame:
+def _members(rows: DataFrame, wanted: TwiceSketch | None, naming: _Naming, shingle: int) -> DataFrame:
     """(key, tokens) of the rows (h, text) whose h may be wanted."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        few = (batch.filter(pa.array(wanted.at_least(batch.column("h").to_numpy().view(np.uint64), 1))) for batch in batches)
+        few = (batch.filter(pa.array(wanted.at_least(batch.column("h").to_numpy().view(np.uint64), 1))) for batch in batches) if wanted else batches
         for _, s in _each(few, shingle):
             some = np.flatnonzero(s.n)
             lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(s.n[some])]), pa.int32()), _signed(s.flat))
@@ -176,17 +176,21 @@ def _members(rows: DataFrame, wanted: TwiceSketch, naming: _Naming, shingle: int
     return rows.mapInArrow(run, "key long, tokens array<long>")
 
 
-def _verified(pairs: DataFrame, rows: DataFrame, each: DataFrame, naming: _Naming, shingle: int, percent: int, scratch: Scratch) -> DataFrame:
+def _verified(pairs: DataFrame, rows: DataFrame, each: DataFrame, naming: _Naming, shingle: int, percent: int, max_cells: int, scratch: Scratch) -> DataFrame:
     """The pairs (a, b) whose sets are similar enough.
 
     Sets are made again from the texts, of one document for each key that
-    pairs hold: those that a sketch of the documents lets through.
+    pairs hold: those that a sketch of the documents lets through, or, where it
+    would have more than max_cells, that a join finds.
     """
     keys = pairs.select(F.col("a").alias("key")).unionByName(pairs.select(F.col("b").alias("key"))).distinct()
     chosen = scratch.write(each.groupBy("key").agg(F.min(F.xxhash64("id")).alias("h")).join(keys, "key").select("h"))
-    cells = cells_for(chosen.count())
-    wanted = TwiceSketch(chosen.mapInArrow(lambda batches: _present(batches, cells), PART_SCHEMA), cells)
-    sets = scratch.write(_members(rows.select(F.xxhash64("id").alias("h"), "text"), wanted, naming, shingle))
+    cells, texts, wanted = cells_for(chosen.count()), rows.select(F.xxhash64("id").alias("h"), "text"), None
+    if cells <= max_cells:
+        wanted = TwiceSketch(chosen.mapInArrow(lambda batches: _present(batches, cells), PART_SCHEMA), cells)
+    else:
+        texts = texts.join(chosen, "h", "left_semi")
+    sets = scratch.write(_members(texts, wanted, naming, shingle))
     both = pairs.join(sets.select(F.col("key").alias("a"), F.col("tokens").alias("x")), "a").join(sets.select(F.col("key").alias("b"), F.col("tokens").alias("y")), "b")
     shared = F.size(F.array_intersect("x", "y"))
     # A pair may come twice; a distinct here would keep Spark from splitting the pairs of one key.
@@ -212,7 +216,7 @@ def _same_size(a: str, b: str, percent: int):
     return (100 * F.least(a, b) >= percent * F.greatest(a, b)) if percent else F.lit(True)
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, percent: int = PERCENT, name_bits: int = 64) -> DataFrame:
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, percent: int = PERCENT, name_bits: int = 64, max_cells: int = MAX_CELLS) -> DataFrame:
     """(id, key, n_shingles, component_id), one row for each row of docs.
 
     A-Z count as a-z; a document's set holds its distinct shingles of
@@ -223,7 +227,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     ids are null.  An empty table gives no rows.
 
     Equal sets are one class from the start (key).  Postings hold prefix
-    tokens only, less those that the merged sketch shows to be in one prefix.
+    tokens only, less those that the merged sketch shows to be in one prefix
+    (none less where it would have more than max_cells).
     Classes are first compared with a central partner each; then every pair of
     classes of different components so far is compared that shares enough
     prefix tokens for its sizes.  A pair inside a component is never looked at
@@ -248,7 +253,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     scratch.drop(first)
 
     cells = cells_for(words / 4)
-    twice = TwiceSketch(count_hashes(texts, lambda batch: (s.flat[s.prefixes(logs, load, percent)[0]] for _, s in _each(iter([batch]), shingle)), cells, 2), cells)
+    # Beyond max_cells all prefix tokens are shuffled, and grouped exactly as those that the sketch lets through.
+    twice = None if cells > max_cells else TwiceSketch(count_hashes(texts, lambda batch: (s.flat[s.prefixes(logs, load, percent)[0]] for _, s in _each(iter([batch]), shingle)), cells, 2), cells)
     # Copies leave one posting; a token of one class only pairs with nothing.
     posts = scratch.write(_postings(texts, logs, load, twice, naming, shingle, percent).distinct())
     shared = posts.groupBy("token").agg(F.count(F.lit(1)).alias("n_keys")).filter("n_keys > 1").select("token")
@@ -260,7 +266,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     for step in (_central_pairs, partial(_open_pairs, scratch=scratch)):
         pairs = step(_labelled(live, named), percent)
         pairs = scratch.write(pairs if tested is None else pairs.join(tested, ["a", "b"], "left_anti"))
-        found = _verified(pairs, rows, each, naming, shingle, percent, scratch)
+        found = _verified(pairs, rows, each, naming, shingle, percent, max_cells, scratch)
         tested = pairs if tested is None else tested.unionByName(pairs)
         links = found if links is None else links.unionByName(found)
         named = scratch.write(components(links, scratch))

@@ -1,4 +1,9 @@
-"""Count sketches over the whole corpus: filled in each task, merged by ranges of cells, bounded in size."""
+"""Count sketches over the whole corpus: filled in each task and merged by ranges of cells.
+
+A sketch of up to MAX_CELLS is broadcast.  Its size goes with the corpus, so
+that few hashes pass by accident; beyond that bound the callers ask the
+cluster instead, by a join on cells.
+"""
 
 from __future__ import annotations
 
@@ -19,13 +24,13 @@ SEGMENT = 1 << 20
 PART_SCHEMA = "segment int, cells binary, counts binary"
 #: Counts that a task holds before it hands them on.
 FLUSH = 2_000_000
-#: Most cells of a sketch.  At two bits a cell these are 64 MB; a fuller sketch lets more through, but loses nothing.
+#: Most cells of a sketch that is broadcast.  At two bits a cell these are 64 MB.
 MAX_CELLS = 1 << 28
 
 
-def cells_for(items: float, per_item: int = 8, most: int = MAX_CELLS) -> int:
-    """A power of two, per_item cells for each expected item if ``most`` allows."""
-    return min(most, max(SEGMENT, 1 << int(np.ceil(np.log2(max(1.0, items * per_item))))))
+def cells_for(items: float, per_item: int = 8) -> int:
+    """A power of two, with per_item cells for each expected item."""
+    return max(SEGMENT, 1 << int(np.ceil(np.log2(max(1.0, items * per_item)))))
 
 
 def places(h: np.ndarray, cells: int, rows: int) -> np.ndarray:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -10,14 +10,16 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import small_batches, table
-from .sketch import TwiceSketch, cells_for, count_hashes, text_bytes
+from .common import Scratch, small_batches, table
+from .sketch import MAX_CELLS, TwiceSketch, cells_for, count_hashes, text_bytes
 from .words import mix, slices, split_words, valid_starts, window_hashes, word_hashes
 
 #: Words in a window, and in the run that stands for it in the sketch.
 WINDOW, ANCHOR = 35, 8
 #: UTF-8 bytes of text for each window run that the sketch counts, about.
 BYTES_PER_ANCHOR = 75
+#: How many times more cells a sketch has that holds only cells that occur.
+SPARSE = 16
 _PLACE = np.uint64((1 << 28) - 1)
 
 
@@ -42,18 +44,19 @@ class _Windows:
             width *= 2
         return runs, (np.minimum(low[self.starts], low[self.starts + span - width]) & _PLACE).astype(np.int64)
 
-    def counted(self) -> np.ndarray:
-        """Hashes of the anchors, each place once."""
+    def counted(self) -> tuple[np.ndarray, np.ndarray]:
+        """Hashes of the anchors, each place once, and their places."""
         runs, at = self.anchors()
-        return runs[at[np.concatenate([[True], np.diff(at) != 0])]] if len(at) else np.zeros(0, np.uint64)
+        at = at[np.concatenate([[True], np.diff(at) != 0])] if len(at) else at
+        return runs[at], at
 
-    def often(self, sketch: TwiceSketch) -> np.ndarray:
-        """The starts whose window the sketch takes for repeated."""
+    def starts_of(self, often: Callable[[np.ndarray], np.ndarray]) -> np.ndarray:
+        """The starts of the windows whose anchor is often there."""
         runs, at = self.anchors()
         if not len(at):
             return self.starts
         new = np.concatenate([[True], np.diff(at) != 0])
-        return self.starts[sketch.often(runs[at[new]])[np.cumsum(new) - 1]]
+        return self.starts[often(runs[at[new]])[np.cumsum(new) - 1]]
 
 
 def _each(batches: Iterator[pa.RecordBatch], window: int) -> Iterator[tuple[pa.RecordBatch, _Windows]]:
@@ -62,7 +65,45 @@ def _each(batches: Iterator[pa.RecordBatch], window: int) -> Iterator[tuple[pa.R
             yield rows, _Windows(rows.column("text"), window)
 
 
-def _single(rows: DataFrame, sketch: TwiceSketch, window: int) -> DataFrame:
+def _cells(h: np.ndarray, cells: int) -> np.ndarray:
+    return (mix(h) & np.uint64(cells - 1)).view(np.int64)
+
+
+#: From a slice, how to tell which hashes of anchors may be repeated.
+Often = Callable[[pa.RecordBatch], Callable[[np.ndarray], np.ndarray]]
+
+
+def _broadcast(rows: DataFrame, cells: int, window: int) -> tuple[DataFrame, Often]:
+    """rows, and how to ask a sketch that every task holds."""
+    sketch = TwiceSketch(count_hashes(rows.select("text"), lambda batch: (w.counted()[0] for _, w in _each(iter([batch]), window)), cells, 2), cells)
+    return rows, lambda part: sketch.often
+
+
+def _joined(rows: DataFrame, cells: int, window: int, scratch: Scratch) -> tuple[DataFrame, Often]:
+    """rows joined with those of their cells that are counted twice, for a sketch of any size that is a table of its cells.
+
+    Only cells and a hash of the row travel.  Rows that share that hash share
+    their cells, which lets more windows through and loses none.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part, w in _each(batches, window):
+            h, at = w.counted()
+            row = np.searchsorted(np.cumsum(w.counts), at, "right")
+            yield pa.RecordBatch.from_arrays([part.column("row").take(pa.array(row)), pa.array(_cells(h, cells))], ["row", "cell"])
+
+    def often(part: pa.RecordBatch) -> Callable[[np.ndarray], np.ndarray]:
+        known = np.unique(pc.list_flatten(part.column("cells")).to_numpy(zero_copy_only=False).astype(np.int64))
+        return lambda h: np.isin(_cells(h, cells), known)
+
+    rows = rows.withColumn("row", F.xxhash64("id", "key"))
+    held = scratch.write(rows.select("row", "text").mapInArrow(run, "row long, cell long").groupBy("row", "cell").agg(F.count(F.lit(1)).alias("n")))
+    twice = scratch.write(held.groupBy("cell").agg(F.sum("n").alias("n")).filter("n > 1").select("cell"))
+    found = scratch.write(held.join(twice, "cell", "left_semi").groupBy("row").agg(F.collect_list("cell").alias("cells")))
+    return rows.join(found, "row", "left").drop("row"), often
+
+
+def _single(rows: DataFrame, often: Often, window: int) -> DataFrame:
     """(id, key, places): the windows that the sketch takes for repeated and that are not, exactly.
 
     Windows are grouped under two independent 64-bit hashes of their words;
@@ -71,7 +112,7 @@ def _single(rows: DataFrame, sketch: TwiceSketch, window: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, w in _each(batches, window):
-            at = w.often(sketch)
+            at = w.starts_of(often(part))
             if not len(at):
                 continue
             a, b = (window_hashes(w.h, window, lane)[at] for lane in (0, 1))
@@ -90,7 +131,7 @@ def _single(rows: DataFrame, sketch: TwiceSketch, window: int) -> DataFrame:
     return alone.groupBy(F.col("id").alias("_id"), F.col("key").alias("_key")).agg(F.collect_list("place").alias("alone"))
 
 
-def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW) -> DataFrame:
+def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, max_cells: int = MAX_CELLS) -> DataFrame:
     """(id, text, n_words, n_removed): each row's words that no repeated window covers, joined by one space.
 
     A window is ``window`` successive words of one text, and is repeated if its
@@ -101,18 +142,22 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     repeated and names those that are not; the third removes.  Null and empty
     texts have no words; shorter texts than a window lose none.  An empty
     table gives no rows; other columns are not read.
+
+    The sketch has about 8 cells for each anchor.  Up to ``max_cells`` every
+    task holds it; a larger one is a table that rows are joined with.
     """
+    scratch = Scratch(docs.sparkSession, "substring-dedup")
     small_batches(docs.sparkSession)
     rows = docs.select(F.col(id_col).alias("id"), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("key"), F.col(text_col).alias("text"))
     cells = cells_for(text_bytes(docs, text_col) / BYTES_PER_ANCHOR)
-    sketch = TwiceSketch(count_hashes(rows.select("text"), lambda batch: (w.counted() for _, w in _each(iter([batch]), window)), cells, 2), cells)
-    alone = _single(rows, sketch, window)
+    rows, often = _broadcast(rows, cells, window) if cells <= max_cells else _joined(rows, cells * SPARSE, window, scratch)
+    alone = _single(rows, often, window)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, w in _each(batches, window):
             total = len(w.h)
             repeated = np.zeros(total, bool)
-            repeated[w.often(sketch)] = True
+            repeated[w.starts_of(often(part))] = True
             spared = part.column("alone")
             firsts = np.cumsum(w.counts) - w.counts
             lengths = pc.fill_null(pc.list_value_length(spared), 0).to_numpy(zero_copy_only=False)
@@ -128,7 +173,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
             text = pc.binary_join(lists, pa.scalar(" ", pa.large_string()))
             yield pa.RecordBatch.from_arrays([part.column("id"), text.cast(pa.string()), pa.array(w.counts), pa.array(w.counts - left)], ["id", "text", "n_words", "n_removed"])
 
-    joined = rows.join(alone, rows.id.eqNullSafe(F.col("_id")) & (F.col("key") == F.col("_key")), "left").select("id", "text", "alone")
+    joined = rows.join(alone, rows.id.eqNullSafe(F.col("_id")) & (F.col("key") == F.col("_key")), "left").select(*rows.columns, "alone").drop("key")
     return joined.mapInArrow(run, f"id {rows.schema['id'].dataType.simpleString()}, text string, n_words long, n_removed long")
 
 

@@ -12,6 +12,7 @@ import pytest
 
 from headway.llm.exact_dedup import drop_exact_duplicates, exact_duplicates
 from headway.llm.ngram_join import keep_one_of_each, near_duplicates
+from headway.llm.sketch import TwiceSketch, cells_for, count_hashes
 from headway.llm.substring_dedup import remove_repeats
 from headway.llm.vectors import Forest, near_duplicate_vectors
 
@@ -68,11 +69,23 @@ def test_repeated_windows_are_removed(spark):
             w = WORD.findall(t or "")
             gone = {k + j for k in range(len(w) - window + 1) if seen[tuple(w[k : k + window])] > 1 for j in range(window)}
             want.append((i, " ".join(x for k, x in enumerate(w) if k not in gone), len(w), len(gone)))
-        got = [tuple(r) for r in remove_repeats(frame(spark, rows), window=window).collect()]
-        assert sorted(got, key=str) == sorted(want, key=str)
+        for cells in (1 << 28, 1):  # a broadcast sketch, and one that is a table
+            got = [tuple(r) for r in remove_repeats(frame(spark, rows), window=window, max_cells=cells).collect()]
+            assert sorted(got, key=str) == sorted(want, key=str)
     assert remove_repeats(frame(spark, rows).limit(0)).count() == 0
 
 
+def test_sketches_keep_their_rate_of_errors(spark):
+    """The share of hashes of one occurrence that pass as repeated, at the size that cells_for gives."""
+    rng = np.random.default_rng(4)
+    for n in (200_000, 1_000_000):
+        h = rng.integers(0, 1 << 63, n).astype(np.uint64)
+        cells, parts = cells_for(n), spark.range(4)
+        sketch = TwiceSketch(count_hashes(parts, lambda batch, h=h: (h[int(i) :: 4] for i in batch.column(0).to_pylist()), cells, 2), cells)
+        assert sketch.often(h).mean() < 0.06
+        assert cells_for(1000 * n) >= 8000 * n
+
+
 def shingles(text, size=5):
     w = WORD.findall("".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text or ""))
     return {tuple(w[k : k + size]) for k in range(max(1, len(w) - size + 1))} if w else set()
@@ -110,9 +123,10 @@ def near_rows():
     return rows + [(None if i is None else i + 1000, t) for i, t in HARD]
 
 
-def test_near_duplicates(spark):
+@pytest.mark.parametrize("cells", [1 << 28, 1])
+def test_near_duplicates(spark, cells):
     rows = near_rows()
-    got = [(r.id, r.n_shingles, r.component_id) for r in near_duplicates(frame(spark, rows)).collect()]
+    got = [(r.id, r.n_shingles, r.component_id) for r in near_duplicates(frame(spark, rows), max_cells=cells).collect()]
     assert sorted(got, key=str) == sorted(linked(rows), key=str)
     assert near_duplicates(frame(spark, rows).limit(0)).count() == 0
 
