@@ -1,10 +1,12 @@
 """Personal data by weak supervision, in DataFrame operations only.
 
-Patterns propose candidate spans; five labelers (strict pattern, validity,
-gazetteer, context, edges) vote on each; expectation-maximisation over the
-counts of vote patterns estimates the labelers' reliabilities; and a logistic
-regression on votes, kind and length, trained on the resulting soft labels,
-decides on the spans that no checked pattern vouches for.
+Patterns propose candidate spans; five labelers vote on each, every one from a
+fact of its own: the shape (a stricter pattern), a checksum or count, a
+gazetteer of issuers, countries or endings, words around it, and its edges.
+Expectation-maximisation over the counts of vote patterns estimates the
+labelers' reliabilities; and a logistic regression on votes, kind and length,
+trained on the resulting soft labels, decides on the spans that no checked
+pattern vouches for.
 """
 
 from __future__ import annotations
@@ -30,41 +32,40 @@ BASE = {
 }
 #: Kinds that only the classifier can accept.
 EXTRA = {
-    "obfuscated_email": r"(?i)(?<![a-z0-9._%+-])[a-z0-9._%+-]{1,64} ?(?:\[at\]|\(at\)|\{at\}| at ) ?[a-z0-9-]{1,63} ?(?:\[dot\]|\(dot\)|\{dot\}| dot ) ?[a-z]{2,24}(?![a-z])",
-    "local_phone": r"(?<![0-9+()-])(?<![0-9)] )\(?[0-9]{3}\)?[-. ][0-9]{3}[-. ][0-9]{4}(?![0-9-])",
-    "national_id": r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])",
+    "obfuscated_email": r"(?i)(?<![a-z0-9._%+-])[a-z0-9._%+-]++ ?(?:\[at\]|\(at\)|\{at\}| at ) ?[a-z0-9-]++ ?(?:\[dot\]|\(dot\)|\{dot\}| dot ) ?[a-z]{2,24}(?![a-z])",
+    "local_phone": r"(?<![0-9+()-])(?<![0-9)] )(?:\([0-9]{3}\) ?|[0-9]{3}[-. ])[0-9]{3}[-. ][0-9]{4}(?![0-9-])",
+    "national_id": r"(?<![0-9-])[0-9]{3}[- ][0-9]{2}[- ][0-9]{4}(?![0-9-])",
     "iban": r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])",
-    "secret": r"(?<![A-Za-z0-9])(?:AKIA[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{36}|sk-[A-Za-z0-9]{20,200}|(?i:password|passwd|token|secret|api[_-]?key)\x20?[=:]\x20?\"?[A-Za-z0-9+/_-]{8,200}\"?)",
+    "secret": r"(?<![A-Za-z0-9])(?:AKIA[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{36}|sk-[A-Za-z0-9]{20,}+|(?i:password|passwd|token|secret|api[_-]?key)\x20?[=:]\x20?\"?[A-Za-z0-9+/_-]{8,}+\"?)",
 }
 KINDS = [*BASE, *EXTRA]
 #: What a text must contain for a kind's pattern to be tried.
 GUARDS = {"email": "@", "phone": "+", "obfuscated_email": r"(?i)[(\[{ ]at[)\]} ]", "iban": r"[A-Z]{2}[0-9]{2}", "secret": r"AKIA|gh[pousr]_|sk-|[=:]"}
 DIGITS = "[0-9]"
-#: Characters before a span that the context labeler reads.
+#: Characters on either side of a span, up to the next match of its kind, that the context labeler reads.
 CONTEXT = 40
-STRICT = {
+#: Matches of a kind whose places are added up in one go.
+STEP = 128
+SHAPES = {
     "email": r"^[A-Za-z0-9][A-Za-z0-9._%+-]*@(?:[A-Za-z0-9][A-Za-z0-9-]*\.)+[A-Za-z]{2,24}$",
-    "ip": r"^(?:(?:25[0-5]|2[0-4][0-9]|1[0-9]{2}|[1-9]?[0-9])(?:\.|$)){4}",
+    "ip": r"^(?:0|[1-9][0-9]*)(?:\.(?:0|[1-9][0-9]*)){3}$",
     "card": r"^(?:[0-9]{13,19}|[0-9]{4}(?:[\x20-][0-9]{4}){3}|[0-9]{4}[\x20-][0-9]{6}[\x20-][0-9]{5})$",
     "phone": r"^\+[1-9][0-9]{0,2}[\x20.-]?(?:\([0-9]{1,4}\)|[0-9]{1,4})(?:[\x20.-]?[0-9]{2,4}){2,4}$",
     "obfuscated_email": r"(?i)(?:\[at\]|\(at\)|\{at\}).*(?:\[dot\]|\(dot\)|\{dot\})",
     "local_phone": r"^(?:\([0-9]{3}\) [0-9]{3}-[0-9]{4}|[0-9]{3}([-.])[0-9]{3}\1[0-9]{4})$",
     "national_id": r"^[0-9]{3}-[0-9]{2}-[0-9]{4}$",
-    "iban": r"^[A-Z]{2}[0-9]{2}[A-Z0-9 ]{11,38}$",
-    "secret": r"^(?:AKIA|gh[pousr]_|sk-)|[=:]\x20?\"?(?=[^\"]*[0-9])(?=[^\"]*[A-Za-z])",
-}
-#: What known instances of each kind begin or end with.
-GAZETTEER = {
-    "email": r"(?i)\.(?:com|org|net|edu|gov|info|io|co|uk|de|fr|es|it|nl|ch|at|be|eu|us|ca|au|jp|cn|in|br|example)$",
-    "ip": r"^(?:10\.|127\.|192\.168\.|172\.(?:1[6-9]|2[0-9]|3[01])\.|[1-9][0-9]{0,2}\.)",
-    "card": r"^(?:4|5[1-5]|2[2-7]|3[47]|6(?:011|5))",
-    "phone": r"^\+(?:1|7|2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58])",
-    "obfuscated_email": r"(?i)(?:com|org|net|edu|gov|de|fr|es|io)$",
-    "local_phone": r"^\(?(?:2[0-9]{2}|3[0-9]{2}|4[0-9]{2}|5[0-9]{2}|6[0-9]{2}|7[0-9]{2}|8[0-9]{2}|9[0-9]{2})",
-    "national_id": r"^(?!000|666|9)[0-9]{3}-(?!00)[0-9]{2}-(?!0000)",
-    "iban": r"^(?:AT|BE|CH|DE|DK|ES|FI|FR|GB|IE|IT|LU|NL|NO|PL|PT|SE)",
-    "secret": r"^(?:AKIA|gh[pousr]_|sk-|(?i:password|passwd|token|secret|api))",
+    "iban": r"^[A-Z0-9]+$|^[A-Z0-9]{4}(?: [A-Z0-9]{4})+(?: [A-Z0-9]{1,3})?$",
+    "secret": r"^[^=:]+$|[=:]\x20?\"?(?=[^\"]*[0-9])(?=[^\"]*[A-Za-z])",
 }
+#: Endings of mail domains, countries of bank accounts, calling codes, card issuers, and beginnings of issued keys.
+DOMAINS = "com org net edu gov mil int info biz io co me tv app dev ai uk de fr es it nl ch at be eu us ca au jp cn in br ie pt pl se no dk fi cz gr ro hu ru ua tr il za mx ar cl nz kr sg hk example".split()
+IBAN_COUNTRIES = "AD AE AL AT AZ BA BE BG BH BR BY CH CR CY CZ DE DK DO EE EG ES FI FO FR GB GE GI GL GR GT HR HU IE IL IQ IS IT JO KW KZ LB LC LI LT LU LV MC MD ME MK MR MT MU NL NO PK PL PS PT QA RO RS SA SC SE SI SK SM ST SV TL TN TR UA VA VG XK".split()
+CALLING_CODES = (
+    "1 7 20 27 30 31 32 33 34 36 39 40 41 43 44 45 46 47 48 49 51 52 53 54 55 56 57 58 60 61 62 63 64 65 66 81 82 84 86 90 91 92 93 94 95 98 211 212 213 216 218 220 221 234 254 255 256 260 263"
+    " 351 352 353 354 355 356 357 358 359 370 371 372 373 374 375 376 377 380 381 382 385 386 387 389 420 421 423 852 853 855 856 880 886 960 961 962 963 964 965 966 967 968 971 972 973 974 975 976 977 992 993 994 995 996 998"
+).split()
+CARD_ISSUERS = "4 34 37 51 52 53 54 55 65 6011 2221 2720 3528 3589 36 38 62".split()
+KEY_BEGINNINGS = "AKIA ghp_ gho_ ghu_ ghs_ ghr_ sk-".split()
 CUES = {
     "email": r"(?i)mail|contact|write|kontakt|schreib|courriel|correo|contacto",
     "ip": r"(?i)\bip\b|address|server|host|login|adresse|direcci",
@@ -77,7 +78,7 @@ CUES = {
     "secret": r"(?i)key|secret|credential|export|config|auth",
 }
 AGAINST = r"(?i)(?:\bv|version|isbn|section|figure|page|chapter|§|#|\bno\.|kapitel|seite|p[aá]gina)\W*$"
-LABELERS = ("strict", "valid", "gazetteer", "context", "edges")
+LABELERS = ("shape", "valid", "gazetteer", "context", "edges")
 EM_ROUNDS, ACCEPT = 60, 0.5
 
 
@@ -103,20 +104,41 @@ def luhn(text: Column) -> Column:
     return F.aggregate(F.sequence(F.lit(0), F.length(digits) - 1), F.lit(0), add) % 10 == 0
 
 
+def mod97(text: Column) -> Column:
+    """Whether the number that a bank account stands for leaves 1 at division by 97: its first four characters go last, letters count from 10."""
+    clean = F.replace(text, F.lit(" "), F.lit(""))
+    turned = F.concat(F.substring(clean, F.lit(5), F.length(clean)), F.substring(clean, F.lit(1), F.lit(4)))
+
+    def add(total: Column, c: Column) -> Column:
+        return (F.when(F.ascii(c) >= 65, total * 100 + F.ascii(c) - 55).otherwise(total * 10 + F.ascii(c) - 48)) % 97
+
+    return F.aggregate(F.split(turned, "", -1), F.lit(0), lambda t, c: F.when(c == "", t).otherwise(add(t, c))) == 1
+
+
 def _valid(kind: str, text: Column) -> Column:
     """Whether a match passes its kind's check; null where a kind has none."""
     n = F.length(_digits(text))
     return {
-        "email": F.lit(True),
         "ip": F.forall(F.split(text, r"\."), lambda p: (F.length(F.regexp_replace(p, "^0+", "")) <= 3) & (F.coalesce(F.right(p, F.lit(3)).cast("int"), F.lit(0)) <= 255)),
         "card": n.between(12, 19) & luhn(text),
         "phone": n.between(9, 15),
-        "secret": text.rlike(r"[0-9]") & text.rlike("[A-Za-z]"),
-        "local_phone": text.rlike(r"^\(?[2-9]"),
-        "national_id": text.rlike(r"^(?!000|666|9)[0-9]{3}-(?!00)[0-9]{2}-(?!0000)"),
+        "local_phone": text.rlike(r"^\(?[2-9][0-9]{2}[^0-9]{1,2}[2-9]"),
+        "national_id": text.rlike(r"^(?!000|666|9)[0-9]{3}.(?!00)[0-9]{2}.(?!0000)"),
+        "iban": mod97(text),
     }.get(kind, F.lit(None).cast("boolean"))
 
 
+def _listed(kind: str, text: Column) -> Column:
+    """Whether a list of known instances holds what the match begins or ends with; null where a kind has no list, or for spelled-out secrets."""
+    digits = _digits(text)
+    begins = lambda t, known, *sizes: reduce(lambda a, b: a | b, [F.left(t, F.lit(n)).isin([k for k in known if len(k) == n]) for n in sizes])
+    ending = F.lower(F.regexp_extract(text, "[A-Za-z]+$", 0)).isin(DOMAINS)
+    return {
+        "email": ending, "obfuscated_email": ending, "iban": F.left(text, F.lit(2)).isin(IBAN_COUNTRIES), "phone": begins(digits, CALLING_CODES, 1, 2, 3), "card": begins(digits, CARD_ISSUERS, 1, 2, 4),
+        "secret": F.when(~text.rlike("[=:]"), begins(text, KEY_BEGINNINGS, 3, 4)),
+    }.get(kind, F.lit(None).cast("boolean"))
+
+
 def _vote(yes: Column) -> Column:
     """1, 0, or -1 for an abstention."""
     return F.coalesce(yes.cast("int"), F.lit(-1))
@@ -125,40 +147,47 @@ def _vote(yes: Column) -> Column:
 def candidates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, found): all candidate spans of each row, by kind and start, with their votes.
 
-    found is array<struct<kind, start, end, valid, strict, gazetteer, context,
-    edges, length>>; start and end count code points.  Null texts count as
-    empty and have none.
+    found is array<struct<kind, start, end, passed, LABELERS..., length>>;
+    start and end count code points, passed tells whether a base kind's match
+    passes its check.  Null texts count as empty and have none.
     """
     text = F.col("text")
     rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    rows = rows.select("id", "text", *[c.alias(f"{kind}_{part}") for kind in KINDS for part, c in zip(("hits", "gaps"), _places(text, kind), strict=True)])
+    rows = rows.select("id", *[c.alias(f"{kind}_{part}") for kind in KINDS for part, c in zip(("hits", "gaps"), _places(text, kind), strict=True)])
+    none = F.expr("cast(array() as array<int>)")
 
-    def spans(kind: str) -> Column:
+    def starts(kind: str) -> Column:
+        """Where each match begins.  Sums go on STEP by STEP matches, so that no long array is copied for each."""
         hits, gaps = F.col(f"{kind}_hits"), F.col(f"{kind}_gaps")
-        start = F.struct(F.lit(0).alias("at"), F.expr("cast(array() as array<struct<start:int,end:int,hit:string>>)").alias("spans"))
 
-        def step(s: Column, i: Column) -> Column:
+        def one(s: Column, i: Column) -> Column:
             first = s["at"] + F.length(F.get(gaps, i))
-            last = first + F.length(F.get(hits, i))
-            return F.struct(last.alias("at"), F.array_append(s["spans"], F.struct(first.alias("start"), last.alias("end"), F.get(hits, i).alias("hit"))).alias("spans"))
+            return F.struct((first + F.length(F.get(hits, i))).alias("at"), F.array_append(s["starts"], first).alias("starts"))
 
-        placed = F.aggregate(F.sequence(F.lit(0), F.size(hits) - 1), start, step, lambda s: s["spans"])
-        return F.when(F.size(hits) > 0, placed).otherwise(F.expr("cast(array() as array<struct<start:int,end:int,hit:string>>)"))
+        def block(s: Column, k: Column) -> Column:
+            own = F.aggregate(F.sequence(k, F.least(k + STEP, F.size(hits)) - 1), F.struct(s["at"].alias("at"), none.alias("starts")), one)
+            return F.struct(own["at"].alias("at"), F.array_append(s["blocks"], own["starts"]).alias("blocks"))
+
+        begin = F.struct(F.lit(0).alias("at"), F.expr("cast(array() as array<array<int>>)").alias("blocks"))
+        placed = F.aggregate(F.sequence(F.lit(0), F.size(hits) - 1, F.lit(STEP)), begin, block, lambda s: F.flatten(s["blocks"]))
+        return F.when(F.size(hits) > 0, placed).otherwise(none)
 
     def judged(kind: str) -> Column:
-        def one(s: Column) -> Column:
-            hit = s["hit"]
-            before = F.substring(text, F.greatest(s["start"] - CONTEXT, F.lit(0)) + 1, F.least(s["start"], F.lit(CONTEXT)))
-            after = F.substring(text, s["end"] + 1, F.lit(1))
-            context = F.when(before.rlike(CUES[kind]), F.lit(1)).when(before.rlike(AGAINST), F.lit(0)).otherwise(F.lit(-1))
+        hits, gaps = F.col(f"{kind}_hits"), F.col(f"{kind}_gaps")
+
+        def one(start: Column, i: Column) -> Column:
+            hit = F.get(hits, i)
+            before = F.right(F.concat(F.coalesce(F.right(F.get(hits, i - 1), F.lit(1)), F.lit("")), F.get(gaps, i)), F.lit(CONTEXT))
+            after = F.left(F.concat(F.get(gaps, i + 1), F.coalesce(F.left(F.get(hits, i + 1), F.lit(1)), F.lit(""))), F.lit(CONTEXT))
+            context = F.when(before.rlike(CUES[kind]) | after.rlike(CUES[kind]), F.lit(1)).when(before.rlike(AGAINST), F.lit(0)).otherwise(F.lit(-1))
+            valid = _valid(kind, hit)
             return F.struct(
-                F.lit(kind).alias("kind"), s["start"].alias("start"), s["end"].alias("end"), _vote(_valid(kind, hit)).alias("valid"), _vote(hit.rlike(STRICT[kind])).alias("strict"),
-                F.when(hit.rlike(GAZETTEER[kind]), F.lit(1)).otherwise(F.lit(-1)).alias("gazetteer"), context.alias("context"),
-                _vote(~(F.right(before, F.lit(1)).rlike("[A-Za-z0-9]") | after.rlike("[A-Za-z0-9]"))).alias("edges"),
+                F.lit(kind).alias("kind"), start.alias("start"), (start + F.length(hit)).alias("end"), F.coalesce(valid, F.lit(True)).alias("passed"), _vote(hit.rlike(SHAPES[kind])).alias("shape"), _vote(valid).alias("valid"),
+                _vote(_listed(kind, hit)).alias("gazetteer"), context.alias("context"), _vote(~(F.right(before, F.lit(1)).rlike("[A-Za-z0-9]") | F.left(after, F.lit(1)).rlike("[A-Za-z0-9]"))).alias("edges"),
                 F.least(F.floor(F.length(hit) / 8).cast("int"), F.lit(4)).alias("length"),
             )
 
-        return F.transform(spans(kind), one)
+        return F.transform(starts(kind), one)
 
     return rows.select("id", F.concat(*[judged(kind) for kind in KINDS]).alias("found"))
 
@@ -170,7 +199,7 @@ class SpanModel:
         """found is what ``candidates`` returns.  Only counts of vote patterns, bounded by the number of possible patterns, reach the driver."""
         keys = ["kind", *LABELERS, "length"]
         scratch = Scratch(found.sparkSession, "pii-patterns")
-        patterns = scratch.write(found.select(F.explode("found").alias("c")).select("c.*").groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).coalesce(1))
+        patterns = scratch.write(found.select(F.explode("found").alias("c")).select("c.*").groupBy(*keys).agg(F.count(F.lit(1)).alias("n")))
         rows = patterns.groupBy("kind", *LABELERS).agg(F.sum("n").alias("n")).collect()
         self.kinds = sorted({r["kind"] for r in rows})
         self.weights: dict[tuple[str, object], float] | None = None
@@ -179,30 +208,30 @@ class SpanModel:
             self._train(patterns)
 
     def _estimate(self, rows: list[tuple[str, tuple[int, ...], int]]) -> None:
-        """Dawid and Skene: a span of each kind is personal with some prior; a labeler votes given the truth with its own reliability."""
-        truth = [(0.5 + sum(v == 1 for v in votes)) / (1.0 + sum(v >= 0 for v in votes)) for _, votes, _ in rows]
-        for _ in range(EM_ROUNDS):
-            prior = {}
-            for k in self.kinds:
-                own = [(p, n) for p, (kind, _, n) in zip(truth, rows, strict=True) if kind == k]
-                prior[k] = (1 + sum(p * n for p, n in own)) / (2 + sum(n for _, n in own))
-            self.prior = {k: math.log(p / (1 - p)) for k, p in prior.items()}
-            self.evidence: dict[tuple[int, int], float] = {}
-            for j in range(len(LABELERS)):
-                mass = {(v, y): 1.0 for v in (-1, 0, 1) for y in (0, 1)} | {(1, 1): 4.0, (0, 0): 4.0}
-                for p, (_, votes, n) in zip(truth, rows, strict=True):
-                    mass[votes[j], 1] += p * n
-                    mass[votes[j], 0] += (1 - p) * n
-                total = [sum(mass[v, y] for v in (-1, 0, 1)) for y in (0, 1)]
-                for v in (-1, 0, 1):
-                    self.evidence[j, v] = math.log(mass[v, 1] / total[1]) - math.log(mass[v, 0] / total[0])
-            logits = [self.prior[kind] + sum(self.evidence[j, v] for j, v in enumerate(votes)) for kind, votes, _ in rows]
-            truth = [1 / (1 + math.exp(-max(-30.0, min(30.0, z)))) for z in logits]
+        """Dawid and Skene: a span of each kind is personal with some prior; a labeler votes given the truth with its own reliability for that kind."""
+        self.prior: dict[str, float] = {}
+        self.evidence: dict[tuple[str, int, int], float] = {}
+        for kind in self.kinds:
+            own = [(votes, n) for k, votes, n in rows if k == kind]
+            truth = [(0.5 + sum(v == 1 for v in votes)) / (1.0 + sum(v >= 0 for v in votes)) for votes, _ in own]
+            for _ in range(EM_ROUNDS):
+                prior = (1 + sum(p * n for p, (_, n) in zip(truth, own, strict=True))) / (2 + sum(n for _, n in own))
+                self.prior[kind] = math.log(prior / (1 - prior))
+                for j in range(len(LABELERS)):
+                    mass = {(v, y): 1.0 for v in (-1, 0, 1) for y in (0, 1)} | {(1, 1): 4.0, (0, 0): 4.0}
+                    for p, (votes, n) in zip(truth, own, strict=True):
+                        mass[votes[j], 1] += p * n
+                        mass[votes[j], 0] += (1 - p) * n
+                    total = [sum(mass[v, y] for v in (-1, 0, 1)) for y in (0, 1)]
+                    for v in (-1, 0, 1):
+                        self.evidence[kind, j, v] = math.log(mass[v, 1] / total[1]) - math.log(mass[v, 0] / total[0])
+                logits = [self.prior[kind] + sum(self.evidence[kind, j, v] for j, v in enumerate(votes)) for votes, _ in own]
+                truth = [1 / (1 + math.exp(-max(-30.0, min(30.0, z)))) for z in logits]
 
     def _train(self, patterns: DataFrame) -> None:
         logit = reduce(lambda a, b: a + b, [
             *(F.when(F.col("kind") == k, z).otherwise(0.0) for k, z in self.prior.items()),
-            *(F.when(F.col(LABELERS[j]) == v, z).otherwise(0.0) for (j, v), z in self.evidence.items()),
+            *(F.when((F.col("kind") == k) & (F.col(LABELERS[j]) == v), z).otherwise(0.0) for (k, j, v), z in self.evidence.items()),
         ])
         soft = patterns.withColumn("p", F.lit(1.0) / (F.lit(1.0) + F.exp(-F.least(F.greatest(logit, F.lit(-30.0)), F.lit(30.0)))))
         names = [*((x, v) for x in LABELERS for v in (0, 1)), *(("kind", k) for k in self.kinds), *(("length", b) for b in range(5))]
@@ -231,7 +260,7 @@ def find_pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     scratch = Scratch(docs.sparkSession, "pii")
     found = scratch.write(candidates(docs, id_col, text_col))
     model = SpanModel(found.filter(F.size("found") > 0))
-    base = F.filter("found", lambda c: c["kind"].isin(*BASE) & (c["valid"] == 1))
+    base = F.filter("found", lambda c: c["kind"].isin(*BASE) & c["passed"])
     extra = F.filter("found", lambda c: c["kind"].isin(*EXTRA) & model.accepts(c))
     clear = F.filter("extra", lambda e: ~F.exists("base", lambda b: (b["start"] < e["end"]) & (e["start"] < b["end"])))
     rank = F.create_map(*[F.lit(x) for i, k in enumerate(KINDS) for x in (k, i)])
@@ -264,7 +293,7 @@ def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     base = F.filter("spans", lambda s: s["rank"] < len(BASE))
     listed = lambda spans: F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
     count = lambda kind: F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
-    return found.select(F.col("id").alias("doc_id"), *map(count, BASE), F.sha2(listed(base).cast("binary"), 256).alias("base_sha256"), listed(F.col("spans")).alias("spans"))
+    return found.select(F.col("id").alias("doc_id"), *map(count, KINDS), F.size("spans").cast("long").alias("n_spans"), F.sha2(listed(base).cast("binary"), 256).alias("base_sha256"), listed(F.col("spans")).alias("spans"))
 
 
 QUERIES = {"op2_pii": op2_pii}

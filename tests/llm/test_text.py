@@ -16,7 +16,7 @@ from headway.llm import packing
 from headway.llm.chat import format_chats, loss_text, read_back
 from headway.llm.mixing import WEIGHTS, domain_of, mix, mixed_documents
 from headway.llm.packing import _encoder, _TextEncoder, _WordEncoder, default_tokenizer, pack
-from headway.llm.pii import find_pii, redact
+from headway.llm.pii import LABELERS, SpanModel, candidates, find_pii, redact
 from headway.llm.quality import fit_quality, keep_good
 from headway.llm.toxicity import fit_toxicity
 
@@ -94,6 +94,65 @@ def test_personal_data(spark):
     assert "<email> x@y <email>." in clean and redact(docs).columns == docs.columns
 
 
+def iban(country, account):
+    digits = "".join(str(int(c, 36)) for c in f"{account}{country}00")
+    return f"{country}{98 - int(digits) % 97:02d}{account}"
+
+
+def labelled_spans():
+    """Texts of one candidate each, with its kind and whether it is personal."""
+    rng, rows = np.random.default_rng(2), []
+    number = lambda n: "".join(map(str, rng.integers(0, 10, n)))
+    for k in range(60):
+        account = iban(["DE", "FR", "GB"][k % 3], number(18))
+        area = f"{rng.integers(2, 10)}{number(2)}"
+        rows += [
+            ("iban", "my bank account is ", account, True), ("local_phone", "call ", f"({area}) {area}-{number(4)}", True), ("national_id", "her ssn ", f"{rng.integers(100, 600)}-{rng.integers(10, 99)}-{rng.integers(1000, 9999)}", True),
+            ("obfuscated_email", "write to ", f"jo{k} [at] site{k} [dot] com", True), ("secret", "export ", f"api_key={'q9' * 6}{number(4)}", True), ("secret", "config ", f"token: {'Ab3' * 200}{number(3)}", True),
+        ]
+        if k % 3 == 0:
+            wrong = account[:2] + f"{(int(account[2:4]) + 1) % 97:02d}" + account[4:]
+            rows += [("iban", "version ", "XX" + wrong[2:], False), ("local_phone", "section ", f"0{number(2)}-{rng.integers(0, 2)}{number(2)} {number(4)}", False), ("national_id", "page ", f"000 {number(2)} {number(4)}", False)]
+    return rows
+
+
+def test_spans_beyond_checked_patterns(spark):
+    rows = labelled_spans()
+    texts = [f"é {a}{hit} and so on" for _, a, hit, _ in rows]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.id: [(s.kind, s.start, s.end) for s in r.spans if s.kind not in BASE] for r in find_pii(docs).collect()}
+    for i, (kind, a, hit, personal) in enumerate(rows):
+        assert got[i] == ([(kind, 2 + len(a), 2 + len(a) + len(hit))] if personal else []), texts[i]
+    assert {r.doc_id: r.text for r in redact(docs).collect()}[0] == "é my bank account is <iban> and so on"
+    many = spark.createDataFrame([(1, "ü " + "a@b.co x " * 1000)], "doc_id long, text string")
+    assert [(s.start, s.end) for s in find_pii(many).first().spans] == [(2 + 9 * k, 8 + 9 * k) for k in range(1000)]
+    assert redact(many).first().text == "ü " + "<email> x " * 1000
+
+
+def test_reliabilities_are_those_of_expectation_maximisation(spark):
+    docs = spark.createDataFrame([(i, a + hit) for i, (_, a, hit, _) in enumerate(labelled_spans())], "doc_id long, text string")
+    found = candidates(docs)
+    model = SpanModel(found)
+    each = found.select(F.explode("found").alias("c")).select("c.*").collect()
+    votes, kinds = np.array([[c[x] for x in LABELERS] for c in each]), np.array([c.kind for c in each])
+    for kind in set(kinds):
+        own = votes[kinds == kind]
+        p = (0.5 + (own == 1).sum(1)) / (1 + (own >= 0).sum(1))
+        for _ in range(60):
+            prior = (1 + p.sum()) / (2 + len(p))
+            likely = np.zeros((len(LABELERS), 3, 2))
+            for j in range(len(LABELERS)):
+                for v in (-1, 0, 1):
+                    likely[j, v + 1] = [(4 if v == y else 1) + (q * (own[:, j] == v)).sum() for y, q in ((0, 1 - p), (1, p))]
+                likely[j] /= likely[j].sum(axis=0)
+            z = math.log(prior / (1 - prior)) + sum(np.log(likely[j, own[:, j] + 1, 1] / likely[j, own[:, j] + 1, 0]) for j in range(len(LABELERS)))
+            p = 1 / (1 + np.exp(-np.clip(z, -30, 30)))
+        assert math.isclose(model.prior[kind], math.log(prior / (1 - prior)), abs_tol=1e-6)
+        for j in range(len(LABELERS)):
+            for v in (-1, 0, 1):
+                assert math.isclose(model.evidence[kind, j, v], math.log(likely[j, v + 1, 1] / likely[j, v + 1, 0]), abs_tol=1e-6)
+
+
 TALK = [
     (1, 0, "user", "hi <|im_end|>"), (1, 1, "user", "<|im_next|>\\"), (1, 2, "assistant", "<\\|im_end|> <<|"), (1, 3, "assistant", "|>\n"), (1, 3, "assistant", "|>\n"), (1, 4, "tool a\n<|", "ü😀"),
     (2, 0, "assistant", None), (2, None, None, "first"), (None, 5, "user", ""), (3, 1, "system", "<"), (3, 2, "user", "<"), (3, 3, "assistant", "x" * 300_000),
