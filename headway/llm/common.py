@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..storage import Scratch, shared_folder
 
-__all__ = ["SPACE", "Scratch", "held_out", "shared_folder", "small_batches", "table", "text_or_empty"]
+__all__ = ["SPACE", "Scratch", "held_out", "shared_folder", "small_batches", "table", "text_or_empty", "whole_rows"]
 
 #: White space that separates words everywhere in this subpackage.
 SPACE = r"[\x20\x09-\x0D]+"
@@ -17,9 +17,14 @@ def text_or_empty(text: str) -> Column:
     return F.coalesce(F.col(text), F.lit(""))
 
 
-def held_out(doc_id: str) -> Column:
+def whole_rows(docs: DataFrame, *more: Column) -> DataFrame:
+    """docs' columns as one struct, doc, and columns beside it, whose names then can't clash with theirs; doc.* gives them back."""
+    return docs.select(F.struct("*").alias("doc"), *more)
+
+
+def held_out(doc_id: str | Column) -> Column:
     """The evaluation fold: rows whose labels no model may learn from."""
-    return F.crc32(F.col(doc_id).cast("string").cast("binary")) % 5 == 0
+    return F.crc32((F.col(doc_id) if isinstance(doc_id, str) else doc_id).cast("string").cast("binary")) % 5 == 0
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import SPACE, Scratch, table, text_or_empty
+from .common import SPACE, Scratch, table, text_or_empty, whole_rows
 
 #: Characters in a block.  Most documents are one block; the names of longer ones are paired.
 BLOCK = 4096
@@ -95,12 +95,12 @@ def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
 def drop_exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of docs that stay, with docs' columns.  Of rows repeated in full one stays."""
     decided = Scratch(docs.sparkSession, "exact-dedup-kept").write(exact_duplicates(docs, id_col, text_col))
-    drop = decided.filter(~F.col("kept")).select(F.col("id").alias("_drop_id"), F.col("key").alias("_drop_key"))
-    keyed = docs.withColumn("_row_key", F.xxhash64(normalised(text_col)))
-    kept = keyed.join(drop, keyed[id_col].eqNullSafe(F.col("_drop_id")) & (keyed["_row_key"] == F.col("_drop_key")), "left_anti")
+    drop = decided.filter(~F.col("kept")).select(F.col("id").alias("drop_id"), F.col("key").alias("drop_key"))
+    keyed = whole_rows(docs, F.col(id_col).alias("id"), F.xxhash64(normalised(text_col)).alias("key"))
+    kept = keyed.join(drop, F.col("id").eqNullSafe(F.col("drop_id")) & (F.col("key") == F.col("drop_key")), "left_anti")
     if not decided.filter("kept and n_rows > 1").isEmpty():
-        kept = kept.dropDuplicates([id_col, "_row_key"])
-    return kept.select(*[F.col(f"`{c}`") for c in docs.columns])
+        kept = kept.dropDuplicates(["id", "key"])
+    return kept.select("doc.*")
 
 
 def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -7,7 +7,7 @@ import math
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import SPACE, Scratch, table, text_or_empty
+from .common import SPACE, Scratch, table, text_or_empty, whole_rows
 
 SEED = 17
 LEAF = ["domain", "lang", "source"]
@@ -96,8 +96,8 @@ def mix(
         F.md5(text_or_empty(text_col).cast("binary")).alias("text_md5"), token_count(text_col).alias("words"),
     )
     each = scratch.write(each.groupBy("id", "key", "domain", "lang", "source", "text_md5", "words").agg(F.count(F.lit(1)).alias("n_rows")).withColumn("n_tokens", F.col("words") * F.col("n_rows")).drop("words"))
-    leaves = scratch.write(each.groupBy(*LEAF).agg(F.sum("n_tokens").alias("tokens"), F.count(F.lit(1)).alias("n_docs")).coalesce(1))
-    plan = scratch.write(budgets(leaves.drop("n_docs"), total, fraction, max_epochs, weights).coalesce(1))
+    leaves = scratch.write(each.groupBy(*LEAF).agg(F.sum("n_tokens").alias("tokens"), F.count(F.lit(1)).alias("n_docs")))
+    plan = scratch.write(budgets(leaves.drop("n_docs"), total, fraction, max_epochs, weights))
     # As many buckets in a leaf as documents in a bucket, about, so that neither is more than the root of the largest leaf.
     digits = max(1, math.ceil(math.log((leaves.agg(F.max("n_docs")).first()[0] or 1) ** 0.5, 16)))
     return _taken(each, plan, max_epochs, seed, digits, scratch)
@@ -133,10 +133,9 @@ def _taken(each: DataFrame, plan: DataFrame, max_epochs: int, seed: int, digits:
 
 def mixed_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """The rows of docs that mix takes, with docs' columns, once for each epoch that takes them."""
-    taken = Scratch(docs.sparkSession, "mixing-taken").write(mix(docs, id_col=id_col, text_col=text_col, **options).select(F.col("id").alias("_id"), F.col("key").alias("_taken_key")))
-    keyed = docs.withColumn("_key", F.xxhash64(text_or_empty(text_col)))
-    joined = keyed.join(taken, keyed[id_col].eqNullSafe(F.col("_id")) & (keyed["_key"] == F.col("_taken_key")))
-    return joined.select(*[F.col(f"`{c}`") for c in docs.columns])
+    taken = Scratch(docs.sparkSession, "mixing-taken").write(mix(docs, id_col=id_col, text_col=text_col, **options).select(F.col("id").alias("taken_id"), F.col("key").alias("taken_key")))
+    keyed = whole_rows(docs, F.col(id_col).alias("id"), F.xxhash64(text_or_empty(text_col)).alias("key"))
+    return keyed.join(taken, F.col("id").eqNullSafe(F.col("taken_id")) & (F.col("key") == F.col("taken_key"))).select("doc.*")
 
 
 def op4_mix(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Scratch, small_batches, table
+from .common import Scratch, small_batches, table, whole_rows
 from .components import components
 from .sketch import MAX_CELLS, PART_SCHEMA, Counter, DenseCounter, LogSketch, TwiceSketch, cells_for, count_hashes, text_bytes
 from .words import mix, slices, split_words, valid_starts, window_hashes, word_hashes
@@ -180,13 +180,13 @@ def _verified(pairs: DataFrame, rows: DataFrame, each: DataFrame, naming: _Namin
     """The pairs (a, b) whose sets are similar enough.
 
     Sets are made again from the texts, of one document for each key that
-    pairs hold: those that a sketch of the documents lets through, or, where it
-    would have more than max_cells, that a join finds.
+    pairs hold: those that a sketch of the documents lets through, or, where
+    max_cells are too few for it, that a join finds.
     """
     keys = pairs.select(F.col("a").alias("key")).unionByName(pairs.select(F.col("b").alias("key"))).distinct()
     chosen = scratch.write(each.groupBy("key").agg(F.min(F.xxhash64("id")).alias("h")).join(keys, "key").select("h"))
-    cells, texts, wanted = cells_for(chosen.count()), rows.select(F.xxhash64("id").alias("h"), "text"), None
-    if cells <= max_cells:
+    cells, texts, wanted = cells_for(chosen.count(), max_cells), rows.select(F.xxhash64("id").alias("h"), "text"), None
+    if cells:
         wanted = TwiceSketch(chosen.mapInArrow(lambda batches: _present(batches, cells), PART_SCHEMA), cells)
     else:
         texts = texts.join(chosen, "h", "left_semi")
@@ -228,7 +228,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     Equal sets are one class from the start (key).  Postings hold prefix
     tokens only, less those that the merged sketch shows to be in one prefix
-    (none less where it would have more than max_cells).
+    (none less where max_cells are too few for the corpus).
     Classes are first compared with a central partner each; then every pair of
     classes of different components so far is compared that shares enough
     prefix tokens for its sizes.  A pair inside a component is never looked at
@@ -252,9 +252,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     each = scratch.write(each.join(clash, "key", "left").select("id", "n", F.when(F.col("clash"), F.col("apart")).otherwise(F.col("key")).alias("key")))
     scratch.drop(first)
 
-    cells = cells_for(words / 4)
-    # Beyond max_cells all prefix tokens are shuffled, and grouped exactly as those that the sketch lets through.
-    twice = None if cells > max_cells else TwiceSketch(count_hashes(texts, lambda batch: (s.flat[s.prefixes(logs, load, percent)[0]] for _, s in _each(iter([batch]), shingle)), cells, 2), cells)
+    cells = cells_for(words / 4, max_cells)
+    # Without a sketch all prefix tokens are shuffled, and grouped exactly as are those that a sketch lets through.
+    twice = cells and TwiceSketch(count_hashes(texts, lambda batch: (s.flat[s.prefixes(logs, load, percent)[0]] for _, s in _each(iter([batch]), shingle)), cells, 2), cells)
     # Copies leave one posting; a token of one class only pairs with nothing.
     posts = scratch.write(_postings(texts, logs, load, twice, naming, shingle, percent).distinct())
     shared = posts.groupBy("token").agg(F.count(F.lit(1)).alias("n_keys")).filter("n_keys > 1").select("token")
@@ -359,12 +359,13 @@ def _open_pairs(live: DataFrame, percent: int, scratch: Scratch) -> DataFrame:
 def keep_one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Of each component the row with the smallest id (nulls last), with docs' columns; of rows repeated in full one."""
     row = F.struct(F.col(id_col).isNull().alias("none"), F.col(id_col).alias("id"), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("text"))
-    named = docs.withColumn("_row", row)
-    decided = Scratch(docs.sparkSession, "ngram-kept").write(near_duplicates(named, "_row", text_col))
-    kept = named.join(decided.filter(F.col("id") != F.col("component_id")).select(F.col("id").alias("_drop")), F.col("_row") == F.col("_drop"), "left_anti")
+    named = whole_rows(docs, row.alias("row"), F.col(text_col).alias("text"))
+    decided = Scratch(docs.sparkSession, "ngram-kept").write(near_duplicates(named, "row", "text"))
+    dropped = decided.filter(F.col("id") != F.col("component_id")).select(F.col("id").alias("dropped"))
+    kept = named.drop("text").join(dropped, F.col("row") == F.col("dropped"), "left_anti")
     if not decided.groupBy("id").count().filter("count > 1").isEmpty():
-        kept = kept.dropDuplicates(["_row"])
-    return kept.select(*[F.col(f"`{c}`") for c in docs.columns])
+        kept = kept.dropDuplicates(["row"])
+    return kept.select("doc.*")
 
 
 def op3_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -19,7 +19,7 @@ from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Scratch, table
+from .common import Scratch, table, whole_rows
 
 #: Base kinds in the order in which spans of one start are listed.  Possessive
 #: quantifiers match what plain ones do here, in constant stack; a match may
@@ -273,19 +273,18 @@ def redact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
 
     Rows are matched by id and text, so a repeated id with different texts is safe.
     """
-    hashed = docs.withColumn("_text_hash", F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))))
-    keyed = hashed.select(F.struct(F.col(id_col).alias("id"), F.col("_text_hash").alias("h")).alias("_key"), F.col(text_col).alias("text"))
-    spans = find_pii(keyed, "_key", "text").filter(F.size("spans") > 0).groupBy(F.col("id.id").alias("_pii_id"), F.col("id.h").alias("_pii_hash")).agg(F.first("spans").alias("_spans"))
-    text = F.col(text_col)
+    rows = whole_rows(docs, F.struct(F.col(id_col).alias("id"), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("hash")).alias("row"), F.col(text_col).alias("text"))
+    spans = find_pii(rows, "row", "text").filter(F.size("spans") > 0).groupBy(F.col("id").alias("row")).agg(F.first("spans").alias("spans"))
+    text = F.col("text")
     start = F.struct(F.lit(0).alias("at"), F.expr("cast(array() as array<string>)").alias("out"))
 
     def step(s: Column, p: Column) -> Column:
         gap = F.substring(text, s["at"] + 1, p["start"] - s["at"])
         return F.when(p["start"] < s["at"], s).otherwise(F.struct(p["end"].alias("at"), F.concat(s["out"], F.array(gap, F.concat(F.lit("<"), p["kind"], F.lit(">")))).alias("out")))
 
-    done = F.aggregate("_spans", start, step, lambda s: F.concat(F.array_join(s["out"], ""), F.substring(text, s["at"] + 1, F.length(text))))
-    joined = hashed.join(spans, hashed[id_col].eqNullSafe(F.col("_pii_id")) & (hashed["_text_hash"] == F.col("_pii_hash")), "left")
-    return joined.select(*[F.coalesce(done, text).alias(c) if c == text_col else F.col(f"`{c}`") for c in docs.columns])
+    done = F.aggregate("spans", start, step, lambda s: F.concat(F.array_join(s["out"], ""), F.substring(text, s["at"] + 1, F.length(text))))
+    joined = rows.join(spans, "row", "left")
+    return joined.select(*[(F.coalesce(done, text) if c.lower() == text_col.lower() else F.col("doc")[c]).alias(c) for c in docs.columns])
 
 
 def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,12 +1,13 @@
 """Count sketches over the whole corpus: filled in each task and merged by ranges of cells.
 
-A sketch of up to MAX_CELLS is broadcast.  Its size goes with the corpus, so
-that few hashes pass by accident; beyond that bound the callers ask the
-cluster instead, by a join on cells.
+A sketch of up to MAX_CELLS is broadcast, as long as that leaves it LEAST_PER_ITEM
+cells for each item; beyond, where most hashes would pass by accident, the
+callers ask the cluster instead, by a join or an exact grouping.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -26,11 +27,14 @@ PART_SCHEMA = "segment int, cells binary, counts binary"
 FLUSH = 2_000_000
 #: Most cells of a sketch that is broadcast.  At two bits a cell these are 64 MB.
 MAX_CELLS = 1 << 28
+#: Cells for each item, if there is room, and at least: 5 and 40 in a hundred hashes of one occurrence pass as repeated.
+PER_ITEM, LEAST_PER_ITEM = 8, 2
 
 
-def cells_for(items: float, per_item: int = 8) -> int:
-    """A power of two, with per_item cells for each expected item."""
-    return max(SEGMENT, 1 << int(np.ceil(np.log2(max(1.0, items * per_item)))))
+def cells_for(items: float, max_cells: int = MAX_CELLS) -> int | None:
+    """Cells of a sketch of items, a power of two; None if max_cells would leave too few for each."""
+    wanted = max(SEGMENT, 1 << math.ceil(math.log2(max(1.0, items * PER_ITEM))))
+    return wanted if wanted <= max_cells else max_cells if max_cells >= items * LEAST_PER_ITEM and max_cells >= SEGMENT else None
 
 
 def places(h: np.ndarray, cells: int, rows: int) -> np.ndarray:

@@ -18,8 +18,8 @@ from .words import mix, slices, split_words, valid_starts, window_hashes, word_h
 WINDOW, ANCHOR = 35, 8
 #: UTF-8 bytes of text for each window run that the sketch counts, about.
 BYTES_PER_ANCHOR = 75
-#: How many times more cells a sketch has that holds only cells that occur.
-SPARSE = 16
+#: Cells of a sketch that is a table of those that occur: enough for any corpus.
+TABLE_CELLS = 1 << 56
 _PLACE = np.uint64((1 << 28) - 1)
 
 
@@ -65,8 +65,8 @@ def _each(batches: Iterator[pa.RecordBatch], window: int) -> Iterator[tuple[pa.R
             yield rows, _Windows(rows.column("text"), window)
 
 
-def _cells(h: np.ndarray, cells: int) -> np.ndarray:
-    return (mix(h) & np.uint64(cells - 1)).view(np.int64)
+def _cells(h: np.ndarray) -> np.ndarray:
+    return (mix(h) & np.uint64(TABLE_CELLS - 1)).view(np.int64)
 
 
 #: From a slice, how to tell which hashes of anchors may be repeated.
@@ -79,7 +79,7 @@ def _broadcast(rows: DataFrame, cells: int, window: int) -> tuple[DataFrame, Oft
     return rows, lambda part: sketch.often
 
 
-def _joined(rows: DataFrame, cells: int, window: int, scratch: Scratch) -> tuple[DataFrame, Often]:
+def _joined(rows: DataFrame, window: int, scratch: Scratch) -> tuple[DataFrame, Often]:
     """rows joined with those of their cells that are counted twice, for a sketch of any size that is a table of its cells.
 
     Only cells and a hash of the row travel.  Rows that share that hash share
@@ -90,11 +90,11 @@ def _joined(rows: DataFrame, cells: int, window: int, scratch: Scratch) -> tuple
         for part, w in _each(batches, window):
             h, at = w.counted()
             row = np.searchsorted(np.cumsum(w.counts), at, "right")
-            yield pa.RecordBatch.from_arrays([part.column("row").take(pa.array(row)), pa.array(_cells(h, cells))], ["row", "cell"])
+            yield pa.RecordBatch.from_arrays([part.column("row").take(pa.array(row)), pa.array(_cells(h))], ["row", "cell"])
 
     def often(part: pa.RecordBatch) -> Callable[[np.ndarray], np.ndarray]:
         known = np.unique(pc.list_flatten(part.column("cells")).to_numpy(zero_copy_only=False).astype(np.int64))
-        return lambda h: np.isin(_cells(h, cells), known)
+        return lambda h: np.isin(_cells(h), known)
 
     rows = rows.withColumn("row", F.xxhash64("id", "key"))
     held = scratch.write(rows.select("row", "text").mapInArrow(run, "row long, cell long").groupBy("row", "cell").agg(F.count(F.lit(1)).alias("n")))
@@ -143,14 +143,14 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     texts have no words; shorter texts than a window lose none.  An empty
     table gives no rows; other columns are not read.
 
-    The sketch has about 8 cells for each anchor.  Up to ``max_cells`` every
-    task holds it; a larger one is a table that rows are joined with.
+    Up to ``max_cells`` every task holds the sketch; where that is too few for
+    the corpus, it is a table of its cells that rows are joined with.
     """
     scratch = Scratch(docs.sparkSession, "substring-dedup")
     small_batches(docs.sparkSession)
     rows = docs.select(F.col(id_col).alias("id"), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("key"), F.col(text_col).alias("text"))
-    cells = cells_for(text_bytes(docs, text_col) / BYTES_PER_ANCHOR)
-    rows, often = _broadcast(rows, cells, window) if cells <= max_cells else _joined(rows, cells * SPARSE, window, scratch)
+    cells = cells_for(text_bytes(docs, text_col) / BYTES_PER_ANCHOR, max_cells)
+    rows, often = _broadcast(rows, cells, window) if cells else _joined(rows, window, scratch)
     alone = _single(rows, often, window)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
