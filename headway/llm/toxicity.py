@@ -14,6 +14,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import IsotonicRegression, IsotonicRegressionModel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import Scratch, held_out, small_batches, table
 from .labelled import fold, labelled_sample
@@ -95,16 +96,17 @@ def _features(texts: pa.Array, lexicon: dict[str, float]) -> np.ndarray:
 
 
 def _featured(rows: DataFrame, lexicon: dict[str, float]) -> DataFrame:
-    """(id, FEATURES...) of rows (id, text)."""
+    """rows with FEATURES instead of text."""
+    kept = [c for c in rows.columns if c != "text"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, "text"):
                 x = _features(part.column("text"), lexicon)
-                yield pa.RecordBatch.from_arrays([part.column("id"), *(pa.array(c) for c in x.T)], ["id", *FEATURES])
+                yield pa.RecordBatch.from_arrays([*map(part.column, kept), *(pa.array(c) for c in x.T)], [*kept, *FEATURES])
 
     small_batches(rows.sparkSession)
-    return rows.mapInArrow(run, f"id {rows.schema['id'].dataType.simpleString()}, " + ", ".join(f"{f} double" for f in FEATURES))
+    return rows.mapInArrow(run, T.StructType([*(rows.schema[c] for c in kept), *(T.StructField(f, T.DoubleType()) for f in FEATURES)]))
 
 
 def fit_lexicon(sample: DataFrame) -> dict[str, float]:
@@ -167,9 +169,8 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, label: str = "toxic", id_co
     if len(counts) < 4:
         return ToxicityModel({}, None, None, prior)
     halves = [sample.filter("part < 2"), sample.filter("part >= 2")]
-    crossed = [_featured(own.select("id", "text"), fit_lexicon(other)) for own, other in (halves, halves[::-1])]
-    known = sample.select("id", "part", F.col("label").cast("double").alias("label"))
-    featured = scratch.write(crossed[0].unionByName(crossed[1]).join(known, "id").coalesce(4))
+    crossed = [_featured(own.select("text", "part", F.col("label").cast("double").alias("label")), fit_lexicon(other)) for own, other in (halves, halves[::-1])]
+    featured = scratch.write(crossed[0].unionByName(crossed[1]))
     assembled = VectorAssembler(inputCols=list(FEATURES), outputCol="features").transform(featured.filter("part % 2 = 0"))
     trees = GBTClassifier(maxIter=TREES, maxDepth=DEPTH, stepSize=0.3, seed=7).fit(assembled)
     weight = F.when(F.col("label") == 1, shares[1] / counts[1, 1]).otherwise(shares[0] / counts[1, 0])
