@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -21,12 +22,18 @@ TREES, SEED = 8, 11
 LEAF, SPILL = 256, 0.5
 #: A node is not split further if this share of its sample's pairs is linked, judged on SEEN_MOST rows at most.
 DENSE, SEEN_MOST = 0.25, 64
-#: Sample rows that the deepest nodes have on average, at least; beyond SAMPLE / SEEN * LEAF vectors leaves grow instead.
+#: Sample rows that the deepest nodes of the first splits have on average, at least.
 SEEN = 8
-#: Vectors that the splits are fitted on, at most; every vector is indexed.
+#: Vectors that the first splits are fitted on, at most; every vector is indexed.  These splits go down 11 levels at most, so every task can hold them.
 SAMPLE = 20_000
-#: Vectors of a leaf compared in one task; a larger leaf is compared block against block.
-BLOCK = 2048
+#: Vectors of a leaf compared in one task; a larger leaf is split again, LEVELS at a time, on about NODE_SAMPLE vectors of its own, and compared block against block if it is dense.
+BLOCK, LEVELS, NODE_SAMPLE = 2048, 4, 512
+
+
+def _dense(x: np.ndarray, cosine: float) -> bool:
+    """Whether DENSE of the pairs of a node's sample are linked."""
+    x = x[np.linspace(0, len(x) - 1, min(len(x), SEEN_MOST)).astype(np.int64)]
+    return bool((x @ x.T >= cosine).sum() - len(x) >= DENSE * len(x) * (len(x) - 1))
 
 
 class Forest:
@@ -39,8 +46,9 @@ class Forest:
 
     def __init__(self, sample: np.ndarray, count: int, seed: int = SEED, cosine: float = COSINE):
         self.depth = max(0, math.ceil(math.log2(max(count, 1) / LEAF)))
-        if len(sample) < count:
-            self.depth = min(self.depth, max(0, math.floor(math.log2(max(len(sample), 1) / SEEN))))
+        most = max(0, math.floor(math.log2(max(len(sample), 1) / SEEN))) if len(sample) < count else self.depth
+        #: Whether leaves are larger than the depth should make them, and need further splits.
+        self.depth, self.deep = min(self.depth, most), self.depth > most
         rng = np.random.default_rng(seed)
         dim = sample.shape[1]
         self.directions = rng.standard_normal((TREES, self.depth, dim)) / math.sqrt(dim)
@@ -58,9 +66,7 @@ class Forest:
                 filled = sizes > 0
                 cut = np.where(filled, p[order][at], 0.0)
                 for node in np.flatnonzero((sizes > 1) & ~whole):
-                    seen = order[firsts[node] : firsts[node] + sizes[node]]
-                    x = sample[seen[np.linspace(0, len(seen) - 1, min(len(seen), SEEN_MOST)).astype(np.int64)]]
-                    whole[node] = (x @ x.T >= cosine).sum() - len(x) >= DENSE * len(x) * (len(x) - 1)
+                    whole[node] = _dense(sample[order[firsts[node] : firsts[node] + sizes[node]]], cosine)
                 # All of a whole node goes to the left, down to the last level.
                 self.thresholds.append(np.where(whole, np.inf, cut))
                 self.margins.append(np.where(whole, 0.0, margin))
@@ -79,6 +85,20 @@ class Forest:
             yield rows, nodes
 
 
+def _direction(dim: int, tree: int, level: int) -> np.ndarray:
+    """The direction of a tree's level below the first splits."""
+    return np.random.default_rng([SEED, dim, tree, level]).standard_normal(dim) / math.sqrt(dim)
+
+
+def _name(tree: np.ndarray, depth: int, path: np.ndarray) -> np.ndarray:
+    """A node's number: its tree, and its path below a leading one."""
+    return (tree << 56) | (1 << depth) | path
+
+
+def _tree_and_depth(home: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    return home >> 56, np.frexp((home & ((1 << 56) - 1)).astype(np.float64))[1].astype(np.int64) - 1
+
+
 def _matrix(column: pa.Array) -> np.ndarray:
     return np.asarray(column.flatten(), np.float64).reshape(len(column), -1)
 
@@ -90,7 +110,7 @@ def _unit(x: np.ndarray) -> np.ndarray:
 
 
 def _indexed(vectors: DataFrame, forests: dict[int, Forest]) -> DataFrame:
-    """(dim, tree, leaf, id, copies, vector, homes): each vector in each of its leaves; homes are all its (tree, leaf) as numbers."""
+    """(dim, home, id, copies, vector, homes): each vector in each of its leaves; homes are all its leaves."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -101,7 +121,7 @@ def _indexed(vectors: DataFrame, forests: dict[int, Forest]) -> DataFrame:
                 x = _unit(_matrix(part.column("vector")))
                 found = [(np.full(len(r), t), r, n) for t, (r, n) in enumerate(forest.leaves(x))]
                 tree, rows, leaf = (np.concatenate(c) for c in zip(*found, strict=True))
-                home = (tree << forest.depth) + leaf
+                home = _name(tree, forest.depth, leaf)
                 order = np.lexsort((home, rows))
                 sizes = np.bincount(rows, minlength=len(x))
                 homes = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]), pa.int32()), pa.array(home[order]))
@@ -115,6 +135,73 @@ def _indexed(vectors: DataFrame, forests: dict[int, Forest]) -> DataFrame:
     return vectors.mapInArrow(run, f"dim int, home long, id long, copies long, vector array<{kind}>, homes array<long>")
 
 
+def _node_splits(rows: pd.DataFrame, cosine: float) -> pd.DataFrame:
+    """(dim, home, cuts) of a node's sample: the thresholds of LEVELS further levels, node by node; none of a dense node, which is a leaf."""
+    dim, home = int(rows["dim"].iloc[0]), int(rows["home"].iloc[0])
+    (tree,), (depth,) = _tree_and_depth(np.array([home]))
+    x, rng = _unit(np.stack(rows.sort_values("id", kind="stable")["vector"].to_numpy()).astype(np.float64)), np.random.default_rng([SEED, home])
+    cuts, nodes = np.full((1 << LEVELS) - 1, np.inf), np.zeros(len(x), np.int64)
+    for level in range(LEVELS):
+        p = x @ _direction(dim, int(tree), int(depth) + level)
+        for node in range(1 << level):
+            own = np.flatnonzero(nodes == node)
+            if len(own) > 1 and not _dense(x[own], cosine):
+                cuts[(1 << level) - 1 + node] = np.quantile(p[own], rng.uniform(0.4, 0.6))
+        nodes = 2 * nodes + (p > cuts[(1 << level) - 1 + nodes])
+    return pd.DataFrame({"dim": [dim], "home": [home], "cuts": [cuts if np.isfinite(cuts[0]) else None]})
+
+
+def _refined(placed: DataFrame, cosine: float, block: int, scratch: Scratch) -> DataFrame:
+    """placed (dim, home, id, copies, vector, homes), with every leaf over ``block`` vectors split further unless it is dense.
+
+    A round samples each such leaf by a hash, fits its splits in a task of its
+    own, and sends its vectors down by a join; rounds grow with the logarithm
+    of the largest leaf, and end when it shrinks no more.
+    """
+    done, open_, largest = [], placed, math.inf
+    while True:
+        sizes = scratch.write(open_.groupBy("dim", "home").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > block))
+        now = sizes.agg(F.max("n")).first()[0] or 0
+        if now > 0.9 * largest:
+            break
+        largest = now
+        chosen = open_.join(sizes, ["dim", "home"]).filter(F.pmod(F.xxhash64("home", "id"), F.col("n")) < NODE_SAMPLE).select("dim", "home", "id", "vector")
+        splits = scratch.write(chosen.groupBy("dim", "home").applyInPandas(lambda rows: _node_splits(rows, cosine), "dim int, home long, cuts array<double>").filter("cuts is not null"))
+        if splits.isEmpty():
+            break
+        done.append(open_.join(splits, ["dim", "home"], "left_anti"))
+        open_ = scratch.write(_descended(open_.join(splits, ["dim", "home"]), cosine))
+    if not done:
+        return placed
+    rows = scratch.write(reduce(DataFrame.unionByName, [d.select("dim", "home", "id", "copies", "vector") for d in (*done, open_)]))
+    return rows.join(rows.groupBy("id").agg(F.sort_array(F.collect_set("home")).alias("homes")), "id")
+
+
+def _descended(rows: DataFrame, cosine: float) -> DataFrame:
+    """rows (dim, home, id, copies, vector, cuts) in the leaves below their homes; a row near a split is on both sides."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            dims, homes = batch.column("dim").to_numpy(), batch.column("home").to_numpy()
+            trees, depths = _tree_and_depth(homes)
+            for dim, tree, depth in np.unique(np.stack([dims, trees, depths]), axis=1).T.tolist():
+                part = batch.filter(pa.array((dims == dim) & (trees == tree) & (depths == depth)))
+                x, cuts = _unit(_matrix(part.column("vector"))), _matrix(part.column("cuts"))
+                margin = SPILL * math.sqrt(2 * max(1 - cosine, 0)) / math.sqrt(dim)
+                at, nodes = np.arange(len(x)), np.zeros(len(x), np.int64)
+                for level in range(LEVELS):
+                    p, cut = (x @ _direction(dim, tree, depth + level))[at], cuts[at, (1 << level) - 1 + nodes]
+                    left, right = p <= cut + margin, p > cut - margin
+                    at, nodes = np.concatenate([at[left], at[right]]), np.concatenate([2 * nodes[left], 2 * nodes[right] + 1])
+                path = part.column("home").to_numpy()[at] & ((1 << 56) - 1)
+                home = (tree << 56) | (path << LEVELS) | nodes
+                take = pa.array(at)
+                yield pa.RecordBatch.from_arrays([part.column("dim").take(take), pa.array(home), *(part.column(c).take(take) for c in ("id", "copies", "vector"))], ["dim", "home", "id", "copies", "vector"])
+
+    kind = rows.schema["vector"].dataType.elementType.simpleString()
+    return rows.select("dim", "home", "id", "copies", "vector", "cuts").mapInArrow(run, f"dim int, home long, id long, copies long, vector array<{kind}>")
+
+
 def _local_roots(a: np.ndarray, b: np.ndarray, n: int) -> np.ndarray:
     """The smallest index that each of n indexes reaches over the pairs (a, b)."""
     root = np.arange(n)
@@ -129,6 +216,22 @@ def _local_roots(a: np.ndarray, b: np.ndarray, n: int) -> np.ndarray:
         root = new
 
 
+def _share_one(sets: list[np.ndarray], a: np.ndarray, b: np.ndarray, width: int = 4096) -> np.ndarray:
+    """Whether the sets a[i] and b[i] have a number in common: as bits, ``width`` numbers at a time, of those that several sets hold."""
+    known, flat, often = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    owner, shared = np.repeat(np.arange(len(sets)), [len(e) for e in sets]), np.cumsum(often > 1) - 1
+    keep = (often > 1)[flat]
+    owner, column, out = owner[keep], shared[flat[keep]], np.zeros(len(a), bool)
+    for first in range(0, int((often > 1).sum()), width):
+        here = (column >= first) & (column < first + width)
+        member = np.zeros((len(sets), width), bool)
+        member[owner[here], column[here] - first] = True
+        bits = np.packbits(member, axis=1).view(np.uint64)
+        for k in range(0, len(a), 16384):
+            out[k : k + 16384] |= (bits[a[k : k + 16384]] & bits[b[k : k + 16384]]).any(axis=1)
+    return out
+
+
 def _compare(rows: pd.DataFrame, cosine: float) -> pd.DataFrame:
     """(id, links, root) of the linked vectors of a leaf or of two of its blocks.
 
@@ -142,7 +245,7 @@ def _compare(rows: pd.DataFrame, cosine: float) -> pd.DataFrame:
     left, right = (np.flatnonzero(~side), np.flatnonzero(side)) if mixed else (np.arange(len(x)),) * 2
     out = {"id": np.zeros(0, np.int64), "links": np.zeros(0, np.int64), "root": np.zeros(0, np.int64)}
     earlier = [np.asarray(h)[np.asarray(h) < home] for h in rows["homes"]]
-    if (np.unique(np.concatenate(earlier), return_counts=True)[1] == len(x)).any():
+    if any(map(len, earlier)) and (np.unique(np.concatenate(earlier), return_counts=True)[1] == len(x)).any():
         return pd.DataFrame(out)  # all share an earlier leaf
     pairs = []
     for k in range(0, len(left), 512):
@@ -151,11 +254,7 @@ def _compare(rows: pd.DataFrame, cosine: float) -> pd.DataFrame:
         pairs.append((i, j) if mixed else (i[i < j], j[i < j]))
     a, b = (np.concatenate(c) for c in zip(*pairs, strict=True))
     if len(a):
-        known, flat = np.unique(np.concatenate(earlier), return_inverse=True) if any(map(len, earlier)) else (np.zeros(0), np.zeros(0, int))
-        member = np.zeros((len(x), max(len(known), 1)), bool)
-        member[np.repeat(np.arange(len(x)), [len(e) for e in earlier]), flat] = True
-        bits = np.packbits(member, axis=1)
-        first = np.concatenate([~(bits[a[k : k + 65536]] & bits[b[k : k + 65536]]).any(axis=1) for k in range(0, len(a), 65536)])
+        first = ~_share_one(earlier, a, b)
         links = np.bincount(a[first], copies[b[first]], len(x)) + np.bincount(b[first], copies[a[first]], len(x))
         root = _local_roots(a, b, len(x))
         some = np.unique(np.concatenate([a, b]))
@@ -168,7 +267,7 @@ def _usable(vector: Column) -> Column:
     return F.coalesce(finite & F.exists(vector, lambda v: v != 0), F.lit(False))
 
 
-def near_duplicate_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", cosine: float = COSINE) -> DataFrame:
+def near_duplicate_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", cosine: float = COSINE, sample: int = SAMPLE, block: int = BLOCK) -> DataFrame:
     """(id, n_links, component_id, kept), one row for each row of vectors.
 
     Equal vectors are one class, of which the smallest id goes through the
@@ -176,17 +275,23 @@ def near_duplicate_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_co
     null, empty, zero, or hold null or non-finite components, and rows without
     an id, link with nothing and stay.  Vectors of different lengths never
     link.  An empty table gives no rows; other columns are not read.
+
+    The first splits are fitted on ``sample`` vectors, later ones on a sample
+    of each leaf that still has more than ``block``.
     """
     spark, scratch = vectors.sparkSession, Scratch(vectors.sparkSession, "vectors")
     rows = vectors.select(F.col(id_col).alias("id"), F.col(vector_col).alias("vector")).withColumn("usable", _usable(F.col("vector")) & F.col("id").isNotNull())
     classes = scratch.write(rows.filter("usable").groupBy("vector").agg(F.min("id").cast("long").alias("id"), F.count(F.lit(1)).alias("copies")).withColumn("dim", F.size("vector")))
     forests = {}
     for r in classes.groupBy("dim").agg(F.count(F.lit(1)).alias("n")).collect():
-        sample = classes.filter(F.col("dim") == r["dim"]).orderBy(F.xxhash64(F.lit(SEED), F.col("id")), "id").limit(SAMPLE).select("vector").toPandas()["vector"]
-        forests[r["dim"]] = Forest(_unit(np.stack(sample.to_numpy()).astype(np.float64)), r["n"], cosine=cosine)
+        chosen = classes.filter(F.col("dim") == r["dim"]).orderBy(F.xxhash64(F.lit(SEED), F.col("id")), "id").limit(sample).select("vector").toPandas()["vector"]
+        forests[r["dim"]] = Forest(_unit(np.stack(chosen.to_numpy()).astype(np.float64)), r["n"], cosine=cosine)
     placed = _indexed(classes, forests)
-    # A leaf over BLOCK vectors is cut into blocks by a hash of the id, and each pair of blocks is compared on its own.
-    sizes = placed.groupBy("dim", "home").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks")).filter("blocks > 1")
+    # A table whose leaves the first splits make small enough is not split again.
+    if any(f.deep for f in forests.values()):
+        placed = _refined(scratch.write(placed), cosine, block, scratch)
+    # A leaf over ``block`` vectors is cut into blocks by a hash of the id, and each pair of blocks is compared on its own.
+    sizes = placed.groupBy("dim", "home").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("blocks")).filter("blocks > 1")
     placed = placed.join(scratch.write(sizes), ["dim", "home"], "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
     placed = placed.withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
     placed = placed.select("*", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))

@@ -14,7 +14,7 @@ from headway.llm.exact_dedup import drop_exact_duplicates, exact_duplicates
 from headway.llm.ngram_join import keep_one_of_each, near_duplicates
 from headway.llm.sketch import TwiceSketch, cells_for, count_hashes
 from headway.llm.substring_dedup import remove_repeats
-from headway.llm.vectors import Forest, near_duplicate_vectors
+from headway.llm.vectors import Forest, _share_one, near_duplicate_vectors
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 SCHEMA = "doc_id long, text string, id string, key string, name string, level int, n int, tokens string, n_rows int, kept string"
@@ -239,6 +239,40 @@ def test_near_duplicate_vectors(spark):
     assert near_duplicate_vectors(table.limit(0)).count() == 0
 
 
+def test_deep_forests_find_what_brute_force_finds(spark):
+    """Splits on samples of their own down to depth 8 and more, a dense group of several blocks, and the searches of ids divisible by 20."""
+    rng = np.random.default_rng(7)
+    unit = lambda x: x / np.linalg.norm(x, axis=1, keepdims=True)
+    base = unit(rng.standard_normal((12_000, 32)))
+    pairs = unit(base[:3000] + 0.04 * rng.standard_normal((3000, 32)))
+    hot = unit(base[3500] + 0.02 * rng.standard_normal((1500, 32)))
+    x = np.concatenate([base, pairs, hot])[rng.permutation(16_500)].astype(np.float32)
+    table = spark.createDataFrame(list(enumerate(x.tolist())), "vec_id long, embedding array<float>").repartition(4)
+    got = {r.id: (r.n_links, r.component_id) for r in near_duplicate_vectors(table, sample=256, block=400).collect()}
+    u = unit(x.astype(np.float64))
+    ids, want, found, missed = range(0, len(x), 20), 0, 0, 0
+    for k in range(0, len(x), 1000):
+        links = u[k : k + 1000] @ u.T >= 0.95
+        for i in range(k, min(k + 1000, len(x)), 20):
+            near = np.flatnonzero(links[i - k])
+            want, found = want + len(near) - 1, found + got[i][0]
+            assert got[i][0] <= len(near) - 1
+            missed += any(got[i][1] != got[j][1] for j in near.tolist())
+    print("recall", found / want, "searches that miss a neighbour", missed / len(ids))
+    assert want > 5000 and found >= 0.9 * want and missed <= 0.1 * len(ids)
+
+
+def test_sets_with_a_number_in_common():
+    rng = np.random.default_rng(3)
+    sets = [np.unique(rng.integers(0, 300, rng.integers(0, 9))) for _ in range(60)]
+    a, b = rng.integers(0, 60, 3000), rng.integers(0, 60, 3000)
+    want = [bool(set(sets[i].tolist()) & set(sets[j].tolist())) for i, j in zip(a, b, strict=True)]
+    # A number that only one set holds is in common for nobody but that set itself.
+    for width in (64, 4096):
+        got = _share_one(sets, a, b, width)
+        assert [g for g, i, j in zip(got, a, b, strict=True) if i != j] == [w for w, i, j in zip(want, a, b, strict=True) if i != j]
+
+
 @pytest.mark.parametrize("count", [12_000, 100_000, 300_000])
 def test_a_large_group_of_noisy_copies_shares_leaves(count):
     rng = np.random.default_rng(4)
