@@ -5,11 +5,10 @@ from __future__ import annotations
 import math
 from collections.abc import Iterator
 from dataclasses import dataclass
-from functools import partial
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import Scratch, small_batches, table, whole_rows
@@ -27,6 +26,8 @@ VERIFY_COST = 4.0
 BAND = 1.04
 #: Cells of the sketch of token frequencies, which only tells frequent tokens from others.
 LOG_CELLS = 1 << 20
+#: Postings of a token in one task, about; a more frequent one is dealt to several.
+HOT = 1000
 #: UTF-8 bytes for each word, about.
 BYTES_PER_WORD = 6
 
@@ -83,6 +84,10 @@ class _Sets:
         first, second = self.names(naming.bits)
         return np.where(np.isin(first.view(np.int64), naming.shared), mix(first ^ second), first)
 
+    def others(self, logs: LogSketch, load: float) -> np.ndarray:
+        """About how many other texts hold each token of flat."""
+        return np.maximum(np.exp2((logs.level(self.flat).astype(np.float64) - 1) / 8) - 1 - load, 0)
+
     def prefixes(self, logs: LogSketch, load: float, percent: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Which tokens of flat are in their row's prefix, each token's place in its row's order from 1, and how many prefix tokens each row asks a partner to share.
 
@@ -115,8 +120,10 @@ class _Sets:
         return place <= length[self.row], place, matches
 
 
-def _each(batches: Iterator[pa.RecordBatch], shingle: int) -> Iterator[tuple[pa.RecordBatch, _Sets]]:
+def _each(batches: Iterator[pa.RecordBatch], shingle: int, wanted: TwiceSketch | None = None) -> Iterator[tuple[pa.RecordBatch, _Sets]]:
     for batch in batches:
+        if wanted:
+            batch = batch.filter(pa.array(wanted.at_least(batch.column("h").to_numpy().view(np.uint64), 1)))
         for rows in slices(batch, "text"):
             yield rows, _Sets(rows.column("text"), shingle)
 
@@ -149,26 +156,49 @@ def _sets_and_counts(rows: DataFrame, cells: int, shingle: int, bits: int) -> Da
     return rows.mapInArrow(run, f"id {kind.simpleString()}, n long, key long, second long, apart long, segment int, cells binary, counts binary")
 
 
-def _postings(rows: DataFrame, logs: LogSketch, load: float, twice: TwiceSketch | None, naming: _Naming, shingle: int, percent: int) -> DataFrame:
-    """(token, key, n, matches, at): the prefix tokens that may occur in another prefix, and their places in the order of the set."""
+def _postings(rows: DataFrame, logs: LogSketch, load: float, twice: TwiceSketch | None, firsts: TwiceSketch | None, naming: _Naming, shingle: int, percent: int) -> DataFrame:
+    """(token, deal, key, n, matches, share, at): the prefix tokens that may occur in another prefix, and their places in the order of the set.
+
+    deal spreads the postings of a token that the sketch takes for hot, and is 0
+    for others; share is the part of the set that is here.
+    """
+    most = max(HOT, 4 * math.sqrt(load))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, s in _each(batches, shingle):
+        for _, s in _each(batches, shingle, firsts):
             inside, place, matches = s.prefixes(logs, load, percent)
             at = np.flatnonzero(inside)
             at = at[twice.often(s.flat[at])] if twice else at
-            row = s.row[at]
-            yield pa.RecordBatch.from_arrays([_signed(s.flat[at]), _signed(s.keys(naming)[row]), pa.array(s.n[row].astype(np.int32)), pa.array(matches[row].astype(np.int32)), pa.array(place[at].astype(np.int32))], ["token", "key", "n", "matches", "at"])
+            row, deals = s.row[at], (s.others(logs, load)[at] // most).astype(np.int64)
+            key, share = s.keys(naming)[row], np.bincount(row, minlength=len(s.n)) / np.maximum(s.n, 1)
+            yield pa.RecordBatch.from_arrays(
+                [_signed(s.flat[at]), pa.array(np.where(deals > 0, 1 + (mix(key) >> np.uint64(1)).astype(np.int64) % (deals + 1), 0).astype(np.int32)), _signed(key), pa.array(s.n[row].astype(np.int32)), pa.array(matches[row].astype(np.int32)), pa.array(share[row].astype(np.float32)), pa.array(place[at].astype(np.int32))],
+                ["token", "deal", "key", "n", "matches", "share", "at"],
+            )
+
+    return rows.mapInArrow(run, "token long, deal int, key long, n int, matches int, share float, at int")
 
-    return rows.mapInArrow(run, "token long, key long, n int, matches int, at int")
+
+def _shared(posts: DataFrame) -> DataFrame:
+    """(token, deal, key, n, matches, at, hub), each once, of the tokens that several keys hold, from one shuffle.
+
+    Copies leave one posting.  Of a hot token, whose postings are dealt to
+    several tasks, all stay.  The hub of a token (of one of its deals, if it is
+    hot) is the key with the largest share, a document that many others derive
+    from as a rule.
+    """
+    dealt = posts.repartition("token", "deal").dropDuplicates(["token", "deal", "key"])
+    here = Window.partitionBy("token", "deal")
+    hub = F.max(F.struct("share", "key", "n", "matches")).over(here)
+    counted = dealt.select("*", F.count(F.lit(1)).over(here).alias("n_keys"), hub.alias("hub"))
+    return counted.filter("n_keys > 1 or deal > 0").select("token", "deal", "key", "n", "matches", "at", F.struct("hub.key", "hub.n", "hub.matches").alias("hub"))
 
 
 def _members(rows: DataFrame, wanted: TwiceSketch | None, naming: _Naming, shingle: int) -> DataFrame:
     """(key, tokens) of the rows (h, text) whose h may be wanted."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        few = (batch.filter(pa.array(wanted.at_least(batch.column("h").to_numpy().view(np.uint64), 1))) for batch in batches) if wanted else batches
-        for _, s in _each(few, shingle):
+        for _, s in _each(batches, shingle, wanted):
             some = np.flatnonzero(s.n)
             lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(s.n[some])]), pa.int32()), _signed(s.flat))
             yield pa.RecordBatch.from_arrays([_signed(s.keys(naming)[some]), lists], ["key", "tokens"])
@@ -176,6 +206,19 @@ def _members(rows: DataFrame, wanted: TwiceSketch | None, naming: _Naming, shing
     return rows.mapInArrow(run, "key long, tokens array<long>")
 
 
+def _present(batches: Iterator[pa.RecordBatch], cells: int) -> Iterator[pa.RecordBatch]:
+    counter = Counter(cells, 2)
+    for batch in batches:
+        counter.add(batch.column("h").to_numpy().view(np.uint64))
+    yield counter.flush()
+
+
+def _chosen(rows: DataFrame, max_cells: int) -> TwiceSketch | None:
+    """A sketch of rows (h), which lets few others through; None if max_cells are too few for it."""
+    cells = cells_for(rows.count(), max_cells)
+    return cells and TwiceSketch(rows.mapInArrow(lambda batches: _present(batches, cells), PART_SCHEMA), cells)
+
+
 def _verified(pairs: DataFrame, rows: DataFrame, each: DataFrame, naming: _Naming, shingle: int, percent: int, max_cells: int, scratch: Scratch) -> DataFrame:
     """The pairs (a, b) whose sets are similar enough.
 
@@ -185,10 +228,8 @@ def _verified(pairs: DataFrame, rows: DataFrame, each: DataFrame, naming: _Namin
     """
     keys = pairs.select(F.col("a").alias("key")).unionByName(pairs.select(F.col("b").alias("key"))).distinct()
     chosen = scratch.write(each.groupBy("key").agg(F.min(F.xxhash64("id")).alias("h")).join(keys, "key").select("h"))
-    cells, texts, wanted = cells_for(chosen.count(), max_cells), rows.select(F.xxhash64("id").alias("h"), "text"), None
-    if cells:
-        wanted = TwiceSketch(chosen.mapInArrow(lambda batches: _present(batches, cells), PART_SCHEMA), cells)
-    else:
+    texts, wanted = rows.select(F.xxhash64("id").alias("h"), "text"), _chosen(chosen, max_cells)
+    if not wanted:
         texts = texts.join(chosen, "h", "left_semi")
     sets = scratch.write(_members(texts, wanted, naming, shingle))
     both = pairs.join(sets.select(F.col("key").alias("a"), F.col("tokens").alias("x")), "a").join(sets.select(F.col("key").alias("b"), F.col("tokens").alias("y")), "b")
@@ -239,7 +280,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     spark, scratch = docs.sparkSession, Scratch(docs.sparkSession, "ngram-join")
     small_batches(spark)
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    texts, words = rows.select("text"), text_bytes(docs, text_col) / BYTES_PER_WORD
+    texts, words = rows.select(F.xxhash64("id").alias("h"), "text"), text_bytes(docs, text_col) / BYTES_PER_WORD
     log_cells = LOG_CELLS
     load = words / log_cells
     first = scratch.write(_sets_and_counts(rows, log_cells, shingle, name_bits))
@@ -252,24 +293,20 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     each = scratch.write(each.join(clash, "key", "left").select("id", "n", F.when(F.col("clash"), F.col("apart")).otherwise(F.col("key")).alias("key")))
     scratch.drop(first)
 
+    # From here on one text of each set will do, and the few more that a sketch lets through.
+    firsts = _chosen(scratch.write(each.filter("n > 0").groupBy("key").agg(F.min(F.xxhash64("id")).alias("h")).select("h")), max_cells)
     cells = cells_for(words / 4, max_cells)
     # Without a sketch all prefix tokens are shuffled, and grouped exactly as are those that a sketch lets through.
-    twice = cells and TwiceSketch(count_hashes(texts, lambda batch: (s.flat[s.prefixes(logs, load, percent)[0]] for _, s in _each(iter([batch]), shingle)), cells, 2), cells)
-    # Copies leave one posting; a token of one class only pairs with nothing.
-    posts = scratch.write(_postings(texts, logs, load, twice, naming, shingle, percent).distinct())
-    shared = posts.groupBy("token").agg(F.count(F.lit(1)).alias("n_keys")).filter("n_keys > 1").select("token")
-    live = scratch.write(posts.join(shared, "token", "left_semi"))
-    scratch.drop(posts)
+    twice = cells and TwiceSketch(count_hashes(texts, lambda batch: (s.flat[s.prefixes(logs, load, percent)[0]] for _, s in _each(iter([batch]), shingle, firsts)), cells, 2), cells)
+    live = scratch.write(_shared(_postings(texts, logs, load, twice, firsts, naming, shingle, percent)))
 
     # Keys whose component is still in doubt keep their own name; the smallest key names a component.
-    links = named = tested = None
-    for step in (_central_pairs, partial(_open_pairs, scratch=scratch)):
-        pairs = step(_labelled(live, named), percent)
-        pairs = scratch.write(pairs if tested is None else pairs.join(tested, ["a", "b"], "left_anti"))
-        found = _verified(pairs, rows, each, naming, shingle, percent, max_cells, scratch)
-        tested = pairs if tested is None else tested.unionByName(pairs)
-        links = found if links is None else links.unionByName(found)
-        named = scratch.write(components(links, scratch))
+    tested = scratch.write(_central_pairs(live, percent))
+    links = _verified(tested, rows, each, naming, shingle, percent, max_cells, scratch)
+    named = scratch.write(components(links, scratch))
+    pairs = scratch.write(_open_pairs(_labelled(live, named), percent, scratch).join(tested, ["a", "b"], "left_anti"))
+    links = links.unionByName(_verified(pairs, rows, each, naming, shingle, percent, max_cells, scratch))
+    named = scratch.write(components(links, scratch))
 
     classes = each.filter("n > 0").groupBy("key").agg(F.min("id").alias("smallest"))
     classes = classes.join(named.withColumnRenamed("node", "key"), "key", "left").withColumn("component", F.coalesce("component", "key"))
@@ -280,41 +317,28 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return linked.unionByName(each.filter("n = 0").select("id", "key", F.col("n").alias("n_shingles"), F.col("id").alias("component_id")))
 
 
-def _present(batches: Iterator[pa.RecordBatch], cells: int) -> Iterator[pa.RecordBatch]:
-    counter = Counter(cells, 2)
-    for batch in batches:
-        counter.add(batch.column("h").to_numpy().view(np.uint64))
-    yield counter.flush()
-
-
-def _labelled(live: DataFrame, named: DataFrame | None) -> DataFrame:
+def _labelled(live: DataFrame, named: DataFrame) -> DataFrame:
     """Postings with the component of their key, and how many keys it has."""
-    if named is None:
-        return live.withColumn("component", F.col("key")).withColumn("members", F.lit(1))
     sized = named.join(named.groupBy("component").agg(F.count(F.lit(1)).cast("int").alias("members")), "component").withColumnRenamed("node", "key")
-    return live.join(sized, "key", "left").withColumn("component", F.coalesce("component", "key")).withColumn("members", F.coalesce("members", F.lit(1)))
+    return live.drop("hub").join(sized, "key", "left").withColumn("component", F.coalesce("component", "key")).withColumn("members", F.coalesce("members", F.lit(1)))
 
 
 def _central_pairs(live: DataFrame, percent: int) -> DataFrame:
-    """(a, b): for each key the hub of most of its tokens, if these alone are enough.
-
-    The hub of a token is the key of which most prefix tokens are shared, a
-    document that many others derive from as a rule.
-    """
-    alone = live.groupBy("key").agg(F.count(F.lit(1)).alias("n_live"))
-    share = (F.col("n_live") / F.col("n")).alias("order")
-    weighed = live.join(alone, "key")
-    hubs = weighed.groupBy("token").agg(F.max(F.struct(share, "key", "component", "n", "matches")).alias("hub"))
-    met = live.join(hubs, "token").filter((F.col("component") != F.col("hub.component")) & _same_size("n", "hub.n", percent))
+    """(a, b): for each key the hub of most of its tokens, if these alone are enough."""
+    met = live.filter((F.col("key") != F.col("hub.key")) & _same_size("n", "hub.n", percent))
     votes = met.groupBy("key", F.col("hub.key").alias("other")).agg(F.count(F.lit(1)).alias("votes"), *[F.first(F.col(c)).alias(name) for name, c in (("n", "n"), ("m", "matches"), ("hn", "hub.n"), ("hm", "hub.matches"))])
     best = votes.filter(_enough("votes", "n", "hn", "m", "hm", percent)).groupBy("key").agg(F.max(F.struct("votes", "other")).alias("best"))
     return best.select(F.least("key", "best.other").alias("a"), F.greatest("key", "best.other").alias("b")).distinct()
 
 
-def _largest(live: DataFrame) -> DataFrame:
-    """(token, top): the last component in the order of all components, of the tokens that several components share."""
-    ends = live.groupBy("token").agg(*[f(F.struct("members", "component")).alias(name) for name, f in (("first", F.min), ("last", F.max))])
-    return ends.filter("first <> last").select("token", F.col("last.component").alias("top"))
+def _several(live: DataFrame) -> DataFrame:
+    """live with ``last``, the token's last component in the order of all components, of the tokens that several components share.
+
+    Of a hot token, which is dealt to several tasks, all stay, without a last one.
+    """
+    here = Window.partitionBy("token", "deal")
+    ends = live.select("*", *[f(F.struct("members", "component")).over(here).alias(name) for name, f in (("first", F.min), ("end", F.max))])
+    return ends.filter("first <> end or deal > 0").select("token", "key", "n", "matches", "at", "members", "component", F.when(F.col("deal") == 0, F.col("end.component")).alias("last"))
 
 
 def _open_pairs(live: DataFrame, percent: int, scratch: Scratch) -> DataFrame:
@@ -329,12 +353,12 @@ def _open_pairs(live: DataFrame, percent: int, scratch: Scratch) -> DataFrame:
     must have room for what the two must share in all.
     """
     band = F.floor(F.ln("n") / F.ln(F.lit(BAND))).cast("int")
-    open_ = live.join(_largest(live), "token").withColumn("band", band)
+    open_ = scratch.write(_several(live).withColumn("band", band))
     bands = open_.groupBy("token", "band").agg(F.count(F.lit(1)).alias("size")).groupBy("token").agg(F.collect_list(F.struct("band", "size")).alias("bands"))
     reach = math.ceil(math.log(100 / percent) / math.log(BAND)) + 1
     near = F.filter("bands", lambda b: (F.abs(b["band"] - F.col("band")) <= reach) & (b["size"] > F.when(b["band"] == F.col("band"), 1).otherwise(0)))
     way = F.struct("at", "token", F.transform(near, lambda b: b["band"]).alias("bands")).alias("way")
-    ways = open_.filter("component <> top").join(bands, "token").select("key", "n", "matches", "members", "component", way).filter(F.size("way.bands") > 0)
+    ways = open_.filter("last is null or component <> last").join(bands, "token").select("key", "n", "matches", "members", "component", way).filter(F.size("way.bands") > 0)
     # A key has as many ways as prefix tokens at most.
     ways = ways.groupBy("key", "n", "matches", "members", "component").agg(F.array_sort(F.collect_list("way")).alias("ways"))
     ways = ways.select("*", F.explode(F.array_distinct(F.flatten(F.transform("ways", lambda w: w["bands"])))).alias("band"))
@@ -350,7 +374,7 @@ def _open_pairs(live: DataFrame, percent: int, scratch: Scratch) -> DataFrame:
     met = probes.join(right, ["token", "band"]).filter((F.col("ac") < F.col("bc")) & room & _same_size("an", "bn", percent))
     pairs = met.select("a", "b", "an", "bn", "am", "bm").distinct()
     # Written, so that Spark can split the pairs of one key in the joins.
-    prefixes = scratch.write(live.groupBy("key").agg(F.collect_list("token").alias("prefix")))
+    prefixes = scratch.write(live.select("key", "token").groupBy("key").agg(F.collect_list("token").alias("prefix")))
     both = pairs.join(prefixes.select(F.col("key").alias("a"), F.col("prefix").alias("x")), "a").join(prefixes.select(F.col("key").alias("b"), F.col("prefix").alias("y")), "b")
     counted = both.withColumn("shared", F.size(F.array_intersect("x", "y")))
     return counted.filter(_enough("shared", "an", "bn", "am", "bm", percent)).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
