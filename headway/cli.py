@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import argparse
+import datetime as dt
+import logging
 import sys
 
 from pyspark.sql import DataFrame, SparkSession
@@ -12,7 +14,7 @@ from .functions.time import query_date, query_time
 from .operators.calendar import covers, running_trips, service_window
 from .operators.itinerary import as_json, benchmark_stats, describe, journeys, named_legs, summary, tags
 from .operators.patterns import Timetable, build_timetable, timetable_counts
-from .operators.places import build_places, resolve_places, search_places
+from .operators.places import build_places, place_counts, resolve_places, search_places
 from .operators.router import journey_legs, plan
 from .operators.transfers import MAX_WALK_M, footpaths
 from .session import session
@@ -26,6 +28,7 @@ def parser() -> argparse.ArgumentParser:
     def command(name: str, about: str, day: bool = False) -> argparse.ArgumentParser:
         p = commands.add_parser(name, help=about)
         p.add_argument("feed", help="a GTFS folder or zip file")
+        p.add_argument("--quiet", action="store_true", help="log errors only")
         p.add_argument("--max-walk", type=float, default=MAX_WALK_M, help="longest footpath in metres")
         if day:
             p.add_argument("--at", default="08:00")
@@ -48,9 +51,16 @@ def parser() -> argparse.ArgumentParser:
     return top
 
 
+def _day(feed: Feed, args: argparse.Namespace) -> dt.date | None:
+    """The service day asked for; without one, today or the feed's first day."""
+    if "date" not in args or args.weekday is not None:
+        return None
+    window = None if args.date else service_window(feed).first()
+    return query_date(args.date, *(window or ()))
+
+
 def _timetable(feed: Feed, args: argparse.Namespace) -> Timetable:
-    weekday = getattr(args, "weekday", None)
-    date = query_date(args.date) if "date" in args and weekday is None else None
+    weekday, date = getattr(args, "weekday", None), _day(feed, args)
     return build_timetable(running_trips(feed, on_date=date, weekday=weekday), feed.stop_times, footpaths(feed.stops, feed.transfers, args.max_walk))
 
 
@@ -60,11 +70,10 @@ def _one_query(spark: SparkSession, depart: int) -> DataFrame:
 
 def info(spark: SparkSession, args: argparse.Namespace) -> int:
     feed = load_feed(spark, args.feed).snapshot()
-    for r in feed_counts(feed).unionByName(timetable_counts(_timetable(feed, args)).withColumn("metric", F.concat(F.lit("routing "), "metric"))).collect():
-        print(f"{r.metric:<22}{r.value:>12,}")
-    places = build_places(feed.stops).agg(F.count(F.lit(1)).alias("n"), F.count_if(F.size("stop_ids") > 1).alias("many")).first()
+    routing = timetable_counts(_timetable(feed, args)).withColumn("metric", F.concat(F.lit("routing "), "metric"))
+    for r in feed_counts(feed).unionByName(routing).unionByName(place_counts(build_places(feed.stops))).collect():
+        print(f"{r.metric:<24}{r.value:>12,}")
     window = service_window(feed).select("*", covers(F.col("first_day"), F.col("last_day"), F.current_date()).alias("now")).first()
-    print(f"{'places':<22}{places.n:>12,}   {places.many:,} of more than one stop")
     print(f"valid                 {window.first_day or '?'} to {window.last_day or '?'}{'' if window.now else '  (not today)'}")
     return 0
 
@@ -98,7 +107,7 @@ def route(spark: SparkSession, args: argparse.Namespace) -> int:
     found = journeys(legs, queries).cache()
     if found.isEmpty():
         window = service_window(feed).first()
-        day = query_date(args.date) if args.weekday is None else None
+        day = _day(feed, args)
         outside = day and (window.first_day and day < window.first_day or window.last_day and day > window.last_day)
         print(f"no service on {day}; the feed covers {window.first_day} to {window.last_day}" if outside else "no trips run that day" if timetable.patterns.isEmpty() else "no journey found; the places may not be connected, or the last vehicle has gone")
         return 1
@@ -131,6 +140,8 @@ def benchmark(spark: SparkSession, args: argparse.Namespace) -> int:
 def main(argv: list[str] | None = None) -> int:
     args = parser().parse_args(argv)
     run = {"info": info, "stops": stops, "plan": route, "benchmark": benchmark}[args.command]
+    logging.basicConfig(level=logging.ERROR if args.quiet else logging.INFO, format="%(message)s", stream=sys.stderr)
+    logging.getLogger("py4j").setLevel(logging.ERROR)
     try:
         return run(session("headway"), args)
     except (FeedError, ValueError) as e:

@@ -52,10 +52,15 @@ def parse_date(text: Column) -> Column:
     return F.when(clean.rlike("^[0-9]{8}$"), F.try_to_timestamp(clean, F.lit("yyyyMMdd")).cast("date"))
 
 
-def query_date(text: str | None) -> dt.date:
-    """A date as a user writes it, with or without dashes; today if none."""
+def query_date(text: str | None, first_day: dt.date | None = None, last_day: dt.date | None = None) -> dt.date:
+    """A date as a user writes it, with or without dashes.
+
+    If none, today, or the first day of the window of dates that today is not in.
+    """
     if not text:
-        return dt.date.today()
+        today = dt.date.today()
+        inside = (first_day is None or first_day <= today) and (last_day is None or today <= last_day)
+        return today if inside or first_day is None else first_day
     try:
         return dt.datetime.strptime(text.replace("-", ""), "%Y%m%d").date()
     except ValueError:

@@ -2,38 +2,46 @@
 
 from __future__ import annotations
 
-import math
-
-import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.geo import EARTH_M
+from ..functions.geo import cell, cells_around, grid_sizes, haversine
 from ..functions.text import fold, is_upper, name_stem, title_case
+from ..storage import Scratch
+from .transfers import furthest_lat, placed
 
 #: Stops of one name further apart than this are different places.
 SAME_NAME_M = 250.0
 SEARCH_LIMIT = 25
+#: Queries that are broadcast at most; more meet places by an index of their letters.
+SMALL_BATCH = 1000
+
 
+def _near_pairs(single: DataFrame) -> DataFrame:
+    """(early, late) by stop_ord: all pairs of stops of one name within SAME_NAME_M of each other."""
+    sizes = grid_sizes(SAME_NAME_M, furthest_lat(single))
+    here = placed(single).select("stop_ord", "stem", "lat", "lon")
+    near = here.select(F.col("stop_ord").alias("early"), "stem", F.col("lat").alias("lat2"), F.col("lon").alias("lon2"), cell(F.col("lat"), F.col("lon"), sizes).alias("cell"))
+    late = here.select(F.col("stop_ord").alias("late"), "stem", "lat", "lon", F.explode(cells_around(F.col("lat"), F.col("lon"), sizes)).alias("cell"))
+    return late.join(near, ["stem", "cell"]).filter((F.col("early") < F.col("late")) & (haversine(F.col("lat2"), F.col("lon2"), F.col("lat"), F.col("lon")) <= SAME_NAME_M)).select("early", "late")
 
-def _metres(a: tuple[float, float], b: tuple[float, float]) -> float:
-    la, lb = math.radians(a[0]), math.radians(b[0])
-    half = math.sin((lb - la) / 2) ** 2 + math.cos(la) * math.cos(lb) * math.sin(math.radians(b[1] - a[1]) / 2) ** 2
-    return 2 * EARTH_M * math.asin(math.sqrt(min(1.0, half)))
 
+def _first_come(pairs: DataFrame, scratch: Scratch) -> DataFrame:
+    """(late, seed): the stops that an earlier one within reach takes in, and the earliest that does.
 
-def _clusters(group: pd.DataFrame) -> pd.DataFrame:
-    """Stops of one name: the first one left takes all within SAME_NAME_M of it, until none is left.  Order-dependent, so no join can say it."""
-    group = group.sort_values("stop_ord")
-    seeds: list[tuple[str, tuple[float, float]]] = []
-    number, seed = [], []
-    for stop_id, lat, lon in zip(group["stop_id"], group["lat"], group["lon"], strict=True):
-        at = next((k for k, (_, p) in enumerate(seeds) if _metres(p, (lat, lon)) <= SAME_NAME_M), len(seeds))
-        if at == len(seeds):
-            seeds.append((stop_id, (lat, lon)))
-        number.append(at)
-        seed.append(seeds[at][0])
-    return pd.DataFrame({"stop_id": group["stop_id"], "stem": group["stem"], "number": number, "seed": seed})
+    In the order of stops each is a seed unless an earlier seed is near it.  A
+    round decides all stops that have no undecided earlier neighbour; rounds
+    grow with the longest chain of neighbours, each earlier than the next.
+    """
+    pairs = scratch.write(pairs)
+    left, taken = pairs, pairs.select("late").limit(0)
+    while not left.isEmpty():
+        seeds = left.select("early").distinct().join(left.select(F.col("late").alias("early")), "early", "left_anti")
+        now = scratch.write(left.join(seeds, "early", "left_semi").select("late").distinct())
+        taken = taken.unionByName(now)
+        left = scratch.write(left.join(now, "late", "left_anti").join(now.withColumnRenamed("late", "early"), "early", "left_anti"))
+    seeds = pairs.join(taken.withColumnRenamed("late", "early"), "early", "left_anti")
+    return seeds.groupBy("late").agg(F.min("early").alias("seed"))
 
 
 def build_places(stops: DataFrame) -> DataFrame:
@@ -42,20 +50,25 @@ def build_places(stops: DataFrame) -> DataFrame:
     Stops of a known station are its place, under its name and id.  The others
     form a place where they share a name without platform marks and are near
     the first of them; its id is that stop's, or, for further places of a name,
-    the stem and a number.
+    the stem and a number.  The places are written and read again.
     """
+    scratch = Scratch(stops.sparkSession, "places")
     board = stops.filter("location_type = 0")
     stations = stops.select(F.col("stop_id").alias("parent"), F.col("name").alias("station"), F.col("location_type").alias("station_type"))
     with_parent = board.filter("parent <> ''").join(stations, "parent")
     grouped = with_parent.select(F.col("parent").alias("place_id"), "stop_id")
     single = board.join(with_parent.select("stop_id"), "stop_id", "left_anti").withColumn("stem", name_stem(F.col("name")))
-    clustered = single.select("stop_ord", "stop_id", "stem", "lat", "lon").groupBy("stem").applyInPandas(_clusters, "stop_id string, stem string, number int, seed string")
+    single = scratch.write(single.select("stop_ord", "stop_id", "stem", "lat", "lon"))
+    taken_in = _first_come(_near_pairs(single), scratch).withColumnRenamed("late", "stop_ord")
+    clustered = single.join(taken_in, "stop_ord", "left").withColumn("seed", F.coalesce("seed", "stop_ord"))
+    seeds = clustered.filter("seed = stop_ord").select("seed", "stem", F.col("stop_id").alias("seed_id"), (F.row_number().over(Window.partitionBy("stem").orderBy("seed")) - 1).alias("number"))
     numbered = F.concat_ws("#", "stem", F.col("number").cast("string"))
-    own = F.when(F.col("number") == 0, F.col("seed")).otherwise(numbered)
-    # An id that a station or another name already has is made unique by the seed.
-    taken = grouped.select(F.col("place_id").alias("own")).distinct()
-    named = clustered.withColumn("own", own).join(taken.withColumn("used", F.lit(True)), "own", "left")
-    named = named.select(F.when(F.col("used"), F.concat(numbered, F.lit("@"), F.col("seed"))).otherwise(F.col("own")).alias("place_id"), "stop_id")
+    seeds = seeds.withColumn("own", F.when(F.col("number") == 0, F.col("seed_id")).otherwise(numbered))
+    # The id of a place that a station names, and a numbered one that a stop has, is made unique by the seed.
+    taken = grouped.select(F.col("place_id").alias("own"), F.lit(0).alias("above")).unionByName(stops.select(F.col("stop_id").alias("own"), F.lit(1).alias("above"))).groupBy("own").agg(F.min("above").alias("above"))
+    seeds = seeds.join(taken, "own", "left").withColumn("used", F.coalesce(F.col("number") >= F.col("above"), F.lit(False)))
+    seeds = seeds.select("seed", F.when(F.col("used"), F.concat(numbered, F.lit("@"), F.col("seed_id"))).otherwise(F.col("own")).alias("place_id"))
+    named = clustered.join(seeds, "seed").select("place_id", "stop_id")
     members = grouped.unionByName(named).join(board.select("stop_id", "stop_ord", "name", "lat", "lon"), "stop_id")
     places = members.groupBy("place_id").agg(
         F.min("stop_ord").alias("place_ord"), F.min_by("name", "stop_ord").alias("first_name"), F.size(F.collect_set("name")).alias("n_names"),
@@ -64,7 +77,34 @@ def build_places(stops: DataFrame) -> DataFrame:
     places = places.join(stations.filter("station_type <> 0").withColumnRenamed("parent", "place_id"), "place_id", "left")
     stem = name_stem(F.col("first_name"))
     name = F.coalesce("station", F.when(F.col("n_names") == 1, F.col("first_name")).when(is_upper(F.col("first_name")), F.upper(stem)).otherwise(title_case(stem)))
-    return places.withColumn("name", name).select("place_id", "place_ord", "name", fold("name").alias("search_key"), "stop_ids", "lat", "lon")
+    return scratch.write(places.withColumn("name", name).select("place_id", "place_ord", "name", fold("name").alias("search_key"), "stop_ids", "lat", "lon"))
+
+
+def place_counts(places: DataFrame) -> DataFrame:
+    """(metric, value): all places, and those of more than one stop."""
+    counts = places.agg(F.count(F.lit(1)).alias("places"), F.count_if(F.size("stop_ids") > 1).alias("places of several stops"))
+    return counts.unpivot([], ["places", "places of several stops"], "metric", "value")
+
+
+def _grams(words: Column) -> Column:
+    """Runs of three letters of words, and whole words that are shorter."""
+    runs = F.transform(words, lambda w: F.when(F.length(w) < 3, F.array(w)).otherwise(F.transform(F.sequence(F.lit(1), F.greatest(F.length(w) - 2, F.lit(1))), lambda i: F.substring(w, i, F.lit(3)))))
+    return F.array_distinct(F.flatten(runs))
+
+
+def _by_letters(places: DataFrame, wanted: DataFrame) -> DataFrame:
+    """places and wanted (query, needle) that share the needle's rarest run of letters.
+
+    A place that a needle finds holds all its words, so all their runs; places
+    are listed under their runs of one, two and three letters.
+    """
+    key = F.col("search_key")
+    runs = F.flatten(F.transform(F.array(F.lit(1), F.lit(2), F.lit(3)), lambda n: F.transform(F.sequence(F.lit(1), F.greatest(F.length(key) - n + 1, F.lit(1))), lambda i: F.substring(key, i, n))))
+    listed = places.select("place_id", F.explode(F.array_distinct(runs)).alias("gram"))
+    asked = wanted.select("query", "needle", F.explode(_grams(F.split("needle", " "))).alias("gram"))
+    sizes = listed.join(asked.select("gram").distinct(), "gram", "left_semi").groupBy("gram").agg(F.count(F.lit(1)).alias("n"))
+    rarest = asked.join(sizes, "gram", "left").groupBy("query", "needle").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "gram")).alias("rarest"))
+    return rarest.select("query", "needle", "rarest.gram").join(listed, "gram").drop("gram").join(places, "place_id")
 
 
 def search_places(places: DataFrame, queries: DataFrame, limit: int = SEARCH_LIMIT) -> DataFrame:
@@ -77,8 +117,11 @@ def search_places(places: DataFrame, queries: DataFrame, limit: int = SEARCH_LIM
     wanted = queries.select("query", fold(F.coalesce("query", F.lit(""))).alias("needle")).filter("needle <> ''").distinct()
     words = F.split("needle", " ")
     all_words = (F.size(words) > 1) & F.forall(words, lambda w: F.contains(F.col("search_key"), w))
-    # Queries are few and places are matched by text: a nested loop over the broadcast queries.
-    met = places.join(F.broadcast(wanted), F.contains(F.col("search_key"), F.col("needle")) | all_words)
+    if wanted.limit(SMALL_BATCH + 1).count() <= SMALL_BATCH:
+        met = places.join(F.broadcast(wanted))
+    else:
+        met = _by_letters(places, wanted)
+    met = met.filter(F.contains(F.col("search_key"), F.col("needle")) | all_words)
     key, needle = F.col("search_key"), F.col("needle")
     tier = F.when(key == needle, 0).when(F.startswith(key, needle), 1).when(F.contains(key, needle), 2).otherwise(3)
     order = Window.partitionBy("query").orderBy("tier", F.when(F.col("tier") > 0, F.length("name")), F.when(F.col("tier") > 0, F.col("name")), "place_ord", "place_id")

@@ -85,6 +85,11 @@ def plan(timetable: Timetable, queries: DataFrame, endpoints: DataFrame, max_rou
     return Plan(labels, reduce(DataFrame.unionByName, options).filter("round > 0"))
 
 
+def stops_reached(found: Plan) -> DataFrame:
+    """(query_id, n_stops, rounds): how many stops a search reached, and the last round that improved any."""
+    return found.labels.groupBy("query_id").agg(F.countDistinct("stop_id").alias("n_stops"), F.max("round").alias("rounds"))
+
+
 def _kept(state: DataFrame) -> DataFrame:
     """A round's state, written to the checkpoint folder, which cuts its lineage; it stays partitioned by query."""
     shared_folder(state.sparkSession)

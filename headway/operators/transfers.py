@@ -17,7 +17,7 @@ def placed(stops: DataFrame) -> DataFrame:
     return stops.filter(~F.isnan("lat") & ~F.isnan("lon"))
 
 
-def _furthest_lat(stops: DataFrame) -> float:
+def furthest_lat(stops: DataFrame) -> float:
     return placed(stops).agg(F.max(F.abs("lat"))).first()[0] or 0.0
 
 
@@ -27,7 +27,7 @@ def generated_footpaths(stops: DataFrame, max_walk_m: float = MAX_WALK_M) -> Dat
     Each stop meets those in its own and the eight neighbouring cells of a
     grid by an equi-join.
     """
-    sizes = grid_sizes(max_walk_m, _furthest_lat(stops))
+    sizes = grid_sizes(max_walk_m, furthest_lat(stops))
     here = placed(stops).select("stop_id", "lat", "lon")
     near = here.select(F.col("stop_id").alias("to_stop"), F.col("lat").alias("lat2"), F.col("lon").alias("lon2"), cell(F.col("lat"), F.col("lon"), sizes).alias("cell"))
     probes = here.select(F.col("stop_id").alias("from_stop"), "lat", "lon", F.explode(cells_around(F.col("lat"), F.col("lon"), sizes)).alias("cell"))
@@ -45,7 +45,7 @@ def footpaths(stops: DataFrame, declared: DataFrame, max_walk_m: float = MAX_WAL
 
 def walkable_from(points: DataFrame, stops: DataFrame, radius_m: float = ACCESS_WALK_M, limit: int = ACCESS_STOPS) -> DataFrame:
     """(point_id, stop_id, rank, seconds): the nearest boardable stops of each point (point_id, lat, lon), ranked from 1."""
-    sizes = grid_sizes(radius_m, max(_furthest_lat(stops), points.agg(F.max(F.abs("lat"))).first()[0] or 0.0))
+    sizes = grid_sizes(radius_m, max(furthest_lat(stops), points.agg(F.max(F.abs("lat"))).first()[0] or 0.0))
     near = placed(stops).filter("location_type = 0").select("stop_id", F.col("lat").alias("lat2"), F.col("lon").alias("lon2"), cell(F.col("lat"), F.col("lon"), sizes).alias("cell"))
     probes = points.select("point_id", "lat", "lon", F.explode(cells_around(F.col("lat"), F.col("lon"), sizes)).alias("cell"))
     metres = haversine(F.col("lat"), F.col("lon"), F.col("lat2"), F.col("lon2"))

@@ -9,31 +9,19 @@ from ..functions.text import hex_colour, name_stem, route_label, route_mode
 from ..functions.time import clock, format_time, parse_date, parse_time, wall_clock, window_label
 from ..operators.calendar import covers, running_trips, runs_on, service_window
 from ..operators.itinerary import benchmark_stats, describe, journeys, merge_walks, named_legs, summary, tags, with_doors
-from ..operators.patterns import build_timetable, departure_index, earliest_trips, overtaking, trip_patterns
-from ..operators.places import build_places, resolve_places, search_places
-from ..operators.router import boardings, pareto, route_scan
+from ..operators.patterns import departure_index, earliest_trips, overtaking, timetable_counts, trip_patterns
+from ..operators.places import build_places, place_counts, resolve_places, search_places
+from ..operators.router import boardings, pareto, route_scan, stops_reached
 from ..operators.transfers import bounds, footpaths, generated_footpaths, walkable_from
 from ..sources.gtfs import clean_stop_times as usable_stop_times
 from ..sources.gtfs import feed_counts
 from .network import DAYS, LEGS, VIEWS, Batch, network, queries_sql, query_batch, rounds_sql, solved, table, timetable
+from .registry import query
 
-QUERIES, ORACLE_SQL = {}, {}
 #: As many as the published single-thread benchmark solves.
 BENCHMARK_QUERIES = 200
 
 
-def query(sql: str | None = None):
-    """Register a query under its function's name, with its SQL."""
-
-    def add(f):
-        QUERIES[f.__name__] = f
-        if sql:
-            ORACLE_SQL[f.__name__] = sql
-        return f
-
-    return add
-
-
 # Trips from line items, which come in no order, repeat positions and miss times.
 _ITEMS = """
 WITH x AS (SELECT l_orderkey AS trip_id, l_suppkey AS stop_id, l_linenumber AS seq, l_partkey * 1000000 + l_suppkey AS st_ord,
@@ -159,19 +147,18 @@ def route_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return network(spark, sf_dir).routes.select("route_id", route_label(F.col("short_name"), F.col("long_name"), F.col("route_id").cast("string")).alias("label"), route_mode(F.col("route_type")).alias("mode"))
 
 
-@query(f"{VIEWS} SELECT * FROM footpaths")
+@query(f"{VIEWS} SELECT * FROM generated")
 def walking_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
     return generated_footpaths(network(spark, sf_dir).stops)
 
 
-@query(f"""{VIEWS}, d AS (SELECT stop_id AS from_stop, ((stop_ord + 1) % n)::VARCHAR AS to_stop, greatest(60, stop_ord * 13 % 400)::INTEGER AS declared FROM stops, n WHERE stop_ord % 7 = 0)
-SELECT coalesce(d.from_stop, f.from_stop) AS from_stop, coalesce(d.to_stop, f.to_stop) AS to_stop, coalesce(declared, seconds) AS seconds FROM footpaths f FULL JOIN d ON d.from_stop = f.from_stop AND d.to_stop = f.to_stop""")
+@query(f"{VIEWS} SELECT * FROM footpaths")
 def footpaths_override(spark: SparkSession, sf_dir: str) -> DataFrame:
     feed = network(spark, sf_dir)
     return footpaths(feed.stops, feed.transfers)
 
 
-_POINTS = "p AS (SELECT c_custkey AS point_id, 45.25::DOUBLE + (c_custkey % 97) * 0.0004::DOUBLE AS lat, -75.92::DOUBLE + (c_custkey % 89) * 0.0005::DOUBLE AS lon FROM customer)"
+_POINTS = "p AS (SELECT c_custkey AS point_id, 51.25::DOUBLE + (c_custkey % 97) * 0.0004::DOUBLE AS lat, 4.08::DOUBLE + (c_custkey % 89) * 0.0005::DOUBLE AS lon FROM customer)"
 _NEAR = "2 * 6371000.0::DOUBLE * asin(sqrt(least(1.0, pow(sin(radians(s.lat - p.lat) / 2), 2) + cos(radians(p.lat)) * cos(radians(s.lat)) * pow(sin(radians(s.lon - p.lon) / 2), 2))))"
 
 
@@ -179,7 +166,7 @@ _NEAR = "2 * 6371000.0::DOUBLE * asin(sqrt(least(1.0, pow(sin(radians(s.lat - p.
 r AS (SELECT *, row_number() OVER (PARTITION BY point_id ORDER BY metres, stop_id)::INTEGER AS rank FROM m) SELECT point_id, stop_id, rank, greatest(60, trunc(metres * 1.3 / 1.33)::INTEGER) AS seconds FROM r WHERE rank <= 8""")
 def walkable_stops(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = F.col("c_custkey")
-    points = table(spark, sf_dir, "customer").select(k.alias("point_id"), (F.lit(45.25) + (k % 97) * 0.0004).alias("lat"), (F.lit(-75.92) + (k % 89) * 0.0005).alias("lon"))
+    points = table(spark, sf_dir, "customer").select(k.alias("point_id"), (F.lit(51.25) + (k % 97) * 0.0004).alias("lat"), (F.lit(4.08) + (k % 89) * 0.0005).alias("lon"))
     return walkable_from(points, network(spark, sf_dir).stops)
 
 
@@ -280,6 +267,18 @@ def raptor_arrivals(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _arrivals(solved(spark, sf_dir))
 
 
+@query(f"{VIEWS}{queries_sql()}{rounds_sql()} SELECT query_id, count(DISTINCT stop_id) AS n_stops, max(round) AS rounds FROM labels GROUP BY query_id")
+def search_reach(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return stops_reached(solved(spark, sf_dir).plan)
+
+
+@query(f"""{VIEWS}{_PLACES} SELECT 'patterns' AS metric, count(DISTINCT pattern_id) AS value FROM ranked UNION ALL SELECT 'trips', count(*) FROM ranked UNION ALL SELECT 'footpaths', count(*) FROM footpaths UNION ALL SELECT 'served_stops', count(DISTINCT stop_id) FROM ps
+UNION ALL SELECT 'places', count(*) FROM places UNION ALL SELECT 'places of several stops', count(*) FROM places WHERE contains(stop_ids, ',')""")
+def network_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    feed = network(spark, sf_dir)
+    return timetable_counts(timetable(feed)).unionByName(place_counts(build_places(feed.stops)))
+
+
 @query(f"{VIEWS}{queries_sql()}{rounds_sql()} SELECT query_id, journey, round AS vehicles, arrival FROM journeys")
 def journeys_pareto(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pareto(solved(spark, sf_dir).plan.options).select("query_id", F.col("rank").alias("journey"), F.col("round").alias("vehicles"), "arrival")
@@ -362,6 +361,3 @@ def merged_walks(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     legs = legs.withColumn("depart", F.col("leg_no") * 600).withColumn("arrive", F.col("depart") + F.when(F.col("event_id") % 4 == 0, 540).otherwise(600))
     return merge_walks(legs.drop("event_id"))
-
-
-__all__ = ["ORACLE_SQL", "QUERIES", "build_timetable"]

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import logging
-import zipfile
 from dataclasses import dataclass, fields, replace
 from functools import reduce
 
@@ -68,30 +67,33 @@ def _open(spark: SparkSession, path: str) -> dict[str, str]:
     if fs.getFileStatus(p).isDirectory():
         return {s.getPath().getName(): s.getPath().toString() for s in fs.listStatus(p)}
     scratch = Scratch(spark, "feed-zip")
-    local = spark._jvm.java.io.File.createTempFile("feed", ".zip")
-    fs.copyToLocalFile(False, p, spark._jvm.org.apache.hadoop.fs.Path(local.toURI()), True)
-    out = {}
+    out, blocks = {}, spark._jvm.org.apache.hadoop.io.IOUtils
+    entries = spark._jvm.java.util.zip.ZipInputStream(fs.open(p))
     try:
-        with zipfile.ZipFile(local.getPath()) as z:
-            for entry in z.infolist():
-                name = entry.filename.rsplit("/", 1)[-1]
-                if name.removesuffix(".txt") in (*REQUIRED, *OPTIONAL) and name.endswith(".txt"):
-                    target, into = _hadoop_path(spark, f"{scratch.root}/{name}")
-                    stream = into.create(target, True)
-                    with z.open(entry) as f:
-                        while block := f.read(1 << 20):
-                            stream.write(bytearray(block))
-                    stream.close()
-                    out[name] = target.toString()
-    except zipfile.BadZipFile:
-        raise FeedError(f"not a zip file: {path}") from None
+        while (entry := entries.getNextEntry()) is not None:
+            name = entry.getName().rsplit("/", 1)[-1]
+            if name.removesuffix(".txt") in (*REQUIRED, *OPTIONAL) and name.endswith(".txt"):
+                target, into = _hadoop_path(spark, f"{scratch.root}/{name}")
+                stream = into.create(target, True)
+                blocks.copyBytes(entries, stream, 1 << 20, False)
+                stream.close()
+                out[name] = target.toString()
     finally:
-        local.delete()
+        entries.close()
+    if not out:
+        raise FeedError(f"not a zip file with a feed: {path}")
     return out
 
 
-def _read(spark: SparkSession, path: str, quoted_newlines: bool) -> DataFrame:
+def _quotes_newlines(spark: SparkSession, path: str) -> bool:
+    """Whether a line holds an odd number of quotes, as where a quoted value goes on in the next line."""
+    return not spark.read.text(path).filter(F.length(F.regexp_replace("value", '[^"]', "")) % 2 == 1).isEmpty()
+
+
+def _read(spark: SparkSession, path: str, quoted_newlines: bool | None) -> DataFrame:
     """All columns as text, bound by name, with ``_ord`` in the file's order."""
+    if quoted_newlines is None:
+        quoted_newlines = _quotes_newlines(spark, path)
     raw = spark.read.csv(path, header=True, multiLine=quoted_newlines, escape='"', inferSchema=False, mode="PERMISSIVE")
     named = raw.toDF(*[c.strip().lstrip("﻿") for c in raw.columns])
     return named.withColumn("_ord", F.monotonically_increasing_id())
@@ -123,14 +125,15 @@ def _last_wins(df: DataFrame, *key: str) -> DataFrame:
     return df.groupBy(*key).agg(F.max(F.struct("_ord", *values)).alias("v"), F.min("_ord").alias("_ord")).select("_ord", *key, *[F.col(f"v.{c}").alias(c) for c in values])
 
 
-def load_feed(spark: SparkSession, path: str, quoted_newlines: bool = True) -> Feed:
+def load_feed(spark: SparkSession, path: str, quoted_newlines: bool | None = None) -> Feed:
     """The cleaned feed at ``path``, a folder or a zip file.
 
     Rows that can't be used go: stops with unreadable coordinates; stop times
     without any time, of unknown trips or at unknown stops, and trips that
     keep fewer than two; impossible transfers and those of unknown stops;
-    exceptions without a date.  ``quoted_newlines=False`` lets Spark split
-    large files, which then must have no line breaks inside quotes.
+    exceptions without a date.  Spark splits large files unless a value holds
+    a line break inside quotes: ``quoted_newlines`` tells whether any does;
+    by default each file is looked through first.
     """
     files = _open(spark, path)
     missing = [f"{n}.txt" for n in REQUIRED if f"{n}.txt" not in files]

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import datetime as dt
+import random
 import zipfile
 
 import pytest
@@ -12,6 +14,7 @@ from headway.functions.text import feed_name, fold_text, hex_colour, lookup_key,
 from headway.functions.time import clock, format_time, parse_time, query_date, query_time, wall_clock, window_label
 from headway.operators.itinerary import as_json, describe, journeys, merge_walks, named_legs, summary, with_doors
 from headway.operators.patterns import build_timetable
+from headway.operators import places as place_search
 from headway.operators.places import build_places, resolve_places, search_places
 from headway.operators.router import journey_legs, plan
 from headway.operators.transfers import footpaths, walkable_from
@@ -33,6 +36,7 @@ def test_times(spark):
     with pytest.raises(Exception, match="not a time"):
         column(spark, ["soon"], "string", parse_time)
     assert query_time("8:05") == 29100 and str(query_date("2026-07-06")) == "2026-07-06"
+    assert str(query_date(None, dt.date(1999, 1, 2), dt.date(1999, 5, 1))) == "1999-01-02" and query_date("", dt.date(1999, 1, 2)) == query_date(None) == dt.date.today()
     days = spark.createDataFrame([("2026-09-04", "2026-10-05"), ("2026-12-01", "2027-01-02"), (None, "2027-01-02")], "a string, b string").select(window_label(F.to_date("a"), F.to_date("b")).alias("w"))
     assert [r.w for r in days.collect()] == ["4 Sep – 5 Oct 2026", "1 Dec 2026 – 2 Jan 2027", ""]
 
@@ -123,6 +127,29 @@ def test_places(spark, tmp_path):
     assert meant == {"moat / alder": "x1", "alder moat": "x1", "rue dete": "e1", "p2": "STA", "STA": "STA"}
 
 
+def test_first_come_clusters(spark):
+    """A chain of stops 200 m apart, in an odd order, and the ids that clusters get beside a stop of the same id."""
+    rng = random.Random(6)
+    rows = [(k, f"s{k}", f"Long Street {'ABCDEFGHJK'[k % 10]}", 51.0 + 0.0018 * rng.randrange(60), 4.0, "", 0) for k in range(60)] + [(60, "long street#1", "Elsewhere", 52.0, 4.0, "", 0)]
+    stops = spark.createDataFrame(rows, "stop_ord long, stop_id string, name string, lat double, lon double, parent string, location_type int")
+    seeds, want = [], {}
+    for k, stop_id, _, lat, *_ in rows[:60]:
+        near = [s for s in seeds if abs(s[1] - lat) < 0.00224]
+        if not near:
+            seeds.append((k, lat, stop_id if not seeds else f"long street#{len(seeds)}" if len(seeds) > 1 else f"long street#1@{stop_id}"))
+        want.setdefault((near or seeds[-1:])[0][2], []).append(stop_id)
+    assert {r.place_id: r.stop_ids for r in build_places(stops).collect()} == {k: sorted(v) for k, v in want.items()} | {"long street#1": ["long street#1"]}
+
+
+def test_large_batches_are_searched_by_letters(spark, harbour, monkeypatch):
+    places = build_places(harbour.stops)
+    asked = spark.createDataFrame([(q,) for q in ("s", "st", "stop", "dome stop", "stop do", "o s", "ark", "zz", "q st", "", None)], "query string")
+    rows = lambda: sorted(map(tuple, search_places(places, asked).collect()))
+    few = rows()
+    monkeypatch.setattr(place_search, "SMALL_BATCH", 0)
+    assert rows() == few and len({r[0] for r in few}) == 8
+
+
 def test_door_to_door(spark, harbour):
     near = walkable_from(spark.createDataFrame([(1, 51.9003, 4.3997), (2, 40.0, 4.0)], "point_id int, lat double, lon double"), harbour.stops)
     assert [(r.point_id, r.stop_id, r["rank"], r.seconds) for r in near.collect()] == [(1, "quay", 1, 60)]
