@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import datetime as dt
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -15,8 +16,9 @@ from pyspark.sql import functions as F
 from ..operators.calendar import running_trips
 from ..operators.patterns import Timetable, build_timetable
 from ..operators.router import Plan, journey_legs, plan
-from ..operators.transfers import footpaths
+from ..operators.transfers import footpaths, walkable_from
 from ..sources.gtfs import Feed
+from ..storage import is_written
 
 ROUTES, CALLS, N_QUERIES, ROUNDS = 20, 6, 24, 5
 #: A Monday: priorities 3 and 5 do not run, 4 is unknown to the calendar and does.
@@ -58,8 +60,17 @@ def network(spark: SparkSession, sf_dir: str) -> Feed:
     return Feed(stops, routes, trips, stop_times, services, exceptions, declared)
 
 
-def timetable(feed: Feed) -> Timetable:
-    return build_timetable(running_trips(feed, on_date=SERVICE_DAY), feed.stop_times, footpaths(feed.stops, feed.transfers))
+#: Timetables of the service day that this session has written, by application and folder.
+_WRITTEN: dict[tuple[str, str], Timetable] = {}
+
+
+def timetable(feed: Feed, sf_dir: str) -> Timetable:
+    """The timetable of the service day, which a session writes once for each folder, as long as its tables are there."""
+    spark = feed.stops.sparkSession
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _WRITTEN or not is_written(_WRITTEN[key].neighbours):
+        _WRITTEN[key] = build_timetable(running_trips(feed, on_date=SERVICE_DAY), feed.stop_times, footpaths(feed.stops, feed.transfers))
+    return _WRITTEN[key]
 
 
 @dataclass(frozen=True)
@@ -83,10 +94,18 @@ def query_batch(spark: SparkSession, feed: Feed, n_queries: int = N_QUERIES, acc
     return q, ends
 
 
-def solved(spark: SparkSession, sf_dir: str, n_queries: int = N_QUERIES, rounds: int = ROUNDS, access: bool = False) -> Batch:
+def door_batch(spark: SparkSession, feed: Feed, n_queries: int = N_QUERIES) -> tuple[DataFrame, DataFrame]:
+    """(queries, endpoints) between points, whose endpoints are the stops in reach."""
+    q = spark.range(n_queries).select(F.col("id").cast("int").alias("query_id"), (F.lit(28800) + (F.col("id") % 4) * 1800).cast("int").alias("depart"))
+    side = lambda name, a, b: q.select(F.struct("query_id", F.lit(name).alias("side")).alias("point_id"), (F.lit(51.25) + F.col("query_id") * a % 97 * 0.0004).alias("lat"), (F.lit(4.08) + F.col("query_id") * b % 89 * 0.0005).alias("lon"))
+    near = walkable_from(reduce(DataFrame.unionByName, [side(*p) for p in DOOR_POINTS]), feed.stops)
+    return q, near.select("point_id.query_id", "point_id.side", "stop_id", F.col("seconds").alias("walk"))
+
+
+def solved(spark: SparkSession, sf_dir: str, n_queries: int = N_QUERIES, rounds: int = ROUNDS, access: bool = False, doors: bool = False) -> Batch:
     feed = network(spark, sf_dir)
-    table_ = timetable(feed)
-    queries, ends = query_batch(spark, feed, n_queries, access)
+    table_ = timetable(feed, sf_dir)
+    queries, ends = door_batch(spark, feed, n_queries) if doors else query_batch(spark, feed, n_queries, access)
     return Batch(table_, queries, ends, plan(table_, queries, ends, max_rounds=rounds))
 
 
@@ -125,14 +144,31 @@ def queries_sql(n_queries: int = N_QUERIES, access: bool = False) -> str:
     walk = (120, 180) if access else (0, 0)
     return f""",
 q AS (SELECT i::INTEGER AS query_id, (28800 + (i % 4) * 1800)::INTEGER AS depart, ((i * 7) % n)::VARCHAR AS origin, ((i * 13 + 5) % n)::VARCHAR AS target, {walk[0]} AS access, {walk[1]} AS egress FROM range({n_queries}) t(i), n),
-ok AS (SELECT * FROM q WHERE origin <> target)"""
+ok AS (SELECT * FROM q WHERE origin <> target),
+origins AS (SELECT query_id, origin AS stop_id, access AS walk, depart FROM ok), targets AS (SELECT query_id, target AS stop_id, egress AS walk FROM ok)"""
+
+
+#: The same between points, each of which has several stops in reach: where they are, and CTEs q, ends, origins and targets.
+DOOR_POINTS = (("origin", 7, 5), ("target", 31, 13))
+
+
+def doors_sql(n_queries: int = N_QUERIES) -> str:
+    near = _HAVERSINE.format(a="p", b="s")
+    points = " UNION ALL ".join(f"SELECT query_id, '{side}' AS side, 51.25::DOUBLE + (query_id * {a} % 97) * 0.0004::DOUBLE AS lat, 4.08::DOUBLE + (query_id * {b} % 89) * 0.0005::DOUBLE AS lon FROM q" for side, a, b in DOOR_POINTS)
+    return f""",
+q AS (SELECT i::INTEGER AS query_id, (28800 + (i % 4) * 1800)::INTEGER AS depart FROM range({n_queries}) t(i)),
+points AS ({points}),
+near AS (SELECT query_id, side, stop_id, {near} AS metres FROM points p JOIN stops s ON location_type = 0 AND {near} <= 800),
+ends AS (SELECT query_id, side, stop_id, greatest(60, trunc(metres * 1.3 / 1.33)::INTEGER) AS walk FROM (SELECT *, row_number() OVER (PARTITION BY query_id, side ORDER BY metres, stop_id) AS i FROM near) WHERE i <= 8),
+ok AS (SELECT query_id, depart FROM q WHERE query_id IN (SELECT query_id FROM ends GROUP BY query_id HAVING count(DISTINCT side) = 2 AND count(DISTINCT stop_id) = count(*))),
+origins AS (SELECT query_id, stop_id, walk, depart FROM ends JOIN ok USING (query_id) WHERE side = 'origin'), targets AS (SELECT query_id, stop_id, walk FROM ends JOIN ok USING (query_id) WHERE side = 'target')"""
 
 
 def rounds_sql(rounds: int = ROUNDS) -> str:
     """CTEs r0, r1, ... (all labels of a round) and options of the search, one block for each round."""
     label = "query_id, round, stop_id, kind, arrival, from_stop, depart, pattern_id, trip_rank, board_pos, alight_pos"
     out = [f""",
-s0 AS (SELECT query_id, 0 AS round, origin AS stop_id, 'seed' AS kind, depart + access AS arrival, NULL::VARCHAR AS from_stop, NULL::INTEGER AS depart, NULL::BIGINT AS pattern_id, NULL::INTEGER AS trip_rank, NULL::INTEGER AS board_pos, NULL::INTEGER AS alight_pos FROM ok),
+s0 AS (SELECT query_id, 0 AS round, stop_id, 'seed' AS kind, (depart + walk)::INTEGER AS arrival, NULL::VARCHAR AS from_stop, NULL::INTEGER AS depart, NULL::BIGINT AS pattern_id, NULL::INTEGER AS trip_rank, NULL::INTEGER AS board_pos, NULL::INTEGER AS alight_pos FROM origins),
 r0 AS MATERIALIZED (SELECT * FROM s0 UNION ALL SELECT query_id, 0, to_stop, 'walk', arrival + seconds, footpaths.from_stop, arrival, NULL, NULL, NULL, NULL FROM s0 JOIN footpaths ON s0.stop_id = footpaths.from_stop
   WHERE NOT EXISTS (SELECT 1 FROM s0 x WHERE x.query_id = s0.query_id AND x.stop_id = to_stop AND x.arrival <= s0.arrival + seconds)),
 b0 AS MATERIALIZED (SELECT query_id, stop_id, min(arrival) AS best FROM r0 GROUP BY ALL)"""]
@@ -148,7 +184,7 @@ sc{k} AS MATERIALIZED (SELECT query_id, pattern_id, pos, c // 1000 AS trip_rank,
 ri{k} AS MATERIALIZED (SELECT query_id, {k} AS round, stop_id, 'ride' AS kind, arrival, NULL::VARCHAR AS from_stop, NULL::INTEGER AS depart, pattern_id, trip_rank, board_pos, alight_pos FROM (
   SELECT c.query_id, e.stop_id, e.arr AS arrival, c.pattern_id, c.trip_rank, c.board_pos, c.pos AS alight_pos, row_number() OVER (PARTITION BY c.query_id, e.stop_id ORDER BY e.arr, c.pattern_id, c.trip_rank, c.board_pos, c.pos) AS i
   FROM sc{k} c JOIN ev e ON e.pattern_id = c.pattern_id AND e.trip_rank = c.trip_rank AND e.pos = c.pos LEFT JOIN b{p} b ON b.query_id = c.query_id AND b.stop_id = e.stop_id
-  LEFT JOIN (SELECT query_id, best + egress AS bound FROM b{p} JOIN ok USING (query_id) WHERE stop_id = target) t ON t.query_id = c.query_id
+  LEFT JOIN (SELECT query_id, min(best + walk) AS bound FROM b{p} JOIN targets USING (query_id, stop_id) GROUP BY query_id) t ON t.query_id = c.query_id
   WHERE e.arr < least(coalesce(best, 2147483647), coalesce(bound, 2147483647))) WHERE i = 1),
 wa{k} AS MATERIALIZED (SELECT query_id, {k} AS round, to_stop AS stop_id, 'walk' AS kind, arrival, from_stop, depart, NULL::BIGINT AS pattern_id, NULL::INTEGER AS trip_rank, NULL::INTEGER AS board_pos, NULL::INTEGER AS alight_pos FROM (
   SELECT r.query_id, f.to_stop, r.arrival + f.seconds AS arrival, f.from_stop, r.arrival AS depart, row_number() OVER (PARTITION BY r.query_id, f.to_stop ORDER BY r.arrival + f.seconds, f.from_stop, r.arrival) AS i
@@ -159,7 +195,8 @@ b{k} AS MATERIALIZED (SELECT query_id, stop_id, min(best) AS best FROM (SELECT *
     every = " UNION ALL ".join(f"SELECT {label} FROM r{k}" for k in range(rounds + 1))
     out.append(f""",
 labels AS MATERIALIZED ({every}),
-options AS (SELECT query_id, round, target AS stop_id, min(arrival) AS arrival FROM labels JOIN ok USING (query_id) WHERE round > 0 AND stop_id = target GROUP BY ALL),
+options AS (SELECT query_id, round, stop_id, arrival FROM (SELECT query_id, round, stop_id, min(arrival) AS arrival, row_number() OVER (PARTITION BY query_id, round ORDER BY min(arrival + walk), stop_id) AS i
+  FROM labels JOIN targets USING (query_id, stop_id) WHERE round > 0 GROUP BY query_id, round, stop_id) WHERE i = 1),
 journeys AS MATERIALIZED (SELECT query_id, (row_number() OVER (PARTITION BY query_id ORDER BY arrival, round) - 1)::INTEGER AS journey, round, stop_id, arrival FROM (
   SELECT *, min(round) OVER (PARTITION BY query_id ORDER BY arrival, round ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS fewest FROM options) WHERE fewest IS NULL OR round < fewest)""")
     return "".join(out)
@@ -172,7 +209,7 @@ chain AS (
   UNION ALL
   SELECT * FROM (SELECT c.query_id, c.journey, CASE l.kind WHEN 'ride' THEN l.round - 1 ELSE l.round END AS round, CASE l.kind WHEN 'ride' THEN s.stop_id ELSE l.from_stop END AS stop_id, l.kind = 'walk' AND l.round > 0 AS ride_only, c.back + 1 AS back,
       l.kind, l.arrival AS arrive, CASE l.kind WHEN 'ride' THEN s.stop_id ELSE l.from_stop END AS from_stop, CASE l.kind WHEN 'ride' THEN s.dep ELSE l.depart END AS depart, l.pattern_id, l.trip_rank, l.board_pos, l.alight_pos, c.stop_id AS to_stop
-    FROM chain c JOIN (SELECT *, row_number() OVER (PARTITION BY query_id, round, stop_id ORDER BY arrival, kind) AS i FROM labels) l
+    FROM chain c JOIN (SELECT *, row_number() OVER (PARTITION BY query_id, round, stop_id ORDER BY arrival, kind, from_stop) AS i FROM labels) l
       ON l.query_id = c.query_id AND l.round = c.round AND l.stop_id = c.stop_id AND (l.i = 1 AND NOT c.ride_only OR l.kind = 'ride' AND c.ride_only)
     LEFT JOIN ev s ON s.pattern_id = l.pattern_id AND s.trip_rank = l.trip_rank AND s.pos = l.board_pos WHERE l.kind <> 'seed' AND (c.kind IS DISTINCT FROM 'walk' OR c.round > 0))),
 legs AS MATERIALIZED (SELECT query_id, journey, (row_number() OVER (PARTITION BY query_id, journey ORDER BY back DESC) - 1)::INTEGER AS leg_no, kind, from_stop, to_stop, depart, arrive, coalesce(alight_pos - board_pos, 0) AS n_hops, pattern_id FROM chain WHERE back > 0)"""

@@ -9,13 +9,13 @@ from ..functions.text import hex_colour, name_stem, route_label, route_mode
 from ..functions.time import clock, format_time, parse_date, parse_time, wall_clock, window_label
 from ..operators.calendar import covers, running_trips, runs_on, service_window
 from ..operators.itinerary import benchmark_stats, describe, journeys, merge_walks, named_legs, summary, tags, with_doors
-from ..operators.patterns import departure_index, earliest_trips, overtaking, timetable_counts, trip_patterns
+from ..operators.patterns import earliest_trips, overtaking, timetable_counts, trip_patterns
 from ..operators.places import build_places, place_counts, resolve_places, search_places
 from ..operators.router import boardings, pareto, route_scan, stops_reached
 from ..operators.transfers import bounds, footpaths, generated_footpaths, walkable_from
 from ..sources.gtfs import clean_stop_times as usable_stop_times
 from ..sources.gtfs import feed_counts
-from .network import DAYS, LEGS, VIEWS, Batch, network, queries_sql, query_batch, rounds_sql, solved, table, timetable
+from .network import DAYS, LEGS, VIEWS, Batch, doors_sql, network, queries_sql, query_batch, rounds_sql, solved, table, timetable
 from .registry import query
 
 #: As many as the published single-thread benchmark solves.
@@ -64,17 +64,17 @@ def trip_patterns_network(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"{VIEWS} SELECT pattern_id, pos, stop_id FROM ps")
 def pattern_index(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return timetable(network(spark, sf_dir)).pattern_stops.select("pattern_id", "pos", "stop_id")
+    return timetable(network(spark, sf_dir), sf_dir).pattern_stops.select("pattern_id", "pos", "stop_id")
 
 
 @query(f"{VIEWS} SELECT * FROM ranked")
 def pattern_trip_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return timetable(network(spark, sf_dir)).pattern_trips
+    return timetable(network(spark, sf_dir), sf_dir).pattern_trips
 
 
 @query(f"{VIEWS}, late AS (SELECT pattern_id, trip_rank, pos, dep + trip_id % 7 * 90 * pos AS dep FROM ev), o AS (SELECT *, lag(dep) OVER (PARTITION BY pattern_id, pos ORDER BY trip_rank) AS b FROM late) SELECT pattern_id, pos, count(*) AS n_bad FROM o WHERE b > dep GROUP BY ALL")
 def fifo_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    t = timetable(network(spark, sf_dir))
+    t = timetable(network(spark, sf_dir), sf_dir)
     return overtaking(t.pattern_events.join(t.pattern_trips, ["pattern_id", "trip_rank"]).withColumn("dep", F.col("dep") + F.col("trip_id") % 7 * 90 * F.col("pos")))
 
 
@@ -236,15 +236,15 @@ def place_resolve(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"{VIEWS}, w AS (SELECT pattern_id, pos, stop_id, 18000 + i * 4000 AS ready FROM ps, range(20) t(i)) SELECT w.pattern_id, w.pos, ready, min(trip_rank) AS trip_rank FROM w JOIN ev ON ev.pattern_id = w.pattern_id AND ev.pos = w.pos AND dep >= ready GROUP BY ALL")
 def earliest_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
-    t = timetable(network(spark, sf_dir))
+    t = timetable(network(spark, sf_dir), sf_dir)
     wanted = t.pattern_stops.select("pattern_id", "pos", F.explode(F.sequence(F.lit(18000).cast("long"), F.lit(94000).cast("long"), F.lit(4000).cast("long"))).alias("ready"))
-    return earliest_trips(wanted, departure_index(t.pattern_events)).select("pattern_id", "pos", "ready", "trip_rank")
+    return earliest_trips(wanted, t.departures).select("pattern_id", "pos", "ready", "trip_rank")
 
 
 @query(f"{VIEWS}{queries_sql()}{rounds_sql(1)} SELECT query_id, pattern_id, pos, trip_rank, board_pos FROM sc1")
 def first_route_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     feed = network(spark, sf_dir)
-    t = timetable(feed)
+    t = timetable(feed, sf_dir)
     queries, ends = query_batch(spark, feed)
     both = ends.groupBy("query_id").agg(F.countDistinct("stop_id").alias("n")).filter("n = 2")
     seeds = ends.filter("side = 'origin'").join(both.select("query_id"), "query_id").join(queries, "query_id").select("query_id", "stop_id", F.col("depart").alias("ready"))
@@ -276,7 +276,7 @@ def search_reach(spark: SparkSession, sf_dir: str) -> DataFrame:
 UNION ALL SELECT 'places', count(*) FROM places UNION ALL SELECT 'places of several stops', count(*) FROM places WHERE contains(stop_ids, ',')""")
 def network_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     feed = network(spark, sf_dir)
-    return timetable_counts(timetable(feed)).unionByName(place_counts(build_places(feed.stops)))
+    return timetable_counts(timetable(feed, sf_dir)).unionByName(place_counts(build_places(feed.stops)))
 
 
 @query(f"{VIEWS}{queries_sql()}{rounds_sql()} SELECT query_id, journey, round AS vehicles, arrival FROM journeys")
@@ -346,6 +346,22 @@ def access_egress_legs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return with_doors(batch.legs(), batch.endpoints)
 
 
+_WALKS = """,
+ends_of AS (SELECT query_id, journey, min(leg_no) AS a, max(leg_no) AS b FROM legs GROUP BY ALL),
+doors AS (SELECT query_id, journey, leg_no, kind, from_stop, to_stop, depart, arrive FROM legs
+  UNION ALL SELECT l.query_id, journey, -1, 'walk', '', from_stop, l.depart - walk, l.depart FROM legs l JOIN ends_of e USING (query_id, journey) JOIN origins o ON o.query_id = l.query_id AND o.stop_id = from_stop WHERE leg_no = a
+  UNION ALL SELECT l.query_id, journey, b + 1, 'walk', to_stop, '', arrive, arrive + walk FROM legs l JOIN ends_of e USING (query_id, journey) JOIN targets t ON t.query_id = l.query_id AND t.stop_id = to_stop WHERE leg_no = b),
+runs AS (SELECT *, CASE WHEN kind = 'walk' AND lag(kind) OVER w = 'walk' AND lag(arrive) OVER w = depart THEN 0 ELSE 1 END AS starts FROM doors WINDOW w AS (PARTITION BY query_id, journey ORDER BY leg_no)),
+islands AS (SELECT *, sum(starts) OVER (PARTITION BY query_id, journey ORDER BY leg_no) AS island FROM runs),
+merged AS (SELECT query_id, journey, min(leg_no) AS first_no, any_value(kind) AS kind, arg_min(from_stop, leg_no) AS from_stop, arg_max(to_stop, leg_no) AS to_stop, min(depart)::INTEGER AS depart, max(arrive)::INTEGER AS arrive FROM islands GROUP BY query_id, journey, island)"""
+
+
+@query(f"{VIEWS}{doors_sql()}{rounds_sql()}{LEGS}{_WALKS} SELECT query_id, journey, (row_number() OVER (PARTITION BY query_id, journey ORDER BY first_no) - 1)::INTEGER AS leg_no, kind, from_stop, to_stop, depart, arrive FROM merged")
+def door_to_door(spark: SparkSession, sf_dir: str) -> DataFrame:
+    batch = solved(spark, sf_dir, doors=True)
+    return merge_walks(with_doors(batch.legs(), batch.endpoints))
+
+
 @query("""WITH l AS (SELECT user_id AS query_id, 0 AS journey, (row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1)::INTEGER AS leg_no, CASE WHEN event_type IN ('view', 'click', 'error') THEN 'walk' ELSE 'ride' END AS kind,
   event_id::VARCHAR AS from_stop, (event_id + 1)::VARCHAR AS to_stop, event_id FROM events),
 t AS (SELECT *, leg_no * 600 AS depart, leg_no * 600 + CASE WHEN event_id % 4 = 0 THEN 540 ELSE 600 END AS arrive FROM l),

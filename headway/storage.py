@@ -10,14 +10,24 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that spark.checkpoint.dir names; where it is unset (local tests), a temporary one, which is then set."""
+    """The folder that spark.checkpoint.dir names.  Where it is unset, a local session gets a temporary one, and a cluster an error."""
     context = spark.sparkContext
-    folder = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir() or f"file://{tempfile.mkdtemp(prefix='headway-')}"
+    folder = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
+    if not folder:
+        if not context.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        folder = f"file://{tempfile.mkdtemp(prefix='headway-')}"
     if not context.getCheckpointDir():
         context.setCheckpointDir(folder)
     return folder.rstrip("/")
 
 
+def is_written(df: DataFrame) -> bool:
+    """Whether the table that Scratch wrote for df is still there."""
+    path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(f"{df.scratch_folder}/_SUCCESS")
+    return path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).exists(path)
+
+
 class Scratch:
     """Tables that one operator call writes and reads again, which cuts their lineage.
 
