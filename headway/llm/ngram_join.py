@@ -183,15 +183,15 @@ def _shared(posts: DataFrame) -> DataFrame:
     """(token, deal, key, n, matches, at, hub), each once, of the tokens that several keys hold, from one shuffle.
 
     Copies leave one posting.  Of a hot token, whose postings are dealt to
-    several tasks, all stay.  The hub of a token (of one of its deals, if it is
-    hot) is the key with the largest share, a document that many others derive
-    from as a rule.
+    several tasks, all stay.  The hub of a token (here still of one of its
+    deals, if it is hot) is the key with the largest share, a document that
+    many others derive from as a rule.
     """
     dealt = posts.repartition("token", "deal").dropDuplicates(["token", "deal", "key"])
     here = Window.partitionBy("token", "deal")
     hub = F.max(F.struct("share", "key", "n", "matches")).over(here)
     counted = dealt.select("*", F.count(F.lit(1)).over(here).alias("n_keys"), hub.alias("hub"))
-    return counted.filter("n_keys > 1 or deal > 0").select("token", "deal", "key", "n", "matches", "at", F.struct("hub.key", "hub.n", "hub.matches").alias("hub"))
+    return counted.filter("n_keys > 1 or deal > 0").select("token", "deal", "key", "n", "matches", "at", "hub")
 
 
 def _members(rows: DataFrame, wanted: TwiceSketch | None, naming: _Naming, shingle: int) -> DataFrame:
@@ -323,22 +323,31 @@ def _labelled(live: DataFrame, named: DataFrame) -> DataFrame:
     return live.drop("hub").join(sized, "key", "left").withColumn("component", F.coalesce("component", "key")).withColumn("members", F.coalesce("members", F.lit(1)))
 
 
+def _whole_tokens(live: DataFrame, **ends) -> DataFrame:
+    """live, where of the hot tokens each column of ``ends`` is reduced to one value over all deals.
+
+    A hot token has HOT postings or more, so that these tokens are few beside
+    the postings; the join is dealt by Spark, which splits hot ones.
+    """
+    hot = live.filter("deal > 0")
+    whole = hot.groupBy("token").agg(*[f(name).alias(name) for name, f in ends.items()])
+    return live.filter("deal = 0").unionByName(hot.drop(*ends).join(whole, "token").select(*live.columns))
+
+
 def _central_pairs(live: DataFrame, percent: int) -> DataFrame:
     """(a, b): for each key the hub of most of its tokens, if these alone are enough."""
-    met = live.filter((F.col("key") != F.col("hub.key")) & _same_size("n", "hub.n", percent))
+    met = _whole_tokens(live, hub=F.max).filter((F.col("key") != F.col("hub.key")) & _same_size("n", "hub.n", percent))
     votes = met.groupBy("key", F.col("hub.key").alias("other")).agg(F.count(F.lit(1)).alias("votes"), *[F.first(F.col(c)).alias(name) for name, c in (("n", "n"), ("m", "matches"), ("hn", "hub.n"), ("hm", "hub.matches"))])
     best = votes.filter(_enough("votes", "n", "hn", "m", "hm", percent)).groupBy("key").agg(F.max(F.struct("votes", "other")).alias("best"))
     return best.select(F.least("key", "best.other").alias("a"), F.greatest("key", "best.other").alias("b")).distinct()
 
 
-def _several(live: DataFrame) -> DataFrame:
-    """live with ``last``, the token's last component in the order of all components, of the tokens that several components share.
-
-    Of a hot token, which is dealt to several tasks, all stay, without a last one.
-    """
-    here = Window.partitionBy("token", "deal")
-    ends = live.select("*", *[f(F.struct("members", "component")).over(here).alias(name) for name, f in (("first", F.min), ("end", F.max))])
-    return ends.filter("first <> end or deal > 0").select("token", "key", "n", "matches", "at", "members", "component", F.when(F.col("deal") == 0, F.col("end.component")).alias("last"))
+def _several(live: DataFrame, scratch: Scratch) -> DataFrame:
+    """live with ``last``, the token's last component in the order of all components, of the tokens that several components share."""
+    here, order = Window.partitionBy("token", "deal"), F.struct("members", "component")
+    ends = scratch.write(live.select("*", F.min(order).over(here).alias("first"), F.max(order).over(here).alias("last")).filter("first <> last or deal > 0"))
+    open_ = _whole_tokens(ends, first=F.min, last=F.max).filter("first <> last")
+    return open_.select("token", "key", "n", "matches", "at", "members", "component", F.col("last.component").alias("last"))
 
 
 def _open_pairs(live: DataFrame, percent: int, scratch: Scratch) -> DataFrame:
@@ -353,12 +362,12 @@ def _open_pairs(live: DataFrame, percent: int, scratch: Scratch) -> DataFrame:
     must have room for what the two must share in all.
     """
     band = F.floor(F.ln("n") / F.ln(F.lit(BAND))).cast("int")
-    open_ = scratch.write(_several(live).withColumn("band", band))
+    open_ = scratch.write(_several(live, scratch).withColumn("band", band))
     bands = open_.groupBy("token", "band").agg(F.count(F.lit(1)).alias("size")).groupBy("token").agg(F.collect_list(F.struct("band", "size")).alias("bands"))
     reach = math.ceil(math.log(100 / percent) / math.log(BAND)) + 1
     near = F.filter("bands", lambda b: (F.abs(b["band"] - F.col("band")) <= reach) & (b["size"] > F.when(b["band"] == F.col("band"), 1).otherwise(0)))
     way = F.struct("at", "token", F.transform(near, lambda b: b["band"]).alias("bands")).alias("way")
-    ways = open_.filter("last is null or component <> last").join(bands, "token").select("key", "n", "matches", "members", "component", way).filter(F.size("way.bands") > 0)
+    ways = open_.filter("component <> last").join(bands, "token").select("key", "n", "matches", "members", "component", way).filter(F.size("way.bands") > 0)
     # A key has as many ways as prefix tokens at most.
     ways = ways.groupBy("key", "n", "matches", "members", "component").agg(F.array_sort(F.collect_list("way")).alias("ways"))
     ways = ways.select("*", F.explode(F.array_distinct(F.flatten(F.transform("ways", lambda w: w["bands"])))).alias("band"))

@@ -10,6 +10,7 @@ from collections import Counter, defaultdict
 import numpy as np
 import pytest
 
+from headway.llm import ngram_join
 from headway.llm.exact_dedup import drop_exact_duplicates, exact_duplicates
 from headway.llm.ngram_join import keep_one_of_each, near_duplicates
 from headway.llm.sketch import TwiceSketch, cells_for, count_hashes
@@ -121,8 +122,9 @@ def near_rows():
     return rows + [(None if i is None else i + 1000, t) for i, t in HARD]
 
 
-@pytest.mark.parametrize("cells", [1 << 28, 1])
-def test_near_duplicates(spark, cells):
+@pytest.mark.parametrize("cells, hot", [(1 << 28, 1000), (1, 1000), (1 << 28, 3)])
+def test_near_duplicates(spark, monkeypatch, cells, hot):
+    monkeypatch.setattr(ngram_join, "HOT", hot)
     rows = near_rows()
     got = [(r.id, r.n_shingles, r.component_id) for r in near_duplicates(frame(spark, rows), max_cells=cells).collect()]
     assert sorted(got, key=str) == sorted(linked(rows), key=str)
