@@ -9,6 +9,8 @@ from .common import table
 
 #: The template.  A control string always begins with "<|", which never occurs in an escaped text.
 START, NEXT, END = "<|im_start|>", "<|im_next|>", "<|im_end|>"
+#: Turns whose places are added up in one go.
+STEP = 128
 
 
 def escape(text: Column) -> Column:
@@ -46,21 +48,24 @@ def format_chats(turns: DataFrame, conv: str = "conv_id", turn: str = "turn", ro
             t["learn"].alias("learn"),
         ),
     )
-    empty = F.struct(F.lit(0).alias("at"), F.expr("cast(array() as array<struct<start:int,end:int>>)").alias("spans"))
+    none = "cast(array() as array<struct<start:int,end:int>>)"
 
     def place(state: Column, t: Column) -> Column:
         start = state["at"] + F.length(t["before"])
         end = start + F.length(t["text"])
-        span = F.array(F.struct(start.alias("start"), end.alias("end")))
-        return F.struct((end + F.length(t["after"])).alias("at"), F.when(t["learn"], F.concat(state["spans"], span)).otherwise(state["spans"]).alias("spans"))
+        spans = F.when(t["learn"], F.array_append(state["spans"], F.struct(start.alias("start"), end.alias("end")))).otherwise(state["spans"])
+        return F.struct((end + F.length(t["after"])).alias("at"), spans.alias("spans"))
 
+    def block(state: Column, first: Column) -> Column:
+        own = F.aggregate(F.slice("turns", first + 1, F.lit(STEP)), F.struct(state["at"].alias("at"), F.expr(none).alias("spans")), place)
+        return F.struct(own["at"].alias("at"), F.array_append(state["blocks"], own["spans"]).alias("blocks"))
+
+    # Places are added up STEP turns at a time, so that no long array is copied for each turn.
+    begin = F.struct(F.lit(0).alias("at"), F.expr("cast(array() as array<array<struct<start:int,end:int>>>)").alias("blocks"))
+    mask = F.aggregate(F.sequence(F.lit(0), F.greatest(F.size("turns") - 1, F.lit(0)), F.lit(STEP)), begin, block, lambda s: F.flatten(s["blocks"]))
     return (
         gathered.withColumn("turns", escaped).withColumn("turns", opened)
-        .select(
-            conv,
-            F.array_join(F.transform("turns", lambda t: F.concat(t["before"], t["text"], t["after"])), "").alias("formatted"),
-            F.aggregate("turns", empty, place, lambda s: s["spans"]).alias("loss_mask"),
-        )
+        .select(conv, F.array_join(F.transform("turns", lambda t: F.concat(t["before"], t["text"], t["after"])), "").alias("formatted"), mask.alias("loss_mask"))
     )
 
 

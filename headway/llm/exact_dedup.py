@@ -14,7 +14,9 @@ BLOCK = 4096
 
 
 def normalised(text_col: str) -> Column:
-    return F.regexp_replace(text_or_empty(text_col), SPACE, " ")
+    """The text with each white-space run as one space.  Only texts with successive spaces need a regular expression, which costs more than all else."""
+    spaced = reduce(lambda t, c: F.replace(t, F.lit(chr(c)), F.lit(" ")), range(0x09, 0x0E), text_or_empty(text_col))
+    return F.when(F.contains(spaced, F.lit("  ")), F.regexp_replace(spaced, SPACE, " ")).otherwise(spaced)
 
 
 def _named(distinct: DataFrame, by: list[str], keep: list[str], scratch: Scratch) -> DataFrame:

@@ -229,6 +229,13 @@ TALK = [
 ]
 
 
+def test_a_conversation_of_thousands_of_turns(spark):
+    said = [(7, k, "assistant" if k % 3 else "user", f"<|{k} ü") for k in range(3000)]
+    r = format_chats(spark.createDataFrame(said, "conv_id long, turn long, role string, text string")).select("formatted", "loss_mask", read_back(F.col("formatted")).alias("turns")).first()
+    assert [(t.role, t.text) for t in r.turns] == [(role, text) for _, _, role, text in said]
+    assert [r.formatted[m.start : m.end] for m in r.loss_mask] == [text.replace("<|", "<\\|") for _, _, role, text in said if role == "assistant"]
+
+
 def test_chats_round_trip(spark):
     turns = spark.createDataFrame([(*t, "z") for t in TALK], "conv_id long, turn long, role string, text string, turns string")
     got = {r.conv_id: r for r in format_chats(turns).select("*", read_back(F.col("formatted")).alias("said"), loss_text(F.col("formatted"), F.col("loss_mask")).alias("loss")).collect()}
