@@ -4,10 +4,12 @@ from __future__ import annotations
 
 import re
 
+import numpy as np
 import pytest
 from test_dedup import linked, norm
 
 import corpus_pipeline
+from headway.llm.quality import fit_quality
 
 
 @pytest.fixture(scope="module")
@@ -47,6 +49,21 @@ def test_each_stage_decides(results):
     assert 0.75 <= words(results["mix"]) / words(results["near_dedup"]) <= 1.2
 
 
+def test_quality_keeps_what_compresses_like_good_text(spark, results):
+    import zstandard
+
+    model = fit_quality(results["documents"], spark.read.parquet("/root/testdata/sf0.001/labels.parquet"))
+    good, bad = (zstandard.ZstdCompressor(level=3, dict_data=zstandard.ZstdCompressionDict(d), write_content_size=False, write_dict_id=False) for d in (model.good, model.bad))
+
+    def score(text):
+        raw = (text or "").encode()
+        saved = len(bad.compress(raw)) - len(good.compress(raw)) if raw else 0
+        return np.interp((saved + 50 * model.typical) / (len(raw) + 50), model.calibration.boundaries.toArray(), model.calibration.predictions.toArray())
+
+    docs = rows(results["documents"])
+    assert set(rows(results["quality"])) == {i for i, t in docs.items() if score(t) >= 0.3}
+
+
 def test_packing_covers_what_was_mixed(results):
     pieces = results["packing"]
     assert pieces.select("doc_id").distinct().count() == results["mix"].select("doc_id").distinct().count()
