@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import chat, exact_dedup, mixing, ngram_join, packing, pii, quality, substring_dedup, toxicity, vectors
+from . import chat, exact_dedup, mixing, ngram_join, packing, pii, quality, spelling, substring_dedup, toxicity, vectors
 
-MODULES = (substring_dedup, ngram_join, pii, mixing, vectors, quality, exact_dedup, toxicity, packing, chat)
+MODULES = (substring_dedup, ngram_join, pii, mixing, vectors, quality, exact_dedup, toxicity, packing, chat, spelling)
 
 
 def queries() -> dict:
