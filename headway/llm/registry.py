@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import chat, exact_dedup, mixing, ngram_join, packing, pii, quality, spelling, substring_dedup, toxicity, vectors
+from . import chat, exact_dedup, merkle, mixing, ngram_join, packing, pii, quality, spelling, substring_dedup, toxicity, vectors, warc
 
-MODULES = (substring_dedup, ngram_join, pii, mixing, vectors, quality, exact_dedup, toxicity, packing, chat, spelling)
+MODULES = (substring_dedup, ngram_join, pii, mixing, vectors, quality, exact_dedup, toxicity, packing, chat, merkle, warc, spelling)
 
 
 def queries() -> dict:
