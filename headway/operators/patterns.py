@@ -2,39 +2,88 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from functools import cached_property
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..storage import Scratch
+from ..storage import Scratch, is_written
+from .ranking import ranked
 
 #: Seconds of a departure bucket.
 BUCKET = 1800
 
 
-@dataclass(frozen=True)
 class Timetable:
-    """patterns(pattern_id, route_id, stops, n_trips)
+    """The routing structures of the trips that run, each made and written when it is first asked for.
+
+    patterns(pattern_id, route_id, stops, n_trips)
     pattern_trips(pattern_id, trip_rank, trip_id)
     pattern_events(pattern_id, trip_rank, pos, stop_id, arr, dep)
     trip_calls(pattern_id, trip_rank, trip_id, stops, arrs, deps): a trip in one row
-    pattern_stops(stop_id, pattern_id, pos, first_bucket)
+    pattern_stops(stop_id, pattern_id, pos, n_stops, first_bucket)
     departures(pattern_id, pos, bucket, calls, later): as earliest_trips needs them
     footpaths(from_stop, to_stop, seconds)
     neighbours(from_stop, near): the same, a stop in one row
 
-    A pattern's id is the smallest trip_ord of its trips.
+    A pattern's id is the smallest trip_ord of its trips, which are ranked by
+    first departure, then trip_ord.  What a round of a search joins with is
+    bucketed on the keys of that join, so that it is never shuffled there.
     """
 
-    patterns: DataFrame
-    pattern_trips: DataFrame
-    pattern_events: DataFrame
-    trip_calls: DataFrame
-    pattern_stops: DataFrame
-    departures: DataFrame
-    footpaths: DataFrame
-    neighbours: DataFrame
+    def __init__(self, trips: DataFrame, stop_times: DataFrame, footpaths: DataFrame, bucket: int = BUCKET):
+        self._trips, self._stop_times, self._walks, self.bucket = trips, stop_times, footpaths, bucket
+        self._scratch = Scratch(trips.sparkSession, "timetable")
+
+    def is_there(self) -> bool:
+        """Whether all tables that were written still are."""
+        return all(is_written(t) for t in vars(self).values() if hasattr(t, "scratch_folder"))
+
+    @cached_property
+    def _whole(self) -> DataFrame:
+        calls = self._stop_times.groupBy("trip_id").agg(F.array_sort(F.collect_list(F.struct("pos", "stop_id", "arr", "dep"))).alias("calls"))
+        each = self._trips.select("trip_id", "trip_ord", "route_id").join(calls, "trip_id")
+        each = each.select("trip_id", "trip_ord", "route_id", *[F.col(f"calls.{c}").alias(a) for c, a in (("stop_id", "stops"), ("arr", "arrs"), ("dep", "deps"))]).withColumn("first_dep", F.get("deps", F.lit(0)))
+        each = self._scratch.write(each)
+        # Written, so that Spark can split a pattern of many trips in the join.
+        ids = self._scratch.write(each.groupBy("route_id", "stops").agg(F.min("trip_ord").alias("pattern_id")))
+        out = ranked(each.join(ids, ["route_id", "stops"]), ["pattern_id"], ["first_dep", "trip_ord"], "trip_rank", self._scratch)
+        return self._scratch.bucketed(out.select("pattern_id", "trip_rank", "trip_id", "route_id", "stops", "arrs", "deps"), "pattern_id", "trip_rank")
+
+    @cached_property
+    def patterns(self) -> DataFrame:
+        return self._scratch.write(self._whole.groupBy("pattern_id").agg(F.first("route_id").alias("route_id"), F.first("stops").alias("stops"), F.count(F.lit(1)).alias("n_trips")))
+
+    @property
+    def pattern_trips(self) -> DataFrame:
+        return self._whole.select("pattern_id", "trip_rank", "trip_id")
+
+    @property
+    def trip_calls(self) -> DataFrame:
+        return self._whole.drop("route_id")
+
+    @property
+    def pattern_events(self) -> DataFrame:
+        each = self._whole.select("pattern_id", "trip_rank", F.posexplode(F.arrays_zip("stops", "arrs", "deps")).alias("pos", "c"))
+        return each.select("pattern_id", "trip_rank", "pos", F.col("c.stops").alias("stop_id"), F.col("c.arrs").alias("arr"), F.col("c.deps").alias("dep"))
+
+    @cached_property
+    def departures(self) -> DataFrame:
+        return self._scratch.bucketed(departure_index(self.pattern_events, self.bucket), "pattern_id", "pos", "bucket")
+
+    @cached_property
+    def pattern_stops(self) -> DataFrame:
+        first = self.departures.groupBy("pattern_id", "pos").agg(F.min("bucket").alias("first_bucket"))
+        each = self.patterns.select("pattern_id", F.size("stops").alias("n_stops"), F.posexplode("stops").alias("pos", "stop_id"))
+        return self._scratch.bucketed(each.join(first, ["pattern_id", "pos"]).select("stop_id", "pattern_id", "pos", "n_stops", "first_bucket"), "stop_id")
+
+    @cached_property
+    def footpaths(self) -> DataFrame:
+        return self._scratch.write(self._walks)
+
+    @cached_property
+    def neighbours(self) -> DataFrame:
+        return self._scratch.bucketed(self.footpaths.groupBy("from_stop").agg(F.collect_list(F.struct("to_stop", "seconds")).alias("near")), "from_stop")
 
 
 def trip_patterns(trips: DataFrame, stop_times: DataFrame) -> DataFrame:
@@ -47,44 +96,35 @@ def trip_patterns(trips: DataFrame, stop_times: DataFrame) -> DataFrame:
 
 
 def build_timetable(trips: DataFrame, stop_times: DataFrame, footpaths: DataFrame, bucket: int = BUCKET) -> Timetable:
-    """The routing structures of the trips that run.
-
-    Trips are ranked within a pattern by first departure, then trip_ord.  The
-    table of trips, from which the others follow, and the indexes that every
-    round of a search reads are written once.
-    """
-    scratch = Scratch(trips.sparkSession, "timetable")
-    calls = stop_times.groupBy("trip_id").agg(F.array_sort(F.collect_list(F.struct("pos", "stop_id", "arr", "dep"))).alias("calls"))
-    each = trips.select("trip_id", "trip_ord", "route_id").join(calls, "trip_id").select("*", F.col("calls.stop_id").alias("stops"))
-    each = each.withColumn("pattern_id", F.min("trip_ord").over(Window.partitionBy("route_id", "stops")))
-    order = Window.partitionBy("pattern_id").orderBy(F.get("calls", F.lit(0))["dep"], "trip_ord")
-    whole = scratch.write(each.select("pattern_id", "route_id", (F.row_number().over(order) - 1).alias("trip_rank"), "trip_id", "stops", F.col("calls.arr").alias("arrs"), F.col("calls.dep").alias("deps")))
-    patterns = scratch.write(whole.groupBy("pattern_id").agg(F.first("route_id").alias("route_id"), F.first("stops").alias("stops"), F.count(F.lit(1)).alias("n_trips")))
-    events = whole.select("pattern_id", "trip_rank", F.posexplode(F.arrays_zip("stops", "arrs", "deps")).alias("pos", "c")).select("pattern_id", "trip_rank", "pos", F.col("c.stops").alias("stop_id"), F.col("c.arrs").alias("arr"), F.col("c.deps").alias("dep"))
-    departures = scratch.write(departure_index(events, bucket))
-    first = departures.groupBy("pattern_id", "pos").agg(F.min("bucket").alias("first_bucket"))
-    index = scratch.write(patterns.select("pattern_id", F.posexplode("stops").alias("pos", "stop_id")).join(first, ["pattern_id", "pos"]).select("stop_id", "pattern_id", "pos", "first_bucket"))
-    footpaths = scratch.write(footpaths)
-    neighbours = scratch.write(footpaths.groupBy("from_stop").agg(F.collect_list(F.struct("to_stop", "seconds")).alias("near")))
-    return Timetable(patterns, whole.select("pattern_id", "trip_rank", "trip_id"), events, whole.drop("route_id"), index, departures, footpaths, neighbours)
+    """The timetable of trips (trip_id, trip_ord, route_id), stop_times (trip_id, pos, stop_id, arr, dep) and footpaths."""
+    return Timetable(trips, stop_times, footpaths, bucket)
 
 
 def departure_index(events: DataFrame, bucket: int = BUCKET) -> DataFrame:
     """(pattern_id, pos, bucket, calls, later): the departures of each span of ``bucket`` seconds, and the lowest rank of any later span.
 
-    Every span from the first to the last departure is there, so that a
-    look-up is one equi-join whatever the time.
+    calls are in the order of time; each names the lowest rank that departs
+    then or later, so the first at or after a time is the trip to take.  What
+    they hold grows with the seconds of a day, not with the trips: only the
+    lowest rank of each departure counts, and of departures in turn that lead
+    to one trip only the last.  Every span from the first to the last
+    departure is there, so that a look-up is one equi-join whatever the time.
     """
-    spans = events.groupBy("pattern_id", "pos", F.floor(F.col("dep") / bucket).cast("int").alias("bucket")).agg(F.collect_list(F.struct("trip_rank", "dep")).alias("calls"))
-    ends = spans.groupBy("pattern_id", "pos").agg(F.min("bucket").alias("a"), F.max("bucket").alias("b"))
-    full = ends.select("pattern_id", "pos", F.explode(F.sequence("a", "b")).alias("bucket")).join(spans, ["pattern_id", "pos", "bucket"], "left")
-    after = Window.partitionBy("pattern_id", "pos").orderBy("bucket").rowsBetween(1, Window.unboundedFollowing)
-    return full.select("pattern_id", "pos", "bucket", "calls", F.min(F.array_min(F.transform("calls", lambda c: c["trip_rank"]))).over(after).alias("later"))
+    place = ["pattern_id", "pos"]
+    lowest = events.groupBy(*place, "dep").agg(F.min("trip_rank").alias("trip_rank"))
+    order = Window.partitionBy(*place).orderBy("dep")
+    onward = lowest.withColumn("trip_rank", F.min("trip_rank").over(order.rowsBetween(0, Window.unboundedFollowing)))
+    steps = onward.withColumn("_next", F.lead("trip_rank").over(order)).filter("_next is null or _next <> trip_rank").withColumn("bucket", F.floor(F.col("dep") / bucket).cast("int"))
+    spans = steps.groupBy(*place, "bucket").agg(F.array_sort(F.collect_list(F.struct("dep", "trip_rank"))).alias("calls"))
+    ends = spans.groupBy(*place).agg(F.min("bucket").alias("a"), F.max("bucket").alias("b"))
+    full = ends.select(*place, F.explode(F.sequence("a", "b")).alias("bucket")).join(spans, [*place, "bucket"], "left")
+    after = Window.partitionBy(*place).orderBy("bucket").rowsBetween(1, Window.unboundedFollowing)
+    return full.select(*place, "bucket", "calls", F.min(F.get("calls", F.lit(0))["trip_rank"]).over(after).alias("later"))
 
 
 def trip_in_span(ready: Column) -> Column:
     """The lowest rank among ``calls`` that departs at ``ready`` or later, or of any later span; null if none does."""
-    return F.least(F.array_min(F.transform(F.filter("calls", lambda c: c["dep"] >= ready), lambda c: c["trip_rank"])), F.col("later"))
+    return F.coalesce(F.get(F.filter("calls", lambda c: c["dep"] >= ready), F.lit(0))["trip_rank"], F.col("later"))
 
 
 def earliest_trips(wanted: DataFrame, departures: DataFrame, bucket: int = BUCKET) -> DataFrame:
@@ -96,9 +136,9 @@ def earliest_trips(wanted: DataFrame, departures: DataFrame, bucket: int = BUCKE
 
 
 def overtaking(events: DataFrame) -> DataFrame:
-    """(pattern_id, pos, n_bad): where a higher-ranked trip departs before a lower-ranked one.  Routing takes the lowest rank there, too."""
-    before = Window.partitionBy("pattern_id", "pos").orderBy("trip_rank")
-    bad = events.withColumn("previous", F.lag("dep").over(before)).filter("previous > dep")
+    """(pattern_id, pos, n_bad): where a trip departs before the one of the next lower rank.  Routing takes the lowest rank there, too."""
+    next_lower = events.select("pattern_id", "pos", (F.col("trip_rank") + 1).alias("trip_rank"), F.col("dep").alias("previous"))
+    bad = events.join(next_lower, ["pattern_id", "pos", "trip_rank"]).filter("previous > dep")
     return bad.groupBy("pattern_id", "pos").agg(F.count(F.lit(1)).alias("n_bad"))
 
 

@@ -5,8 +5,12 @@ that round k - 1 improved meet the patterns that serve them, each pattern
 carries the earliest trip caught so far along its positions, and footpaths
 spread what the trips reach.  All queries go through a round in one job.
 
-Everything is partitioned by query, so a round groups without a shuffle and
-joins only the timetable, whose tables do not grow with the queries.
+A round's state is one row of fixed width for each stop of a query.  What a
+round improves points to where it came from; journeys are followed back along
+these pointers at the end.  The timetable's tables are bucketed on the keys of
+the joins here: where Spark broadcasts them, nothing is shuffled, as the state
+is partitioned by query; where they are too large, the frontier is shuffled to
+them, and they stay.
 """
 
 from __future__ import annotations
@@ -29,23 +33,51 @@ _NEVER = 2**31 - 1
 @dataclass(frozen=True)
 class Plan:
     """labels: (query_id, round, stop_id, arrival), what each round improved.
-    options: (query_id, round, stop_id, arrival, egress, path), the best target of each round that improved one.
-    path holds the legs.
+    options: (query_id, round, stop_id, arrival, egress), the best target of each round that improved one.
+    pointers: by round, (query_id, stop_id, label); a label is the ride taken in that round, and the walk after it if there was one.
     """
 
     labels: DataFrame
     options: DataFrame
+    pointers: list[DataFrame]
+
+
+def _ride_type(stop: str) -> str:
+    return f"struct<arrival:int,pattern_id:bigint,trip_rank:int,board_pos:int,alight_pos:int,board_stop:{stop},alight_stop:{stop},depart:int>"
+
+
+def _label_type(stop: str) -> str:
+    """Order matters: of equal arrivals, one without a walk comes first, then the walk from the smallest stop."""
+    return f"struct<arrival:int,walk_from:{stop},walk_depart:int,ride:{_ride_type(stop)}>"
 
 
 def _path_type(stop: str) -> str:
     return f"array<struct<kind:string,from_stop:{stop},to_stop:{stop},depart:int,arrive:int,pattern_id:bigint,trip_rank:int,board_pos:int,alight_pos:int>>"
 
 
-def _walk_leg(from_stop: Column, to_stop: Column, depart: Column, arrive: Column) -> Column:
-    return F.struct(
-        F.lit("walk").alias("kind"), from_stop.alias("from_stop"), to_stop.alias("to_stop"), depart.alias("depart"), arrive.alias("arrive"),
-        F.lit(None).cast("bigint").alias("pattern_id"), F.lit(None).cast("int").alias("trip_rank"), F.lit(None).cast("int").alias("board_pos"), F.lit(None).cast("int").alias("alight_pos"),
-    )
+def _first_state(timetable: Timetable, queries: DataFrame, endpoints: DataFrame, initial_walk: bool = True) -> DataFrame:
+    """(query_id, stop_id, best, label, egress): a row for each stop of a query that is reached or a target; its best arrival so far, and what this round improved."""
+    label = _label_type(dict(endpoints.dtypes)["stop_id"])
+    ends = _usable_ends(queries, endpoints)
+    seeds = ends.filter("origin is not null").select("query_id", "stop_id", F.expr(f"cast(named_struct('arrival', asked + origin, 'walk_from', null, 'walk_depart', null, 'ride', null) as {label})").alias("label"))
+    if initial_walk:
+        on = seeds.join(timetable.footpaths, seeds.stop_id == F.col("from_stop"))
+        at = F.col("label.arrival")
+        walked = F.struct((at + F.col("seconds")).alias("arrival"), F.col("from_stop").alias("walk_from"), at.alias("walk_depart"), F.lit(None).alias("ride")).cast(label)
+        seeds = seeds.unionByName(on.select("query_id", F.col("to_stop").alias("stop_id"), walked.alias("label")))
+    goals = ends.filter("egress is not null").select("query_id", "stop_id", F.lit(None).cast(label).alias("label"), "egress")
+    state = seeds.withColumn("egress", F.lit(None).cast("int")).unionByName(goals).groupBy("query_id", "stop_id").agg(F.min("label").alias("label"), F.max("egress").alias("egress"))
+    return state.select("query_id", "stop_id", F.col("label.arrival").alias("best"), "label", "egress")
+
+
+def frontier(state: DataFrame) -> DataFrame:
+    """(query_id, stop_id, ready): the stops that a state's round improved."""
+    return state.filter("label is not null").select("query_id", "stop_id", F.col("label.arrival").alias("ready"))
+
+
+def first_frontier(timetable: Timetable, queries: DataFrame, endpoints: DataFrame) -> DataFrame:
+    """What the first round of a search starts from."""
+    return frontier(_first_state(timetable, queries, endpoints))
 
 
 def plan(timetable: Timetable, queries: DataFrame, endpoints: DataFrame, max_rounds: int = MAX_ROUNDS, initial_walk: bool = True, bucket: int = BUCKET) -> Plan:
@@ -58,31 +90,21 @@ def plan(timetable: Timetable, queries: DataFrame, endpoints: DataFrame, max_rou
     that rides reach, one at a time.  max_rounds counts vehicles, from 1 to
     MOST_ROUNDS.
     """
-    path = _path_type(dict(endpoints.dtypes)["stop_id"])
-    ends = _usable_ends(queries, endpoints)
-    seeds = ends.filter("origin is not null").select("query_id", "stop_id", F.expr(f"named_struct('arrival', asked + origin, 'path', cast(array() as {path}))").alias("label"))
-    if initial_walk:
-        on = seeds.join(timetable.footpaths, seeds.stop_id == F.col("from_stop"))
-        at = F.col("label.arrival")
-        leg = F.array(_walk_leg(F.col("from_stop"), F.col("to_stop"), at, at + F.col("seconds"))).cast(path)
-        seeds = seeds.unionByName(on.select("query_id", F.col("to_stop").alias("stop_id"), F.struct((at + F.col("seconds")).alias("arrival"), leg.alias("path")).alias("label")))
-    # One row for each stop of a query that is reached or a target: its best arrival so far, and what this round improved.
-    goals = ends.filter("egress is not null").select("query_id", "stop_id", F.lit(None).cast(f"struct<arrival:int,path:{path}>").alias("label"), "egress")
-    state = seeds.withColumn("egress", F.lit(None).cast("int")).unionByName(goals).groupBy("query_id", "stop_id").agg(F.min("label").alias("label"), F.max("egress").alias("egress"))
-    state = _kept(state.select("query_id", "stop_id", F.col("label.arrival").alias("best"), "label", "egress"))
+    state = _kept(_first_state(timetable, queries, endpoints, initial_walk))
     states = [state]
     for _ in range(max(1, min(max_rounds, MOST_ROUNDS))):
-        state = _kept(_round(state, timetable, path, bucket))
-        if not state.agg(F.count("label")).first()[0]:
+        state = _kept(next_state(state, timetable, bucket))
+        if state.filter("label is not null").isEmpty():
             break
         states.append(state)
-    labels = reduce(DataFrame.unionByName, [s.filter("label is not null").select("query_id", F.lit(k).alias("round"), "stop_id", "label.arrival") for k, s in enumerate(states)])
+    improved = [s.filter("label is not null") for s in states]
+    labels = reduce(DataFrame.unionByName, [s.select("query_id", F.lit(k).alias("round"), "stop_id", "label.arrival") for k, s in enumerate(improved)])
     options = [
-        s.filter("label is not null and egress is not null").groupBy("query_id").agg(F.min(F.struct((F.col("label.arrival") + F.col("egress")).alias("door"), "stop_id", "egress", "label")).alias("b"))
-        .select("query_id", F.lit(k).alias("round"), "b.stop_id", "b.label.arrival", "b.egress", "b.label.path")
-        for k, s in enumerate(states)
+        s.filter("egress is not null").groupBy("query_id").agg(F.min(F.struct((F.col("label.arrival") + F.col("egress")).alias("door"), "stop_id", "egress", "label.arrival")).alias("b"))
+        .select("query_id", F.lit(k).alias("round"), "b.stop_id", "b.arrival", "b.egress")
+        for k, s in enumerate(improved)
     ]
-    return Plan(labels, reduce(DataFrame.unionByName, options).filter("round > 0"))
+    return Plan(labels, reduce(DataFrame.unionByName, options).filter("round > 0"), [s.select("query_id", "stop_id", "label") for s in improved])
 
 
 def stops_reached(found: Plan) -> DataFrame:
@@ -91,7 +113,7 @@ def stops_reached(found: Plan) -> DataFrame:
 
 
 def _kept(state: DataFrame) -> DataFrame:
-    """A round's state, written to the checkpoint folder, which cuts its lineage; it stays partitioned by query."""
+    """A round's state, written to the checkpoint folder, which cuts its lineage; it keeps its partitioning."""
     shared_folder(state.sparkSession)
     return state.checkpoint()
 
@@ -108,16 +130,15 @@ def _usable_ends(queries: DataFrame, endpoints: DataFrame) -> DataFrame:
     return checked.filter("_a > 0 and _b > 0 and _both = 0").drop("_a", "_b", "_both")
 
 
-def _round(state: DataFrame, timetable: Timetable, path: str, bucket: int) -> DataFrame:
-    """The next state: best includes what the round before improved; label is what this one does."""
+def next_state(state: DataFrame, timetable: Timetable, bucket: int = BUCKET) -> DataFrame:
+    """The state after a round: best includes what the round before improved; label is what this one does."""
+    stop = dict(state.dtypes)["stop_id"]
+    ride_type, label_type = _ride_type(stop), _label_type(stop)
     bound = state.groupBy("query_id").agg(F.min(F.coalesce("best", F.lit(_NEVER)) + F.col("egress").cast("bigint")).alias("bound"))
-    frontier = state.filter("label is not null").select("query_id", "stop_id", F.col("label.arrival").alias("ready"), F.col("label.path").alias("path"))
-    rides = _rides(boardings(frontier, timetable, bucket, "path"), timetable, path)
-    blank = lambda df, **given: df.select("query_id", "stop_id", *[given.get(c, F.lit(None).cast(t)).alias(c) for c, t in {"best": "int", "egress": "int", "ride": ride_type, "walk": walk_type}.items()])
-    ride_type = dict(rides.dtypes)["ride"]
-    walk_type = f"struct<arrival:int,from_stop:{dict(state.dtypes)['stop_id']},depart:int,path:{path}>"
-    known = blank(state, best=F.col("best"), egress=F.col("egress"))
-    both = known.unionByName(blank(rides, ride=F.col("ride"))).groupBy("query_id", "stop_id").agg(F.min("best").alias("best"), F.max("egress").alias("egress"), F.min("ride").alias("ride"))
+    rides = _rides(boardings(frontier(state), timetable, bucket), timetable, ride_type)
+    known = state.select("query_id", "stop_id", "best", "egress", F.lit(None).cast(ride_type).alias("ride"))
+    rode = rides.select("query_id", "stop_id", F.lit(None).cast("int").alias("best"), F.lit(None).cast("int").alias("egress"), "ride")
+    both = known.unionByName(rode).groupBy("query_id", "stop_id").agg(F.min("best").alias("best"), F.max("egress").alias("egress"), F.min("ride").alias("ride"))
     limit = F.least(F.coalesce("best", F.lit(_NEVER)), F.coalesce("bound", F.lit(_NEVER)))
     both = both.join(bound, "query_id", "left").withColumn("ride", F.when(F.col("ride.arrival") < limit, F.col("ride"))).drop("bound")
     # A row goes on as itself and as one footpath to each neighbour of a stop that a ride reached.
@@ -125,53 +146,45 @@ def _round(state: DataFrame, timetable: Timetable, path: str, bucket: int) -> Da
     at = F.col("ride.arrival")
 
     def walked(w: Column) -> Column:
-        arrive = at + w["seconds"]
-        leg = F.array(_walk_leg(F.col("stop_id"), w["to_stop"], at, arrive)).cast(path)
-        walk = F.struct(arrive.alias("arrival"), F.col("stop_id").alias("from_stop"), at.alias("depart"), F.concat("ride.path", leg).alias("path")).cast(walk_type)
+        walk = F.struct((at + w["seconds"]).alias("arrival"), F.col("stop_id").alias("walk_from"), at.alias("walk_depart"), F.col("ride")).cast(label_type)
         return F.struct(w["to_stop"].alias("stop_id"), F.lit(None).cast("int").alias("best"), F.lit(None).cast("int").alias("egress"), F.lit(None).cast(ride_type).alias("ride"), walk.alias("walk"))
 
-    own = F.struct("stop_id", "best", "egress", "ride", F.lit(None).cast(walk_type).alias("walk"))
+    own = F.struct("stop_id", "best", "egress", "ride", F.lit(None).cast(label_type).alias("walk"))
     all_ways = F.when(F.col("ride").isNotNull() & F.col("near").isNotNull(), F.concat(F.array(own), F.transform("near", walked))).otherwise(F.array(own))
     done = both.join(near, "stop_id", "left").select("query_id", F.inline(all_ways))
     done = done.groupBy("query_id", "stop_id").agg(F.min("best").alias("best"), F.max("egress").alias("egress"), F.min("ride").alias("ride"), F.min("walk").alias("walk"))
     before = F.least(F.coalesce("best", F.lit(_NEVER)), F.coalesce("ride.arrival", F.lit(_NEVER)))
-    short = lambda c: F.struct(F.col(f"{c}.arrival").alias("arrival"), F.col(f"{c}.path").alias("path"))
-    label = F.when(F.col("walk.arrival") < before, short("walk")).when(F.col("ride").isNotNull(), short("ride"))
+    by_ride = F.struct(F.col("ride.arrival").alias("arrival"), F.lit(None).alias("walk_from"), F.lit(None).alias("walk_depart"), F.col("ride")).cast(label_type)
+    label = F.when(F.col("walk.arrival") < before, F.col("walk")).when(F.col("ride").isNotNull(), by_ride)
     return done.withColumn("label", label).select("query_id", "stop_id", F.least("best", "label.arrival").alias("best"), "label", "egress")
 
 
-def boardings(frontier: DataFrame, timetable: Timetable, bucket: int = BUCKET, *carry: str) -> DataFrame:
-    """(query_id, pattern_id, pos, ready, trip_rank, carry...): the earliest trip that each stop reached at ``ready`` lets a query board."""
-    met = frontier.join(timetable.pattern_stops, "stop_id")
+def boardings(reached: DataFrame, timetable: Timetable, bucket: int = BUCKET) -> DataFrame:
+    """(query_id, pattern_id, pos, n_stops, trip_rank): the earliest trip that each of stops reached (query_id, stop_id, ready) lets a query board."""
+    met = reached.join(timetable.pattern_stops, "stop_id")
     met = met.withColumn("bucket", F.greatest(F.floor(F.col("ready") / bucket).cast("int"), "first_bucket")).join(timetable.departures, ["pattern_id", "pos", "bucket"])
-    return met.withColumn("trip_rank", trip_in_span(F.col("ready"))).filter("trip_rank is not null").select("query_id", "pattern_id", "pos", "ready", "trip_rank", *carry)
+    return met.withColumn("trip_rank", trip_in_span(F.col("ready"))).filter("trip_rank is not null").select("query_id", "pattern_id", "pos", "n_stops", "trip_rank")
 
 
-def _along(boarded: DataFrame, timetable: Timetable, *carry: str) -> DataFrame:
-    """(query_id, pattern_id, pos, caught): struct(trip_rank, board_pos, carry...) that a query holds when its pattern comes to pos.
+def route_scan(boarded: DataFrame) -> DataFrame:
+    """(query_id, pattern_id, pos, trip_rank, board_pos) of boardings, for each position that a boarded trip comes to.
 
     The trip is the earliest caught at any position before, boarded where that
     was first possible.
     """
-    boards = boarded.groupBy("query_id", "pattern_id").agg(F.collect_list(F.struct("trip_rank", F.col("pos").alias("board_pos"), *carry)).alias("boards"))
+    boards = boarded.groupBy("query_id", "pattern_id").agg(F.collect_list(F.struct("trip_rank", F.col("pos").alias("board_pos"))).alias("boards"), F.first("n_stops").alias("n_stops"))
     first = F.array_min(F.transform("boards", lambda b: b["board_pos"]))
-    along = boards.join(timetable.patterns.select("pattern_id", F.size("stops").alias("n_stops")), "pattern_id").filter(first + 1 < F.col("n_stops"))
-    along = along.select("query_id", "pattern_id", "boards", F.explode(F.sequence(first + 1, F.col("n_stops") - 1)).alias("pos"))
-    return along.select("query_id", "pattern_id", "pos", F.array_min(F.filter("boards", lambda b: b["board_pos"] < F.col("pos"))).alias("caught"))
-
-
-def route_scan(boarded: DataFrame, timetable: Timetable) -> DataFrame:
-    """(query_id, pattern_id, pos, trip_rank, board_pos) of boardings, for each position that a boarded trip comes to."""
-    return _along(boarded, timetable).select("query_id", "pattern_id", "pos", "caught.trip_rank", "caught.board_pos")
+    along = boards.filter(first + 1 < F.col("n_stops")).select("query_id", "pattern_id", "boards", F.explode(F.sequence(first + 1, F.col("n_stops") - 1)).alias("pos"))
+    caught = F.array_min(F.filter("boards", lambda b: b["board_pos"] < F.col("pos")))
+    return along.select("query_id", "pattern_id", "pos", caught.alias("caught")).select("query_id", "pattern_id", "pos", "caught.trip_rank", "caught.board_pos")
 
 
-def _rides(boarded: DataFrame, timetable: Timetable, path: str) -> DataFrame:
-    """(query_id, stop_id, ride): each ride's arrival and path, in the order in which equal arrivals are chosen."""
-    held = _along(boarded, timetable, "path").select("query_id", "pattern_id", F.col("pos").alias("alight_pos"), "caught.trip_rank", "caught.board_pos", "caught.path")
-    met = held.join(timetable.trip_calls.drop("trip_id"), ["pattern_id", "trip_rank"])
-    stop, arrival = F.get("stops", "alight_pos"), F.get("arrs", "alight_pos")
-    leg = F.struct(F.lit("ride").alias("kind"), F.get("stops", "board_pos").alias("from_stop"), stop.alias("to_stop"), F.get("deps", "board_pos").alias("depart"), arrival.alias("arrive"), "pattern_id", "trip_rank", "board_pos", "alight_pos")
-    return met.select("query_id", stop.alias("stop_id"), F.struct(arrival.alias("arrival"), "pattern_id", "trip_rank", "board_pos", "alight_pos", F.concat("path", F.array(leg).cast(path)).alias("path")).alias("ride"))
+def _rides(boarded: DataFrame, timetable: Timetable, ride_type: str) -> DataFrame:
+    """(query_id, stop_id, ride): each ride, in the order in which equal arrivals are chosen."""
+    met = route_scan(boarded).join(timetable.trip_calls.drop("trip_id"), ["pattern_id", "trip_rank"])
+    to_stop = F.get("stops", "pos")
+    ride = F.struct(F.get("arrs", "pos").alias("arrival"), "pattern_id", "trip_rank", "board_pos", F.col("pos").alias("alight_pos"), F.get("stops", "board_pos").alias("board_stop"), to_stop.alias("alight_stop"), F.get("deps", "board_pos").alias("depart"))
+    return met.select("query_id", to_stop.alias("stop_id"), ride.cast(ride_type).alias("ride"))
 
 
 def pareto(options: DataFrame) -> DataFrame:
@@ -182,12 +195,33 @@ def pareto(options: DataFrame) -> DataFrame:
     return kept.withColumn("rank", F.row_number().over(order) - 1)
 
 
+def _paths(found: Plan, ends: DataFrame) -> DataFrame:
+    """ends (query_id, journey, round, stop_id) with their path, the legs followed back from there: one join for each round, which all journeys that have come to it take."""
+    stop = dict(ends.dtypes)["stop_id"]
+    none = f"cast(array() as {_path_type(stop)})"
+    at = None
+    for k in range(len(found.pointers) - 1, -1, -1):
+        start = ends.filter(F.col("round") == k).select("query_id", "journey", "stop_id", F.expr(none).alias("path"))
+        at = start if at is None else at.unionByName(start)
+        met = at.join(found.pointers[k], ["query_id", "stop_id"])
+        ride, no = F.col("label.ride"), lambda kind: F.lit(None).cast(kind)
+        rode = F.struct(F.lit("ride").alias("kind"), ride["board_stop"].alias("from_stop"), ride["alight_stop"].alias("to_stop"), ride["depart"].alias("depart"), ride["arrival"].alias("arrive"), *(ride[c].alias(c) for c in ("pattern_id", "trip_rank", "board_pos", "alight_pos")))
+        walked = F.struct(
+            F.lit("walk").alias("kind"), F.col("label.walk_from").alias("from_stop"), F.col("stop_id").alias("to_stop"), F.col("label.walk_depart").alias("depart"), F.col("label.arrival").alias("arrive"),
+            no("bigint").alias("pattern_id"), no("int").alias("trip_rank"), no("int").alias("board_pos"), no("int").alias("alight_pos"),
+        )
+        step = F.filter(F.array(F.when(ride.isNotNull(), rode), F.when(F.col("label.walk_from").isNotNull(), walked)).cast(_path_type(stop)), lambda leg: leg.isNotNull())
+        at = met.select("query_id", "journey", ride["board_stop"].alias("stop_id"), F.concat(step, "path").alias("path"))
+    return at.select("query_id", "journey", "path")
+
+
 def journey_legs(found: Plan, timetable: Timetable) -> DataFrame:
     """(query_id, journey, leg_no, kind, from_stop, to_stop, depart, arrive, pattern_id, trip_id, board_pos, alight_pos, stops, n_hops).
 
     One row for each leg of each Pareto-optimal journey; ``journey`` is its rank.
     """
-    legs = pareto(found.options).select("query_id", F.col("rank").alias("journey"), F.posexplode("path").alias("leg_no", "l")).select("query_id", "journey", "leg_no", "l.*")
+    ends = _kept(pareto(found.options).select("query_id", F.col("rank").alias("journey"), "round", "stop_id"))
+    legs = _paths(found, ends).select("query_id", "journey", F.posexplode("path").alias("leg_no", "l")).select("query_id", "journey", "leg_no", "l.*")
     trips = timetable.trip_calls.select("pattern_id", "trip_rank", "trip_id", "stops")
     hops = F.col("alight_pos") - F.col("board_pos")
     out = legs.join(trips, ["pattern_id", "trip_rank"], "left")

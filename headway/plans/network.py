@@ -15,10 +15,11 @@ from pyspark.sql import functions as F
 
 from ..operators.calendar import running_trips
 from ..operators.patterns import Timetable, build_timetable
+from ..operators.places import build_places
 from ..operators.router import Plan, journey_legs, plan
 from ..operators.transfers import footpaths, walkable_from
 from ..sources.gtfs import Feed
-from ..storage import is_written
+from ..storage import file_state, is_written
 
 ROUTES, CALLS, N_QUERIES, ROUNDS = 20, 6, 24, 5
 #: A Monday: priorities 3 and 5 do not run, 4 is unknown to the calendar and does.
@@ -60,19 +61,26 @@ def network(spark: SparkSession, sf_dir: str) -> Feed:
     return Feed(stops, routes, trips, stop_times, services, exceptions, declared)
 
 
-#: Timetables of the service day that this session has written, by application and folder.
-_WRITTEN: dict[tuple[str, str], Timetable] = {}
+#: What this session has written, by application, kind and the state of the files it came from.
+_WRITTEN: dict[tuple, Timetable | DataFrame] = {}
 
 
-def timetable(feed: Feed, sf_dir: str) -> Timetable:
-    """The timetable of the service day, which a session writes once for each folder, as long as its tables are there."""
-    spark = feed.stops.sparkSession
-    key = (spark.sparkContext.applicationId, sf_dir)
-    if key not in _WRITTEN or not is_written(_WRITTEN[key].neighbours):
+def timetable(feed: Feed) -> Timetable:
+    """The timetable of the service day, whose tables a session writes once for each state of the feed's files, as long as they are there."""
+    key = (feed.stops.sparkSession.sparkContext.applicationId, "timetable", file_state(feed.stops, feed.trips, feed.stop_times))
+    if key not in _WRITTEN or not _WRITTEN[key].is_there():
         _WRITTEN[key] = build_timetable(running_trips(feed, on_date=SERVICE_DAY), feed.stop_times, footpaths(feed.stops, feed.transfers))
     return _WRITTEN[key]
 
 
+def places(feed: Feed) -> DataFrame:
+    """The feed's places, written once in the same way."""
+    key = (feed.stops.sparkSession.sparkContext.applicationId, "places", file_state(feed.stops))
+    if key not in _WRITTEN or not is_written(_WRITTEN[key]):
+        _WRITTEN[key] = build_places(feed.stops)
+    return _WRITTEN[key]
+
+
 @dataclass(frozen=True)
 class Batch:
     timetable: Timetable
@@ -104,7 +112,7 @@ def door_batch(spark: SparkSession, feed: Feed, n_queries: int = N_QUERIES) -> t
 
 def solved(spark: SparkSession, sf_dir: str, n_queries: int = N_QUERIES, rounds: int = ROUNDS, access: bool = False, doors: bool = False) -> Batch:
     feed = network(spark, sf_dir)
-    table_ = timetable(feed, sf_dir)
+    table_ = timetable(feed)
     queries, ends = door_batch(spark, feed, n_queries) if doors else query_batch(spark, feed, n_queries, access)
     return Batch(table_, queries, ends, plan(table_, queries, ends, max_rounds=rounds))
 

@@ -10,12 +10,12 @@ from ..functions.time import clock, format_time, parse_date, parse_time, wall_cl
 from ..operators.calendar import covers, running_trips, runs_on, service_window
 from ..operators.itinerary import benchmark_stats, describe, journeys, merge_walks, named_legs, summary, tags, with_doors
 from ..operators.patterns import earliest_trips, overtaking, timetable_counts, trip_patterns
-from ..operators.places import build_places, place_counts, resolve_places, search_places
-from ..operators.router import boardings, pareto, route_scan, stops_reached
+from ..operators.places import place_counts, resolve_places, search_places
+from ..operators.router import boardings, first_frontier, pareto, route_scan, stops_reached
 from ..operators.transfers import bounds, footpaths, generated_footpaths, walkable_from
 from ..sources.gtfs import clean_stop_times as usable_stop_times
 from ..sources.gtfs import feed_counts
-from .network import DAYS, LEGS, VIEWS, Batch, doors_sql, network, queries_sql, query_batch, rounds_sql, solved, table, timetable
+from .network import DAYS, LEGS, VIEWS, Batch, doors_sql, network, places, queries_sql, query_batch, rounds_sql, solved, table, timetable
 from .registry import query
 
 #: As many as the published single-thread benchmark solves.
@@ -64,17 +64,17 @@ def trip_patterns_network(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"{VIEWS} SELECT pattern_id, pos, stop_id FROM ps")
 def pattern_index(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return timetable(network(spark, sf_dir), sf_dir).pattern_stops.select("pattern_id", "pos", "stop_id")
+    return timetable(network(spark, sf_dir)).pattern_stops.select("pattern_id", "pos", "stop_id")
 
 
 @query(f"{VIEWS} SELECT * FROM ranked")
 def pattern_trip_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return timetable(network(spark, sf_dir), sf_dir).pattern_trips
+    return timetable(network(spark, sf_dir)).pattern_trips
 
 
 @query(f"{VIEWS}, late AS (SELECT pattern_id, trip_rank, pos, dep + trip_id % 7 * 90 * pos AS dep FROM ev), o AS (SELECT *, lag(dep) OVER (PARTITION BY pattern_id, pos ORDER BY trip_rank) AS b FROM late) SELECT pattern_id, pos, count(*) AS n_bad FROM o WHERE b > dep GROUP BY ALL")
 def fifo_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    t = timetable(network(spark, sf_dir), sf_dir)
+    t = timetable(network(spark, sf_dir))
     return overtaking(t.pattern_events.join(t.pattern_trips, ["pattern_id", "trip_rank"]).withColumn("dep", F.col("dep") + F.col("trip_id") % 7 * 90 * F.col("pos")))
 
 
@@ -202,7 +202,7 @@ keyed AS (SELECT *, trim(regexp_replace(lower(name), '[^0-9a-z]+', ' ', 'g')) AS
 
 @query(f"{VIEWS}{_PLACES} SELECT place_id, name, search_key, stop_ids, lat, lon FROM keyed")
 def place_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = build_places(network(spark, sf_dir).stops)
+    found = places(network(spark, sf_dir))
     return found.select("place_id", "name", "search_key", F.array_join("stop_ids", ",").alias("stop_ids"), F.round("lat", 6).alias("lat"), F.round("lon", 6).alias("lon"))
 
 
@@ -221,7 +221,7 @@ def _asked(spark: SparkSession) -> DataFrame:
 
 @query(f"{VIEWS}{_PLACES}{_SEARCH} SELECT * FROM found")
 def place_search(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return search_places(build_places(network(spark, sf_dir).stops), _asked(spark))
+    return search_places(places(network(spark, sf_dir)), _asked(spark))
 
 
 @query(f"""{VIEWS}{_PLACES}{_SEARCH},
@@ -230,13 +230,13 @@ ways AS (SELECT query, 0 AS how, place_id FROM asked JOIN places ON trim(query)
   UNION ALL SELECT query, CASE WHEN count(*) = 1 THEN 2 ELSE 3 END, arg_min(place_id, rank) FROM found GROUP BY query HAVING count(*) = 1 OR count(*) FILTER (tier = 0) = 1)
 SELECT query, place_id, how, coalesce(p.name, s.name) AS name FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY how) AS i FROM ways) LEFT JOIN places p USING (place_id) LEFT JOIN stops s ON s.stop_id = place_id WHERE i = 1""")
 def place_resolve(spark: SparkSession, sf_dir: str) -> DataFrame:
-    stops = network(spark, sf_dir).stops
-    return resolve_places(build_places(stops), stops, _asked(spark)).select("query", "place_id", "how", "name")
+    feed = network(spark, sf_dir)
+    return resolve_places(places(feed), feed.stops, _asked(spark)).select("query", "place_id", "how", "name")
 
 
 @query(f"{VIEWS}, w AS (SELECT pattern_id, pos, stop_id, 18000 + i * 4000 AS ready FROM ps, range(20) t(i)) SELECT w.pattern_id, w.pos, ready, min(trip_rank) AS trip_rank FROM w JOIN ev ON ev.pattern_id = w.pattern_id AND ev.pos = w.pos AND dep >= ready GROUP BY ALL")
 def earliest_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
-    t = timetable(network(spark, sf_dir), sf_dir)
+    t = timetable(network(spark, sf_dir))
     wanted = t.pattern_stops.select("pattern_id", "pos", F.explode(F.sequence(F.lit(18000).cast("long"), F.lit(94000).cast("long"), F.lit(4000).cast("long"))).alias("ready"))
     return earliest_trips(wanted, t.departures).select("pattern_id", "pos", "ready", "trip_rank")
 
@@ -244,13 +244,9 @@ def earliest_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"{VIEWS}{queries_sql()}{rounds_sql(1)} SELECT query_id, pattern_id, pos, trip_rank, board_pos FROM sc1")
 def first_route_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     feed = network(spark, sf_dir)
-    t = timetable(feed, sf_dir)
+    t = timetable(feed)
     queries, ends = query_batch(spark, feed)
-    both = ends.groupBy("query_id").agg(F.countDistinct("stop_id").alias("n")).filter("n = 2")
-    seeds = ends.filter("side = 'origin'").join(both.select("query_id"), "query_id").join(queries, "query_id").select("query_id", "stop_id", F.col("depart").alias("ready"))
-    walked = seeds.join(t.footpaths, F.col("stop_id") == F.col("from_stop")).select("query_id", F.col("to_stop").alias("stop_id"), (F.col("ready") + F.col("seconds")).alias("ready"))
-    frontier = seeds.unionByName(walked).groupBy("query_id", "stop_id").agg(F.min("ready").alias("ready"))
-    return route_scan(boardings(frontier, t), t)
+    return route_scan(boardings(first_frontier(t, queries, ends), t))
 
 
 def _arrivals(batch: Batch) -> DataFrame:
@@ -276,7 +272,7 @@ def search_reach(spark: SparkSession, sf_dir: str) -> DataFrame:
 UNION ALL SELECT 'places', count(*) FROM places UNION ALL SELECT 'places of several stops', count(*) FROM places WHERE contains(stop_ids, ',')""")
 def network_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     feed = network(spark, sf_dir)
-    return timetable_counts(timetable(feed, sf_dir)).unionByName(place_counts(build_places(feed.stops)))
+    return timetable_counts(timetable(feed)).unionByName(place_counts(places(feed)))
 
 
 @query(f"{VIEWS}{queries_sql()}{rounds_sql()} SELECT query_id, journey, round AS vehicles, arrival FROM journeys")

@@ -28,6 +28,16 @@ def is_written(df: DataFrame) -> bool:
     return path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).exists(path)
 
 
+def file_state(*tables: DataFrame) -> tuple:
+    """The paths, sizes and times of the files that tables are read from: another state where any is written again."""
+    spark, out = tables[0].sparkSession, []
+    for name in sorted({f for t in tables for f in t.inputFiles()}):
+        path = spark._jvm.org.apache.hadoop.fs.Path(name)
+        status = path.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(path)
+        out.append((name, status.getLen(), status.getModificationTime()))
+    return tuple(out)
+
+
 class Scratch:
     """Tables that one operator call writes and reads again, which cuts their lineage.
 
@@ -48,9 +58,26 @@ class Scratch:
         out.scratch_folder = folder
         return out
 
+    def bucketed(self, df: DataFrame, *keys: str) -> DataFrame:
+        """The same, dealt by keys into as many buckets as shuffles have partitions: a join on exactly these keys needs no shuffle of it."""
+        self.n += 1
+        folder, name = f"{self.root}/{self.n}", f"bucketed_{uuid.uuid4().hex}"
+        n = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
+        df.repartition(n, *keys).write.bucketBy(n, *keys).sortBy(*keys).option("compression", "zstd").option("path", folder).saveAsTable(name)
+        atexit.register(self._forget, name)
+        out = self.spark.table(name)
+        out.scratch_folder = folder
+        return out
+
     def drop(self, df: DataFrame) -> None:
         self._delete(df.scratch_folder)
 
+    def _forget(self, name: str) -> None:
+        try:
+            self.spark.sql(f"DROP TABLE IF EXISTS {name}")
+        except Exception:  # noqa: BLE001  as below
+            pass
+
     def _delete(self, folder: str) -> None:
         try:
             path = self.spark._jvm.org.apache.hadoop.fs.Path(folder)
