@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..operators.places import build_places
 from ..operators.transfers import footpaths
 from ..sources.gtfs import Feed, load_feed
-from ..storage import Scratch
+from ..storage import Scratch, file_state
 from .network import _HAVERSINE, table
 from .registry import query
 
@@ -24,8 +24,20 @@ def _pick(*cases: tuple[Column, object], other: object) -> Column:
     return reduce(lambda w, c: w.when(*c), rest, F.when(*first)).otherwise(other)
 
 
+#: Feeds that this session has written and reads, by the state of the tables they came from.
+_WRITTEN: dict[tuple, Feed] = {}
+
+
 def _feed(spark: SparkSession, sf_dir: str) -> Feed:
-    """Suppliers are stops and transfers, orders trips, line items stop times, nations services."""
+    tables = [table(spark, sf_dir, t) for t in ("supplier", "orders", "lineitem", "nation")]
+    key = (spark.sparkContext.applicationId, file_state(*tables))
+    if key not in _WRITTEN:
+        _WRITTEN[key] = load_feed(spark, _write_feed(spark, sf_dir))
+    return _WRITTEN[key]
+
+
+def _write_feed(spark: SparkSession, sf_dir: str) -> str:
+    """The folder of a feed: suppliers are stops and transfers, orders trips, line items stop times, nations services."""
     root = Scratch(spark, "raw-feed").root
     text = lambda c: c.cast("string")
     two = lambda c: F.lpad(text(c), 2, "0")
@@ -66,7 +78,7 @@ def _feed(spark: SparkSession, sf_dir: str) -> Feed:
     tables = {"stops": stops, "routes": routes, "trips": trips, "stop_times": times, "calendar": calendar, "calendar_dates": dates, "transfers": transfers}
     for name, df in tables.items():
         df.write.csv(f"{root}/{name}.txt", header=True, escape='"', quoteAll=True, ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False)
-    return load_feed(spark, root)
+    return root
 
 
 _STOPS = f"""

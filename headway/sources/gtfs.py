@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from ..functions.text import hex_colour
 from ..functions.time import NO_TIME, parse_date, parse_time, strip
 from ..storage import Scratch, shared_folder
+from .csv import read_csv
 
 log = logging.getLogger(__name__)
 
@@ -85,20 +86,6 @@ def _open(spark: SparkSession, path: str) -> dict[str, str]:
     return out
 
 
-def _quotes_newlines(spark: SparkSession, path: str) -> bool:
-    """Whether a line holds an odd number of quotes, as where a quoted value goes on in the next line."""
-    return not spark.read.text(path).filter(F.length(F.regexp_replace("value", '[^"]', "")) % 2 == 1).isEmpty()
-
-
-def _read(spark: SparkSession, path: str, quoted_newlines: bool | None) -> DataFrame:
-    """All columns as text, bound by name, with ``_ord`` in the file's order."""
-    if quoted_newlines is None:
-        quoted_newlines = _quotes_newlines(spark, path)
-    raw = spark.read.csv(path, header=True, multiLine=quoted_newlines, escape='"', inferSchema=False, mode="PERMISSIVE")
-    named = raw.toDF(*[c.strip().lstrip("﻿") for c in raw.columns])
-    return named.withColumn("_ord", F.monotonically_increasing_id())
-
-
 def _text(df: DataFrame, name: str, required: bool = False) -> Column:
     if name in df.columns:
         return F.coalesce(F.col(f"`{name}`"), F.lit(""))
@@ -125,22 +112,21 @@ def _last_wins(df: DataFrame, *key: str) -> DataFrame:
     return df.groupBy(*key).agg(F.max(F.struct("_ord", *values)).alias("v"), F.min("_ord").alias("_ord")).select("_ord", *key, *[F.col(f"v.{c}").alias(c) for c in values])
 
 
-def load_feed(spark: SparkSession, path: str, quoted_newlines: bool | None = None) -> Feed:
+def load_feed(spark: SparkSession, path: str) -> Feed:
     """The cleaned feed at ``path``, a folder or a zip file.
 
     Rows that can't be used go: stops with unreadable coordinates; stop times
     without any time, of unknown trips or at unknown stops, and trips that
     keep fewer than two; impossible transfers and those of unknown stops;
-    exceptions without a date.  Spark splits large files unless a value holds
-    a line break inside quotes: ``quoted_newlines`` tells whether any does;
-    by default each file is looked through first.
+    exceptions without a date.  Files are read by many tasks, whatever they
+    hold (read_csv).
     """
     files = _open(spark, path)
     missing = [f"{n}.txt" for n in REQUIRED if f"{n}.txt" not in files]
     if missing:
         raise FeedError(f"feed is missing required files: {', '.join(missing)}")
     log.info("reading feed %s", path)
-    raw = {n: _read(spark, files[f"{n}.txt"], quoted_newlines) if f"{n}.txt" in files else None for n in (*REQUIRED, *OPTIONAL)}
+    raw = {n: read_csv(spark, files[f"{n}.txt"]) if f"{n}.txt" in files else None for n in (*REQUIRED, *OPTIONAL)}
 
     s = raw["stops"]
     stop_id = strip(_text(s, "stop_id", True))
