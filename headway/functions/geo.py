@@ -38,3 +38,9 @@ def cells_around(lat: Column, lon: Column, sizes: tuple[float, float]) -> Column
     steps = F.array(*[F.struct(F.lit(dy).alias("dy"), F.lit(dx).alias("dx")) for dy in (-1, 0, 1) for dx in (-1, 0, 1)])
     own = cell(lat, lon, sizes)
     return F.transform(steps, lambda s: F.struct((own["y"] + s["dy"]).alias("y"), (own["x"] + s["dx"]).alias("x")))
+
+
+def metres_between(lat1: float, lon1: float, lat2: float, lon2: float) -> float:
+    """haversine of numbers, for tasks that hold the points of a group."""
+    half = math.sin(math.radians(lat2 - lat1) / 2) ** 2 + math.cos(math.radians(lat1)) * math.cos(math.radians(lat2)) * math.sin(math.radians(lon2 - lon1) / 2) ** 2
+    return 2 * EARTH_M * math.asin(math.sqrt(min(half, 1.0)))

@@ -25,8 +25,10 @@ def journeys(legs: DataFrame, queries: DataFrame) -> DataFrame:
 
 
 def tags(found: DataFrame) -> DataFrame:
-    """found with ``tag``: the first journey of a query is the fastest, others have fewer changes."""
-    return found.withColumn("tag", F.when(F.col("journey") == 0, "fastest").otherwise("fewer changes"))
+    """found with ``tag``: the first journey of a query is the fastest, others have fewer changes; and with ``badge``: where there are several, the first is fastest, the last has the fewest changes, others are empty."""
+    last = F.max("journey").over(Window.partitionBy("query_id"))
+    badge = F.when(F.col("_last") == 0, "").when(F.col("journey") == 0, "fastest").when(F.col("journey") == F.col("_last"), "fewest changes").otherwise("")
+    return found.withColumn("_last", last).withColumns({"tag": F.when(F.col("journey") == 0, "fastest").otherwise("fewer changes"), "badge": badge}).drop("_last")
 
 
 def with_doors(legs: DataFrame, endpoints: DataFrame) -> DataFrame:
@@ -71,6 +73,22 @@ def named_legs(legs: DataFrame, feed: Feed) -> DataFrame:
     return out.withColumns({"depart_clock": clock(F.col("depart")), "arrive_clock": clock(F.col("arrive")), "minutes": F.greatest(F.lit(1), F.floor((F.col("arrive") - F.col("depart")) / 60).cast("int"))})
 
 
+def with_points(legs: DataFrame, feed: Feed) -> DataFrame:
+    """legs with ``points``, an array of (stop_id, name, lat, lon) in their order: all stops of a ride, and the ends of a walk.  Stops that are unknown or have no coordinates are left out.
+
+    The stops of all legs meet the feed's in one join, under their places in
+    their legs, and are gathered again.
+    """
+    ids = F.when(F.size("stops") > 0, F.col("stops")).otherwise(F.array("from_stop", "to_stop"))
+    each = legs.select(*JOURNEY, "leg_no", F.posexplode(ids).alias("place", "stop_id"))
+    known = feed.stops.filter(~F.isnan("lat") & ~F.isnan("lon")).select("stop_id", "name", "lat", "lon")
+    gathered = each.join(known, "stop_id").groupBy(*JOURNEY, "leg_no").agg(F.array_sort(F.collect_list(F.struct("place", "stop_id", "name", "lat", "lon"))).alias("p"))
+    points = F.transform("p", lambda p: F.struct(p["stop_id"].alias("id"), p["name"].alias("name"), p["lat"].alias("lat"), p["lon"].alias("lon")))
+    none = f"cast(array() as {gathered.select(points.alias('x')).schema['x'].dataType.simpleString()})"
+    out = legs.join(gathered.select(*JOURNEY, "leg_no", points.alias("points")), [*JOURNEY, "leg_no"], "left")
+    return out.withColumn("points", F.coalesce("points", F.expr(none)))
+
+
 def describe(named: DataFrame) -> DataFrame:
     """(query_id, journey, leg_no, line) of named_legs: a line for each walk, two for each ride, joined by a newline."""
     hops = F.when(F.col("n_hops") > 0, F.concat(F.lit(" ("), F.col("n_hops").cast("string"), F.lit(" stops)"))).otherwise("")
@@ -90,10 +108,11 @@ def summary(found: DataFrame) -> DataFrame:
 
 
 def as_json(found: DataFrame, named: DataFrame) -> DataFrame:
-    """(query_id, payload): each query's journeys and their legs as one JSON text."""
-    leg = F.struct("leg_no", "kind", F.col("from_name").alias("from"), F.col("to_name").alias("to"), "route", "headsign", "mode", "color", "text_color", "n_hops", F.col("depart_clock").alias("depart"), F.col("arrive_clock").alias("arrive"), F.col("depart").alias("depart_seconds"), F.col("arrive").alias("arrive_seconds"), "minutes")
+    """(query_id, payload): each query's journeys and their legs as one JSON text; of named_legs that have points, with these."""
+    points = ["points"] if "points" in named.columns else []
+    leg = F.struct("leg_no", "kind", F.col("from_name").alias("from"), F.col("to_name").alias("to"), "route", "headsign", "mode", "color", "text_color", "n_hops", F.col("depart_clock").alias("depart"), F.col("arrive_clock").alias("arrive"), F.col("depart").alias("depart_seconds"), F.col("arrive").alias("arrive_seconds"), "minutes", *points)
     gathered = named.groupBy(*JOURNEY).agg(F.array_sort(F.collect_list(leg)).alias("legs"))
-    one = F.struct("journey", "tag", clock(F.col("depart")).alias("depart"), clock(F.col("arrive")).alias("arrive"), F.floor(F.col("door_to_door_s") / 60).alias("total_minutes"), F.floor(F.col("wait_s") / 60).alias("wait_minutes"), "transfers", F.floor(F.col("walking_s") / 60).alias("walk_minutes"), "legs")
+    one = F.struct("journey", "tag", "badge", clock(F.col("depart")).alias("depart"), clock(F.col("arrive")).alias("arrive"), F.floor(F.col("door_to_door_s") / 60).alias("total_minutes"), F.floor(F.col("wait_s") / 60).alias("wait_minutes"), "transfers", F.floor(F.col("walking_s") / 60).alias("walk_minutes"), "legs")
     whole = tags(found).join(gathered, list(JOURNEY)).groupBy("query_id").agg(F.array_sort(F.collect_list(one)).alias("journeys"))
     return whole.select("query_id", F.to_json(F.struct("journeys")).alias("payload"))
 

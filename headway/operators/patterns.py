@@ -24,7 +24,7 @@ class Timetable:
     pattern_stops(stop_id, pattern_id, pos, n_stops, first_bucket)
     departures(pattern_id, pos, bucket, calls, later): as earliest_trips needs them
     footpaths(from_stop, to_stop, seconds)
-    neighbours(from_stop, near): the same, a stop in one row
+    neighbours(from_stop, near): the same, a stop in one row, the shortest first
 
     A pattern's id is the smallest trip_ord of its trips, which are ranked by
     first departure, then trip_ord.  What a round of a search joins with is
@@ -83,7 +83,7 @@ class Timetable:
 
     @cached_property
     def neighbours(self) -> DataFrame:
-        return self._scratch.bucketed(self.footpaths.groupBy("from_stop").agg(F.collect_list(F.struct("to_stop", "seconds")).alias("near")), "from_stop")
+        return self._scratch.bucketed(self.footpaths.groupBy("from_stop").agg(F.array_sort(F.collect_list(F.struct("seconds", "to_stop"))).alias("near")), "from_stop")
 
 
 def trip_patterns(trips: DataFrame, stop_times: DataFrame) -> DataFrame:

@@ -2,35 +2,39 @@
 
 from __future__ import annotations
 
+import math
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.geo import cell, cells_around, grid_sizes, haversine
+from ..functions.geo import cell, cells_around, grid_sizes, haversine, metres_between
 from ..functions.text import fold, is_upper, name_stem, title_case
+from ..graph import components
 from ..storage import Scratch
+from .ranking import ranked
 from .transfers import furthest_lat, placed
 
 #: Stops of one name further apart than this are different places.
 SAME_NAME_M = 250.0
 SEARCH_LIMIT = 25
+#: Stops of one name that one task puts into places at once.
+AT_ONCE = 100_000
 #: Queries that are broadcast at most; more meet places by an index of their letters.
 SMALL_BATCH = 1000
 
 
-def _near_pairs(single: DataFrame) -> DataFrame:
-    """(early, late) by stop_ord: all pairs of stops of one name within SAME_NAME_M of each other."""
-    sizes = grid_sizes(SAME_NAME_M, furthest_lat(single))
-    here = placed(single).select("stop_ord", "stem", "lat", "lon")
+def _near_pairs(here: DataFrame, sizes: tuple[float, float]) -> DataFrame:
+    """(early, late) by stop_ord: all pairs of stops (stop_ord, stem, lat, lon) of one name within SAME_NAME_M of each other."""
     near = here.select(F.col("stop_ord").alias("early"), "stem", F.col("lat").alias("lat2"), F.col("lon").alias("lon2"), cell(F.col("lat"), F.col("lon"), sizes).alias("cell"))
     late = here.select(F.col("stop_ord").alias("late"), "stem", "lat", "lon", F.explode(cells_around(F.col("lat"), F.col("lon"), sizes)).alias("cell"))
     return late.join(near, ["stem", "cell"]).filter((F.col("early") < F.col("late")) & (haversine(F.col("lat2"), F.col("lon2"), F.col("lat"), F.col("lon")) <= SAME_NAME_M)).select("early", "late")
 
 
 def _first_come(pairs: DataFrame, scratch: Scratch) -> DataFrame:
-    """(late, seed): the stops that an earlier one within reach takes in, and the earliest that does.
+    """(late, seed) of pairs (early, late): the stops that an earlier one takes in, and the earliest that does, decided in rounds.
 
-    In the order of stops each is a seed unless an earlier seed is near it.  A
-    round decides all stops that have no undecided earlier neighbour; rounds
+    A round decides all stops that have no undecided earlier neighbour; rounds
     grow with the longest chain of neighbours, each earlier than the next.
     """
     pairs = scratch.write(pairs)
@@ -44,7 +48,45 @@ def _first_come(pairs: DataFrame, scratch: Scratch) -> DataFrame:
     return seeds.groupBy("late").agg(F.min("early").alias("seed"))
 
 
-def build_places(stops: DataFrame) -> DataFrame:
+def _taken_in(rows: pd.DataFrame, sizes: tuple[float, float]) -> pd.DataFrame:
+    """(late, seed) of the stops (stop_ord, lat, lon) of one group: in their order, each is taken in by the earliest seed within reach, or is one."""
+    seeds: dict[tuple[int, int], list[tuple[int, float, float]]] = {}
+    out = []
+    for k, lat, lon in rows.sort_values("stop_ord")[["stop_ord", "lat", "lon"]].itertuples(index=False):
+        a, b = math.floor(lat / sizes[0]), math.floor(lon / sizes[1])
+        near = [s for da in (-1, 0, 1) for db in (-1, 0, 1) for s in seeds.get((a + da, b + db), ()) if metres_between(s[1], s[2], lat, lon) <= SAME_NAME_M]
+        if near:
+            out.append((k, min(near)[0]))
+        else:
+            seeds.setdefault((a, b), []).append((k, lat, lon))
+    return pd.DataFrame(out, columns=["late", "seed"]).astype("int64")
+
+
+def _clusters(single: DataFrame, scratch: Scratch, most: int) -> DataFrame:
+    """(late, seed) of stops (stop_ord, stem, lat, lon), as if all of one stem came in order, each a seed unless an earlier seed is within SAME_NAME_M.
+
+    What is decided in one task is a stem of at most ``most`` stops, or of a
+    larger one a component of its graph of near pairs, if that has no more;
+    components beyond that are decided in rounds of joins.
+    """
+    here = scratch.write(placed(single).select("stop_ord", "stem", "lat", "lon"))
+    sizes = grid_sizes(SAME_NAME_M, furthest_lat(single))
+    decide = lambda rows: _taken_in(rows, sizes)
+    stems = scratch.write(here.groupBy("stem").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > most).select("stem"))
+    small = here.join(stems, "stem", "left_anti").groupBy("stem").applyInPandas(decide, "late long, seed long")
+    if stems.isEmpty():
+        return small
+    large = scratch.write(here.join(stems, "stem", "left_semi"))
+    pairs = scratch.write(_near_pairs(large, sizes))
+    named = scratch.write(components(pairs.select(F.col("early").alias("a"), F.col("late").alias("b")), scratch))
+    beyond = scratch.write(named.groupBy("component").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > most).select("component"))
+    each = large.join(named.withColumnRenamed("node", "stop_ord"), "stop_ord")
+    whole = each.join(beyond, "component", "left_anti").groupBy("component").applyInPandas(decide, "late long, seed long")
+    rest = pairs.join(named.join(beyond, "component", "left_semi").select(F.col("node").alias("late")), "late", "left_semi")
+    return small.unionByName(whole).unionByName(_first_come(rest.select("early", "late"), scratch))
+
+
+def build_places(stops: DataFrame, most: int = AT_ONCE) -> DataFrame:
     """(place_id, place_ord, name, search_key, stop_ids, lat, lon) of all boardable stops.
 
     Stops of a known station are its place, under its name and id.  The others
@@ -59,9 +101,9 @@ def build_places(stops: DataFrame) -> DataFrame:
     grouped = with_parent.select(F.col("parent").alias("place_id"), "stop_id")
     single = board.join(with_parent.select("stop_id"), "stop_id", "left_anti").withColumn("stem", name_stem(F.col("name")))
     single = scratch.write(single.select("stop_ord", "stop_id", "stem", "lat", "lon"))
-    taken_in = _first_come(_near_pairs(single), scratch).withColumnRenamed("late", "stop_ord")
+    taken_in = scratch.write(_clusters(single, scratch, most)).withColumnRenamed("late", "stop_ord")
     clustered = single.join(taken_in, "stop_ord", "left").withColumn("seed", F.coalesce("seed", "stop_ord"))
-    seeds = clustered.filter("seed = stop_ord").select("seed", "stem", F.col("stop_id").alias("seed_id"), (F.row_number().over(Window.partitionBy("stem").orderBy("seed")) - 1).alias("number"))
+    seeds = ranked(clustered.filter("seed = stop_ord").select("seed", "stem", F.col("stop_id").alias("seed_id")), ["stem"], ["seed"], "number", scratch)
     numbered = F.concat_ws("#", "stem", F.col("number").cast("string"))
     seeds = seeds.withColumn("own", F.when(F.col("number") == 0, F.col("seed_id")).otherwise(numbered))
     # The id of a place that a station names, and a numbered one that a stop has, is made unique by the seed.

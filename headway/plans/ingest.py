@@ -42,7 +42,7 @@ def _write_feed(spark: SparkSession, sf_dir: str) -> str:
     text = lambda c: c.cast("string")
     two = lambda c: F.lpad(text(c), 2, "0")
     k, supplier = F.col("s_suppkey"), table(spark, sf_dir, "supplier")
-    lat, lon = (F.concat(F.lit(a), F.lpad(text(b), 4, "0")) for a, b in (("51.", k * 13 % 10_000), ("4.", k * 29 % 10_000)))
+    lat, lon = (F.concat(F.lit(a), F.lpad(text(b), 4, "0")) for a, b in (("46.", k * 13 % 10_000), ("7.", k * 29 % 10_000)))
     stops = supplier.select(
         F.concat(F.lit(" S"), text(k), F.lit(" ")).alias("stop_id"), _pick((k % 4 == 0, F.lit("")), other=F.concat(F.lit('Pier, "North" '), text(k))).alias("stop_name"),
         _pick((k % BLANK == 0, F.lit("")), (k % BAD == 0, F.lit("abc")), other=lat).alias("stop_lat"), _pick((k % BLANK == 0, F.lit("")), other=F.concat(lon, F.lit(" "))).alias("stop_lon"),
@@ -83,7 +83,7 @@ def _write_feed(spark: SparkSession, sf_dir: str) -> str:
 
 _STOPS = f"""
 WITH stops AS (SELECT s_suppkey AS k, 'S' || s_suppkey AS stop_id, CASE WHEN s_suppkey % 4 = 0 THEN 'S' || s_suppkey ELSE 'Pier, "North" ' || s_suppkey END AS name,
-  CASE WHEN s_suppkey % {BLANK} <> 0 THEN ('51.' || lpad((s_suppkey * 13 % 10000)::VARCHAR, 4, '0'))::DOUBLE END AS lat, CASE WHEN s_suppkey % {BLANK} <> 0 THEN ('4.' || lpad((s_suppkey * 29 % 10000)::VARCHAR, 4, '0'))::DOUBLE END AS lon,
+  CASE WHEN s_suppkey % {BLANK} <> 0 THEN ('46.' || lpad((s_suppkey * 13 % 10000)::VARCHAR, 4, '0'))::DOUBLE END AS lat, CASE WHEN s_suppkey % {BLANK} <> 0 THEN ('7.' || lpad((s_suppkey * 29 % 10000)::VARCHAR, 4, '0'))::DOUBLE END AS lon,
   CASE WHEN s_suppkey % 6 = 1 THEN 'S' || (s_suppkey - 1) ELSE '' END AS parent, CASE WHEN s_suppkey % 5 = 0 THEN 1 ELSE 0 END AS location_type
   FROM supplier WHERE s_suppkey % {BLANK} = 0 OR s_suppkey % {BAD} <> 0),
 transfers AS (SELECT a.stop_id AS from_stop, b.stop_id AS to_stop, CASE WHEN a.k % 3 = 0 THEN 0 ELSE a.k * 17 % 500 END::INTEGER AS seconds FROM stops a JOIN stops b ON b.k = a.k + 1 WHERE a.k % 4 <> 3)"""

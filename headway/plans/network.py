@@ -1,13 +1,14 @@
 """A transit network as views over the order tables, for running the operators on any scale of them.
 
 Suppliers are stops on a lattice, orders are trips of twenty routes with six
-calls each, priorities are services.  SQL holds the same views for DuckDB.
+calls each, priorities are services, nations exceptions.  SQL holds the same
+views for DuckDB.
 """
 
 from __future__ import annotations
 
 import datetime as dt
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
@@ -22,11 +23,14 @@ from ..sources.gtfs import Feed
 from ..storage import file_state, is_written
 
 ROUTES, CALLS, N_QUERIES, ROUNDS = 20, 6, 24, 5
+#: The lattice's corner.
+SOUTH, WEST = 46.5, 7.5
 #: A Monday: priorities 3 and 5 do not run, 4 is unknown to the calendar and does.
-SERVICE_DAY = dt.date(2024, 7, 8)
-DAYS = [dt.date(2024, 7, d) for d in (1, 2, 6, 7, 8)] + [dt.date(2023, 12, 31)]
-SERVICES = [("1-URGENT", [0, 1, 2, 3, 4, 5, 6]), ("2-HIGH", [0, 1, 2, 3, 4]), ("3-MEDIUM", [5, 6]), ("5-LOW", [])]
-EXCEPTIONS = [("2-HIGH", 1, False), ("3-MEDIUM", 1, True), ("5-LOW", 6, True), ("5-LOW", 7, True), ("5-LOW", 7, False)]
+SERVICE_DAY = dt.date(1998, 7, 6)
+DAYS = [dt.date(1998, 7, d) for d in (1, 2, 4, 5, 6)] + [dt.date(1994, 12, 31)]
+#: The weekdays of services by the digit they begin with, and the services and days of exceptions.
+WEEKDAYS = {"1": [0, 1, 2, 3, 4, 5, 6], "2": [0, 1, 2, 3, 4], "3": [5, 6]}
+PRIORITIES, FIRST_EXCEPTION = ("1-URGENT", "2-HIGH", "3-MEDIUM", "5-LOW"), dt.date(1998, 7, 1)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -39,7 +43,7 @@ def network(spark: SparkSession, sf_dir: str) -> Feed:
     k = F.col("s_suppkey")
     stops = supplier.join(nation, F.col("s_nationkey") == F.col("n_nationkey")).select(
         k.alias("stop_ord"), k.cast("string").alias("stop_id"), F.concat("n_name", F.lit(" "), F.char((F.lit(65) + k % 5).cast("long"))).alias("name"),
-        (F.lit(51.25) + F.floor(k / 10) * 0.003).alias("lat"), (F.lit(4.08) + (k % 10) * 0.004).alias("lon"),
+        (F.lit(SOUTH) + F.floor(k / 10) * 0.003).alias("lat"), (F.lit(WEST) + (k % 10) * 0.004).alias("lon"),
         F.when(k % 25 < 2, (k - k % 25 + 24).cast("string")).otherwise("").alias("parent"), F.when(k % 25 == 24, 1).otherwise(0).alias("location_type"),
     )
     trips = orders.select(F.col("o_orderkey").alias("trip_ord"), F.col("o_orderkey").alias("trip_id"), (F.col("o_custkey") % ROUTES).alias("route_id"), F.col("o_orderpriority").alias("service_id"), F.lit("").alias("headsign"))
@@ -48,19 +52,37 @@ def network(spark: SparkSession, sf_dir: str) -> Feed:
     stop = (F.col("route_id") * 7 + F.col("pos") * (1 + F.col("route_id") % 3)) % F.lit(n)
     stop_times = calls.select("trip_id", "pos", stop.cast("string").alias("stop_id"), at.alias("arr"), at.alias("dep"))
     r = F.col("id")
-    routes = spark.range(ROUTES).select(
+    routes = orders.select((F.col("o_custkey") % ROUTES).alias("id")).distinct().select(
         r.alias("route_ord"), r.alias("route_id"), F.when(r % 3 == 0, "").otherwise(F.concat(F.lit("R"), r.cast("string"))).alias("short_name"), F.when(r % 2 == 0, "").otherwise(F.concat(F.lit("Route "), r.cast("string"))).alias("long_name"),
         (r % 10).cast("int").alias("route_type"), F.lit("").alias("color"), F.lit("").alias("text_color"),
     )
-    year = [F.lit(dt.date(2024, 1, 1)), F.lit(dt.date(2024, 12, 31))]
-    one = spark.range(1)
-    rows = [F.struct(F.lit(s).alias("service_id"), F.array(*map(F.lit, w)).cast("array<int>").alias("weekdays"), (year[0] if w else F.lit(None).cast("date")).alias("start"), (year[1] if w else F.lit(None).cast("date")).alias("end")) for s, w in SERVICES]
-    services = one.select(F.inline(F.array(*rows)))
-    exceptions = one.select(F.inline(F.array(*[F.struct(F.lit(s).alias("service_id"), F.lit(dt.date(2024, 7, d)).alias("day"), F.lit(a).alias("added")) for s, d, a in EXCEPTIONS])))
+    priority, ordered = F.col("o_orderpriority"), F.col("o_orderdate").cast("date")
+    weekdays = F.expr("cast(array() as array<int>)")
+    for digit, days in WEEKDAYS.items():
+        weekdays = F.when(F.startswith(F.col("service_id"), F.lit(digit)), F.array(*map(F.lit, days))).otherwise(weekdays)
+    services = orders.filter(~F.startswith(priority, F.lit("4"))).groupBy(priority.alias("service_id")).agg(F.min(ordered).alias("start"), F.max(ordered).alias("end"))
+    services = services.select("service_id", weekdays.alias("weekdays"), "start", "end")
+    d = F.col("n_nationkey")
+    exceptions = nation.select(F.get(F.array(*map(F.lit, PRIORITIES)), (d % len(PRIORITIES)).cast("int")).alias("service_id"), F.date_add(F.lit(FIRST_EXCEPTION), (d * 3 % 8).cast("int")).alias("day"), (d % 3 != 0).alias("added"))
     declared = stops.filter(k % 7 == 0).select(F.col("stop_id").alias("from_stop"), ((F.col("stop_ord") + 1) % F.lit(n)).cast("string").alias("to_stop"), ((F.col("stop_ord") * 13) % 400).cast("int").alias("seconds"))
     return Feed(stops, routes, trips, stop_times, services, exceptions, declared)
 
 
+#: Variants of each route of the busy network.
+VARIANTS = 50
+
+
+def busy_network(spark: SparkSession, sf_dir: str) -> Feed:
+    """The same network with a trip as long as its order has items, of several variants of each route: thousands of patterns, which pass stops again, and on which faster trips overtake slower ones."""
+    feed = network(spark, sf_dir)
+    lengths = table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("trip_id")).agg(F.count(F.lit(1)).cast("int").alias("n_calls")).filter("n_calls > 1")
+    calls = feed.trips.select("trip_id", "route_id").join(lengths, "trip_id").select("*", F.explode(F.sequence(F.lit(0), F.col("n_calls") - 1)).alias("pos"))
+    t, variant, turn = F.col("trip_id"), F.col("trip_id") % VARIANTS, F.floor(F.col("trip_id") / VARIANTS)
+    stop = (F.col("route_id") * 7 + (variant + F.col("pos")) % 5 * 3 + variant % 3) % F.lit(feed.stops.count())
+    arr = (F.lit(18000) + t % 600 * 90 + F.col("pos") * (120 + 60 * (turn % 5))).cast("int")
+    return replace(feed, stop_times=calls.select("trip_id", "pos", stop.cast("string").alias("stop_id"), arr.alias("arr"), (arr + (turn % 2 * 30).cast("int")).alias("dep")))
+
+
 #: What this session has written, by application, kind and the state of the files it came from.
 _WRITTEN: dict[tuple, Timetable | DataFrame] = {}
 
@@ -105,32 +127,34 @@ def query_batch(spark: SparkSession, feed: Feed, n_queries: int = N_QUERIES, acc
 def door_batch(spark: SparkSession, feed: Feed, n_queries: int = N_QUERIES) -> tuple[DataFrame, DataFrame]:
     """(queries, endpoints) between points, whose endpoints are the stops in reach."""
     q = spark.range(n_queries).select(F.col("id").cast("int").alias("query_id"), (F.lit(28800) + (F.col("id") % 4) * 1800).cast("int").alias("depart"))
-    side = lambda name, a, b: q.select(F.struct("query_id", F.lit(name).alias("side")).alias("point_id"), (F.lit(51.25) + F.col("query_id") * a % 97 * 0.0004).alias("lat"), (F.lit(4.08) + F.col("query_id") * b % 89 * 0.0005).alias("lon"))
+    side = lambda name, a, b: q.select(F.struct("query_id", F.lit(name).alias("side")).alias("point_id"), (F.lit(SOUTH) + F.col("query_id") * a % 97 * 0.0004).alias("lat"), (F.lit(WEST) + F.col("query_id") * b % 89 * 0.0005).alias("lon"))
     near = walkable_from(reduce(DataFrame.unionByName, [side(*p) for p in DOOR_POINTS]), feed.stops)
     return q, near.select("point_id.query_id", "point_id.side", "stop_id", F.col("seconds").alias("walk"))
 
 
-def solved(spark: SparkSession, sf_dir: str, n_queries: int = N_QUERIES, rounds: int = ROUNDS, access: bool = False, doors: bool = False) -> Batch:
-    feed = network(spark, sf_dir)
+def solved(spark: SparkSession, sf_dir: str, n_queries: int = N_QUERIES, rounds: int = ROUNDS, access: bool = False, doors: bool = False, busy: bool = False) -> Batch:
+    feed = (busy_network if busy else network)(spark, sf_dir)
     table_ = timetable(feed)
     queries, ends = door_batch(spark, feed, n_queries) if doors else query_batch(spark, feed, n_queries, access)
     return Batch(table_, queries, ends, plan(table_, queries, ends, max_rounds=rounds))
 
 
-_SERVICES_SQL = ", ".join(f"('{s}', {w}::INTEGER[], {'DATE ' + repr('2024-01-01') if w else 'NULL::DATE'}, {'DATE ' + repr('2024-12-31') if w else 'NULL::DATE'})" for s, w in SERVICES)
-_EXCEPTIONS_SQL = ", ".join(f"('{s}', DATE '2024-07-{d:02d}', {str(a).lower()})" for s, d, a in EXCEPTIONS)
 _HAVERSINE = "2 * 6371000.0::DOUBLE * asin(sqrt(least(1.0, pow(sin(radians({b}.lat - {a}.lat) / 2), 2) + cos(radians({a}.lat)) * cos(radians({b}.lat)) * pow(sin(radians({b}.lon - {a}.lon) / 2), 2))))"
+_STOP_TIMES = f"""SELECT trip_id, pos, ((route_id * 7 + pos * (1 + route_id % 3)) % n)::VARCHAR AS stop_id, (18000 + (trip_id % 1200) * 60 + pos * (240 + 60 * (route_id % 3)))::INTEGER AS arr, arr AS dep
+  FROM trips, n, (SELECT unnest(range({CALLS}))::INTEGER AS pos) p"""
+_BUSY_STOP_TIMES = f"""SELECT trip_id, pos, ((route_id * 7 + (trip_id % {VARIANTS} + pos) % 5 * 3 + trip_id % {VARIANTS} % 3) % n)::VARCHAR AS stop_id, (18000 + trip_id % 600 * 90 + pos * (120 + 60 * (trip_id // {VARIANTS} % 5)))::INTEGER AS arr, (arr + trip_id // {VARIANTS} % 2 * 30)::INTEGER AS dep
+  FROM (SELECT trip_id, route_id, unnest(range(n_calls))::INTEGER AS pos FROM trips JOIN (SELECT l_orderkey AS trip_id, count(*) AS n_calls FROM lineitem GROUP BY l_orderkey HAVING count(*) > 1) USING (trip_id)), n"""
 #: WITH clause of the views.
 VIEWS = f"""
-WITH RECURSIVE stops AS (SELECT s_suppkey AS stop_ord, s_suppkey::VARCHAR AS stop_id, n_name || ' ' || chr((65 + s_suppkey % 5)::INTEGER) AS name, 51.25::DOUBLE + (s_suppkey // 10) * 0.003::DOUBLE AS lat,
-  4.08::DOUBLE + (s_suppkey % 10) * 0.004::DOUBLE AS lon, CASE WHEN s_suppkey % 25 < 2 THEN (s_suppkey - s_suppkey % 25 + 24)::VARCHAR ELSE '' END AS parent, CASE WHEN s_suppkey % 25 = 24 THEN 1 ELSE 0 END AS location_type
+WITH RECURSIVE stops AS (SELECT s_suppkey AS stop_ord, s_suppkey::VARCHAR AS stop_id, n_name || ' ' || chr((65 + s_suppkey % 5)::INTEGER) AS name, {SOUTH}::DOUBLE + (s_suppkey // 10) * 0.003::DOUBLE AS lat,
+  {WEST}::DOUBLE + (s_suppkey % 10) * 0.004::DOUBLE AS lon, CASE WHEN s_suppkey % 25 < 2 THEN (s_suppkey - s_suppkey % 25 + 24)::VARCHAR ELSE '' END AS parent, CASE WHEN s_suppkey % 25 = 24 THEN 1 ELSE 0 END AS location_type
   FROM supplier JOIN nation ON s_nationkey = n_nationkey),
 n AS (SELECT count(*) AS n FROM supplier),
 trips AS (SELECT o_orderkey AS trip_id, o_orderkey AS trip_ord, o_custkey % {ROUTES} AS route_id, o_orderpriority AS service_id FROM orders),
-stop_times AS (SELECT trip_id, pos, ((route_id * 7 + pos * (1 + route_id % 3)) % n)::VARCHAR AS stop_id, (18000 + (trip_id % 1200) * 60 + pos * (240 + 60 * (route_id % 3)))::INTEGER AS arr, arr AS dep
-  FROM trips, n, (SELECT unnest(range({CALLS}))::INTEGER AS pos) p),
-services(service_id, weekdays, first_day, last_day) AS (VALUES {_SERVICES_SQL}),
-exceptions(service_id, day, added) AS (VALUES {_EXCEPTIONS_SQL}),
+stop_times AS ({_STOP_TIMES}),
+services AS (SELECT o_orderpriority AS service_id, CASE left(o_orderpriority, 1) {" ".join(f"WHEN '{d}' THEN {w}" for d, w in WEEKDAYS.items())} ELSE [] END::INTEGER[] AS weekdays, min(o_orderdate)::DATE AS first_day, max(o_orderdate)::DATE AS last_day
+  FROM orders WHERE NOT starts_with(o_orderpriority, '4') GROUP BY o_orderpriority),
+exceptions AS (SELECT {list(PRIORITIES)}[n_nationkey % {len(PRIORITIES)} + 1] AS service_id, DATE '{FIRST_EXCEPTION}' + (n_nationkey * 3 % 8)::INTEGER AS day, n_nationkey % 3 <> 0 AS added FROM nation),
 days(day) AS (VALUES {", ".join(f"(DATE '{d}')" for d in DAYS)}),
 service_days AS (SELECT day, service_id, CASE WHEN EXISTS (SELECT 1 FROM exceptions e WHERE e.service_id = s.service_id AND e.day = d.day AND NOT added) THEN false
   WHEN EXISTS (SELECT 1 FROM exceptions e WHERE e.service_id = s.service_id AND e.day = d.day AND added) THEN true
@@ -147,6 +171,9 @@ ranked AS (SELECT pattern_id, (row_number() OVER (PARTITION BY pattern_id ORDER
 ev AS MATERIALIZED (SELECT pattern_id, trip_rank, trip_id, pos, stop_id, arr, dep FROM ranked JOIN stop_times USING (trip_id)),
 ps AS MATERIALIZED (SELECT DISTINCT pattern_id, pos, stop_id FROM ev)"""
 
+#: The same of the busy network.
+BUSY_VIEWS = VIEWS.replace(_STOP_TIMES, _BUSY_STOP_TIMES)
+
 
 def queries_sql(n_queries: int = N_QUERIES, access: bool = False) -> str:
     walk = (120, 180) if access else (0, 0)
@@ -162,7 +189,7 @@ DOOR_POINTS = (("origin", 7, 5), ("target", 31, 13))
 
 def doors_sql(n_queries: int = N_QUERIES) -> str:
     near = _HAVERSINE.format(a="p", b="s")
-    points = " UNION ALL ".join(f"SELECT query_id, '{side}' AS side, 51.25::DOUBLE + (query_id * {a} % 97) * 0.0004::DOUBLE AS lat, 4.08::DOUBLE + (query_id * {b} % 89) * 0.0005::DOUBLE AS lon FROM q" for side, a, b in DOOR_POINTS)
+    points = " UNION ALL ".join(f"SELECT query_id, '{side}' AS side, {SOUTH}::DOUBLE + (query_id * {a} % 97) * 0.0004::DOUBLE AS lat, {WEST}::DOUBLE + (query_id * {b} % 89) * 0.0005::DOUBLE AS lon FROM q" for side, a, b in DOOR_POINTS)
     return f""",
 q AS (SELECT i::INTEGER AS query_id, (28800 + (i % 4) * 1800)::INTEGER AS depart FROM range({n_queries}) t(i)),
 points AS ({points}),

@@ -2,20 +2,24 @@
 
 from __future__ import annotations
 
+import datetime as dt
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import hex_colour, name_stem, route_label, route_mode
 from ..functions.time import clock, format_time, parse_date, parse_time, wall_clock, window_label
 from ..operators.calendar import covers, running_trips, runs_on, service_window
-from ..operators.itinerary import benchmark_stats, describe, journeys, merge_walks, named_legs, summary, tags, with_doors
+from ..operators.itinerary import as_json, benchmark_stats, describe, journeys, merge_walks, named_legs, summary, tags, with_doors, with_points
+from ..operators.pairs import random_pairs
 from ..operators.patterns import earliest_trips, overtaking, timetable_counts, trip_patterns
 from ..operators.places import place_counts, resolve_places, search_places
+from ..operators.requests import Answers, answer
 from ..operators.router import boardings, first_frontier, pareto, route_scan, stops_reached
 from ..operators.transfers import bounds, footpaths, generated_footpaths, walkable_from
 from ..sources.gtfs import clean_stop_times as usable_stop_times
 from ..sources.gtfs import feed_counts
-from .network import DAYS, LEGS, VIEWS, Batch, doors_sql, network, places, queries_sql, query_batch, rounds_sql, solved, table, timetable
+from .network import BUSY_VIEWS, DAYS, LEGS, SOUTH, VIEWS, WEST, Batch, busy_network, doors_sql, network, places, queries_sql, query_batch, rounds_sql, solved, table, timetable
 from .registry import query
 
 #: As many as the published single-thread benchmark solves.
@@ -95,14 +99,14 @@ def service_on_weekday(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out
 
 
-@query(f"{VIEWS}, w AS (SELECT min(a) AS first_day, max(b) AS last_day FROM (SELECT first_day AS a, last_day AS b FROM services UNION ALL SELECT day, day FROM exceptions WHERE added)) SELECT first_day::VARCHAR AS first_day, last_day::VARCHAR AS last_day, DATE '2024-07-08' BETWEEN first_day AND last_day AS covers_day, '1 Jan – 31 Dec 2024' AS label FROM w")
+@query(f"{VIEWS}, w AS (SELECT min(a) AS first_day, max(b) AS last_day FROM (SELECT first_day AS a, last_day AS b FROM services UNION ALL SELECT day, day FROM exceptions WHERE added)) SELECT first_day::VARCHAR AS first_day, last_day::VARCHAR AS last_day, DATE '{DAYS[4]}' BETWEEN first_day AND last_day AS covers_day, strftime(first_day, '%-d %b %Y') || ' – ' || strftime(last_day, '%-d %b %Y') AS label FROM w")
 def feed_window(spark: SparkSession, sf_dir: str) -> DataFrame:
     w = service_window(network(spark, sf_dir))
     a, b = F.col("first_day"), F.col("last_day")
     return w.select(a.cast("string").alias("first_day"), b.cast("string").alias("last_day"), covers(a, b, F.lit(DAYS[4])).alias("covers_day"), window_label(a, b).alias("label"))
 
 
-@query(f"""{VIEWS} SELECT 'stops' AS metric, count(*) AS value FROM stops UNION ALL SELECT 'routes', 20 UNION ALL SELECT 'trips', count(*) FROM trips UNION ALL SELECT 'stop_times', count(*) FROM stop_times
+@query(f"""{VIEWS} SELECT 'stops' AS metric, count(*) AS value FROM stops UNION ALL SELECT 'routes', count(DISTINCT route_id) FROM trips UNION ALL SELECT 'trips', count(*) FROM trips UNION ALL SELECT 'stop_times', count(*) FROM stop_times
 UNION ALL SELECT 'services', count(*) FROM services UNION ALL SELECT 'exceptions', count(*) FROM exceptions UNION ALL SELECT 'transfers', count(*) FROM stops WHERE stop_ord % 7 = 0""")
 def feed_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return feed_counts(network(spark, sf_dir))
@@ -142,7 +146,7 @@ def hex_colours(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""SELECT r AS route_id, CASE WHEN r % 3 <> 0 THEN 'R' || r WHEN r % 2 <> 0 THEN 'Route ' || r ELSE r::VARCHAR END AS label,
-CASE r % 10 WHEN 0 THEN 'tram' WHEN 1 THEN 'metro' WHEN 2 THEN 'rail' WHEN 4 THEN 'ferry' WHEN 5 THEN 'tram' WHEN 6 THEN 'gondola' WHEN 7 THEN 'funicular' ELSE 'bus' END AS mode FROM range(20) t(r)""")
+CASE r % 10 WHEN 0 THEN 'tram' WHEN 1 THEN 'metro' WHEN 2 THEN 'rail' WHEN 4 THEN 'ferry' WHEN 5 THEN 'tram' WHEN 6 THEN 'gondola' WHEN 7 THEN 'funicular' ELSE 'bus' END AS mode FROM (SELECT DISTINCT o_custkey % 20 AS r FROM orders)""")
 def route_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return network(spark, sf_dir).routes.select("route_id", route_label(F.col("short_name"), F.col("long_name"), F.col("route_id").cast("string")).alias("label"), route_mode(F.col("route_type")).alias("mode"))
 
@@ -158,7 +162,7 @@ def footpaths_override(spark: SparkSession, sf_dir: str) -> DataFrame:
     return footpaths(feed.stops, feed.transfers)
 
 
-_POINTS = "p AS (SELECT c_custkey AS point_id, 51.25::DOUBLE + (c_custkey % 97) * 0.0004::DOUBLE AS lat, 4.08::DOUBLE + (c_custkey % 89) * 0.0005::DOUBLE AS lon FROM customer)"
+_POINTS = f"p AS (SELECT c_custkey AS point_id, {SOUTH}::DOUBLE + (c_custkey % 97) * 0.0004::DOUBLE AS lat, {WEST}::DOUBLE + (c_custkey % 89) * 0.0005::DOUBLE AS lon FROM customer)"
 _NEAR = "2 * 6371000.0::DOUBLE * asin(sqrt(least(1.0, pow(sin(radians(s.lat - p.lat) / 2), 2) + cos(radians(p.lat)) * cos(radians(s.lat)) * pow(sin(radians(s.lon - p.lon) / 2), 2))))"
 
 
@@ -166,7 +170,7 @@ _NEAR = "2 * 6371000.0::DOUBLE * asin(sqrt(least(1.0, pow(sin(radians(s.lat - p.
 r AS (SELECT *, row_number() OVER (PARTITION BY point_id ORDER BY metres, stop_id)::INTEGER AS rank FROM m) SELECT point_id, stop_id, rank, greatest(60, trunc(metres * 1.3 / 1.33)::INTEGER) AS seconds FROM r WHERE rank <= 8""")
 def walkable_stops(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = F.col("c_custkey")
-    points = table(spark, sf_dir, "customer").select(k.alias("point_id"), (F.lit(51.25) + (k % 97) * 0.0004).alias("lat"), (F.lit(4.08) + (k % 89) * 0.0005).alias("lon"))
+    points = table(spark, sf_dir, "customer").select(k.alias("point_id"), (F.lit(SOUTH) + (k % 97) * 0.0004).alias("lat"), (F.lit(WEST) + (k % 89) * 0.0005).alias("lon"))
     return walkable_from(points, network(spark, sf_dir).stops)
 
 
@@ -178,14 +182,14 @@ def feed_bounds(spark: SparkSession, sf_dir: str) -> DataFrame:
 _PART_NAMES = "SELECT DISTINCT p_name || CASE p_size % 6 WHEN 0 THEN ' B' WHEN 1 THEN ' platform 3' WHEN 2 THEN ' 12' WHEN 3 THEN ' Quai  7' WHEN 4 THEN ' / X' ELSE '' END AS name FROM part"
 
 
-@query(rf"""WITH x AS ({_PART_NAMES} UNION ALL VALUES ('Bay 7'), ('MAIN'), ('Stop 12'), ('TUNNEY''S PASTURE 2')),
+@query(rf"""WITH x AS ({_PART_NAMES} UNION ALL VALUES ('Perron 4'), ('OST'), ('Halt 31'), ('MILLER''S FIELD 3')),
 y AS (SELECT name, regexp_replace(name, '(?i)\s+(?:[A-Z]|(?:PLATFORM|PLATFORME|BAY|QUAI|STAND)\s*[0-9]{{1,2}})$', '') AS a, regexp_replace(name, '\s+[0-9]{{1,2}}$', '') AS b FROM x)
 SELECT name, lower(CASE WHEN a <> name AND length(a) >= 4 THEN a WHEN b <> name AND length(b) >= 10 AND contains(trim(b), ' ') THEN b ELSE name END) AS stem FROM y""")
 def normalised_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     size = F.col("p_size") % 6
     tail = F.when(size == 0, " B").when(size == 1, " platform 3").when(size == 2, " 12").when(size == 3, " Quai  7").when(size == 4, " / X").otherwise("")
     names = table(spark, sf_dir, "part").select(F.concat("p_name", tail).alias("name")).distinct()
-    more = spark.range(1).select(F.explode(F.array(*map(F.lit, ["Bay 7", "MAIN", "Stop 12", "TUNNEY'S PASTURE 2"]))).alias("name"))
+    more = spark.range(1).select(F.explode(F.array(*map(F.lit, ["Perron 4", "OST", "Halt 31", "MILLER'S FIELD 3"]))).alias("name"))
     return names.unionByName(more).select("name", name_stem(F.col("name")).alias("stem"))
 
 
@@ -206,13 +210,21 @@ def place_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("place_id", "name", "search_key", F.array_join("stop_ids", ",").alias("stop_ids"), F.round("lat", 6).alias("lat"), F.round("lon", 6).alias("lon"))
 
 
-_ASKED = ["NATION_1", "nation 1 a", "Nation-2", "a nation", "5", "17", "ation 3 c", "zzz", " ", "NATION_4 D", "nation"]
-_SEARCH = f""",
-asked(query) AS (VALUES {", ".join(f"('{a}')" for a in _ASKED)}),
+def _search_sql(asked: str) -> str:
+    return f""",
+asked AS ({asked}),
 needles AS (SELECT query, trim(regexp_replace(lower(query), '[^0-9a-z]+', ' ', 'g')) AS needle FROM asked),
 tiers AS (SELECT query, place_id, place_ord, name, CASE WHEN search_key = needle THEN 0 WHEN starts_with(search_key, needle) THEN 1 WHEN contains(search_key, needle) THEN 2
   WHEN contains(needle, ' ') AND len(list_filter(string_split(needle, ' '), lambda w: NOT contains(search_key, w))) = 0 THEN 3 END AS tier FROM needles, keyed WHERE needle <> ''),
-found AS (SELECT * FROM (SELECT query, row_number() OVER (PARTITION BY query ORDER BY tier, CASE WHEN tier > 0 THEN length(name) END, CASE WHEN tier > 0 THEN name END, place_ord, place_id)::INTEGER AS rank, place_id, name, tier FROM tiers WHERE tier IS NOT NULL) WHERE rank <= 25)"""
+found AS MATERIALIZED (SELECT * FROM (SELECT query, row_number() OVER (PARTITION BY query ORDER BY tier, CASE WHEN tier > 0 THEN length(name) END, CASE WHEN tier > 0 THEN name END, place_ord, place_id)::INTEGER AS rank, place_id, name, tier FROM tiers WHERE tier IS NOT NULL) WHERE rank <= 25),
+ways AS (SELECT query, 0 AS how, place_id FROM asked JOIN places ON trim(query) = place_id
+  UNION ALL SELECT query, 1, coalesce(m.place_id, s.stop_id) FROM asked JOIN stops s ON trim(query) = s.stop_id LEFT JOIN member m ON m.stop_id = s.stop_id
+  UNION ALL SELECT query, CASE WHEN count(*) = 1 THEN 2 ELSE 3 END, arg_min(place_id, rank) FROM found GROUP BY query HAVING count(*) = 1 OR count(*) FILTER (tier = 0) = 1),
+meant AS MATERIALIZED (SELECT query, place_id, how, coalesce(p.name, s.name) AS name, coalesce(p.stop_ids, s.stop_id) AS stop_ids FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY how) AS i FROM ways) LEFT JOIN places p USING (place_id) LEFT JOIN stops s ON s.stop_id = place_id WHERE i = 1)"""
+
+
+_ASKED = ["NATION_1", "nation 1 a", "Nation-2", "a nation", "5", "17", "ation 3 c", "zzz", " ", "NATION_4 D", "nation"]
+_SEARCH = _search_sql("SELECT * FROM (VALUES " + ", ".join(f"('{a}')" for a in _ASKED) + ") v(query)")
 
 
 def _asked(spark: SparkSession) -> DataFrame:
@@ -224,11 +236,7 @@ def place_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search_places(places(network(spark, sf_dir)), _asked(spark))
 
 
-@query(f"""{VIEWS}{_PLACES}{_SEARCH},
-ways AS (SELECT query, 0 AS how, place_id FROM asked JOIN places ON trim(query) = place_id
-  UNION ALL SELECT query, 1, coalesce(m.place_id, s.stop_id) FROM asked JOIN stops s ON trim(query) = s.stop_id LEFT JOIN member m ON m.stop_id = s.stop_id
-  UNION ALL SELECT query, CASE WHEN count(*) = 1 THEN 2 ELSE 3 END, arg_min(place_id, rank) FROM found GROUP BY query HAVING count(*) = 1 OR count(*) FILTER (tier = 0) = 1)
-SELECT query, place_id, how, coalesce(p.name, s.name) AS name FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY how) AS i FROM ways) LEFT JOIN places p USING (place_id) LEFT JOIN stops s ON s.stop_id = place_id WHERE i = 1""")
+@query(f"{VIEWS}{_PLACES}{_SEARCH} SELECT query, place_id, how, name FROM meant")
 def place_resolve(spark: SparkSession, sf_dir: str) -> DataFrame:
     feed = network(spark, sf_dir)
     return resolve_places(places(feed), feed.stops, _asked(spark)).select("query", "place_id", "how", "name")
@@ -291,7 +299,7 @@ metrics AS (SELECT l.query_id, l.journey, arg_min(l.depart, leg_no) AS depart, a
 done AS (SELECT query_id, journey, depart, arrive, transfers, walking_s, greatest(0, depart - asked) AS wait_s, greatest(0, arrive - asked) AS door_to_door_s FROM metrics)"""
 
 
-@query(f"{VIEWS}{queries_sql()}{rounds_sql()}{LEGS}{_METRICS} SELECT *, CASE WHEN journey = 0 THEN 'fastest' ELSE 'fewer changes' END AS tag FROM done")
+@query(f"{VIEWS}{queries_sql()}{rounds_sql()}{LEGS}{_METRICS} SELECT *, CASE WHEN journey = 0 THEN 'fastest' ELSE 'fewer changes' END AS tag, CASE WHEN max(journey) OVER (PARTITION BY query_id) = 0 THEN '' WHEN journey = 0 THEN 'fastest' WHEN journey = max(journey) OVER (PARTITION BY query_id) THEN 'fewest changes' ELSE '' END AS badge FROM done")
 def journey_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     batch = solved(spark, sf_dir)
     return tags(journeys(batch.legs(), batch.queries))
@@ -373,3 +381,118 @@ def merged_walks(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     legs = legs.withColumn("depart", F.col("leg_no") * 600).withColumn("arrive", F.col("depart") + F.when(F.col("event_id") % 4 == 0, 540).otherwise(600))
     return merge_walks(legs.drop("event_id"))
+
+
+# Searches of a network with thousands of patterns, loops and overtaking.
+
+
+@query(f"{BUSY_VIEWS} SELECT pattern_id, route_id, stops AS stop_seq, count(*) AS n_trips, min(first_dep) AS first_dep, max(first_dep) AS last_dep FROM tp GROUP BY ALL")
+def busy_patterns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    feed = busy_network(spark, sf_dir)
+    return _pattern_rows(trip_patterns(running_trips(feed, on_date=DAYS[4]), feed.stop_times))
+
+
+@query(f"{BUSY_VIEWS}, o AS (SELECT *, lag(dep) OVER (PARTITION BY pattern_id, pos ORDER BY trip_rank) AS b FROM ev) SELECT pattern_id, pos, count(*) AS n_bad FROM o WHERE b > dep GROUP BY ALL")
+def busy_overtaking(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return overtaking(timetable(busy_network(spark, sf_dir)).pattern_events)
+
+
+@query(f"{BUSY_VIEWS}, w AS (SELECT pattern_id, pos, stop_id, 18000 + i * 7000 AS ready FROM ps, range(10) t(i)) SELECT w.pattern_id, w.pos, ready, min(trip_rank) AS trip_rank FROM w JOIN ev ON ev.pattern_id = w.pattern_id AND ev.pos = w.pos AND dep >= ready GROUP BY ALL")
+def busy_earliest_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = timetable(busy_network(spark, sf_dir))
+    wanted = t.pattern_stops.select("pattern_id", "pos", F.explode(F.sequence(F.lit(18000).cast("long"), F.lit(81000).cast("long"), F.lit(7000).cast("long"))).alias("ready"))
+    return earliest_trips(wanted, t.departures).select("pattern_id", "pos", "ready", "trip_rank")
+
+
+@query(f"{BUSY_VIEWS}{queries_sql()}{rounds_sql()} SELECT query_id, round, stop_id, min(arrival) AS arrival FROM labels GROUP BY ALL")
+def busy_arrivals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _arrivals(solved(spark, sf_dir, busy=True))
+
+
+@query(f"{BUSY_VIEWS}{queries_sql()}{rounds_sql()}{LEGS} SELECT query_id, journey, leg_no, kind, from_stop, to_stop, depart, arrive, n_hops FROM legs")
+def busy_leg_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return solved(spark, sf_dir, busy=True).legs().select("query_id", "journey", "leg_no", "kind", "from_stop", "to_stop", "depart", "arrive", "n_hops")
+
+
+@query(f"{BUSY_VIEWS}{queries_sql()}{rounds_sql()}{LEGS}{_METRICS} SELECT *, CASE WHEN journey = 0 THEN 'fastest' ELSE 'fewer changes' END AS tag, CASE WHEN max(journey) OVER (PARTITION BY query_id) = 0 THEN '' WHEN journey = 0 THEN 'fastest' WHEN journey = max(journey) OVER (PARTITION BY query_id) THEN 'fewest changes' ELSE '' END AS badge FROM done")
+def busy_journeys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    batch = solved(spark, sf_dir, busy=True)
+    return tags(journeys(batch.legs(), batch.queries))
+
+
+# The payload of a page: journeys with the points of their legs.
+_PAYLOAD_SCHEMA = "struct<journeys:array<struct<journey:int,badge:string,depart:string,legs:array<struct<leg_no:int,kind:string,`from`:string,`to`:string,minutes:int,points:array<struct<id:string,name:string,lat:double,lon:double>>>>>>>"
+
+
+@query(f"""{VIEWS}{queries_sql()}{rounds_sql()}{LEGS}{_METRICS},
+named AS (SELECT l.*, a.name AS from_name, b.name AS to_name FROM legs l JOIN stops a ON a.stop_id = from_stop JOIN stops b ON b.stop_id = to_stop),
+passed AS (SELECT query_id, journey, leg_no, pos AS place, stop_id FROM legs JOIN ps ON ps.pattern_id = legs.pattern_id JOIN (SELECT DISTINCT query_id, journey, leg_no, board, alight FROM (
+    SELECT query_id, journey, (row_number() OVER (PARTITION BY query_id, journey ORDER BY back DESC) - 1)::INTEGER AS leg_no, board_pos AS board, alight_pos AS alight FROM chain WHERE back > 0)) USING (query_id, journey, leg_no) WHERE pos BETWEEN board AND alight
+  UNION ALL SELECT query_id, journey, leg_no, 0, from_stop FROM legs WHERE kind = 'walk' UNION ALL SELECT query_id, journey, leg_no, 1, to_stop FROM legs WHERE kind = 'walk')
+SELECT query_id, journey, leg_no, kind, any_value(from_name) AS from_name, any_value(to_name) AS to_name, any_value(greatest(1, (n.arrive - n.depart) // 60))::INTEGER AS minutes, string_agg(s.stop_id || ' ' || s.name, ',' ORDER BY place) AS points, round(sum(lat), 6) AS lat_sum, round(sum(lon), 6) AS lon_sum
+FROM named n JOIN passed USING (query_id, journey, leg_no) JOIN stops s USING (stop_id) GROUP BY query_id, journey, leg_no, kind""")
+def journey_payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    feed, batch = network(spark, sf_dir), solved(spark, sf_dir)
+    legs = batch.legs()
+    payloads = as_json(journeys(legs, batch.queries), with_points(named_legs(legs, feed), feed))
+    # The texts, read again.
+    each = payloads.select("query_id", F.from_json("payload", _PAYLOAD_SCHEMA).alias("p")).select("query_id", F.explode("p.journeys").alias("j")).select("query_id", "j.journey", F.explode("j.legs").alias("l"))
+    total = lambda axis: F.round(F.aggregate("l.points", F.lit(0.0), lambda a, p: a + p[axis]), 6).alias(f"{axis}_sum")
+    return each.select("query_id", "journey", "l.leg_no", "l.kind", F.col("l.from").alias("from_name"), F.col("l.to").alias("to_name"), "l.minutes", F.array_join(F.transform("l.points", lambda p: F.concat(p["id"], F.lit(" "), p["name"])), ",").alias("points"), total("lat"), total("lon"))
+
+
+@query(f"{VIEWS} SELECT from_stop, string_agg(to_stop || ':' || seconds, ',' ORDER BY seconds, to_stop) AS near FROM footpaths GROUP BY from_stop")
+def footpath_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
+    near = timetable(network(spark, sf_dir)).neighbours
+    return near.select("from_stop", F.array_join(F.transform("near", lambda w: F.concat(w["to_stop"], F.lit(":"), w["seconds"].cast("string"))), ",").alias("near"))
+
+
+_SEED = 42
+
+
+@query(f"""{VIEWS}, served AS (SELECT stop_id, row_number() OVER (ORDER BY stop_id) - 1 AS k, count(*) OVER () AS n FROM (SELECT DISTINCT stop_id FROM ps)),
+drawn AS (SELECT i AS query_id, ('0x' || left(md5('{_SEED}:origin:' || i), 15))::BIGINT % size AS a, ('0x' || left(md5('{_SEED}:target:' || i), 15))::BIGINT % (size - 1) AS b FROM (SELECT max(n) AS size FROM served), range(3 * (SELECT max(n) FROM served)) t(i))
+SELECT query_id, o.stop_id AS origin, t.stop_id AS target FROM drawn JOIN served o ON o.k = a JOIN served t ON t.k = b + CASE WHEN b >= a THEN 1 ELSE 0 END""")
+def benchmark_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    served = timetable(network(spark, sf_dir)).pattern_stops.select("stop_id").distinct()
+    return random_pairs(served, 3 * served.count(), _SEED)
+
+
+# What customers type: names, ids, addresses, and nothing that helps.
+_TYPED = f"""
+req AS (SELECT c_custkey AS request_id, CASE c % 8 WHEN 0 THEN lower('NATION_' || c % 25 || ' ' || chr((65 + c % 5)::INTEGER)) WHEN 1 THEN (c % n)::VARCHAR WHEN 2 THEN c_name WHEN 3 THEN 'NATION_' || c % 25 WHEN 4 THEN ' ' WHEN 5 THEN 'zzz ' || c
+    WHEN 6 THEN '  ' || upper(c_name) || ' ' ELSE ((c * 3 + 1) % n)::VARCHAR END AS origin, CASE WHEN c % 9 = 8 THEN 'zzz' WHEN c % 11 = 10 THEN c_name ELSE ((c * 3 + 1) % n)::VARCHAR END AS target, CASE WHEN c % 6 = 0 THEN DATE '2005-01-01' ELSE DATE '{DAYS[4]}' END AS day
+  FROM (SELECT *, c_custkey AS c FROM customer), n),
+gaz AS (SELECT c_custkey AS rank, c_name || ', ' || (c_custkey % 7) || ' Hill Road, , Town' AS name, lower(c_name) AS key, c_name || ', ' || (c_custkey % 7) || ' Hill Road' AS shown,
+  {SOUTH}::DOUBLE + (c_custkey % 97) * 0.0004::DOUBLE + CASE WHEN c_custkey % 10 = 9 THEN 5 ELSE 0 END AS lat, {WEST}::DOUBLE + (c_custkey % 89) * 0.0005::DOUBLE AS lon FROM customer)"""
+
+
+@query(f"""{VIEWS}{_PLACES},{_TYPED}{_search_sql("SELECT DISTINCT query FROM (SELECT trim(origin) AS query FROM req UNION ALL SELECT trim(target) FROM req) WHERE query <> ''")},
+box AS (SELECT min(lat) - 0.15 AS south, max(lat) + 0.15 AS north, min(lon) - 0.15 AS west, max(lon) + 0.15 AS east FROM stops),
+hit AS (SELECT query, arg_min(shown, rank) AS name, arg_min(lat, rank) AS lat, arg_min(lon, rank) AS lon FROM asked JOIN gaz ON lower(query) = key, box WHERE lat BETWEEN south AND north AND lon BETWEEN west AND east
+  AND query NOT IN (SELECT query FROM meant) AND query NOT IN (SELECT query FROM found) GROUP BY query),
+reach AS (SELECT p.query, p.name, s.stop_id, {_NEAR} AS metres FROM hit p JOIN stops s ON location_type = 0 AND {_NEAR} <= 800),
+known AS (SELECT query, name, stop_ids AS stops FROM meant UNION ALL SELECT query, name, string_agg(stop_id, ',' ORDER BY stop_id) FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY metres, stop_id) AS i FROM reach) WHERE i <= 8 GROUP BY query, name),
+state AS MATERIALIZED (SELECT query, name, stops, CASE WHEN stops IS NOT NULL THEN 'known' WHEN query IN (SELECT query FROM found) THEN 'ambiguous' ELSE 'missing' END AS state FROM asked LEFT JOIN known USING (query)),
+w AS (SELECT min(a) AS first_day, max(b) AS last_day FROM (SELECT first_day AS a, last_day AS b FROM services UNION ALL SELECT day, day FROM exceptions WHERE added))
+SELECT request_id, CASE WHEN trim(origin) = '' OR trim(target) = '' THEN 'blank' WHEN o.state <> 'known' THEN o.state WHEN t.state <> 'known' THEN t.state WHEN o.stops = t.stops THEN 'same' WHEN NOT day BETWEEN first_day AND last_day THEN 'outside window' ELSE 'ready' END AS status,
+  o.name AS origin_name, t.name AS target_name, CASE WHEN o.stops IS NULL THEN 0 ELSE len(string_split(o.stops, ','))::INTEGER END AS origin_stops, CASE WHEN t.stops IS NULL THEN 0 ELSE len(string_split(t.stops, ','))::INTEGER END AS target_stops
+FROM req LEFT JOIN state o ON o.query = trim(origin) LEFT JOIN state t ON t.query = trim(target), w""")
+def request_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _answered(spark, sf_dir).answers
+
+
+def _answered(spark: SparkSession, sf_dir: str) -> Answers:
+    feed, customer, c = network(spark, sf_dir), table(spark, sf_dir, "customer"), F.col("c_custkey")
+    n, text = feed.stops.count(), lambda x: x.cast("string")
+    named = F.concat(F.lit("NATION_"), text(c % 25))
+    other = text((c * 3 + 1) % n)
+    origins = (F.lower(F.concat(named, F.lit(" "), F.char((65 + c % 5).cast("long")))), text(c % n), F.col("c_name"), named, F.lit(" "), F.concat(F.lit("zzz "), text(c)), F.concat(F.lit("  "), F.upper("c_name"), F.lit(" ")), other)
+    origin = F.get(F.array(*origins), (c % 8).cast("int"))
+    target = F.when(c % 9 == 8, "zzz").when(c % 11 == 10, F.col("c_name")).otherwise(other)
+    requests = customer.select(c.alias("request_id"), origin.alias("origin"), target.alias("target"), F.when(c % 6 == 0, F.lit(dt.date(2005, 1, 1))).otherwise(F.lit(DAYS[4])).alias("day"))
+    gazetteer = customer.select(
+        c.alias("rank"), F.concat(F.col("c_name"), F.lit(", "), text(c % 7), F.lit(" Hill Road, , Town")).alias("name"),
+        (F.lit(SOUTH) + (c % 97) * 0.0004 + F.when(c % 10 == 9, 5).otherwise(0)).alias("lat"), (F.lit(WEST) + (c % 89) * 0.0005).alias("lon"),
+    )
+    return answer(requests, places(feed), feed.stops, gazetteer, service_window(feed))

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.time import format_time
 
 #: The city's corner, and degrees between stops of its grid.
-SOUTH, WEST, STEP_LAT, STEP_LON = 51.25, 4.08, 0.0035, 0.0048
+SOUTH, WEST, STEP_LAT, STEP_LON = 47.0, 8.0, 0.004, 0.005
 
 
 def city(spark: SparkSession, n_stops: int, n_routes: int, trips_per_route: int, seed: int) -> dict[str, DataFrame]:
