@@ -12,7 +12,8 @@ from pyspark.sql import functions as F
 
 from .functions.time import query_date, query_time
 from .operators.calendar import covers, running_trips, service_window
-from .operators.itinerary import as_json, benchmark_stats, describe, journeys, named_legs, summary, tags
+from .operators.itinerary import as_json, benchmark_stats, describe, journeys, named_legs, summary, tags, with_points
+from .operators.pairs import random_pairs
 from .operators.patterns import Timetable, build_timetable, timetable_counts
 from .operators.places import build_places, place_counts, resolve_places, search_places
 from .operators.router import journey_legs, plan
@@ -113,7 +114,7 @@ def route(spark: SparkSession, args: argparse.Namespace) -> int:
         return 1
     named = named_legs(legs, feed)
     if args.json:
-        print(as_json(found, named).first().payload)
+        print(as_json(found, with_points(named, feed)).first().payload)
         return 0
     lines = {r.journey: [] for r in found.collect()}
     for r in describe(named).orderBy("journey", "leg_no").collect():
@@ -127,11 +128,9 @@ def route(spark: SparkSession, args: argparse.Namespace) -> int:
 def benchmark(spark: SparkSession, args: argparse.Namespace) -> int:
     feed = load_feed(spark, args.feed).snapshot()
     timetable = _timetable(feed, args)
-    served = timetable.pattern_stops.select("stop_id").distinct()
-    # Pairs of stops that are neighbours in a seeded order.
-    drawn = served.orderBy(F.xxhash64(F.lit(args.seed), F.col("stop_id"))).limit(2 * args.queries).select("stop_id", F.monotonically_increasing_id().alias("k"))
-    ends = drawn.select(F.floor(F.col("k") / 2).cast("int").alias("query_id"), F.when(F.col("k") % 2 == 0, "origin").otherwise("target").alias("side"), "stop_id", F.lit(0).alias("walk")).cache()
-    queries = ends.filter("side = 'target'").select("query_id", F.lit(query_time(args.at)).alias("depart"))
+    drawn = random_pairs(timetable.pattern_stops, args.queries, args.seed).cache()
+    ends = drawn.select("query_id", F.explode(F.array(*[F.struct(F.lit(side).alias("side"), F.col(side).alias("stop_id")) for side in ("origin", "target")])).alias("e")).select("query_id", "e.*", F.lit(0).alias("walk"))
+    queries = drawn.select("query_id", F.lit(query_time(args.at)).alias("depart"))
     r = benchmark_stats(journeys(journey_legs(plan(timetable, queries, ends, args.max_rounds), timetable), queries), queries).first()
     print(f"{r.n} queries, {r.solved} solved; door to door in seconds: mean {r.mean}, median {r.median}, p95 {r.p95}, slowest {r.slowest}")
     return 0

@@ -82,8 +82,10 @@ def read_csv(spark: SparkSession, path: str) -> DataFrame:
     lines = lines.withColumn("_ord", F.shiftleft(F.col("place").cast("long"), 33) + F.col("row").bitwiseAND((1 << 33) - 1)).withColumn("head", F.coalesce(F.col("row") == F.col("head"), F.lit(False)))
     records = lines.select("_ord", "head", "value") if splits.filter("quotes").isEmpty() else _records(lines, scratch)
     own = [f"c{k}" for k in range(len(names))]
-    parsed = F.from_csv("value", ", ".join(f"{c} string" for c in own), {"escape": '"', "mode": "PERMISSIVE"})
-    rows = records.filter(said & ~F.col("head")).select("_ord", parsed.alias("r"))
+    # The values of a header are null, whatever Spark computes from them before it leaves the row out.
+    kept = said & ~F.col("head")
+    parsed = F.when(kept, F.from_csv("value", ", ".join(f"{c} string" for c in own), {"escape": '"', "mode": "PERMISSIVE"}))
+    rows = records.filter(kept).select("_ord", parsed.alias("r"))
     return rows.select("_ord", *[F.col(f"r.{c}").alias(name if name not in names[:k] else f"{name}_{k}") for k, (c, name) in enumerate(zip(own, names, strict=True))])
 
 

@@ -17,7 +17,7 @@ def spark(tmp_path_factory):
 
 
 @pytest.fixture(scope="session")
-def harbour(spark, tmp_path_factory):
+def valley(spark, tmp_path_factory):
     from headway.sources.gtfs import load_feed
 
-    return load_feed(spark, write_feed(tmp_path_factory.mktemp("harbour") / "feed")).snapshot()
+    return load_feed(spark, write_feed(tmp_path_factory.mktemp("valley") / "feed")).snapshot()

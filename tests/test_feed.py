@@ -3,21 +3,26 @@
 from __future__ import annotations
 
 import datetime as dt
+import json
 import random
 import zipfile
 
 import pytest
-from feeds import hms, write_feed
+from feeds import at, hms, write_feed
 from pyspark.sql import functions as F
 
+from headway.functions.geo import metres_between
 from headway.functions.text import feed_name, fold_text, hex_colour, lookup_key, name_stem, short_address
 from headway.functions.time import clock, format_time, parse_time, query_date, query_time, wall_clock, window_label
-from headway.operators.itinerary import as_json, describe, journeys, merge_walks, named_legs, summary, with_doors
+from headway.operators.calendar import service_window
+from headway.operators.itinerary import as_json, describe, journeys, merge_walks, named_legs, summary, tags, with_doors, with_points
 from headway.operators.patterns import build_timetable
 from headway.operators import places as place_search
 from headway.operators.places import build_places, resolve_places, search_places
 from headway.operators.router import journey_legs, plan
-from headway.operators.transfers import footpaths, walkable_from
+from headway.operators.requests import answer
+from headway.operators.transfers import footpaths, generated_footpaths, walkable_from
+from headway.sources.csv import CsvError, read_csv
 from headway.sources.gtfs import FeedError, feed_counts, load_feed
 from headway.sources.generate import generate
 
@@ -48,7 +53,7 @@ def test_names(spark):
     assert column(spark, ["#12AB9F", "fff", "12ab9g", None, "##0a0B0c"], "string", hex_colour) == ["#12ab9f", "", "", "", "#0a0b0c"]
     assert column(spark, ["3 Pier Road, , Port, Country", ",,", "pier"], "string", short_address) == ["3 Pier Road, Port", ",,", "pier"]
     assert column(spark, ["  Pier \t Road ", ""], "string", lookup_key) == ["pier road", ""]
-    assert column(spark, ["/data/feeds/harbour.zip", "C:\\feeds\\town", "x"], "string", feed_name) == ["harbour.zip", "town", "x"]
+    assert column(spark, ["/data/feeds/valley.zip", "C:\\feeds\\town", "x"], "string", feed_name) == ["valley.zip", "town", "x"]
 
 
 def test_zipped_feed_in_a_folder(spark, tmp_path):
@@ -58,7 +63,7 @@ def test_zipped_feed_in_a_folder(spark, tmp_path):
             z.write(p, f"wrapped/{p.name}")
     for path in (folder, str(tmp_path / "feed.zip")):
         counts = {r.metric: r.value for r in feed_counts(load_feed(spark, path)).collect()}
-        assert counts == {"stops": 7, "routes": 3, "trips": 12, "stop_times": 35, "services": 2, "exceptions": 0, "transfers": 0}
+        assert counts == {"stops": 9, "routes": 2, "trips": 16, "stop_times": 67, "services": 2, "exceptions": 0, "transfers": 0}
 
 
 def test_feeds_that_cannot_be_read(spark, tmp_path):
@@ -71,31 +76,69 @@ def test_feeds_that_cannot_be_read(spark, tmp_path):
 
 def test_unusable_rows_go(spark, tmp_path):
     extra = {
-        "stop_times": ["h2,,,park,70", "h3,08:00:00,08:00:00,nowhere,60", "unknown,07:00:00,07:00:00,quay,0", "l1,,08:15:00,isle,80", "solo,07:00:00,07:00:00,quay,0"],
-        "trips": ["solo,HARBOUR,WORKDAYS,Alone"],
-        "stops": ["bad,Bad Stop,abc,4.4", "blank,,,", "quay,New Quay,51.9,4.4"],
-        "calendar_dates": ["service_id,date,exception_type", "WORKDAYS,20260303,2", "SUNDAYS,2026-03-04,1", "FAIR,20260307,1"],
-        "transfers": ["from_stop_id,to_stop_id,transfer_type,min_transfer_time", "quay,park,2,45", "park,quay,3,45", "quay,nowhere,2,45", "fort,dome,2,150"],
+        "stop_times": ["r2,,,elm,70", "r3,08:00:00,08:00:00,nowhere,60", "unknown,07:00:00,07:00:00,ash,0", "n1,,09:15:00,ivy,80", "solo,07:00:00,07:00:00,ash,0"],
+        "trips": ["solo,LOOP,WEEKDAYS,Alone"],
+        "stops": ["bad,Bad Halt,abc,9.2", "blank,,,", "ash,New Ash,47.1,9.1"],
+        "calendar_dates": ["service_id,date,exception_type", "WEEKDAYS,20260310,2", "SATURDAYS,2026-03-11,1", "FAIR,20260314,1"],
+        "transfers": ["from_stop_id,to_stop_id,transfer_type,min_transfer_time", "ash,fir,2,45", "fir,ash,3,45", "ash,nowhere,2,45", "elm,cedar,2,150"],
     }
     feed = load_feed(spark, write_feed(tmp_path / "feed", extra))
-    assert {r.metric: r.value for r in feed_counts(feed).collect()} == {"stops": 8, "routes": 3, "trips": 12, "stop_times": 36, "services": 3, "exceptions": 2, "transfers": 2}
+    assert {r.metric: r.value for r in feed_counts(feed).collect()} == {"stops": 10, "routes": 2, "trips": 16, "stop_times": 68, "services": 3, "exceptions": 2, "transfers": 2}
     named = {r.stop_id: r for r in feed.stops.collect()}
-    assert named["blank"].name == "blank" and named["blank"].lat != named["blank"].lat and named["quay"].name == "New Quay" and named["quay"].stop_ord == 0
-    late = [(r.arr, r.dep) for r in feed.stop_times.filter("trip_id = 'l1'").orderBy("pos").collect()][-1]
-    assert late == (29_700, 29_700)
+    assert named["blank"].name == "blank" and named["blank"].lat != named["blank"].lat
+    assert named["ash"].name == "New Ash" and named["ash"].stop_ord == min(r.stop_ord for r in named.values())
+    late = [(r.arr, r.dep) for r in feed.stop_times.filter("trip_id = 'n1'").orderBy("pos").collect()][-1]
+    assert late == (at(9, 15), at(9, 15))
     # Stops without coordinates walk nowhere; a declared transfer takes at least a minute.
-    assert {(r.from_stop, r.to_stop): r.seconds for r in footpaths(feed.stops, feed.transfers).collect()} == {("fort", "dome"): 150, ("dome", "fort"): 63, ("quay", "park"): 60}
+    assert {(r.from_stop, r.to_stop): r.seconds for r in footpaths(feed.stops, feed.transfers).collect()} == {("elm", "cedar"): 150, ("cedar", "elm"): 86, ("ash", "fir"): 60}
 
 
 def test_quoted_newlines(spark, tmp_path):
-    feed = load_feed(spark, write_feed(tmp_path / "feed", {"trips": ['q,HARBOUR,WORKDAYS,"Fort\nby night"'], "stop_times": ["q,20:00:00,20:00:00,quay,1", "q,20:09:00,20:09:00,fort,2"]}))
-    assert feed.trips.filter("trip_id = 'q'").first().headsign == "Fort\nby night"
-    assert feed.trips.count() == 13
+    feed = load_feed(spark, write_feed(tmp_path / "feed", {"trips": ['q,LOOP,WEEKDAYS,"Round\nby night"'], "stop_times": ["q,20:00:00,20:00:00,ash,1", "q,20:05:00,20:05:00,birch,2"]}))
+    assert feed.trips.filter("trip_id = 'q'").first().headsign == "Round\nby night"
+    assert feed.trips.count() == 17
+
+
+@pytest.mark.parametrize(("letters", "longest", "quoted"), [('xy,"\n é', 12, True), ('xy" ', 12, False), ('x,"\n\n\n\n', 90, True)])
+def test_csv_in_splits(spark, tmp_path, letters, longest, quoted):
+    """Splits of 160 bytes: records that begin in one and end in the next but one, splits without any beginning, and quotes that are letters."""
+    rng, rows, text = random.Random(longest), [], "\ufeffa, b,c\r\n"
+    for k in range(100):
+        values = ["".join(rng.choice(letters) for _ in range(rng.randint(0, longest))) for _ in range(3)]
+        if not "".join(values).strip():
+            continue
+        rows.append([v or None for v in values])
+        text += ",".join('"' + v.replace('"', '""') + '"' if quoted or v.startswith('"') else v for v in values) + rng.choice(["\n", "\r\n"]) + "\n" * (k % 20 == 0)
+    (tmp_path / "x.csv").write_bytes(text.encode())
+    settings = {"spark.sql.files.maxPartitionBytes": "160", "spark.sql.files.openCostInBytes": "1"}
+    before = {k: spark.conf.get(k) for k in settings}
+    try:
+        for k, v in settings.items():
+            spark.conf.set(k, v)
+        read = read_csv(spark, str(tmp_path / "x.csv"))
+        assert read.columns == ["_ord", "a", "b", "c"] and spark.read.text(str(tmp_path / "x.csv")).rdd.getNumPartitions() > 8
+        assert [[r.a, r.b, r.c] for r in read.orderBy("_ord").collect()] == rows
+        (tmp_path / "x.csv").write_text(text + 'x,"y')
+        with pytest.raises(CsvError, match="never closed"):
+            read_csv(spark, str(tmp_path / "x.csv"))
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+
+
+def test_parts_of_a_file_come_in_the_order_of_their_names(spark, tmp_path):
+    (tmp_path / "x").mkdir()
+    for name, n in (("part-2", 900), ("part-0", 3), ("part-1", 40)):
+        (tmp_path / "x" / name).write_text("a,b\n" + "".join(f"{name},{k}\n" for k in range(n)))
+    got = [(r.a, int(r.b)) for r in read_csv(spark, str(tmp_path / "x")).orderBy("_ord").collect()]
+    assert got == [(name, k) for name, n in (("part-0", 3), ("part-1", 40), ("part-2", 900)) for k in range(n)]
+    (tmp_path / "empty").write_text("")
+    assert read_csv(spark, str(tmp_path / "empty")).columns == ["_ord"]
 
 
 def test_stop_order_is_by_sequence(spark, tmp_path):
-    feed = load_feed(spark, write_feed(tmp_path / "feed", {"trips": ["late,HARBOUR,WORKDAYS,x"], "stop_times": ["late,21:20:00,21:20:00,fort,9", "late,21:00:00,21:00:00,quay,2", "late,21:08:00,21:08:00,mill,4"]}))
-    assert [r.stop_id for r in feed.stop_times.filter("trip_id = 'late'").orderBy("pos").collect()] == ["quay", "mill", "fort"]
+    feed = load_feed(spark, write_feed(tmp_path / "feed", {"trips": ["late,RAIL,WEEKDAYS,x"], "stop_times": ["late,21:20:00,21:20:00,gorse,9", "late,21:00:00,21:00:00,elm,2", "late,21:08:00,21:08:00,fir,4"]}))
+    assert [r.stop_id for r in feed.stop_times.filter("trip_id = 'late'").orderBy("pos").collect()] == ["elm", "fir", "gorse"]
 
 
 HEAD = "stop_id,stop_name,stop_lat,stop_lon,location_type,parent_station"
@@ -127,42 +170,87 @@ def test_places(spark, tmp_path):
     assert meant == {"moat / alder": "x1", "alder moat": "x1", "rue dete": "e1", "p2": "STA", "STA": "STA"}
 
 
-def test_first_come_clusters(spark):
-    """A chain of stops 200 m apart, in an odd order, and the ids that clusters get beside a stop of the same id."""
+@pytest.mark.parametrize("most", [1000, 20, 1])
+def test_first_come_clusters(spark, most):
+    """A chain of stops 200 m apart, in an odd order, and the ids that clusters get beside a stop of the same id: in one task, by components, and in rounds."""
     rng = random.Random(6)
     rows = [(k, f"s{k}", f"Long Street {'ABCDEFGHJK'[k % 10]}", 51.0 + 0.0018 * rng.randrange(60), 4.0, "", 0) for k in range(60)] + [(60, "long street#1", "Elsewhere", 52.0, 4.0, "", 0)]
-    stops = spark.createDataFrame(rows, "stop_ord long, stop_id string, name string, lat double, lon double, parent string, location_type int")
+    stops = spark.createDataFrame(rows, STOP)
     seeds, want = [], {}
     for k, stop_id, _, lat, *_ in rows[:60]:
         near = [s for s in seeds if abs(s[1] - lat) < 0.00224]
         if not near:
             seeds.append((k, lat, stop_id if not seeds else f"long street#{len(seeds)}" if len(seeds) > 1 else f"long street#1@{stop_id}"))
         want.setdefault((near or seeds[-1:])[0][2], []).append(stop_id)
-    assert {r.place_id: r.stop_ids for r in build_places(stops).collect()} == {k: sorted(v) for k, v in want.items()} | {"long street#1": ["long street#1"]}
+    assert {r.place_id: r.stop_ids for r in build_places(stops, most).collect()} == {k: sorted(v) for k, v in want.items()} | {"long street#1": ["long street#1"]}
 
 
-def test_large_batches_are_searched_by_letters(spark, harbour, monkeypatch):
-    places = build_places(harbour.stops)
-    asked = spark.createDataFrame([(q,) for q in ("s", "st", "stop", "dome stop", "stop do", "o s", "ark", "zz", "q st", "", None)], "query string")
+STOP = "stop_ord long, stop_id string, name string, lat double, lon double, parent string, location_type int"
+
+
+def test_a_long_chain_takes_few_jobs(spark):
+    """2000 stops along a street, each 200 m from the next: every other one is a place."""
+    stops = spark.range(2000).select(F.col("id").alias("stop_ord"), F.concat(F.lit("s"), F.col("id")).alias("stop_id"), F.lit("Long Street").alias("name"), (F.col("id") * 0.0018).alias("lat"), F.lit(4.0).alias("lon"), F.lit("").alias("parent"), F.lit(0).alias("location_type"))
+    spark.sparkContext.setJobGroup("chain", "chain")
+    try:
+        found = build_places(stops)
+        jobs = len(spark.sparkContext.statusTracker().getJobIdsForGroup("chain"))
+    finally:
+        spark.sparkContext._jsc.clearJobGroup()
+    assert found.count() == 1000 and jobs < 40
+
+
+def test_crowded_cells_are_cut_up(spark):
+    """Pairs within a radius are the same however many stops a cell may hold."""
+    rng = random.Random(4)
+    rows = [(k, f"s{k}", "x", 47.0 + rng.random() * (0.004 if k % 3 else 0.02), 9.0 + rng.random() * 0.006, "", 0) for k in range(300)] + [(k, f"s{k}", "x", 47.001, 9.001, "", 0) for k in range(300, 330)]
+    stops = spark.createDataFrame(rows, STOP)
+    want = sorted(map(tuple, generated_footpaths(stops).collect()))
+    assert len(want) == sum(metres_between(a[3], a[4], b[3], b[4]) <= 400 for a in rows for b in rows if a is not b)
+    assert sorted(map(tuple, generated_footpaths(stops, crowded=5).collect())) == want
+    points = spark.createDataFrame([(k, 47.0 + rng.random() * 0.004, 9.0 + rng.random() * 0.006) for k in range(40)], "point_id int, lat double, lon double")
+    assert sorted(map(tuple, walkable_from(points, stops, crowded=5).collect())) == sorted(map(tuple, walkable_from(points, stops).collect()))
+
+
+def test_large_batches_are_searched_by_letters(spark, valley, monkeypatch):
+    places = build_places(valley.stops)
+    asked = spark.createDataFrame([(q,) for q in ("h", "ha", "halt", "elm halt", "halt el", "a h", "azel", "zz", "q ha", "", None)], "query string")
     rows = lambda: sorted(map(tuple, search_places(places, asked).collect()))
     few = rows()
     monkeypatch.setattr(place_search, "SMALL_BATCH", 0)
-    assert rows() == few and len({r[0] for r in few}) == 8
+    assert rows() == few and len({r[0] for r in few}) == 7
 
 
-def test_door_to_door(spark, harbour):
-    near = walkable_from(spark.createDataFrame([(1, 51.9003, 4.3997), (2, 40.0, 4.0)], "point_id int, lat double, lon double"), harbour.stops)
-    assert [(r.point_id, r.stop_id, r["rank"], r.seconds) for r in near.collect()] == [(1, "quay", 1, 60)]
-    timetable = build_timetable(harbour.trips, harbour.stop_times, footpaths(harbour.stops, harbour.transfers))
-    asked = spark.createDataFrame([(1, 23_340)], "query_id int, depart int")
-    ends = spark.createDataFrame([(1, "origin", "quay", 60), (1, "target", "dome", 120)], "query_id int, side string, stop_id string, walk int")
+def test_door_to_door(spark, valley):
+    near = walkable_from(spark.createDataFrame([(1, 47.1003, 9.1), (2, 40.0, 4.0)], "point_id int, lat double, lon double"), valley.stops)
+    assert [(r.point_id, r.stop_id, r["rank"], r.seconds) for r in near.collect()] == [(1, "ash", 1, 60)]
+    timetable = build_timetable(valley.trips, valley.stop_times, footpaths(valley.stops, valley.transfers))
+    asked = spark.createDataFrame([(1, at(6, 59))], "query_id int, depart int")
+    ends = spark.createDataFrame([(1, "origin", "ash", 60), (1, "target", "elm", 120)], "query_id int, side string, stop_id string, walk int")
     legs = journey_legs(plan(timetable, asked, ends), timetable)
     whole = merge_walks(with_doors(legs, ends)).orderBy("leg_no").collect()
-    assert [(r.kind, hms(r.depart), hms(r.arrive)) for r in whole] == [("walk", "06:29:00", "06:30:00"), ("ride", "06:30:00", "06:41:00"), ("walk", "06:41:00", "06:44:03")]
-    found, named = journeys(legs, asked), named_legs(legs, harbour)
-    assert [r.line for r in summary(found).collect()] == ["06:30:00 → 06:42:03  (13 min total, 1 min wait, 0 transfers, 1 min walking)"]
-    assert [r.line for r in describe(named).orderBy("leg_no").collect()] == ["06:30:00  route H to Fort from Quay Stop (2 stops)\n06:41:00  arrive Fort Stop", "06:41:00  walk 1 min to Dome Stop"]
-    assert '"tag":"fastest"' in as_json(found, named).first().payload
+    assert [(r.kind, hms(r.depart), hms(r.arrive)) for r in whole] == [("walk", "06:59:00", "07:00:00"), ("ride", "07:00:00", "07:10:00"), ("walk", "07:10:00", "07:13:26")]
+    found, named = journeys(legs, asked), named_legs(legs, valley)
+    assert [r.line for r in summary(found).collect()] == ["07:00:00 → 07:11:26  (12 min total, 1 min wait, 0 transfers, 1 min walking)"]
+    assert [r.line for r in describe(named).orderBy("leg_no").collect()] == ["07:00:00  route L to Round from Ash Halt (2 stops)\n07:10:00  arrive Cedar Halt", "07:10:00  walk 1 min to Elm Halt"]
+    assert [(r.badge, r.tag) for r in tags(found).collect()] == [("", "fastest")]
+    payload = json.loads(as_json(found, with_points(named, valley)).first().payload)
+    ride, walk = payload["journeys"][0]["legs"]
+    assert [p["name"] for p in ride["points"]] == ["Ash Halt", "Birch Halt", "Cedar Halt"] and walk["points"] == [{"id": "cedar", "name": "Cedar Halt", "lat": 47.12, "lon": 9.14}, {"id": "elm", "name": "Elm Halt", "lat": 47.1208, "lon": 9.14}]
+
+
+def test_requests_are_answered_in_turn(spark, valley):
+    places, day, other = build_places(valley.stops), dt.date(2026, 3, 9), dt.date(2027, 3, 9)
+    requests = spark.createDataFrame([
+        (1, "Ash Halt", "fir", day), (2, "halt", "fir", day), (3, "fir", "nowhere", day), (4, "  ", "fir", day), (5, "fir", " fir", day), (6, "fir", "ash", other), (7, "7  MILL lane", "fir", day), (8, "Far Lane", "fir", day), (9, "high pass", "fir", day), (10, None, None, None), (11, "fir", "ash", None),
+    ], "request_id int, origin string, target string, day date")
+    gazetteer = spark.createDataFrame([(1, "7 Mill Lane, Lower Town, , Valley", 47.1001, 9.1001), (2, "7 mill lane", 47.15, 9.18), (3, "Far Lane", 12.0, 9.0), (4, "High Pass", 47.25, 9.3)], "rank int, name string, lat double, lon double")
+    found = answer(requests, places, valley.stops, gazetteer, service_window(valley))
+    got = {r.request_id: r for r in found.answers.collect()}
+    assert {k: r.status for k, r in got.items()} == {1: "ready", 2: "ambiguous", 3: "missing", 4: "blank", 5: "same", 6: "outside window", 7: "ready", 8: "missing", 9: "missing", 10: "blank", 11: "ready"}
+    assert (got[7].origin_name, got[7].origin_stops, got[1].origin_name) == ("7 Mill Lane, Lower Town", 1, "Ash Halt")
+    assert {(r.request_id, r.side, r.stop_id, r.walk) for r in found.endpoints.collect() if r.request_id in (1, 7)} == {(1, "origin", "ash", 0), (1, "target", "fir", 0), (7, "origin", "ash", 60), (7, "target", "fir", 0)}
+    assert [r.place_id for r in found.suggestions.filter("token = 'halt'").orderBy("rank").collect()] == ["ash", "elm", "fir", "ivy", "birch", "cedar"]
 
 
 def test_generated_city(spark, tmp_path):
@@ -177,11 +265,11 @@ def test_command_line(spark, tmp_path, capsys):
 
     feed = write_feed(tmp_path / "feed")
     assert main(["info", feed]) == 0 and "routing patterns" in capsys.readouterr().out
-    assert main(["stops", feed, "--search", "stop"]) == 0 and "Dome Stop" in capsys.readouterr().out
+    assert main(["stops", feed, "--search", "halt"]) == 0 and "Elm Halt" in capsys.readouterr().out
     assert main(["stops", feed, "--search", "nothing such"]) == 1
-    assert main(["plan", feed, "--from", "Quay Stop", "--to", "lake", "--at", "06:30", "--date", "2026-03-02"]) == 0
+    assert main(["plan", feed, "--from", "Dogwood Halt", "--to", "birch", "--at", "07:15", "--date", "2026-03-09"]) == 0
     out = capsys.readouterr().out
-    assert "[fastest] 06:30:00 → 07:01:00" in out and "[fewer changes] 06:40:00 → 07:35:00" in out
-    assert main(["plan", feed, "--from", "quay", "--to", "lake", "--date", "2027-03-01"]) == 1 and "no service" in capsys.readouterr().out
-    assert main(["plan", feed, "--from", "quay", "--to", "quay"]) == 1 and main(["info", str(tmp_path / "none")]) == 2
-    assert main(["benchmark", feed, "--queries", "3", "--weekday", "0"]) == 0
+    assert "[fastest] 07:15:00 → 07:25:00" in out and "[fewer changes] 07:20:00 → 07:30:00" in out
+    assert main(["plan", feed, "--from", "ash", "--to", "elm", "--date", "2027-03-01"]) == 1 and "no service" in capsys.readouterr().out
+    assert main(["plan", feed, "--from", "ash", "--to", "ash"]) == 1 and main(["info", str(tmp_path / "none")]) == 2
+    assert main(["benchmark", feed, "--queries", "30", "--weekday", "0"]) == 0 and capsys.readouterr().out.startswith("30 queries")
