@@ -1,37 +1,7 @@
-"""Connected components by alternating large and small stars."""
+"""Connected components, as the library has them."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
+from ..graph import components
 
-from .common import Scratch
-
-
-def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
-    """(node, component) of all ends of edges (a, b); a component is named by its smallest node.
-
-    Each round hangs every node's larger neighbours, then its smaller ones,
-    under its smallest neighbour; the number of edges never grows, and rounds
-    grow with the logarithm of a component's size.  No node's neighbours are
-    ever brought together: they are reduced to a minimum in each task first.
-    """
-    now = scratch.write(edges.filter("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
-    state = _state(now)
-    while True:
-        both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = scratch.write(both.join(least, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct())
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u").filter("v > m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.withColumnRenamed("m", "v"))
-        after = scratch.write(small.distinct())
-        scratch.drop(now)
-        scratch.drop(large)
-        now, before, state = after, state, _state(after)
-        if state == before:
-            break
-    return now.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(now.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
-
-
-def _state(edges: DataFrame) -> tuple:
-    return tuple(edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)"))).first())
+__all__ = ["components"]

@@ -18,7 +18,9 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, per_class: i
 
     Rows of the held-out fold, labels other than 0 and 1, and ids with two
     different labels are left out.  The chosen ids are few enough to broadcast
-    (2 * per_class), so the documents are only scanned.
+    (2 * per_class), so the documents are only scanned.  An id that is there
+    several times among the documents gives as many rows, so the bound is on
+    ids where ids repeat.
     """
     one = labels.filter(F.col(label).isin(0, 1) & F.col(id_col).isNotNull() & ~held_out(id_col)).groupBy(F.col(id_col).alias("id")).agg(F.min(label).alias("label"), F.max(label).alias("_other"))
     one = one.filter("label = _other").select("id", "label")

@@ -22,9 +22,13 @@ TREES, SEED = 8, 11
 LEAF, SPILL = 256, 0.5
 #: A node is not split further if this share of its sample's pairs is linked, judged on SEEN_MOST rows at most.
 DENSE, SEEN_MOST = 0.25, 64
+#: A node is not split further, either, if more of its sample than this share lies so near the split that it goes to both sides: beyond 0.41 the two parts take more comparisons than the whole.
+BOTH = 0.3
 #: Sample rows that the deepest nodes of the first splits have on average, at least.
 SEEN = 8
-#: Vectors that the first splits are fitted on, at most; every vector is indexed.  These splits go down 11 levels at most, so every task can hold them.
+#: Levels that the first splits go down at most.
+DEEPEST = 11
+#: Vectors that the first splits are fitted on, at most; every vector is indexed.  These splits go down DEEPEST levels at most, so every task can hold them.
 SAMPLE = 20_000
 #: Vectors of a leaf compared in one task; a larger leaf is split again, LEVELS at a time, on about NODE_SAMPLE vectors of its own, and compared block against block if it is dense.
 BLOCK, LEVELS, NODE_SAMPLE = 2048, 4, 512
@@ -36,18 +40,25 @@ def _dense(x: np.ndarray, cosine: float) -> bool:
     return bool((x @ x.T >= cosine).sum() - len(x) >= DENSE * len(x) * (len(x) - 1))
 
 
+def _spills(p: np.ndarray, cut: float, margin: float) -> bool:
+    """Whether a split leaves too much of a node's sample on both sides, beyond what chance does to a small sample."""
+    return (np.abs(p - cut) <= margin).sum() > BOTH * len(p) + 0.3 * math.sqrt(len(p))
+
+
 class Forest:
     """One random direction for each tree and level; in each node a threshold near the middle of its sample, and a spill margin.
 
     A node full of linked pairs is a leaf whatever its size: a split would part
     them, and its leaf is compared block by block at a cost in proportion to
-    its links.
+    its links.  So is one whose vectors are so near each other, linked or not,
+    that a split puts too many on both sides.
     """
 
     def __init__(self, sample: np.ndarray, count: int, seed: int = SEED, cosine: float = COSINE):
         self.depth = max(0, math.ceil(math.log2(max(count, 1) / LEAF)))
         most = max(0, math.floor(math.log2(max(len(sample), 1) / SEEN))) if len(sample) < count else self.depth
         #: Whether leaves are larger than the depth should make them, and need further splits.
+        most = min(most, DEEPEST)
         self.depth, self.deep = min(self.depth, most), self.depth > most
         rng = np.random.default_rng(seed)
         dim = sample.shape[1]
@@ -66,13 +77,21 @@ class Forest:
                 filled = sizes > 0
                 cut = np.where(filled, p[order][at], 0.0)
                 for node in np.flatnonzero((sizes > 1) & ~whole):
-                    whole[node] = _dense(sample[order[firsts[node] : firsts[node] + sizes[node]]], cosine)
+                    own = order[firsts[node] : firsts[node] + sizes[node]]
+                    whole[node] = _spills(p[own], cut[node], margin) or _dense(sample[own], cosine)
                 # All of a whole node goes to the left, down to the last level.
                 self.thresholds.append(np.where(whole, np.inf, cut))
                 self.margins.append(np.where(whole, 0.0, margin))
                 nodes = 2 * nodes + (p > self.thresholds[-1][nodes])
                 whole = np.stack([whole, np.zeros_like(whole)], axis=1).ravel()
 
+    def homes(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(row, home) of all leaves that rows are in, by row and home."""
+        found = [(r, _name(np.int64(t), self.depth, n)) for t, (r, n) in enumerate(self.leaves(x))]
+        rows, home = (np.concatenate(c) for c in zip(*found, strict=True))
+        order = np.lexsort((home, rows))
+        return rows[order], home[order]
+
     def leaves(self, x: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         """For each tree, rows and the leaves they are in; a row near a split is on both sides."""
         for t in range(TREES):
@@ -109,70 +128,63 @@ def _unit(x: np.ndarray) -> np.ndarray:
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
+def _homes(vectors: np.ndarray, dim: int, forests: dict[int, Forest]) -> tuple[np.ndarray, np.ndarray]:
+    """(row, home) of vectors of one length; those of lengths without a forest share one leaf."""
+    if dim in forests:
+        return forests[dim].homes(vectors)
+    return np.arange(len(vectors)), np.full(len(vectors), _name(np.int64(0), 0, np.int64(0)))
+
+
 def _indexed(vectors: DataFrame, forests: dict[int, Forest]) -> DataFrame:
-    """(dim, home, id, copies, vector, homes): each vector in each of its leaves; homes are all its leaves."""
+    """(dim, home, id, copies, vector): each vector in each of its leaves."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             dims = batch.column("dim").to_numpy()
             for dim in np.unique(dims):
                 part = batch.filter(pa.array(dims == dim))
-                forest = forests[int(dim)]
-                x = _unit(_matrix(part.column("vector")))
-                found = [(np.full(len(r), t), r, n) for t, (r, n) in enumerate(forest.leaves(x))]
-                tree, rows, leaf = (np.concatenate(c) for c in zip(*found, strict=True))
-                home = _name(tree, forest.depth, leaf)
-                order = np.lexsort((home, rows))
-                sizes = np.bincount(rows, minlength=len(x))
-                homes = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]), pa.int32()), pa.array(home[order]))
-                take = pa.array(rows[order])
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.full(len(order), dim, np.int32)), pa.array(home[order]), part.column("id").take(take), part.column("copies").take(take), part.column("vector").take(take), homes.take(take)],
-                    ["dim", "home", "id", "copies", "vector", "homes"],
-                )
+                rows, home = _homes(_unit(_matrix(part.column("vector"))), int(dim), forests)
+                take = pa.array(rows)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(rows), dim, np.int32)), pa.array(home), *(part.column(c).take(take) for c in ("id", "copies", "vector"))], ["dim", "home", "id", "copies", "vector"])
 
     kind = vectors.schema["vector"].dataType.elementType.simpleString()
-    return vectors.mapInArrow(run, f"dim int, home long, id long, copies long, vector array<{kind}>, homes array<long>")
+    return vectors.mapInArrow(run, f"dim int, home long, id long, copies long, vector array<{kind}>")
 
 
 def _node_splits(rows: pd.DataFrame, cosine: float) -> pd.DataFrame:
-    """(dim, home, cuts) of a node's sample: the thresholds of LEVELS further levels, node by node; none of a dense node, which is a leaf."""
+    """(dim, home, cuts) of a node's sample: the thresholds of LEVELS further levels, node by node; none of a node that is not to be split, which is a leaf."""
     dim, home = int(rows["dim"].iloc[0]), int(rows["home"].iloc[0])
     (tree,), (depth,) = _tree_and_depth(np.array([home]))
     x, rng = _unit(np.stack(rows.sort_values("id", kind="stable")["vector"].to_numpy()).astype(np.float64)), np.random.default_rng([SEED, home])
+    margin = SPILL * math.sqrt(2 * max(1 - cosine, 0)) / math.sqrt(dim)
     cuts, nodes = np.full((1 << LEVELS) - 1, np.inf), np.zeros(len(x), np.int64)
     for level in range(LEVELS):
         p = x @ _direction(dim, int(tree), int(depth) + level)
         for node in range(1 << level):
             own = np.flatnonzero(nodes == node)
             if len(own) > 1 and not _dense(x[own], cosine):
-                cuts[(1 << level) - 1 + node] = np.quantile(p[own], rng.uniform(0.4, 0.6))
+                cut = np.quantile(p[own], rng.uniform(0.4, 0.6))
+                cuts[(1 << level) - 1 + node] = np.inf if _spills(p[own], cut, margin) else cut
         nodes = 2 * nodes + (p > cuts[(1 << level) - 1 + nodes])
     return pd.DataFrame({"dim": [dim], "home": [home], "cuts": [cuts if np.isfinite(cuts[0]) else None]})
 
 
 def _refined(placed: DataFrame, cosine: float, block: int, scratch: Scratch) -> DataFrame:
-    """placed (dim, home, id, copies, vector, homes), with every leaf over ``block`` vectors split further unless it is dense.
+    """placed (dim, home, id, copies, vector), with homes, after every leaf over ``block`` vectors is split further where that makes it smaller.
 
     A round samples each such leaf by a hash, fits its splits in a task of its
-    own, and sends its vectors down by a join; rounds grow with the logarithm
-    of the largest leaf, and end when it shrinks no more.
+    own, and sends its vectors down by a join; a leaf without a split is done,
+    and the others go on.  Rounds grow with the logarithm of the largest leaf.
     """
-    done, open_, largest = [], placed, math.inf
-    while True:
+    done, open_, depth = [], placed, DEEPEST
+    while depth + LEVELS <= 55:  # bits of a path
         sizes = scratch.write(open_.groupBy("dim", "home").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > block))
-        now = sizes.agg(F.max("n")).first()[0] or 0
-        if now > 0.9 * largest:
-            break
-        largest = now
         chosen = open_.join(sizes, ["dim", "home"]).filter(F.pmod(F.xxhash64("home", "id"), F.col("n")) < NODE_SAMPLE).select("dim", "home", "id", "vector")
         splits = scratch.write(chosen.groupBy("dim", "home").applyInPandas(lambda rows: _node_splits(rows, cosine), "dim int, home long, cuts array<double>").filter("cuts is not null"))
         if splits.isEmpty():
             break
         done.append(open_.join(splits, ["dim", "home"], "left_anti"))
-        open_ = scratch.write(_descended(open_.join(splits, ["dim", "home"]), cosine))
-    if not done:
-        return placed
+        open_, depth = scratch.write(_descended(open_.join(splits, ["dim", "home"]), cosine)), depth + LEVELS
     rows = scratch.write(reduce(DataFrame.unionByName, [d.select("dim", "home", "id", "copies", "vector") for d in (*done, open_)]))
     return rows.join(rows.groupBy("id").agg(F.sort_array(F.collect_set("home")).alias("homes")), "id")
 
@@ -232,19 +244,26 @@ def _share_one(sets: list[np.ndarray], a: np.ndarray, b: np.ndarray, width: int
     return out
 
 
-def _compare(rows: pd.DataFrame, cosine: float) -> pd.DataFrame:
+def _compare(rows: pd.DataFrame, cosine: float, forests: dict[int, Forest]) -> pd.DataFrame:
     """(id, links, root) of the linked vectors of a leaf or of two of its blocks.
 
-    A pair counts in the first leaf that its vectors share, and nowhere else.
+    A pair counts in the first leaf that its vectors share, and nowhere else:
+    the leaves of both are computed again here, or, where leaves were split
+    further, listed in homes.
     """
-    home, side = int(rows["home"].iloc[0]), rows["second"].to_numpy()
-    rows = rows.assign(rank=rows["id"]).sort_values("id", kind="stable")
+    home, dim = int(rows["home"].iloc[0]), int(rows["dim"].iloc[0])
+    rows = rows.sort_values("id", kind="stable")
     side = rows["second"].to_numpy()
     x, ids, copies = _unit(np.stack(rows["vector"].to_numpy()).astype(np.float64)), rows["id"].to_numpy(), rows["copies"].to_numpy()
     mixed = bool(side.any()) and not bool(side.all())
     left, right = (np.flatnonzero(~side), np.flatnonzero(side)) if mixed else (np.arange(len(x)),) * 2
     out = {"id": np.zeros(0, np.int64), "links": np.zeros(0, np.int64), "root": np.zeros(0, np.int64)}
-    earlier = [np.asarray(h)[np.asarray(h) < home] for h in rows["homes"]]
+    if "homes" in rows.columns:
+        earlier = [np.asarray(h)[np.asarray(h) < home] for h in rows["homes"]]
+    else:
+        at, homes = _homes(x, dim, forests)
+        at, homes = at[homes < home], homes[homes < home]
+        earlier = np.split(homes, np.cumsum(np.bincount(at, minlength=len(x)))[:-1])
     if any(map(len, earlier)) and (np.unique(np.concatenate(earlier), return_counts=True)[1] == len(x)).any():
         return pd.DataFrame(out)  # all share an earlier leaf
     pairs = []
@@ -274,17 +293,21 @@ def near_duplicate_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_co
     forest; n_links counts all rows of the classes linked.  Vectors that are
     null, empty, zero, or hold null or non-finite components, and rows without
     an id, link with nothing and stay.  Vectors of different lengths never
-    link.  An empty table gives no rows; other columns are not read.
+    link.  An id that is there with several vectors is as many rows, each with
+    the links of its own vector.  An empty table gives no rows; other columns
+    are not read.
 
     The first splits are fitted on ``sample`` vectors, later ones on a sample
     of each leaf that still has more than ``block``.
     """
     spark, scratch = vectors.sparkSession, Scratch(vectors.sparkSession, "vectors")
     rows = vectors.select(F.col(id_col).alias("id"), F.col(vector_col).alias("vector")).withColumn("usable", _usable(F.col("vector")) & F.col("id").isNotNull())
-    classes = scratch.write(rows.filter("usable").groupBy("vector").agg(F.min("id").cast("long").alias("id"), F.count(F.lit(1)).alias("copies")).withColumn("dim", F.size("vector")))
+    classes = rows.filter("usable").groupBy("vector").agg(F.min("id").cast("long").alias("first"), F.count(F.lit(1)).alias("copies")).withColumn("dim", F.size("vector"))
+    # A class has a number of its own, as an id may be there with several vectors; written, so that it stays.
+    classes = scratch.write(classes.withColumn("id", F.monotonically_increasing_id()))
     forests = {}
-    for r in classes.groupBy("dim").agg(F.count(F.lit(1)).alias("n")).collect():
-        chosen = classes.filter(F.col("dim") == r["dim"]).orderBy(F.xxhash64(F.lit(SEED), F.col("id")), "id").limit(sample).select("vector").toPandas()["vector"]
+    for r in classes.groupBy("dim").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > LEAF).collect():
+        chosen = classes.filter(F.col("dim") == r["dim"]).orderBy(F.xxhash64(F.lit(SEED), F.col("vector")), "first").limit(sample).select("vector").toPandas()["vector"]
         forests[r["dim"]] = Forest(_unit(np.stack(chosen.to_numpy()).astype(np.float64)), r["n"], cosine=cosine)
     placed = _indexed(classes, forests)
     # A table whose leaves the first splits make small enough is not split again.
@@ -294,13 +317,16 @@ def near_duplicate_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_co
     sizes = placed.groupBy("dim", "home").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("blocks")).filter("blocks > 1")
     placed = placed.join(scratch.write(sizes), ["dim", "home"], "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
     placed = placed.withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
-    placed = placed.select("*", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
-    placed = placed.select("dim", "home", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), (F.col("block") > F.col("other")).alias("second"), "id", "copies", "vector", "homes")
-    found = scratch.write(placed.groupBy("dim", "home", "i", "j").applyInPandas(lambda p: _compare(p, cosine), "id long, links long, root long"))
+    placed = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    placed = placed.withColumns({"i": F.least("block", "other"), "j": F.greatest("block", "other"), "second": F.col("block") > F.col("other")}).drop("blocks", "block", "other")
+    found = scratch.write(placed.groupBy("dim", "home", "i", "j").applyInPandas(lambda p: _compare(p, cosine, forests), "id long, links long, root long"))
     links = found.groupBy("id").agg(F.sum("links").alias("links"))
-    named = components(found.select(F.col("id").alias("a"), F.col("root").alias("b")), scratch)
-    result = classes.join(links, "id", "left").join(named.withColumnRenamed("node", "id"), "id", "left").select(
-        F.col("vector").alias("class_vector"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("component", "id").alias("component_id")
+    named = scratch.write(components(found.select(F.col("id").alias("a"), F.col("root").alias("b")), scratch))
+    # A component is called by its smallest id.
+    called = scratch.write(named.join(classes.select(F.col("id").alias("node"), "first"), "node").groupBy("component").agg(F.min("first").alias("component_id")))
+    named = named.join(called, "component").select(F.col("node").alias("id"), "component_id")
+    result = classes.join(links, "id", "left").join(named, "id", "left").select(
+        F.col("vector").alias("class_vector"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("component_id", "first").alias("component_id")
     )
     linked = rows.filter("usable").join(result, F.col("vector") == F.col("class_vector")).select("id", "n_links", "component_id")
     alone = rows.filter("not usable").select("id", F.lit(0).cast("long").alias("n_links"), F.col("id").cast("long").alias("component_id"))

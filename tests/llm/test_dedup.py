@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 import hashlib
+import math
 import random
 import re
 from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from headway.llm import ngram_join
 from headway.llm.exact_dedup import drop_exact_duplicates, exact_duplicates
@@ -264,6 +266,36 @@ def test_deep_forests_find_what_brute_force_finds(spark):
     assert want > 5000 and found >= 0.9 * want and missed <= 0.1 * len(ids)
 
 
+@pytest.mark.parametrize("share", [0.3, 0.02])
+@pytest.mark.parametrize("dim", [64, 256])
+def test_groups_that_are_near_but_not_linked_have_few_copies(dim, share):
+    """Vectors at cosine 0.93 to each other lie near any split of them: they are left whole, not copied to both sides at each level."""
+    rng = np.random.default_rng(0)
+    unit = lambda x: x / np.linalg.norm(x, axis=1, keepdims=True)
+    near = unit(math.sqrt(0.93) * unit(rng.standard_normal((1, dim))) + math.sqrt(0.07) * unit(rng.standard_normal((20_000, dim))))
+    n = int(20_000 * share)
+    forest = Forest(rng.permutation(np.concatenate([unit(rng.standard_normal((20_000 - n, dim))), near[:n]])), 400_000)
+    assert forest.depth == 11 and sum(len(rows) for rows, _ in forest.leaves(near)) < 60 * len(near)
+
+
+def test_an_id_with_several_vectors_is_several_rows(spark):
+    rng = np.random.default_rng(2)
+    a, b = rng.standard_normal((2, 16))
+    near = lambda x: (x + 0.02 * rng.standard_normal(16)).tolist()
+    rows = [(1, a.tolist()), (1, b.tolist()), (2, near(a)), (3, near(b)), (4, near(b)), (9, [1.0]), (9, [1.0]), (9, [2.0, 0.0])]
+    got = sorted((r.id, r.n_links, r.component_id) for r in near_duplicate_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect())
+    assert got == [(1, 1, 1), (1, 2, 1), (2, 1, 1), (3, 2, 1), (4, 2, 1), (9, 0, 9), (9, 1, 9), (9, 1, 9)]
+
+
+def test_a_star_is_one_component(spark):
+    from headway.llm.components import components
+    from headway.storage import Scratch
+
+    edges = spark.range(20_000).select((F.col("id") * 7 % 20_011 + 5).alias("a"), F.lit(3).cast("long").alias("b")).unionByName(spark.createDataFrame([(90_001, 90_000), (90_000, 90_002)], "a long, b long"))
+    found = components(edges, Scratch(spark, "star"))
+    assert {(r.component, r["count"]) for r in found.groupBy("component").count().collect()} == {(3, 20_001), (90_000, 3)}
+
+
 def test_sets_with_a_number_in_common():
     rng = np.random.default_rng(3)
     sets = [np.unique(rng.integers(0, 300, rng.integers(0, 9))) for _ in range(60)]
