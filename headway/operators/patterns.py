@@ -116,10 +116,11 @@ def departure_index(events: DataFrame, bucket: int = BUCKET) -> DataFrame:
     onward = lowest.withColumn("trip_rank", F.min("trip_rank").over(order.rowsBetween(0, Window.unboundedFollowing)))
     steps = onward.withColumn("_next", F.lead("trip_rank").over(order)).filter("_next is null or _next <> trip_rank").withColumn("bucket", F.floor(F.col("dep") / bucket).cast("int"))
     spans = steps.groupBy(*place, "bucket").agg(F.array_sort(F.collect_list(F.struct("dep", "trip_rank"))).alias("calls"))
-    ends = spans.groupBy(*place).agg(F.min("bucket").alias("a"), F.max("bucket").alias("b"))
-    full = ends.select(*place, F.explode(F.sequence("a", "b")).alias("bucket")).join(spans, [*place, "bucket"], "left")
-    after = Window.partitionBy(*place).orderBy("bucket").rowsBetween(1, Window.unboundedFollowing)
-    return full.select(*place, "bucket", "calls", F.min(F.get("calls", F.lit(0))["trip_rank"]).over(after).alias("later"))
+    whole = spans.groupBy(*place).agg(F.array_sort(F.collect_list(F.struct("bucket", "calls"))).alias("spans"))
+    first, last = F.get("spans", F.lit(0))["bucket"], F.element_at("spans", -1)["bucket"]
+    each = whole.select(*place, "spans", F.explode(F.sequence(first, last)).alias("bucket"))
+    here, later = (F.get(F.filter("spans", f), F.lit(0))["calls"] for f in (lambda s: s["bucket"] == F.col("bucket"), lambda s: s["bucket"] > F.col("bucket")))
+    return each.select(*place, "bucket", here.alias("calls"), F.get(later, F.lit(0))["trip_rank"].alias("later"))
 
 
 def trip_in_span(ready: Column) -> Column:
