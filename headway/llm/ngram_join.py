@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from .common import Scratch, small_batches, table, whole_rows
 from .components import components
-from .sketch import MAX_CELLS, PART_SCHEMA, Counter, DenseCounter, LogSketch, TwiceSketch, cells_for, count_hashes, text_bytes
+from .sketch import MAX_CELLS, PART_SCHEMA, Counter, DenseCounter, LogSketch, TwiceSketch, cells_for, count_hashes, log_cells_for, others, text_bytes
 from .words import mix, slices, split_words, valid_starts, window_hashes, word_hashes
 
 #: Words in a shingle, and the least similarity in percent.
@@ -24,8 +24,6 @@ MOST_MATCHES = 4
 VERIFY_COST = 4.0
 #: Sizes of sets within this ratio form a band.
 BAND = 1.04
-#: Cells of the sketch of token frequencies, which only tells frequent tokens from others.
-LOG_CELLS = 1 << 20
 #: Postings of a token in one task, about; a more frequent one is dealt to several.
 HOT = 1000
 #: UTF-8 bytes for each word, about.
@@ -84,11 +82,11 @@ class _Sets:
         first, second = self.names(naming.bits)
         return np.where(np.isin(first.view(np.int64), naming.shared), mix(first ^ second), first)
 
-    def others(self, logs: LogSketch, load: float) -> np.ndarray:
+    def others(self, logs: LogSketch) -> np.ndarray:
         """About how many other texts hold each token of flat."""
-        return np.maximum(np.exp2((logs.level(self.flat).astype(np.float64) - 1) / 8) - 1 - load, 0)
+        return others(logs.level(self.flat))
 
-    def prefixes(self, logs: LogSketch, load: float, percent: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    def prefixes(self, logs: LogSketch, percent: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Which tokens of flat are in their row's prefix, each token's place in its row's order from 1, and how many prefix tokens each row asks a partner to share.
 
         Tokens are ordered by corpus frequency, then hash.  A partner shares at
@@ -102,9 +100,7 @@ class _Sets:
         key = level.astype(np.uint64) << np.uint64(56) | self.flat >> np.uint64(8)
         firsts = (np.cumsum(self.n) - self.n).tolist()
         order = np.concatenate([a + np.argsort(key[a : a + n], kind="stable") for a, n in zip(firsts, self.n.tolist(), strict=True)]) if len(key) else np.zeros(0, np.int64)
-        others = np.maximum(np.exp2((level[order].astype(np.float64) - 1) / 8) - 1 - load, 0)
-        others[others < 2 * np.sqrt(load)] = 0
-        sums = np.concatenate([[0], np.cumsum(others)])
+        sums = np.concatenate([[0], np.cumsum(others(level[order]))])
         first = np.cumsum(self.n) - self.n
         need = -(-percent * self.n // 100)
         best, matches, length = np.full(len(self.n), np.inf), np.ones(len(self.n), np.int64), np.zeros(len(self.n), np.int64)
@@ -166,10 +162,10 @@ def _postings(rows: DataFrame, logs: LogSketch, load: float, twice: TwiceSketch
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, s in _each(batches, shingle, firsts):
-            inside, place, matches = s.prefixes(logs, load, percent)
+            inside, place, matches = s.prefixes(logs, percent)
             at = np.flatnonzero(inside)
             at = at[twice.often(s.flat[at])] if twice else at
-            row, deals = s.row[at], (s.others(logs, load)[at] // most).astype(np.int64)
+            row, deals = s.row[at], (s.others(logs)[at] // most).astype(np.int64)
             key, share = s.keys(naming)[row], np.bincount(row, minlength=len(s.n)) / np.maximum(s.n, 1)
             yield pa.RecordBatch.from_arrays(
                 [_signed(s.flat[at]), pa.array(np.where(deals > 0, 1 + (mix(key) >> np.uint64(1)).astype(np.int64) % (deals + 1), 0).astype(np.int32)), _signed(key), pa.array(s.n[row].astype(np.int32)), pa.array(matches[row].astype(np.int32)), pa.array(share[row].astype(np.float32)), pa.array(place[at].astype(np.int32))],
@@ -281,10 +277,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     small_batches(spark)
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     texts, words = rows.select(F.xxhash64("id").alias("h"), "text"), text_bytes(docs, text_col) / BYTES_PER_WORD
-    log_cells = LOG_CELLS
+    log_cells = log_cells_for(words)
     load = words / log_cells
     first = scratch.write(_sets_and_counts(rows, log_cells, shingle, name_bits))
-    logs = LogSketch(first.filter("segment is not null").select("segment", "cells", "counts"), log_cells)
+    logs = LogSketch(first.filter("segment is not null").select("segment", "cells", "counts"), log_cells, load)
     each = first.filter("key is not null").select("id", "n", "key", "second", "apart")
     # Of n sets about n * n / 2^65 share a name: some hundreds of a hundred thousand million.
     shared_names = each.groupBy("key").agg(F.min("second").alias("a"), F.max("second").alias("b")).filter("a <> b").select("key")
@@ -297,7 +293,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     firsts = _chosen(scratch.write(each.filter("n > 0").groupBy("key").agg(F.min(F.xxhash64("id")).alias("h")).select("h")), max_cells)
     cells = cells_for(words / 4, max_cells)
     # Without a sketch all prefix tokens are shuffled, and grouped exactly as are those that a sketch lets through.
-    twice = cells and TwiceSketch(count_hashes(texts, lambda batch: (s.flat[s.prefixes(logs, load, percent)[0]] for _, s in _each(iter([batch]), shingle, firsts)), cells, 2), cells)
+    twice = cells and TwiceSketch(count_hashes(texts, lambda batch: (s.flat[s.prefixes(logs, percent)[0]] for _, s in _each(iter([batch]), shingle, firsts)), cells, 2), cells)
     live = scratch.write(_shared(_postings(texts, logs, load, twice, firsts, naming, shingle, percent)))
 
     # Keys whose component is still in doubt keep their own name; the smallest key names a component.

@@ -68,16 +68,34 @@ class Counter:
 DENSE_SEGMENT = 1 << 14
 
 
+#: Parts of a dense segment that one task adds up; more are added up in two steps.
+PARTS = 1000
+
+
+def log_cells_for(items: float) -> int:
+    """Cells of a sketch of the frequencies of items: a 128th of them, from 2^20 to 2^24, so one byte for each is broadcast."""
+    return 1 << min(24, max(20, math.ceil(math.log2(max(1.0, items / 128)))))
+
+
 class DenseCounter:
     """All counts of one task, handed on once; counts above 255 stay 255."""
 
     def __init__(self, cells: int):
-        self.counts = np.zeros(cells, np.int64)
+        self.counts, self.parts, self.held = np.zeros(cells, np.uint32), [], 0
 
     def add(self, h: np.ndarray) -> None:
-        self.counts += np.bincount(places(h, len(self.counts), 1)[0], minlength=len(self.counts))
+        self.parts.append(places(h, len(self.counts), 1)[0])
+        self.held += len(h)
+        if self.held > FLUSH:
+            self._sum()
+
+    def _sum(self) -> None:
+        for at in self.parts and [np.concatenate(self.parts)]:
+            self.counts += np.bincount(at, minlength=len(self.counts)).astype(np.uint32)
+        self.parts, self.held = [], 0
 
     def flush(self) -> pa.RecordBatch:
+        self._sum()
         parts = np.minimum(self.counts, 255).astype(np.uint8).reshape(-1, DENSE_SEGMENT)
         return pa.RecordBatch.from_arrays([pa.array(np.arange(len(parts)), pa.int32()), pa.nulls(len(parts), pa.binary()), pa.array([p.tobytes() for p in parts], pa.binary())], ["segment", "cells", "counts"])
 
@@ -100,11 +118,26 @@ def _twice(rows: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"segment": [int(rows["segment"].iloc[0])], "bits": [(c[:, 0] | c[:, 1] << 2 | c[:, 2] << 4 | c[:, 3] << 6).tobytes()]})
 
 
-def _logs(rows: pd.DataFrame) -> pd.DataFrame:
-    c = np.zeros(DENSE_SEGMENT)
+def _sums(rows: pd.DataFrame, kind: type) -> np.ndarray:
+    total = np.zeros(DENSE_SEGMENT, np.uint64)
     for counts in rows["counts"]:
-        c += np.frombuffer(counts, np.uint8)
-    return pd.DataFrame({"segment": [int(rows["segment"].iloc[0])], "bits": [np.where(c > 0, np.minimum(1 + 8 * np.log2(np.maximum(c, 1)), 255), 0).astype(np.uint8).tobytes()]})
+        total += np.frombuffer(counts, kind)
+    return total
+
+
+def _partly(rows: pd.DataFrame) -> pd.DataFrame:
+    return pd.DataFrame({"segment": [int(rows["segment"].iloc[0])], "counts": [_sums(rows, np.uint8).tobytes()]})
+
+
+def _logs(rows: pd.DataFrame, load: float) -> pd.DataFrame:
+    c = _sums(rows, np.uint64).astype(np.float64) - load
+    levels = np.where((c >= 1) & (c > 2 * math.sqrt(load)), np.minimum(1 + 8 * np.log2(np.maximum(c, 1)), 255), 0)
+    return pd.DataFrame({"segment": [int(rows["segment"].iloc[0])], "bits": [levels.astype(np.uint8).tobytes()]})
+
+
+def others(level: np.ndarray) -> np.ndarray:
+    """About how many other texts hold a hash of some level."""
+    return np.where(level > 0, np.exp2((level.astype(np.float64) - 1) / 8) - 1, 0)
 
 
 def _gathered(parts: DataFrame, merge, size: int, width: int) -> np.ndarray:
@@ -133,11 +166,15 @@ class TwiceSketch:
 
 
 class LogSketch:
-    """The logarithm of each hash's count, in one byte."""
+    """The logarithm of each hash's count, in one byte, after what others in its cell count on average (load) is taken off; 0 where the rest is no more than their spread."""
 
-    def __init__(self, parts: DataFrame, cells: int):
+    def __init__(self, parts: DataFrame, cells: int, load: float):
+        """parts is a written table.  Of each segment PARTS parts at most are added up in a task, then the sums."""
         self.cells = cells
-        self.logs: Broadcast = parts.sparkSession.sparkContext.broadcast(_gathered(parts, _logs, cells, DENSE_SEGMENT))
+        salts = max(1, math.ceil(parts.count() * DENSE_SEGMENT / cells / PARTS))
+        salt = F.pmod(F.monotonically_increasing_id(), F.lit(salts)).alias("salt")
+        parts = parts.select("segment", "counts", salt).groupBy("segment", "salt").applyInPandas(_partly, "segment int, counts binary")
+        self.logs: Broadcast = parts.sparkSession.sparkContext.broadcast(_gathered(parts, lambda rows: _logs(rows, load), cells, DENSE_SEGMENT))
 
     def level(self, h: np.ndarray) -> np.ndarray:
         return self.logs.value[places(h, self.cells, 1)[0]]

@@ -9,13 +9,16 @@ import re
 from collections import Counter, defaultdict
 
 import numpy as np
+import pandas as pd
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from headway.llm import ngram_join
+from headway.llm import ngram_join, sketch
+from headway.llm.common import Scratch
 from headway.llm.exact_dedup import drop_exact_duplicates, exact_duplicates
 from headway.llm.ngram_join import keep_one_of_each, near_duplicates
-from headway.llm.sketch import TwiceSketch, cells_for, count_hashes
+from headway.llm.sketch import PART_SCHEMA, DenseCounter, LogSketch, TwiceSketch, cells_for, count_hashes, log_cells_for, others
 from headway.llm.substring_dedup import remove_repeats
 from headway.llm.vectors import Forest, _share_one, near_duplicate_vectors
 
@@ -87,6 +90,49 @@ def test_sketches_keep_their_rate_of_errors(spark):
     assert cells_for(1e9) is None and cells_for(1e8) == 1 << 28 and cells_for(1e6) == 1 << 23
 
 
+def test_frequencies_of_many_parts(spark, monkeypatch):
+    """1000 parts of each segment, added up in one step and in two; frequent hashes stand out, and the cells grow with the corpus."""
+    rng = np.random.default_rng(9)
+    common, cells = rng.integers(0, 1 << 63, 3).astype(np.uint64), 1 << 15
+
+    def parts(batches):
+        for batch in batches:
+            for k in batch.column(0).to_pylist():
+                counter = DenseCounter(cells)
+                for turn in range(2):
+                    counter.add(np.concatenate([np.random.default_rng([k, turn]).integers(0, 1 << 63, 500).astype(np.uint64), common[: 1 + k % 3]]))
+                yield counter.flush()
+
+    table = Scratch(spark, "parts").write(spark.range(0, 1000, 1, 8).mapInArrow(parts, PART_SCHEMA))
+    levels, load = [], 1000 * 1004 / cells
+    rare = rng.integers(0, 1 << 63, 2000).astype(np.uint64)
+    for most in (1000, 60):
+        monkeypatch.setattr(sketch, "PARTS", most)
+        logs = LogSketch(table, cells, load)
+        levels.append(logs.level(common))
+        assert (logs.level(rare) > 0).mean() < 0.05
+    assert (levels[0] == levels[1]).all()
+    for got, want in zip(others(levels[0]), (2000, 1332, 666), strict=True):
+        assert abs(got - want) < 0.1 * want + 3 * math.sqrt(load)
+    assert [log_cells_for(x) for x in (0, 1e8, 2e8, 1e9, 1e13)] == [1 << 20, 1 << 20, 1 << 21, 1 << 23, 1 << 24]
+
+
+def test_prefixes_adapt_in_a_large_corpus():
+    """At a load of a million other counts in each cell, documents of common shingles ask for several shared tokens, others for one."""
+    texts = pa.array([" ".join(f"{c}{k}" for k in range(44)) for c in "ab"])
+    sets = ngram_join._Sets(texts, 5)
+    frequent = set(sets.flat[sets.row == 0].tolist())
+
+    class Logs:
+        def level(self, h):
+            counts = np.where([x in frequent for x in h.tolist()], 1_030_000, 1_001_500).astype(np.uint64)
+            bits = sketch._logs(pd.DataFrame({"segment": [0], "counts": [np.resize(counts, sketch.DENSE_SEGMENT).tobytes()]}), 1e6)["bits"][0]
+            return np.frombuffer(bits, np.uint8)[: len(h)]
+
+    taken, _, matches = sets.prefixes(Logs(), 75)
+    assert matches.tolist() == [4, 1] and [int(taken[sets.row == r].sum()) for r in (0, 1)] == [14, 11]
+
+
 def shingles(text, size=5):
     w = WORD.findall("".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text or ""))
     return {tuple(w[k : k + size]) for k in range(max(1, len(w) - size + 1))} if w else set()
