@@ -7,11 +7,13 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.patterns import Timetable
 from ..operators.places import build_places
+from ..operators.router import Plan, journey_legs, plan
 from ..operators.transfers import footpaths
 from ..sources.gtfs import Feed, load_feed
 from ..storage import Scratch, file_state
-from .network import _HAVERSINE, table
+from .network import _HAVERSINE, LEGS, N_QUERIES, ROUNDS, rounds_sql, table, timetable
 from .registry import query
 
 #: Stops k that have no coordinates, and those whose coordinates can't be read.
@@ -138,6 +140,40 @@ def ingested_footpaths(spark: SparkSession, sf_dir: str) -> DataFrame:
     return footpaths(feed.stops, feed.transfers, 2000.0)
 
 
+# A search of the feed as it was read: thousands of patterns of a few trips each, declared transfers, stops that are unknown or lie nowhere.
+_SEARCHED = f"""{_TIMES.replace("WITH stops", "WITH RECURSIVE stops", 1)},
+generated AS (SELECT a.stop_id AS from_stop, b.stop_id AS to_stop, greatest(60, trunc({_HAVERSINE.format(a="a", b="b")} * 1.3 / 1.33)::INTEGER) AS seconds FROM stops a JOIN stops b ON a.k <> b.k AND {_HAVERSINE.format(a="a", b="b")} <= 400),
+footpaths AS MATERIALIZED (SELECT coalesce(t.from_stop, g.from_stop) AS from_stop, coalesce(t.to_stop, g.to_stop) AS to_stop, CASE WHEN t.seconds IS NULL THEN g.seconds ELSE greatest(t.seconds, 60) END AS seconds FROM generated g FULL JOIN transfers t ON t.from_stop = g.from_stop AND t.to_stop = g.to_stop),
+st AS MATERIALIZED (SELECT trip_id, pos, stop_id, arr, dep FROM calls WHERE n >= 2),
+tp AS (SELECT trip_id, o_orderkey AS trip_ord, stops, first_dep, min(o_orderkey) OVER (PARTITION BY o_custkey % 30, stops) AS pattern_id FROM (SELECT trip_id, string_agg(stop_id, ',' ORDER BY pos) AS stops, any_value(dep) FILTER (pos = 0) AS first_dep FROM st GROUP BY trip_id) JOIN orders ON trip_id = 'T' || o_orderkey),
+ranked AS (SELECT pattern_id, (row_number() OVER (PARTITION BY pattern_id ORDER BY first_dep, trip_ord) - 1)::INTEGER AS trip_rank, trip_id FROM tp),
+ev AS MATERIALIZED (SELECT pattern_id, trip_rank, trip_id, pos, stop_id, arr, dep FROM ranked JOIN st USING (trip_id)),
+ps AS MATERIALIZED (SELECT DISTINCT pattern_id, pos, stop_id FROM ev),
+q AS (SELECT i::INTEGER AS query_id, (28800 + (i % 4) * 1800)::INTEGER AS depart, 'S' || (i * 7) % (SELECT count(*) FROM supplier) AS origin, 'S' || (i * 13 + 5) % (SELECT count(*) FROM supplier) AS target FROM range({N_QUERIES}) t(i)),
+ok AS (SELECT * FROM q WHERE origin <> target),
+origins AS (SELECT query_id, origin AS stop_id, 0 AS walk, depart FROM ok), targets AS (SELECT query_id, target AS stop_id, 0 AS walk FROM ok)"""
+
+
+def _searched(spark: SparkSession, sf_dir: str) -> tuple[Timetable, Plan]:
+    found, n = timetable(_feed(spark, sf_dir)), table(spark, sf_dir, "supplier").count()
+    i = F.col("id")
+    queries = spark.range(N_QUERIES).select(i.cast("int").alias("query_id"), (F.lit(28800) + i % 4 * 1800).cast("int").alias("depart"))
+    stop = lambda a, b: F.concat(F.lit("S"), ((i * a + b) % F.lit(n)).cast("string"))
+    ends = spark.range(N_QUERIES).select(i.cast("int").alias("query_id"), F.explode(F.array(*[F.struct(F.lit(side).alias("side"), stop(a, b).alias("stop_id")) for side, a, b in (("origin", 7, 0), ("target", 13, 5))])).alias("e"))
+    return found, plan(found, queries, ends.select("query_id", "e.*", F.lit(0).alias("walk")), max_rounds=ROUNDS)
+
+
+@query(f"{_SEARCHED}{rounds_sql()} SELECT query_id, round, stop_id, min(arrival) AS arrival FROM labels GROUP BY ALL")
+def ingested_arrivals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _searched(spark, sf_dir)[1].labels
+
+
+@query(f"{_SEARCHED}{rounds_sql()}{LEGS} SELECT query_id, journey, leg_no, kind, from_stop, to_stop, depart, arrive, n_hops FROM legs")
+def ingested_leg_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found, search = _searched(spark, sf_dir)
+    return journey_legs(search, found).select("query_id", "journey", "leg_no", "kind", "from_stop", "to_stop", "depart", "arrive", "n_hops")
+
+
 #: Names of groups of stops, as they are written in front of a platform, as a place of several names shows them, and as they are searched.
 _GROUPS = (("RUE DE L'ÉVÊCHÉ", "RUE DE L'ÉVÊCHÉ", "rue de leveche"), ("Straße am Tor", "Straße Am Tor", "stra e am tor"), ("são bento / sé", "São Bento / Sé", "sao bento se"), ("Quai d’Orsay", "Quai D’Orsay", "quai dorsay"), ("Market-Place", "Market-Place", "market place"))
 _M = 7

@@ -12,7 +12,7 @@ from ..functions.time import clock, format_time, parse_date, parse_time, wall_cl
 from ..operators.calendar import covers, running_trips, runs_on, service_window
 from ..operators.itinerary import as_json, benchmark_stats, describe, journeys, merge_walks, named_legs, summary, tags, with_doors, with_points
 from ..operators.pairs import random_pairs
-from ..operators.patterns import earliest_trips, overtaking, timetable_counts, trip_patterns
+from ..operators.patterns import build_timetable, earliest_trips, overtaking, timetable_counts, trip_patterns
 from ..operators.places import place_counts, resolve_places, search_places
 from ..operators.requests import Answers, answer
 from ..operators.router import boardings, first_frontier, pareto, route_scan, stops_reached
@@ -283,6 +283,13 @@ def network_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return timetable_counts(timetable(feed)).unionByName(place_counts(places(feed)))
 
 
+@query(f"{VIEWS} SELECT 'patterns' AS metric, count(DISTINCT pattern_id) AS value FROM ranked UNION ALL SELECT 'trips', count(*) FROM ranked UNION ALL SELECT 'footpaths', count(*) FROM footpaths UNION ALL SELECT 'served_stops', count(DISTINCT stop_id) FROM ps")
+def timetable_build(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A timetable made anew each time, where the others take the one that the session has."""
+    feed = network(spark, sf_dir)
+    return timetable_counts(build_timetable(running_trips(feed, on_date=DAYS[4]), feed.stop_times, footpaths(feed.stops, feed.transfers)))
+
+
 @query(f"{VIEWS}{queries_sql()}{rounds_sql()} SELECT query_id, journey, round AS vehicles, arrival FROM journeys")
 def journeys_pareto(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pareto(solved(spark, sf_dir).plan.options).select("query_id", F.col("rank").alias("journey"), F.col("round").alias("vehicles"), "arrival")
