@@ -72,10 +72,11 @@ def _clusters(single: DataFrame, scratch: Scratch, most: int) -> DataFrame:
     here = placed(single).select("stop_ord", "stem", "lat", "lon")
     sizes = grid_sizes(SAME_NAME_M, furthest_lat(single))
     decide = lambda rows: _taken_in(rows, sizes)
-    stems = scratch.write(here.groupBy("stem").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > most).select("stem"))
+    counts = here.groupBy("stem").agg(F.count(F.lit(1)).alias("n"))
+    if (counts.agg(F.max("n")).first()[0] or 0) <= most:
+        return here.groupBy("stem").applyInPandas(decide, "late long, seed long")
+    stems = scratch.write(counts.filter(F.col("n") > most).select("stem"))
     small = here.join(stems, "stem", "left_anti").groupBy("stem").applyInPandas(decide, "late long, seed long")
-    if stems.isEmpty():
-        return small
     large = scratch.write(here.join(stems, "stem", "left_semi"))
     pairs = scratch.write(_near_pairs(large, sizes))
     named = scratch.write(components(pairs.select(F.col("early").alias("a"), F.col("late").alias("b")), scratch))

@@ -197,7 +197,7 @@ def test_a_long_chain_takes_few_jobs(spark):
         jobs = len(spark.sparkContext.statusTracker().getJobIdsForGroup("chain"))
     finally:
         spark.sparkContext._jsc.clearJobGroup()
-    assert found.count() == 1000 and jobs < 40
+    assert found.count() == 1000 and jobs < 30
 
 
 def test_crowded_cells_are_cut_up(spark):
