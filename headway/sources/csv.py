@@ -65,10 +65,11 @@ def read_csv(spark: SparkSession, path: str) -> DataFrame:
     """
     scratch = Scratch(spark, "csv")
     outside, inside = _ends(F.col("value"))
-    lines = spark.read.option("lineSep", "\n").text(path).select(
+    # Written, so that splits and the rows in them stay as they were first numbered.
+    lines = scratch.write(spark.read.option("lineSep", "\n").text(path).select(
         F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("split"), F.monotonically_increasing_id().alias("row"),
         F.regexp_replace("value", "\r$", "").alias("value"), outside.alias("e0"), inside.alias("e1"),
-    )
+    ))
     said = F.trim("value") != ""
     splits = scratch.write(lines.groupBy("file", "split").agg(F.max((F.col("e0") == 1) | (F.col("e1") == 0)).alias("quotes"), F.min(F.when(said, F.col("row"))).alias("head"), F.min_by("value", F.when(said, F.col("row"))).alias("names")))
     first = splits.filter("split = 0 and head is not null").orderBy("file").select("names").first()
