@@ -24,27 +24,46 @@ MIX_FRACTION, MIX_EPOCHS = 0.8, 2
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the compression classifier does not reject."""
+    """Documents that the compression classifier does not reject.
+
+    A null text is scored as an empty one; null ids and rows repeated in full
+    are scored like others.  An empty table stays empty.
+    """
     return keep_good(docs, table(spark, sf_dir, "labels"))
 
 
 def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of equal texts the one with the smallest doc_id."""
+    """Of equal texts the row with the smallest doc_id (nulls last).
+
+    Null and empty texts are equal; of rows repeated in full one stays.
+    """
     return drop_exact_duplicates(docs)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near duplicates the one with the smallest doc_id."""
+    """Of each group of near duplicates the row with the smallest doc_id (nulls last).
+
+    Texts without words are near nothing; of rows repeated in full, or of one
+    id and text, one stays.
+    """
     return keep_one_of_each(docs)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in the target proportions of domains, languages and sources; one taken in two epochs is there twice."""
+    """Documents in the target proportions of domains, languages and sources; one taken in two epochs is there twice.
+
+    A null text has no words and costs nothing; a null language or source is
+    a leaf of its own; ties in an epoch's order go by hash.
+    """
     return mixed_documents(docs, fraction=MIX_FRACTION, max_epochs=MIX_EPOCHS)
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of token sequences; ids are little-endian unsigned 32-bit numbers."""
+    """Pieces of token sequences; ids are little-endian unsigned 32-bit numbers.
+
+    A null or empty text is its closing id alone; null ids and repeated rows
+    are documents like others.
+    """
     return pack(docs).withColumnRenamed("id", "doc_id").withColumn("ids_crc32", F.crc32("ids"))
 
 
