@@ -129,15 +129,20 @@ def _partly(rows: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"segment": [int(rows["segment"].iloc[0])], "counts": [_sums(rows, np.uint8).tobytes()]})
 
 
+#: Levels of counts that chance may make, below those of logarithms.
+LOW = 32
+
+
 def _logs(rows: pd.DataFrame, load: float) -> pd.DataFrame:
-    c = _sums(rows, np.uint64).astype(np.float64) - load
-    levels = np.where((c >= 1) & (c > 2 * math.sqrt(load)), np.minimum(1 + 8 * np.log2(np.maximum(c, 1)), 255), 0)
+    c, chance = _sums(rows, np.uint64).astype(np.float64), load + 2 * math.sqrt(load)
+    low = np.minimum(c * (LOW / max(chance, 1)), LOW - 1)
+    levels = np.where((c >= load + 1) & (c > chance), np.minimum(LOW + 8 * np.log2(np.maximum(c - load, 1)), 255), low)
     return pd.DataFrame({"segment": [int(rows["segment"].iloc[0])], "bits": [levels.astype(np.uint8).tobytes()]})
 
 
 def others(level: np.ndarray) -> np.ndarray:
     """About how many other texts hold a hash of some level."""
-    return np.where(level > 0, np.exp2((level.astype(np.float64) - 1) / 8) - 1, 0)
+    return np.where(level >= LOW, np.exp2((level.astype(np.float64) - LOW) / 8) - 1, 0)
 
 
 def _gathered(parts: DataFrame, merge, size: int, width: int) -> np.ndarray:
@@ -166,7 +171,7 @@ class TwiceSketch:
 
 
 class LogSketch:
-    """The logarithm of each hash's count, in one byte, after what others in its cell count on average (load) is taken off; 0 where the rest is no more than their spread."""
+    """A level for each hash that grows with its count, in one byte: the count's logarithm after what others in its cell count on average (load) is taken off, or, where the rest is no more than their spread, one of LOW levels in proportion."""
 
     def __init__(self, parts: DataFrame, cells: int, load: float):
         """parts is a written table.  Of each segment PARTS parts at most are added up in a task, then the sums."""
