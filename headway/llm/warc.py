@@ -92,7 +92,7 @@ def _archive_url(url: str | None) -> str:
 def _written(archives: DataFrame, folder: str) -> None:
     """Each row of archives, a column of bytes that end a line, as a file.  The text writer writes a value's bytes as they are, and ends it with the newline that is taken off here."""
     value = F.col("archive").substr(F.lit(1), F.octet_length("archive") - 1).cast("string").alias("value")
-    archives.select(value).write.option("compression", "gzip").option("maxRecordsPerFile", 1).text(folder)
+    archives.select(value).write.option("compression", "gzip").option("zlib.compress.level", "BEST_SPEED").option("maxRecordsPerFile", 1).text(folder)
 
 
 def write_arc(pages: DataFrame, folder: str, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", archive_bytes: int = ARCHIVE_BYTES) -> None:
