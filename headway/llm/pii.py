@@ -2,7 +2,8 @@
 
 Patterns propose candidate spans; five labelers vote on each, every one from a
 fact of its own: the shape (a stricter pattern), a checksum or count, a
-gazetteer of issuers, countries or endings, words around it, and its edges.
+gazetteer of issuers, countries, endings or placeholders, words around it, and
+its edges (of a secret: whether it is named).
 Expectation-maximisation over the counts of vote patterns estimates the
 labelers' reliabilities; and a logistic regression on votes, kind and length,
 trained on the resulting soft labels, decides on the spans that no checked
@@ -36,11 +37,15 @@ EXTRA = {
     "local_phone": r"(?<![0-9+()-])(?<![0-9)] )(?:\([0-9]{3}\) ?|[0-9]{3}[-. ])[0-9]{3}[-. ][0-9]{4}(?![0-9-])",
     "national_id": r"(?<![0-9-])[0-9]{3}[- ][0-9]{2}[- ][0-9]{4}(?![0-9-])",
     "iban": r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])",
-    "secret": r"(?<![A-Za-z0-9])(?:AKIA[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{36}|sk-[A-Za-z0-9]{20,}+|(?i:password|passwd|token|secret|api[_-]?key)\x20?[=:]\x20?\"?[A-Za-z0-9+/_-]{8,}+\"?)",
+    "secret": (
+        r"(?<![A-Za-z0-9])(?:AKIA[0-9A-Z]{16}(?![A-Za-z0-9])|gh[pousr]_[A-Za-z0-9]{36}|sk-[A-Za-z0-9]{20,}+"
+        r"|(?i:password|passwd|token|secret|api[_-]?key)(?:\x20?[=:]\x20?|\x20is\x20)\"?[A-Za-z0-9+/_-]{8,}+\"?"
+        r"|(?<![/._@%+=-])(?:[A-Za-z]++[0-9]|[0-9]++[A-Za-z])[A-Za-z0-9]{14,}+(?![@/_%=-]|\.[A-Za-z0-9]))"
+    ),
 }
 KINDS = [*BASE, *EXTRA]
 #: What a text must contain for a kind's pattern to be tried.
-GUARDS = {"email": "@", "phone": "+", "obfuscated_email": r"(?i)[(\[{ ]at[)\]} ]", "iban": r"[A-Z]{2}[0-9]{2}", "secret": r"AKIA|gh[pousr]_|sk-|[=:]"}
+GUARDS = {"email": "@", "phone": "+", "obfuscated_email": r"(?i)[(\[{ ]at[)\]} ]", "iban": r"[A-Z]{2}[0-9]{2}", "secret": r"AKIA|gh[pousr]_|sk-|[=:]|(?i: is )|[0-9][A-Za-z]|[A-Za-z][0-9]"}
 DIGITS = "[0-9]"
 #: Characters on either side of a span, up to the next match of its kind, that the context labeler reads.
 CONTEXT = 40
@@ -55,7 +60,7 @@ SHAPES = {
     "local_phone": r"^(?:\([0-9]{3}\) [0-9]{3}-[0-9]{4}|[0-9]{3}([-.])[0-9]{3}\1[0-9]{4})$",
     "national_id": r"^[0-9]{3}-[0-9]{2}-[0-9]{4}$",
     "iban": r"^[A-Z0-9]+$|^[A-Z0-9]{4}(?: [A-Z0-9]{4})+(?: [A-Z0-9]{1,3})?$",
-    "secret": r"^[^=:]+$|[=:]\x20?\"?(?=[^\"]*[0-9])(?=[^\"]*[A-Za-z])",
+    "secret": r"^(?:AKIA[0-9A-Z]{16}|gh[pousr]_.*|sk-.*)$|(?:^|[=: ]\"?)(?=[A-Za-z0-9+/_-]*[0-9])(?=[A-Za-z0-9+/_-]*[A-Za-z])[A-Za-z0-9+/_-]+\"?$",
 }
 #: Endings of mail domains, countries of bank accounts, calling codes, card issuers, and beginnings of issued keys.
 DOMAINS = "com org net edu gov mil int info biz io co me tv app dev ai uk de fr es it nl ch at be eu us ca au jp cn in br ie pt pl se no dk fi cz gr ro hu ru ua tr il za mx ar cl nz kr sg hk example".split()
@@ -66,6 +71,7 @@ CALLING_CODES = (
 ).split()
 CARD_ISSUERS = "4 34 37 51 52 53 54 55 65 6011 2221 2720 3528 3589 36 38 62".split()
 KEY_BEGINNINGS = "AKIA ghp_ gho_ ghu_ ghs_ ghr_ sk-".split()
+PLACEHOLDERS = "change default demo dummy example expired hidden incorrect invalid missing optional placeholder redacted required sample test undefined unknown your xxx".split()
 CUES = {
     "email": r"(?i)mail|contact|write|kontakt|schreib|courriel|correo|contacto",
     "ip": r"(?i)\bip\b|address|server|host|login|adresse|direcci",
@@ -77,6 +83,10 @@ CUES = {
     "iban": r"(?i)iban|bank|account|konto|compte|cuenta",
     "secret": r"(?i)key|secret|credential|export|config|auth",
 }
+#: Hexadecimal digits of common digests: a bare string of such a length is known as a fingerprint.
+DIGEST_LENGTHS = (32, 40, 56, 64, 96, 128)
+#: What stands before numbers of other sorts, and before fingerprints that look like secrets.
+DIGESTS = r"(?i)(?:commit|revision|sha-?[0-9]{0,3}|md5|crc|checksum|digest|hash|etag|uuid|build|serial|order)\b[\W_]*(?:\w{1,4}\W+)?$"
 AGAINST = r"(?i)(?:\bv|version|isbn|section|figure|page|chapter|§|#|\bno\.|kapitel|seite|p[aá]gina)\W*$"
 LABELERS = ("shape", "valid", "gazetteer", "context", "edges")
 EM_ROUNDS, ACCEPT = 60, 0.5
@@ -115,8 +125,28 @@ def mod97(text: Column) -> Column:
     return F.aggregate(F.split(turned, "", -1), F.lit(0), lambda t, c: F.when(c == "", t).otherwise(add(t, c))) == 1
 
 
+def secret_value(text: Column) -> Column:
+    """What a secret consists of, without the name that it is assigned to and quotes."""
+    return F.regexp_extract(text, r"([A-Za-z0-9+/_-]+)\"?$", 1)
+
+
+def mixed(text: Column) -> Column:
+    """Whether letters and digits take turns as in random strings: at least three times, and once in eight characters.  Words with a number do so once or twice."""
+    turns = F.size(F.split(text, "(?<=[0-9])(?=[A-Za-z])|(?<=[A-Za-z])(?=[0-9])", -1)) - 1
+    return (turns >= 3) & (turns * 8 >= F.length(text))
+
+
+def _issued(text: Column) -> Column:
+    """Whether a secret begins as the keys of a known issuer do."""
+    return _begins(secret_value(text), KEY_BEGINNINGS)
+
+
+def _begins(text: Column, known: list[str]) -> Column:
+    return reduce(lambda a, b: a | b, [F.left(text, F.lit(n)).isin([k for k in known if len(k) == n]) for n in sorted(set(map(len, known)))])
+
+
 def _valid(kind: str, text: Column) -> Column:
-    """Whether a match passes its kind's check; null where a kind has none."""
+    """Whether a match passes its kind's check; null where a kind has none, and for issued keys, whose letters may well hold few digits."""
     n = F.length(_digits(text))
     return {
         "ip": F.forall(F.split(text, r"\."), lambda p: (F.length(F.regexp_replace(p, "^0+", "")) <= 3) & (F.coalesce(F.right(p, F.lit(3)).cast("int"), F.lit(0)) <= 255)),
@@ -125,20 +155,28 @@ def _valid(kind: str, text: Column) -> Column:
         "local_phone": text.rlike(r"^\(?[2-9][0-9]{2}[^0-9]{1,2}[2-9]"),
         "national_id": text.rlike(r"^(?!000|666|9)[0-9]{3}.(?!00)[0-9]{2}.(?!0000)"),
         "iban": mod97(text),
+        "secret": F.when(mixed(secret_value(text)), True).when(~_issued(text), False),
     }.get(kind, F.lit(None).cast("boolean"))
 
 
 def _listed(kind: str, text: Column) -> Column:
-    """Whether a list of known instances holds what the match begins or ends with; null where a kind has no list, or for spelled-out secrets."""
+    """Whether a list of known instances holds what the match begins or ends with; null where a kind has no list, and for secrets of neither list."""
     digits = _digits(text)
-    begins = lambda t, known, *sizes: reduce(lambda a, b: a | b, [F.left(t, F.lit(n)).isin([k for k in known if len(k) == n]) for n in sizes])
+    fingerprint = ~text.rlike("[=: ]") & text.rlike(f"^(?:{'|'.join(f'[0-9A-Fa-f]{{{n}}}' for n in DIGEST_LENGTHS)})$")
     ending = F.lower(F.regexp_extract(text, "[A-Za-z]+$", 0)).isin(DOMAINS)
     return {
-        "email": ending, "obfuscated_email": ending, "iban": F.left(text, F.lit(2)).isin(IBAN_COUNTRIES), "phone": begins(digits, CALLING_CODES, 1, 2, 3), "card": begins(digits, CARD_ISSUERS, 1, 2, 4),
-        "secret": F.when(~text.rlike("[=:]"), begins(text, KEY_BEGINNINGS, 3, 4)),
+        "email": ending, "obfuscated_email": ending, "iban": F.left(text, F.lit(2)).isin(IBAN_COUNTRIES), "phone": _begins(digits, CALLING_CODES), "card": _begins(digits, CARD_ISSUERS),
+        "secret": F.when(_issued(text), True).when(fingerprint, False).when(F.lower(secret_value(text)).rlike(f"^(?:{'|'.join(PLACEHOLDERS)})"), False),
     }.get(kind, F.lit(None).cast("boolean"))
 
 
+def _edges(kind: str, hit: Column, before: Column, after: Column) -> Column:
+    """Whether the match stands free of letters and digits; of a secret, whether it is named, by what it is assigned to or by its own form (null in prose)."""
+    if kind == "secret":
+        return F.when(hit.rlike("[=:]") | _issued(hit), True).when(~hit.rlike(r"\x20"), False)
+    return ~(F.right(before, F.lit(1)).rlike("[A-Za-z0-9]") | F.left(after, F.lit(1)).rlike("[A-Za-z0-9]"))
+
+
 def _vote(yes: Column) -> Column:
     """1, 0, or -1 for an abstention."""
     return F.coalesce(yes.cast("int"), F.lit(-1))
@@ -179,11 +217,13 @@ def candidates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
             hit = F.get(hits, i)
             before = F.right(F.concat(F.coalesce(F.right(F.get(hits, i - 1), F.lit(1)), F.lit("")), F.get(gaps, i)), F.lit(CONTEXT))
             after = F.left(F.concat(F.get(gaps, i + 1), F.coalesce(F.left(F.get(hits, i + 1), F.lit(1)), F.lit(""))), F.lit(CONTEXT))
-            context = F.when(before.rlike(CUES[kind]) | after.rlike(CUES[kind]), F.lit(1)).when(before.rlike(AGAINST), F.lit(0)).otherwise(F.lit(-1))
+            against = before.rlike(AGAINST) | before.rlike(DIGESTS) if kind == "secret" else before.rlike(AGAINST)
+            cue = before.rlike(CUES[kind]) | after.rlike(CUES[kind])
+            context = F.when(cue & ~against if kind == "secret" else cue, F.lit(1)).when(against, F.lit(0)).otherwise(F.lit(-1))
             valid = _valid(kind, hit)
             return F.struct(
                 F.lit(kind).alias("kind"), start.alias("start"), (start + F.length(hit)).alias("end"), F.coalesce(valid, F.lit(True)).alias("passed"), _vote(hit.rlike(SHAPES[kind])).alias("shape"), _vote(valid).alias("valid"),
-                _vote(_listed(kind, hit)).alias("gazetteer"), context.alias("context"), _vote(~(F.right(before, F.lit(1)).rlike("[A-Za-z0-9]") | F.left(after, F.lit(1)).rlike("[A-Za-z0-9]"))).alias("edges"),
+                _vote(_listed(kind, hit)).alias("gazetteer"), context.alias("context"), _vote(_edges(kind, hit, before, after)).alias("edges"),
                 F.least(F.floor(F.length(hit) / 8).cast("int"), F.lit(4)).alias("length"),
             )
 

@@ -339,3 +339,28 @@ def test_packing(spark):
     filled = {p.sequence_id: (p.filled, p.padded_to) for p in pieces}[last]
     assert filled[1] == (filled[0] if math.log2(filled[0]).is_integer() else length)
     assert pack(docs.limit(0)).count() == 0
+
+
+def secrets_and_lookalikes():
+    """Texts of one candidate secret each, and whether it is one.  Every lookalike has the vote of some labeler: of shape and turns (fingerprints), or of its name (words and placeholders)."""
+    rng, rows = np.random.default_rng(8), []
+    drawn = lambda letters, n: "".join(rng.choice(list(letters), n))
+    hexes, upper, every = "0123456789abcdef", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567", "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789"
+    for k in range(80):
+        rows += [(f"log in with password={drawn(hexes, 18)} today", True), (f'the config sets token = "{drawn(hexes, 40)}" here', True), (f"that AKIA{drawn(upper, 16)} leaked", True), (f"our secret is {drawn(every, 12)}7x8y9z{drawn(every, 12)} now", True)]
+        if k % 2 == 0:
+            word = ["required", "characters", "international", "changeme123", "incorrect"][k // 2 % 5]
+            rows += [(f"fixed in commit {drawn(hexes, 40)} of", False), (f"the sha256: {drawn(hexes, 64)} matches", False), (f"password: {word} by then", False), (f"the token is {word} there", False), (f"model {drawn('abcdefgh', 10)}2024{drawn('ijklmn', 14)} sold", False)]
+    return rows
+
+
+def test_secrets_are_told_from_what_looks_like_them(spark):
+    rows = secrets_and_lookalikes()
+    found = candidates(spark.createDataFrame([(i, t) for i, (t, _) in enumerate(rows)], "doc_id long, text string"))
+    patterns = found.select(F.explode("found").alias("c")).select("c.*").filter("kind = 'secret'").select(*LABELERS).distinct().collect()
+    assert len(patterns) >= 8 and all({0, 1} <= {p[x] for p in patterns} for x in LABELERS)
+    model = SpanModel(found)
+    taken = {r.id for r in found.filter(F.exists("found", lambda c: (c["kind"] == "secret") & model.accepts(c))).collect()}
+    right = {i for i, (_, secret) in enumerate(rows) if secret}
+    print("precision", len(taken & right) / max(1, len(taken)), "recall", len(taken & right) / len(right))
+    assert len(taken & right) >= 0.98 * len(taken) and len(taken & right) >= 0.98 * len(right)
