@@ -273,3 +273,14 @@ def test_command_line(spark, tmp_path, capsys):
     assert main(["plan", feed, "--from", "ash", "--to", "elm", "--date", "2027-03-01"]) == 1 and "no service" in capsys.readouterr().out
     assert main(["plan", feed, "--from", "ash", "--to", "ash"]) == 1 and main(["info", str(tmp_path / "none")]) == 2
     assert main(["benchmark", feed, "--queries", "30", "--weekday", "0"]) == 0 and capsys.readouterr().out.startswith("30 queries")
+
+
+def test_files_are_read_when_their_tables_are_asked_for(spark, tmp_path, monkeypatch):
+    """A file that is no CSV stops only the tables that need it; lines whose quotes all close are records without any windows."""
+    feed = load_feed(spark, write_feed(tmp_path / "feed", {"stop_times": ['"open,20:00:00,20:00:00,ash,1']}))
+    assert feed.services.count() == 2 and feed.stops.count() == 9
+    with pytest.raises(CsvError, match="never closed"):
+        feed.stop_times.count()
+    (tmp_path / "quoted.csv").write_text('"a","b"\n"1","x ""y"", z"\n"2",""\n')
+    monkeypatch.setattr("headway.sources.csv._records", lambda *_: pytest.fail("no record has several lines"))
+    assert [(r.a, r.b) for r in read_csv(spark, str(tmp_path / "quoted.csv")).orderBy("_ord").collect()] == [("1", 'x "y", z'), ("2", None)]
