@@ -284,3 +284,13 @@ def test_files_are_read_when_their_tables_are_asked_for(spark, tmp_path, monkeyp
     (tmp_path / "quoted.csv").write_text('"a","b"\n"1","x ""y"", z"\n"2",""\n')
     monkeypatch.setattr("headway.sources.csv._records", lambda *_: pytest.fail("no record has several lines"))
     assert [(r.a, r.b) for r in read_csv(spark, str(tmp_path / "quoted.csv")).orderBy("_ord").collect()] == [("1", 'x "y", z'), ("2", None)]
+
+
+def test_points_under_their_cells_are_not_broadcast(spark, valley):
+    """Points at one place are answered alike, and what is listed under nine cells is merged, however small Spark takes it for."""
+    near = walkable_from(spark.createDataFrame([(k, 47.1003, 9.1) for k in range(40)], "point_id int, lat double, lon double"), valley.stops)
+    assert "Broadcast" not in near._jdf.queryExecution().executedPlan().toString()
+    each = {}
+    for r in near.collect():
+        each.setdefault(r.point_id, set()).add((r.stop_id, r.rank, r.seconds))
+    assert len(each) == 40 and len(set(map(frozenset, each.values()))) == 1
