@@ -161,7 +161,9 @@ def next_state(state: DataFrame, timetable: Timetable, bucket: int = BUCKET) ->
 
 def boardings(reached: DataFrame, timetable: Timetable, bucket: int = BUCKET) -> DataFrame:
     """(query_id, pattern_id, pos, n_stops, trip_rank): the earliest trip that each of stops reached (query_id, stop_id, ready) lets a query board."""
-    met = reached.join(timetable.pattern_stops, "stop_id")
+    # Dealt over all tasks, as its few rows, which would come in one, meet many patterns each; by stop and number like the buckets they meet.
+    n = int(reached.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    met = reached.repartition(n, "stop_id").join(timetable.pattern_stops, "stop_id")
     met = met.withColumn("bucket", F.greatest(F.floor(F.col("ready") / bucket).cast("int"), "first_bucket")).join(timetable.departures, ["pattern_id", "pos", "bucket"])
     return met.withColumn("trip_rank", trip_in_span(F.col("ready"))).filter("trip_rank is not null").select("query_id", "pattern_id", "pos", "n_stops", "trip_rank")
 

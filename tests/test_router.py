@@ -11,7 +11,7 @@ from headway.operators.itinerary import journeys
 from headway.operators.pairs import random_pairs
 from headway.operators.patterns import build_timetable, earliest_trips, overtaking
 from headway.operators.ranking import ranked
-from headway.operators.router import first_frontier, journey_legs, next_state, plan
+from headway.operators.router import boardings, first_frontier, journey_legs, next_state, plan
 from headway.operators.transfers import footpaths
 from headway.storage import Scratch
 
@@ -153,6 +153,14 @@ def test_a_round_shuffles_no_timetable(spark, valley):
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
 
 
+def test_a_round_boards_in_all_tasks(spark, valley):
+    """A frontier that lies in one partition is dealt over as many as shuffles have."""
+    t = build_timetable(running_trips(valley, on_date=MONDAY), valley.stop_times, footpaths(valley.stops, valley.transfers))
+    asked, ends = asked_and_ends(spark, [(1, "ash", "hazel", at(7))])
+    met = boardings(first_frontier(t, asked, ends).coalesce(1).localCheckpoint(), t)
+    assert met.count() > 0 and met.rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
 def test_random_pairs(spark):
     stops = spark.createDataFrame([(f"s{k}",) for k in range(7)] * 2, "stop_id string")
     pairs = [(r.origin, r.target) for r in random_pairs(stops, 3000).orderBy("query_id").collect()]
