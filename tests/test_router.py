@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import datetime as dt
+from dataclasses import replace
 
 import pytest
 from feeds import at, hms
@@ -91,6 +92,22 @@ def test_patterns(timetable):
     assert {(r.from_stop, r.to_stop): r.seconds for r in timetable.footpaths.collect()} == {("cedar", "elm"): 86, ("elm", "cedar"): 86}
 
 
+def test_trips_that_hold_their_calls(spark, valley, timetable):
+    """They need no stop times, and are not dealt by service, of which there are few."""
+    calls = valley.stop_times.groupBy("trip_id").agg(F.array_sort(F.collect_list(F.struct("pos", "stop_id", "arr", "dep"))).alias("calls"))
+    feed = replace(valley, trips=valley.trips.join(calls, "trip_id", "left"))
+    t = build_timetable(running_trips(feed, on_date=MONDAY), None, timetable.footpaths)
+    for name in ("trip_calls", "departures", "pattern_stops"):
+        assert sorted(map(repr, getattr(t, name).collect())) == sorted(map(repr, getattr(timetable, name).collect()))
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        lines = running_trips(feed, on_date=MONDAY)._jdf.queryExecution().executedPlan().toString().split("\n")
+        assert any("BroadcastHashJoin" in line and "LeftAnti" in line for line in lines)
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
 def test_departures_grow_with_the_clock(spark):
     """20,000 trips of one pattern depart in 50 different seconds; later ranks depart earlier further on."""
     k = F.col("id")
