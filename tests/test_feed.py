@@ -22,6 +22,7 @@ from headway.operators.places import build_places, resolve_places, search_places
 from headway.operators.router import journey_legs, plan
 from headway.operators.requests import answer
 from headway.operators.transfers import footpaths, generated_footpaths, walkable_from
+from headway.plans.queries import place_groups
 from headway.sources.csv import CsvError, read_csv
 from headway.sources.gtfs import FeedError, feed_counts, load_feed
 from headway.sources.generate import generate
@@ -200,6 +201,24 @@ def test_a_long_chain_takes_few_jobs(spark):
     assert found.count() == 1000 and jobs < 30
 
 
+def test_lattice_stops_of_one_name(spark, tmp_path):
+    """From 55.8 degrees on neighbours of the lattice are within 250 m: those of one name are one place, which the SQL of the query leaves out."""
+    ks = range(30_900, 31_100)
+    rows = {"supplier": ([(k, k // 4 % 2) for k in ks], "s_suppkey long, s_nationkey int"), "nation": ([(0, "NATION_0"), (1, "NATION_1")], "n_nationkey int, n_name string"), "orders": ([], "o_orderkey long, o_custkey long, o_orderpriority string, o_orderdate timestamp")}
+    for name, (each, schema) in rows.items():
+        spark.createDataFrame(each, schema).write.parquet(str(tmp_path / f"{name}.parquet"))
+    where = lambda k: (46.5 + k // 10 * 0.003, 7.5 + k % 10 * 0.004)
+    want = [(k, k + 1) for k in ks if k % 25 == 0]
+    for nation in (0, 1):
+        left = [k for k in ks if 2 <= k % 25 < 24 and k // 4 % 2 == nation]
+        while left:
+            want.append(tuple(k for k in left if metres_between(*where(left[0]), *where(k)) <= 250))
+            left = [k for k in left if k not in want[-1]]
+    several = [w for w in want if len(w) > 1 and w[0] % 25]
+    assert several and min(several)[0] >= 31_000
+    assert sorted(r.stop_ids for r in place_groups(spark, str(tmp_path)).collect()) == sorted(",".join(map(str, w)) for w in want)
+
+
 def test_crowded_cells_are_cut_up(spark):
     """Pairs within a radius are the same however many stops a cell may hold."""
     rng = random.Random(4)
