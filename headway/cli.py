@@ -62,7 +62,7 @@ def _day(feed: Feed, args: argparse.Namespace) -> dt.date | None:
 
 def _timetable(feed: Feed, args: argparse.Namespace) -> Timetable:
     weekday, date = getattr(args, "weekday", None), _day(feed, args)
-    return build_timetable(running_trips(feed, on_date=date, weekday=weekday), feed.stop_times, footpaths(feed.stops, feed.transfers, args.max_walk))
+    return build_timetable(running_trips(feed.with_calls(), on_date=date, weekday=weekday), feed.stop_times, footpaths(feed.stops, feed.transfers, args.max_walk))
 
 
 def _one_query(spark: SparkSession, depart: int) -> DataFrame:

@@ -47,6 +47,10 @@ def test_times(spark):
     assert [r.w for r in days.collect()] == ["4 Sep – 5 Oct 2026", "1 Dec 2026 – 2 Jan 2027", ""]
 
 
+def test_times_of_any_shape(spark):
+    assert column(spark, ["\t7:08:09 ", "1:2:3", "100:2:30", "7:08:09:10", "07:8:09", " 7: 8: 9"], "string", parse_time) == [25689, 3723, 360150, 25689, 25689, 25689]
+
+
 def test_names(spark):
     names = ["KRONENPLATZ C", "Alte Weberei 14", "Nordtor Quai 7", "North Gate bay12", "Halt 7", "Ost B", "Am See", "Linden / Allee"]
     assert column(spark, names, "string", name_stem) == ["kronenplatz", "alte weberei", "nordtor", "north gate", "halt 7", "ost b", "am see", "linden / allee"]
@@ -137,6 +141,14 @@ def test_parts_of_a_file_come_in_the_order_of_their_names(spark, tmp_path):
     assert read_csv(spark, str(tmp_path / "empty")).columns == ["_ord"]
 
 
+def test_files_give_trips_with_calls(spark, tmp_path):
+    """A feed's trips hold their calls as they were read, so that a timetable does not collect them again."""
+    feed = load_feed(spark, write_feed(tmp_path / "feed", {"trips": ["solo,LOOP,WEEKDAYS,Alone"], "stop_times": ["solo,07:00:00,07:00:00,ash,0", "n1,,9:15:0,ivy,80"]}))
+    calls = feed.with_calls().trips.select("trip_id", F.posexplode("calls").alias("pos", "c")).select("trip_id", "pos", "c.stop_id", "c.arr", "c.dep")
+    assert sorted(calls.collect()) == sorted(feed.stop_times.collect()) and feed.trips.columns == feed.with_calls().trips.columns[:-1]
+    assert build_timetable(feed.with_calls().trips, None, feed.transfers).pattern_trips.count() == feed.trips.count() == 16
+
+
 def test_stop_order_is_by_sequence(spark, tmp_path):
     feed = load_feed(spark, write_feed(tmp_path / "feed", {"trips": ["late,RAIL,WEEKDAYS,x"], "stop_times": ["late,21:20:00,21:20:00,gorse,9", "late,21:00:00,21:00:00,elm,2", "late,21:08:00,21:08:00,fir,4"]}))
     assert [r.stop_id for r in feed.stop_times.filter("trip_id = 'late'").orderBy("pos").collect()] == ["elm", "fir", "gorse"]
