@@ -135,7 +135,8 @@ def next_state(state: DataFrame, timetable: Timetable, bucket: int = BUCKET) ->
     stop = dict(state.dtypes)["stop_id"]
     ride_type, label_type = _ride_type(stop), _label_type(stop)
     bound = state.groupBy("query_id").agg(F.min(F.coalesce("best", F.lit(_NEVER)) + F.col("egress").cast("bigint")).alias("bound"))
-    rides = _rides(boardings(frontier(state), timetable, bucket), timetable, ride_type)
+    reached = frontier(state).join(bound, "query_id", "left").withColumn("bound", F.coalesce("bound", F.lit(_NEVER)))
+    rides = _rides(boardings(reached, timetable, bucket), timetable, ride_type)
     known = state.select("query_id", "stop_id", "best", "egress", F.lit(None).cast(ride_type).alias("ride"))
     rode = rides.select("query_id", "stop_id", F.lit(None).cast("int").alias("best"), F.lit(None).cast("int").alias("egress"), "ride")
     both = known.unionByName(rode).groupBy("query_id", "stop_id").agg(F.min("best").alias("best"), F.max("egress").alias("egress"), F.min("ride").alias("ride"))
@@ -160,12 +161,22 @@ def next_state(state: DataFrame, timetable: Timetable, bucket: int = BUCKET) ->
 
 
 def boardings(reached: DataFrame, timetable: Timetable, bucket: int = BUCKET) -> DataFrame:
-    """(query_id, pattern_id, pos, n_stops, trip_rank): the earliest trip that each of stops reached (query_id, stop_id, ready) lets a query board."""
+    """(query_id, pattern_id, pos, n_stops, trip_rank): the earliest trip that each of stops reached (query_id, stop_id, ready) lets a query board.
+
+    Stops may hold the ``bound`` of their query, which goes on: an arrival at
+    which or later nothing is wanted.  A pattern's only trip is boarded or not
+    by what its stops say of it, where it is left out if it arrives nowhere
+    before the bound; so only patterns of several trips are looked up.
+    """
     # Dealt over all tasks, as its few rows, which would come in one, meet many patterns each; by stop and number like the buckets they meet.
     n = int(reached.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    met = reached.repartition(n, "stop_id").join(timetable.pattern_stops, "stop_id")
-    met = met.withColumn("bucket", F.greatest(F.floor(F.col("ready") / bucket).cast("int"), "first_bucket")).join(timetable.departures, ["pattern_id", "pos", "bucket"])
-    return met.withColumn("trip_rank", trip_in_span(F.col("ready"))).filter("trip_rank is not null").select("query_id", "pattern_id", "pos", "n_stops", "trip_rank")
+    met = reached.repartition(n, "stop_id").join(timetable.pattern_stops, "stop_id").filter("dep is null or dep >= ready")
+    bound = [c for c in ("bound",) if c in reached.columns]
+    if bound:
+        met = met.filter("dep is null or soonest < bound")
+    met = met.withColumn("bucket", F.greatest(F.floor(F.col("ready") / bucket).cast("int"), "first_bucket")).join(timetable.shared_departures, ["pattern_id", "pos", "bucket"], "left")
+    met = met.withColumn("trip_rank", F.when(F.col("dep").isNotNull(), 0).otherwise(trip_in_span(F.col("ready"))))
+    return met.filter("trip_rank is not null").select("query_id", "pattern_id", "pos", "n_stops", "trip_rank", *bound)
 
 
 def route_scan(boarded: DataFrame) -> DataFrame:
@@ -174,16 +185,27 @@ def route_scan(boarded: DataFrame) -> DataFrame:
     The trip is the earliest caught at any position before, boarded where that
     was first possible.
     """
-    boards = boarded.groupBy("query_id", "pattern_id").agg(F.collect_list(F.struct("trip_rank", F.col("pos").alias("board_pos"))).alias("boards"), F.first("n_stops").alias("n_stops"))
-    first = F.array_min(F.transform("boards", lambda b: b["board_pos"]))
-    along = boards.filter(first + 1 < F.col("n_stops")).select("query_id", "pattern_id", "boards", F.explode(F.sequence(first + 1, F.col("n_stops") - 1)).alias("pos"))
-    caught = F.array_min(F.filter("boards", lambda b: b["board_pos"] < F.col("pos")))
-    return along.select("query_id", "pattern_id", "pos", caught.alias("caught")).select("query_id", "pattern_id", "pos", "caught.trip_rank", "caught.board_pos")
+    return _stretches(boarded).select("query_id", "pattern_id", F.explode(F.sequence("first", "last")).alias("pos"), "trip_rank", "board_pos")
+
+
+def _stretches(boarded: DataFrame) -> DataFrame:
+    """The same in stretches of positions, ``first`` to ``last``, that are ridden in one trip from one stop, with the ``bound`` if boardings have it."""
+    bound = [c for c in ("bound",) if c in boarded.columns]
+    boards = boarded.groupBy("query_id", "pattern_id").agg(F.collect_list(F.struct("trip_rank", F.col("pos").alias("board_pos"))).alias("boards"), F.first("n_stops").alias("n_stops"), *[F.first(c).alias(c) for c in bound])
+    start, end = F.array_min(F.transform("boards", lambda b: b["board_pos"])) + 1, F.col("n_stops") - 1
+
+    def ridden(board: Column, first: Column, last: Column) -> Column:
+        return F.struct(board["trip_rank"].alias("trip_rank"), board["board_pos"].alias("board_pos"), first.alias("first"), last.alias("last"))
+
+    each = F.transform(F.sequence(start, end), lambda pos: ridden(F.array_min(F.filter("boards", lambda b: b["board_pos"] < pos)), pos, pos))
+    whole = F.array(ridden(F.get("boards", F.lit(0)), start, end))
+    return boards.filter(start <= end).select("query_id", "pattern_id", *bound, F.inline(F.when(F.size("boards") == 1, whole).otherwise(each)))
 
 
 def _rides(boarded: DataFrame, timetable: Timetable, ride_type: str) -> DataFrame:
     """(query_id, stop_id, ride): each ride, in the order in which equal arrivals are chosen."""
-    met = route_scan(boarded).join(timetable.trip_calls.drop("trip_id"), ["pattern_id", "trip_rank"])
+    met = _stretches(boarded).join(timetable.trip_calls.drop("trip_id"), ["pattern_id", "trip_rank"])
+    met = met.select("*", F.explode(F.sequence("first", "last")).alias("pos")).filter(F.get("arrs", "pos") < F.col("bound"))
     to_stop = F.get("stops", "pos")
     ride = F.struct(F.get("arrs", "pos").alias("arrival"), "pattern_id", "trip_rank", "board_pos", F.col("pos").alias("alight_pos"), F.get("stops", "board_pos").alias("board_stop"), to_stop.alias("alight_stop"), F.get("deps", "board_pos").alias("depart"))
     return met.select("query_id", to_stop.alias("stop_id"), ride.cast(ride_type).alias("ride"))

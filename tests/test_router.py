@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from headway.operators.calendar import running_trips
 from headway.operators.itinerary import journeys
 from headway.operators.pairs import random_pairs
-from headway.operators.patterns import build_timetable, earliest_trips, overtaking
+from headway.operators.patterns import Timetable, build_timetable, earliest_trips, overtaking
 from headway.operators.ranking import ranked
 from headway.operators.router import boardings, first_frontier, journey_legs, next_state, plan
 from headway.operators.transfers import footpaths
@@ -108,6 +108,25 @@ def test_trips_that_hold_their_calls(spark, valley, timetable):
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
 
 
+def test_only_patterns_of_several_trips_are_looked_up(spark):
+    """Trips with a pattern each are boarded by their stops alone, unless they arrive nowhere before the query's bound; others are found among the departures."""
+    k = F.col("id")
+    trips = spark.range(100).select(k.alias("trip_id"), k.alias("trip_ord"), F.lit(1).alias("route_id"))
+    there = F.when(k < 90, F.concat(F.lit("s"), k)).otherwise("s90")
+    at = lambda t: (F.lit(t) + k * 10).cast("int")
+    trips = trips.join(spark.range(100).select(k.alias("trip_id"), F.array(*[F.struct(stop.alias("stop_id"), at(t).alias("arr"), at(t).alias("dep")) for stop, t in ((F.lit("a"), 0), (there, 500), (F.lit("z"), 300))]).alias("calls")), "trip_id")
+    walks = spark.createDataFrame([], "from_stop string, to_stop string, seconds int")
+    t = build_timetable(trips, None, walks)
+    assert {r.pattern_id for r in t.shared_departures.collect()} == {90} and t.departures.select("pattern_id").distinct().count() == 91
+    reached = spark.createDataFrame([(1, "a", 205, 950), (2, "a", 205, 2**31 - 1)], "query_id int, stop_id string, ready int, bound int")
+    found = {q: {(r.pattern_id, r.trip_rank) for r in boardings(reached, t).filter(F.col("query_id") == q).collect()} for q in (1, 2)}
+    assert found == {1: {(p, 0) for p in range(21, 65)} | {(90, 0)}, 2: {(p, 0) for p in range(21, 91)}}
+    assert found[2] == {(r.pattern_id, r.trip_rank) for r in boardings(reached.drop("bound"), t).filter("query_id = 2").collect()}
+    # A group of trips too large for a task is ranked across tasks, in the same order.
+    one, many = (sorted(map(repr, Timetable(trips, None, walks, most_ranked=n).pattern_trips.collect())) for n in (100, 2))
+    assert one == many == sorted(map(repr, t.pattern_trips.collect()))
+
+
 def test_departures_grow_with_the_clock(spark):
     """20,000 trips of one pattern depart in 50 different seconds; later ranks depart earlier further on."""
     k = F.col("id")
